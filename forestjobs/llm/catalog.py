@@ -1,0 +1,17 @@
+"""The queries of the text operators and the SQL that checks them."""
+
+from __future__ import annotations
+
+from forestjobs.llm import exact_dedup, mixing, sharding
+
+
+def queries():
+    return {
+        "op1_mixing": mixing.op1_mixing,
+        "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+        "op8_sharding": sharding.op8_sharding,
+    }
+
+
+def oracle_sql():
+    return {"op6_exact_dedup": exact_dedup.OP6_SQL}

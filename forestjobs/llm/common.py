@@ -1,0 +1,101 @@
+"""What the text operators share: tables, written stages, word arrays."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+WORD = r"[^\x20\x09-\x0D]+"
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir.
+
+    Only where it is unset (tests, a single machine) a temporary one is made
+    and kept in the session.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        found = "file://" + tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
+def settle(df: DataFrame, label: str) -> DataFrame:
+    """Write a table into the shared folder and read it again.
+
+    It cuts lineage: a lost executor costs a read of this table, not the
+    stages before it, and a value drawn once stays the same.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/forestjobs/{uuid.uuid4().hex}/{label}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def crc_mod(col: str | Column, n: int) -> Column:
+    """crc32 of the column as text, modulo n; null ids count as empty text."""
+    return F.crc32(F.coalesce((F.col(col) if isinstance(col, str) else col).cast("string"), F.lit(""))) % n
+
+
+def texts(batch: pa.RecordBatch, name: str) -> list[bytes]:
+    """The UTF-8 bytes of each text; null counts as empty."""
+    return [x or b"" for x in batch.column(name).cast(pa.large_binary()).to_pylist()]
+
+
+UPPER_TO_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+
+_GAP = np.zeros(256, bool)
+_GAP[[9, 10, 11, 12, 13, 32]] = True
+
+
+def word_bounds(buf: np.ndarray, gap: np.ndarray = _GAP) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of every run of bytes that are not gaps."""
+    inside = np.empty(len(buf) + 2, np.int8)
+    inside[0] = inside[-1] = 0
+    inside[1:-1] = ~gap[buf]
+    turn = np.diff(inside)
+    return np.flatnonzero(turn == 1), np.flatnonzero(turn == -1)
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """base**0 .. base**(n-1) modulo 2**64."""
+    out = np.ones(max(n, 1), np.uint64)
+    if n > 1:
+        out[1:] = np.uint64(base)
+        np.multiply.accumulate(out, out=out)
+    return out
+
+
+def scramble(h: np.ndarray, salt: int = 0) -> np.ndarray:
+    """A bijective mixing of 64-bit values (shift-multiply finaliser)."""
+    h = h + np.uint64((0x9E3779B97F4A7C15 * (salt + 1)) & 0xFFFFFFFFFFFFFFFF)
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+_LETTER = scramble(np.arange(256, dtype=np.uint64), 7)
+_POWERS = powers(0x5851F42D4C957F2D, 1 << 12)
+
+
+def word_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, salt: int = 0) -> np.ndarray:
+    """A 64-bit hash of each run of bytes [start, end), all at once."""
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    length = end - start
+    longest = int(length.max())
+    table = _POWERS if longest <= len(_POWERS) else powers(0x5851F42D4C957F2D, longest)
+    take = np.repeat(start - np.concatenate(([0], np.cumsum(length)[:-1])), length) + np.arange(int(length.sum()))
+    part = _LETTER[buf[take]] * table[take - np.repeat(start, length)]
+    first = np.concatenate(([0], np.cumsum(length)[:-1]))
+    return scramble(np.add.reduceat(part, first) + length.astype(np.uint64), salt)
