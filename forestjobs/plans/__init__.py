@@ -1,0 +1,15 @@
+"""Queries over the driver's tables, with the SQL that checks them."""
+
+from __future__ import annotations
+
+
+def flagship(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_returnflag").count()
+
+
+def queries():
+    return {}
+
+
+def oracle_sql():
+    return {}
