@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from forestjobs.llm import exact_dedup, mixing, sharding
+from forestjobs.llm import exact_dedup, language, mixing, secrets, sharding, toxicity
 
 
 def queries():
     return {
         "op1_mixing": mixing.op1_mixing,
+        "op2_toxicity": toxicity.op2_toxicity,
+        "op3_secret_scans": secrets.op3_secret_scans,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+        "op7_language_id": language.op7_language_id,
         "op8_sharding": sharding.op8_sharding,
     }
 

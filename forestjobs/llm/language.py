@@ -1,0 +1,207 @@
+"""Language identification by sparse multinomial logistic regression.
+
+Features are hashed character n-grams (one to three characters, words padded
+by one space) weighted by TF-IDF and scaled to length one. Document counts for
+the IDF cover every training document. The weights are fitted on a bounded
+sample (PER_LABEL documents a language are expected) with per-coordinate
+follow-the-regularised-leader and an elastic-net penalty, which leaves most of
+them zero; a temperature fitted on a held-back fifth of the sample calibrates
+the scores. Prediction is map-only.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from forestjobs.llm.common import crc_mod, scramble, table
+
+HASH_BITS = 14
+SIZE = 1 << HASH_BITS
+ORDERS = (1, 2, 3)
+PER_LABEL = 1500
+UNKNOWN = "und"
+
+_LETTERS: list[np.ndarray] = []
+
+
+def letters() -> np.ndarray:
+    """Which code points are letters, for all of them; built once a worker."""
+    if not _LETTERS:
+        _LETTERS.append(np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000))
+    return _LETTERS[0]
+
+
+def ngram_counts(text: str | None) -> np.ndarray | None:
+    """Counts by hash bucket, or None without any letter."""
+    if not text:
+        return None
+    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    is_letter = letters()[points]
+    if not is_letter.any():
+        return None
+    # Letters stay, every run of others becomes one space.
+    keep = is_letter.copy()
+    keep[1:] |= is_letter[:-1]
+    line = np.where(is_letter, points, 32)[keep].astype(np.uint64)
+    line = np.concatenate(([np.uint64(32)], line, [np.uint64(32)]))
+    out = np.zeros(SIZE, np.int64)
+    key = np.zeros(len(line), np.uint64)
+    for n in ORDERS:
+        key = (key[: len(line) - n + 1] << np.uint64(21)) | line[n - 1 :]
+        out += np.bincount((scramble(key, n) >> np.uint64(64 - HASH_BITS)).astype(np.int64), minlength=SIZE)
+    return out
+
+
+def tf_idf(counts: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    at = np.flatnonzero(counts)
+    value = np.log1p(counts[at]) * idf[at]
+    norm = np.sqrt((value * value).sum())
+    return at, value / norm if norm else value
+
+
+def document_counts(train: DataFrame) -> np.ndarray:
+    """Training documents that hold each bucket; the last entry counts all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(SIZE + 1, np.int64)
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                counts = ngram_counts(text)
+                if counts is not None:
+                    seen[:SIZE] += counts > 0
+                    seen[SIZE] += 1
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], ["bucket", "n"])
+
+    sums = train.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    out = np.zeros(SIZE + 1, np.int64)
+    for row in sums.collect():  # at most SIZE + 1 rows
+        out[row["bucket"]] = row["n"]
+    return out
+
+
+def sample(train: DataFrame, per_label: int) -> DataFrame:
+    """About per_label documents of each language, by a hash of the id."""
+    share = train.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(per_label * 1.0) / F.count(F.lit(1))).alias("share"))
+    drawn = F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1 << 20)) / float(1 << 20)
+    return train.join(F.broadcast(share.withColumnRenamed("lang", "_lang")), F.col("lang") == F.col("_lang")).filter(drawn < F.col("share")).select("doc_id", "text", "lang")
+
+
+class Ftrl:
+    """Multinomial logistic regression by FTRL-proximal with L1 and L2."""
+
+    def __init__(self, classes: int, alpha=0.5, beta=1.0, l1=0.02, l2=0.001):
+        self.z = np.zeros((SIZE + 1, classes))
+        self.n = np.zeros((SIZE + 1, classes))
+        self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
+
+    def weights(self, at) -> np.ndarray:
+        z, n = self.z[at], self.n[at]
+        shrunk = np.sign(z) * np.maximum(np.abs(z) - self.l1, 0)
+        return -shrunk / ((self.beta + np.sqrt(n)) / self.alpha + self.l2)
+
+    def step(self, at: np.ndarray, value: np.ndarray, label: int) -> None:
+        w = self.weights(at)
+        p = softmax(value @ w)
+        p[label] -= 1
+        g = value[:, None] * p[None, :]
+        n = self.n[at]
+        sigma = (np.sqrt(n + g * g) - np.sqrt(n)) / self.alpha
+        self.z[at] += g - sigma * w
+        self.n[at] += g * g
+
+
+def softmax(z: np.ndarray) -> np.ndarray:
+    e = np.exp(z - z.max(axis=-1, keepdims=True))
+    return e / e.sum(axis=-1, keepdims=True)
+
+
+def fit(rows: list[tuple[np.ndarray, np.ndarray, str]], epochs: int = 4) -> tuple[list[str], np.ndarray, float]:
+    """Languages, weights (buckets and a bias row) and temperature.
+
+    rows: bucket numbers, values and label of each sampled document, in the
+    order in which they are learned.
+    """
+    labels = sorted({lang for _, _, lang in rows})
+    code = {lang: i for i, lang in enumerate(labels)}
+    model = Ftrl(len(labels))
+    fitted = [r for i, r in enumerate(rows) if i % 5] or rows
+    held = [r for i, r in enumerate(rows) if i % 5 == 0]
+    bias = np.array([SIZE])
+    for _ in range(epochs):
+        for at, value, lang in fitted:
+            model.step(np.concatenate((at, bias)), np.append(value, 1.0), code[lang])
+    w = model.weights(slice(None))
+    logits = np.array([value @ w[at] + w[SIZE] for at, value, _ in held])
+    truth = np.array([code[lang] for _, _, lang in held])
+    grid = np.exp(np.linspace(np.log(0.02), np.log(20), 200))
+    loss = [-np.log(softmax(logits / t)[np.arange(len(truth)), truth] + 1e-12).mean() for t in grid]
+    return labels, w, float(grid[int(np.argmin(loss))])
+
+
+def identify(docs: DataFrame, train: DataFrame, per_label: int = PER_LABEL) -> DataFrame:
+    """doc_id, lang_pred and score for each row of docs; learns from train.
+
+    train has doc_id, text and lang (rows with a null lang are left out). A
+    text that is null or without any letter is ``und`` with score 0, and so is
+    every text when there is nothing to learn from. Ids may be null or
+    repeated; extra columns are not read.
+    """
+    return predict(docs, *learn(train, per_label))
+
+
+def learn(train: DataFrame, per_label: int = PER_LABEL):
+    train = train.filter(F.col("lang").isNotNull()).select("doc_id", "text", "lang")
+    seen = document_counts(train)
+    idf = np.log((1 + seen[SIZE]) / (1 + seen[:SIZE])) + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, value, lang, order = [], [], [], []
+            for doc, text, label in zip(*[batch.column(c).to_pylist() for c in ("h", "text", "lang")]):
+                counts = ngram_counts(text)
+                if counts is not None:
+                    a, v = tf_idf(counts, idf)
+                    at.append(a.astype(np.int32)), value.append(v.astype(np.float32)), lang.append(label), order.append(doc)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(order, pa.int64()), pa.array(at, pa.list_(pa.int32())), pa.array(value, pa.list_(pa.float32())), pa.array(lang, pa.string())],
+                ["h", "at", "value", "lang"],
+            )
+
+    # The sample is bounded by per_label a language, so it fits the driver.
+    drawn = sample(train, per_label).select(F.xxhash64(F.lit(8), "doc_id", "text").alias("h"), "text", "lang")
+    got = sorted(drawn.mapInArrow(run, "h long, at array<int>, value array<float>, lang string").toLocalIterator(), key=lambda r: (r["h"], r["lang"]))
+    rows = [(np.array(r["at"], np.int64), np.array(r["value"], np.float64), r["lang"]) for r in got]
+    return (*fit(rows), idf) if rows else ([], np.zeros((SIZE + 1, 0)), 1.0, idf)
+
+
+def predict(docs: DataFrame, labels: list[str], w: np.ndarray, temperature: float, idf: np.ndarray) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast((w.astype(np.float32), idf))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, idf = shared.value
+        for batch in batches:
+            lang, score = [], []
+            for text in batch.column("text").to_pylist():
+                counts = ngram_counts(text)
+                if counts is None or not labels:
+                    lang.append(UNKNOWN), score.append(0.0)
+                    continue
+                at, value = tf_idf(counts, idf)
+                p = softmax((value @ weights[at] + weights[SIZE]) / temperature)
+                lang.append(labels[int(p.argmax())]), score.append(float(p.max()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = identify(docs, docs.filter(crc_mod("doc_id", 4) != 2))
+    return found.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")

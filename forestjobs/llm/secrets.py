@@ -1,0 +1,166 @@
+"""Secret scans: fixed patterns plus sliding-window entropy.
+
+Besides the three base patterns, long runs of key-like characters are searched
+for stretches that look random. Each candidate has a character class (hex
+digits, or letters with digits); a window slides over it, the counts of its
+characters are kept up to date by one step in and one step out, and with them
+the Shannon entropy of the window. Windows above the class's threshold are
+joined into one span. An allow-list takes out strings that are long and mixed
+but known: UUIDs, file paths, dates, version numbers and placeholders.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import math
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+
+from forestjobs.llm.common import UPPER_TO_LOWER, table, texts
+
+KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
+ASSIGN = re.compile(rb"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
+KINDS = ("assign", "access", "hex", "entropy")
+WINDOW = 20
+#: Bits a character over a window of 20; random strings of the class lie above.
+THRESHOLDS = {"hex": 3.0, "mixed": 3.6}
+ALLOW = (
+    rb"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}",
+    rb"[A-Za-z_-]*\d{1,6}",
+    rb"\d[\d_/-]*",
+    rb"(?i:.*(example|placeholder|changeme|xxxx|0123456789|abcdefgh).*)",
+    rb"([A-Za-z_-]+\d{0,4}/)+[A-Za-z_-]*\d{0,4}",
+)
+
+
+def _members(chars: bytes) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[list(chars)] = True
+    return out
+
+
+DIGITS = b"0123456789"
+_HEX = _members(DIGITS + b"abcdef")
+_DIGIT = _members(DIGITS)
+_KEYLIKE = _members(DIGITS + bytes(range(65, 91)) + bytes(range(97, 123)) + b"+/_-")
+_HEXLIKE = frozenset(DIGITS + b"abcdefABCDEF")
+
+
+def runs(buf: np.ndarray, members: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Maximal runs of member bytes, at least so long: starts and ends."""
+    inside = np.zeros(len(buf) + 2, np.int8)
+    inside[1:-1] = members[buf]
+    turn = np.diff(inside)
+    start, end = np.flatnonzero(turn == 1), np.flatnonzero(turn == -1)
+    long = end - start >= least
+    return start[long], end[long]
+
+
+def entropy_spans(word: bytes, window: int = WINDOW, thresholds=THRESHOLDS) -> list[tuple[int, int]]:
+    """Stretches of a candidate whose windows are above their class's threshold."""
+    if len(word) < window:
+        return []
+    limit = thresholds["hex" if _HEXLIKE.issuperset(word) else "mixed"]
+    plogp = [0.0] + [c * math.log2(c) for c in range(1, window + 1)]
+    counts: dict[int, int] = {}
+    total = 0.0  # sum of c * log2(c) over the characters in the window
+    spans: list[list[int]] = []
+    for i, c in enumerate(word):
+        n = counts.get(c, 0)
+        total += plogp[n + 1] - plogp[n]
+        counts[c] = n + 1
+        if i >= window:
+            gone = word[i - window]
+            n = counts[gone]
+            total += plogp[n - 1] - plogp[n]
+            counts[gone] = n - 1
+        if i >= window - 1 and math.log2(window) - total / window >= limit:
+            start = i - window + 1
+            if spans and start <= spans[-1][1]:
+                spans[-1][1] = i + 1
+            else:
+                spans.append([start, i + 1])
+    return [tuple(s) for s in spans]
+
+
+def scan(data: bytes, window: int = WINDOW, thresholds=THRESHOLDS, allow=ALLOW) -> list[tuple[int, int, int]]:
+    """(start, kind, end) in bytes, over many texts joined by a zero byte."""
+    found: list[tuple[int, int, int]] = []
+    low = data.translate(UPPER_TO_LOWER)
+    at = []
+    for word in KEYWORDS:
+        i = low.find(word)
+        while i >= 0:
+            at.append(i)
+            i = low.find(word, i + 1)
+    done = 0
+    for i in sorted(at):
+        if i >= done and (m := ASSIGN.match(data, i)):
+            done = m.end()
+            if len(m[2]) >= 6:
+                found.append((m.start(), 0, m.end()))
+    found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(data) if len(m[0]) >= 20]
+    buf = np.frombuffer(data, np.uint8)
+    found += [(int(s), 2, int(e)) for s, e in zip(*runs(buf, _HEX, 24))]
+    start, end = runs(buf, _KEYLIKE, window)
+    if len(start):
+        bounds = np.stack([start, np.minimum(end, len(buf) - 1)], 1).ravel()
+        digits = np.add.reduceat(_DIGIT[buf].astype(np.int32), bounds)[::2] + ((end == len(buf)) & _DIGIT[buf[-1]])
+        mixed = (digits > 0) & (digits < end - start)
+        known = re.compile(b"|".join(b"(?:" + a + b")" for a in allow)) if allow else None
+        base = sorted((s, e) for s, _, e in found)
+        starts = [s for s, _ in base]
+        reach = list(np.maximum.accumulate([e for _, e in base])) if base else []
+        for s, e in zip(start[mixed].tolist(), end[mixed].tolist()):
+            word = data[s:e]
+            if known and known.fullmatch(word):
+                continue
+            for a, b in entropy_spans(word, window, thresholds):
+                before = int(np.searchsorted(starts, s + b))
+                if not (before and reach[before - 1] > s + a):
+                    found.append((s + a, 3, s + b))
+    return sorted(found)
+
+
+def secrets(docs: DataFrame, window: int = WINDOW, thresholds=THRESHOLDS, allow=ALLOW) -> DataFrame:
+    """One row per input row: doc_id, counts by kind and all spans.
+
+    Offsets are code points, ends exclusive. base_sha256 covers the spans of
+    the three base kinds, ``spans`` all; an entropy span that overlaps a base
+    span is not added. Null and empty texts have no spans. Ids may be null or
+    repeated; extra columns are not read.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = texts(batch, "text")
+            ends = np.cumsum([len(t) + 1 for t in rows]) if rows else np.zeros(0, int)
+            spans: list[list[tuple[int, int, int]]] = [[] for _ in rows]
+            for s, kind, e in scan(b"\0".join(rows), window, thresholds, allow):
+                doc = int(np.searchsorted(ends, s, side="right"))
+                spans[doc].append((s, kind, e))
+            out: dict[str, list] = {"n_assign": [], "n_access": [], "n_hex": [], "n_entropy": [], "base_sha256": [], "spans": []}
+            for i, (t, found) in enumerate(zip(rows, spans)):
+                first = int(ends[i]) - len(t) - 1
+                if found:
+                    lead = np.concatenate(([0], np.cumsum((np.frombuffer(t, np.uint8) & 0xC0) != 0x80)))
+                    found = [(int(lead[s - first]), k, int(lead[e - first])) for s, k, e in found]
+                said = [(k, f"{KINDS[k]}:{s}:{e}") for s, k, e in found]
+                for k, kind in enumerate(KINDS):
+                    out[f"n_{kind}"].append(sum(x == k for x, _ in said))
+                out["base_sha256"].append(hashlib.sha256(",".join(x for k, x in said if k < 3).encode()).hexdigest())
+                out["spans"].append(",".join(x for _, x in said))
+            kinds = [pa.int64()] * 4 + [pa.string()] * 2
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(v, k) for v, k in zip(out.values(), kinds)]], ["doc_id", *out])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_assign long, n_access long, n_hex long, n_entropy long, base_sha256 string, spans string")
+
+
+def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets(table(spark, sf_dir, "documents"))

@@ -1,0 +1,191 @@
+"""Toxicity by a factorization machine over hashed terms.
+
+Terms are words and word beginnings, hashed; a document has each term or not.
+The machine's logit is linear in the terms plus the inner products of their
+factors, so a pair (an insult with a group mention) can weigh more than its
+parts. Terms are chosen by their G-squared association with the label on a
+bounded sample of labelled documents (SAMPLE rows), the machine is fitted on
+the same sample by Adagrad, and scoring is map-only over whole texts.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from forestjobs.llm.common import UPPER_TO_LOWER, crc_mod, table, texts, word_bounds, word_hashes
+
+HASH_BITS = 22
+PREFIX = 5
+SAMPLE = 20_000
+#: Terms kept at most, and the least G-squared of a kept term.
+TERMS, LEAST_G2 = 4096, 15.0
+FACTORS = 8
+
+_GAP = np.zeros(256, bool)
+_GAP[list(range(0x30)) + list(range(0x3A, 0x61)) + list(range(0x7B, 0x80))] = True
+
+
+def terms(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(row, term) pairs of many texts, each pair once, in order of rows."""
+    data = b"\0".join(rows).translate(UPPER_TO_LOWER)
+    buf = np.frombuffer(data, np.uint8)
+    start, end = word_bounds(buf, _GAP)
+    first = np.cumsum([0] + [len(r) + 1 for r in rows])
+    row = np.searchsorted(first, start, side="right") - 1
+    whole = word_hashes(buf, start, end, 1)
+    long = end - start > PREFIX
+    lead = word_hashes(buf, start[long], start[long] + PREFIX, 2)
+    term = np.concatenate((whole, lead)) >> np.uint64(64 - HASH_BITS)
+    pairs = np.unique((np.concatenate((row, row[long])).astype(np.uint64) << np.uint64(HASH_BITS)) | term)
+    return (pairs >> np.uint64(HASH_BITS)).astype(np.int64), (pairs & np.uint64((1 << HASH_BITS) - 1)).astype(np.int64)
+
+
+def g_squared(with_label: np.ndarray, seen: np.ndarray, positives: int, total: int) -> np.ndarray:
+    """Log-likelihood ratio of term and label from document counts."""
+
+    def part(observed, expected):
+        return np.where(observed > 0, observed * np.log(np.maximum(observed, 1e-12) / np.maximum(expected, 1e-12)), 0.0)
+
+    a, b = with_label, seen - with_label
+    c, d = positives - a, (total - positives) - b
+    p = positives / total
+    return 2 * (part(a, seen * p) + part(b, seen * (1 - p)) + part(c, (total - seen) * p) + part(d, (total - seen) * (1 - p)))
+
+
+class Machine:
+    """Bias, linear weights and factors over the kept terms."""
+
+    def __init__(self, kept: np.ndarray, factors: int = FACTORS, seed: int = 5):
+        self.kept = kept
+        rng = np.random.default_rng(seed)
+        self.b = 0.0
+        self.w = np.zeros(len(kept))
+        self.v = rng.normal(0, 0.01, (len(kept), factors))
+
+    def logit(self, row: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+        """Logits of n rows from (row, kept term) pairs sorted by row."""
+        linear = np.bincount(row, self.w[at], n)
+        square = np.bincount(row, (self.v * self.v).sum(1)[at], n)
+        pair = -0.5 * square
+        for f in range(self.v.shape[1]):
+            s = np.bincount(row, self.v[at, f], n)
+            pair += 0.5 * s * s
+        return self.b + linear + pair
+
+    def find(self, row: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs with kept terms only, terms numbered by place."""
+        if not len(self.kept):
+            return row[:0], term[:0]
+        at = np.minimum(np.searchsorted(self.kept, term), len(self.kept) - 1)
+        good = self.kept[at] == term
+        return row[good], at[good]
+
+    def fit(self, row: np.ndarray, at: np.ndarray, y: np.ndarray, epochs: int = 30, rate: float = 0.3, l2: float = 1e-4, batch: int = 256, seed: int = 6) -> None:
+        n = len(y)
+        self.b = float(np.log((y.sum() + 0.5) / (n - y.sum() + 0.5)))
+        first = np.searchsorted(row, np.arange(n + 1))
+        rng = np.random.default_rng(seed)
+        gb, gw, gv = 1e-6, np.full(self.w.shape, 1e-6), np.full(self.v.shape, 1e-6)
+        for _ in range(epochs):
+            order = rng.permutation(n)
+            for i in range(0, n, batch):
+                docs = order[i : i + batch]
+                size = first[docs + 1] - first[docs]
+                local = np.repeat(np.arange(len(docs)), size)
+                places = np.repeat(first[docs] - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(int(size.sum()))
+                a = at[places]
+                err = 1 / (1 + np.exp(-np.clip(self.logit(local, a, len(docs)), -30, 30))) - y[docs]
+                err /= len(docs)
+                g = float(err.sum())
+                gb += g * g
+                self.b -= rate * g / np.sqrt(gb)
+                used, slot = np.unique(a, return_inverse=True)
+                dw = np.bincount(slot, err[local], len(used)) + l2 * self.w[used] / len(docs)
+                gw[used] += dw * dw
+                self.w[used] -= rate * dw / np.sqrt(gw[used])
+                for f in range(self.v.shape[1]):
+                    v = self.v[:, f]
+                    s = np.bincount(local, v[a], len(docs))
+                    dv = np.bincount(slot, err[local] * (s[local] - v[a]), len(used)) + l2 * v[used] / len(docs)
+                    gv[used, f] += dv * dv
+                    self.v[used, f] -= 0.1 * rate * dv / np.sqrt(gv[used, f])
+
+
+def learn(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Machine:
+    """A machine from doc_id, text and doc_id, toxic (null labels left out).
+
+    At most ``most`` labelled documents are used, drawn by a hash of the id;
+    an id that is labelled twice is toxic if one label says so. Without both
+    labels the machine has no terms and scores the share of toxic rows.
+    """
+    known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    drawn = known.orderBy(F.xxhash64(F.lit(3), "doc_id"), "doc_id").limit(most)
+    some = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")  # at most ``most`` rows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, term = terms(texts(batch, "text"))
+            first = np.searchsorted(row, np.arange(batch.num_rows + 1))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("toxic").cast(pa.int32()), pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(term, pa.int32()))],
+                ["doc_id", "toxic", "terms"],
+            )
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    got = some.mapInArrow(run, f"doc_id {kind}, toxic int, terms array<int>").toArrow()
+    order = np.lexsort((np.array(got["terms"].combine_chunks().value_lengths()), got["doc_id"].to_numpy(zero_copy_only=False))) if got.num_rows else np.zeros(0, int)
+    got = got.take(pa.array(order, pa.int64()))
+    y = got["toxic"].to_numpy(zero_copy_only=False).astype(float)
+    lists = got["terms"].combine_chunks()
+    if isinstance(lists, pa.ChunkedArray):
+        lists = pa.concat_arrays(lists.chunks) if lists.num_chunks else pa.array([], pa.list_(pa.int32()))
+    term = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    row = np.repeat(np.arange(len(y)), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)) if len(y) else np.zeros(0, int)
+    if not len(y) or y.min() == y.max():
+        machine = Machine(np.zeros(0, np.int64))
+        machine.b = float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
+        return machine
+    seen = np.bincount(term, minlength=1 << HASH_BITS).astype(float)
+    hit = np.bincount(term, y[row], 1 << HASH_BITS)
+    score = np.where(seen >= 2, g_squared(hit, seen, y.sum(), len(y)), 0.0)
+    kept = np.flatnonzero(score >= LEAST_G2)
+    if len(kept) > TERMS:
+        kept = np.sort(kept[np.argsort(-score[kept], kind="stable")[:TERMS]])
+    machine = Machine(kept)
+    machine.fit(*machine.find(row, term), y)
+    return machine
+
+
+def score(docs: DataFrame, machine: Machine, threshold: float = 0.7) -> DataFrame:
+    """doc_id, score (0 to 1) and predicted (1 from the threshold on).
+
+    Null and empty texts score what a text without known terms does. Ids may
+    be null or repeated; extra columns are not read.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(machine)  # TERMS rows at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for batch in batches:
+            p = np.zeros(0)
+            rows = texts(batch, "text")
+            for i in range(0, len(rows), 1000):
+                part = rows[i : i + 1000]
+                z = m.logit(*m.find(*terms(part)), len(part))
+                p = np.append(p, 1 / (1 + np.exp(-np.clip(z, -30, 30))))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, predicted int")
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels")
+    machine = learn(docs, labels.filter(crc_mod("doc_id", 3) != 1))
+    return score(docs, machine).select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
