@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from forestjobs.llm import exact_dedup, language, mixing, secrets, sharding, toxicity
+from forestjobs.llm import decontaminate, exact_dedup, language, mixing, secrets, sharding, toxicity
 
 
 def queries():
@@ -10,6 +10,7 @@ def queries():
         "op1_mixing": mixing.op1_mixing,
         "op2_toxicity": toxicity.op2_toxicity,
         "op3_secret_scans": secrets.op3_secret_scans,
+        "op4_decontamination": decontaminate.op4_decontamination,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
         "op7_language_id": language.op7_language_id,
         "op8_sharding": sharding.op8_sharding,
@@ -17,4 +18,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op6_exact_dedup": exact_dedup.OP6_SQL}
+    return {"op4_decontamination": decontaminate.OP4_SQL, "op6_exact_dedup": exact_dedup.OP6_SQL}

@@ -22,8 +22,10 @@ from forestjobs.llm.common import UPPER_TO_LOWER, crc_mod, table, texts, word_bo
 HASH_BITS = 22
 PREFIX = 5
 SAMPLE = 20_000
-#: Terms kept at most, and the least G-squared of a kept term.
-TERMS, LEAST_G2 = 4096, 15.0
+#: Terms kept at most, the least G-squared of a kept term (by chance one of
+#: the 2**22 buckets or so gets there), and the share of
+#: documents above which a term is a common word that mostly tells the length.
+TERMS, LEAST_G2, COMMON = 4096, 30.0, 0.2
 FACTORS = 8
 
 _GAP = np.zeros(256, bool)
@@ -60,11 +62,11 @@ def g_squared(with_label: np.ndarray, seen: np.ndarray, positives: int, total: i
 class Machine:
     """Bias, linear weights and factors over the kept terms."""
 
-    def __init__(self, kept: np.ndarray, factors: int = FACTORS, seed: int = 5):
+    def __init__(self, kept: np.ndarray, start: np.ndarray | None = None, factors: int = FACTORS, seed: int = 5):
         self.kept = kept
         rng = np.random.default_rng(seed)
         self.b = 0.0
-        self.w = np.zeros(len(kept))
+        self.w = np.zeros(len(kept)) if start is None else start
         self.v = rng.normal(0, 0.01, (len(kept), factors))
 
     def logit(self, row: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
@@ -85,7 +87,7 @@ class Machine:
         good = self.kept[at] == term
         return row[good], at[good]
 
-    def fit(self, row: np.ndarray, at: np.ndarray, y: np.ndarray, epochs: int = 30, rate: float = 0.3, l2: float = 1e-4, batch: int = 256, seed: int = 6) -> None:
+    def fit(self, row: np.ndarray, at: np.ndarray, y: np.ndarray, epochs: int = 60, rate: float = 0.3, l2: float = 1e-4, batch: int = 256, seed: int = 6) -> None:
         n = len(y)
         self.b = float(np.log((y.sum() + 0.5) / (n - y.sum() + 0.5)))
         first = np.searchsorted(row, np.arange(n + 1))
@@ -152,11 +154,14 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Machine:
         return machine
     seen = np.bincount(term, minlength=1 << HASH_BITS).astype(float)
     hit = np.bincount(term, y[row], 1 << HASH_BITS)
-    score = np.where(seen >= 2, g_squared(hit, seen, y.sum(), len(y)), 0.0)
+    score = np.where((seen >= 2) & (seen <= COMMON * len(y)), g_squared(hit, seen, y.sum(), len(y)), 0.0)
     kept = np.flatnonzero(score >= LEAST_G2)
     if len(kept) > TERMS:
         kept = np.sort(kept[np.argsort(-score[kept], kind="stable")[:TERMS]])
-    machine = Machine(kept)
+    # Linear weights start at three quarters of the log-odds of each term alone: terms that
+    # nearly always come in company would else share one term's weight.
+    odds = np.log((hit[kept] + 0.5) / (seen[kept] - hit[kept] + 0.5)) - np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
+    machine = Machine(kept, 0.75 * odds)
     machine.fit(*machine.find(row, term), y)
     return machine
 
