@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from forestjobs.llm import decontaminate, exact_dedup, language, mixing, secrets, sharding, toxicity
+from forestjobs.llm import decontaminate, exact_dedup, language, mixing, secrets, sharding, substring_dedup, toxicity
 
 
 def queries():
@@ -14,8 +14,9 @@ def queries():
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
         "op7_language_id": language.op7_language_id,
         "op8_sharding": sharding.op8_sharding,
+        "op10_substring_dedup": substring_dedup.op10_substring_dedup,
     }
 
 
 def oracle_sql():
-    return {"op4_decontamination": decontaminate.OP4_SQL, "op6_exact_dedup": exact_dedup.OP6_SQL}
+    return {"op4_decontamination": decontaminate.OP4_SQL, "op6_exact_dedup": exact_dedup.OP6_SQL, "op10_substring_dedup": substring_dedup.OP10_SQL}

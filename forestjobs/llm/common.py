@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +53,18 @@ def texts(batch: pa.RecordBatch, name: str) -> list[bytes]:
     return [x or b"" for x in batch.column(name).cast(pa.large_binary()).to_pylist()]
 
 
+def portions(rows: list[bytes], most: int = 2 << 20) -> Iterator[tuple[int, list[bytes]]]:
+    """Neighbouring texts in lists of about ``most`` bytes, with where each begins."""
+    first, total = 0, 0
+    for i, row in enumerate(rows):
+        total += len(row) + 1
+        if total >= most:
+            yield first, rows[first : i + 1]
+            first, total = i + 1, 0
+    if first < len(rows):
+        yield first, rows[first:]
+
+
 UPPER_TO_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 _GAP = np.zeros(256, bool)
@@ -84,6 +97,27 @@ def scramble(h: np.ndarray, salt: int = 0) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def rolling(h: np.ndarray, n: int, step: int, salt: int = 0) -> np.ndarray:
+    """A hash of each n consecutive values (they may cross texts).
+
+    Polynomials of doubled length are put together, so it takes log n passes.
+    """
+    if len(h) < n:
+        return np.zeros(0, np.uint64)
+    size = len(h) - n + 1
+    out, done, part, width = None, 0, h, 1
+    while True:
+        if n & width:
+            piece = part[done : done + size]
+            out = piece if out is None else out * np.uint64(pow(step, width, 1 << 64)) + piece
+            done += width
+        width *= 2
+        if width > n:
+            return scramble(out, salt)
+        half = width // 2
+        part = part[:-half] * np.uint64(pow(step, half, 1 << 64)) + part[half:]
+
+
 _LETTER = scramble(np.arange(256, dtype=np.uint64), 7)
 _POWERS = powers(0x5851F42D4C957F2D, 1 << 12)
 

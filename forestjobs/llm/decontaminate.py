@@ -25,14 +25,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from forestjobs.llm.common import UPPER_TO_LOWER, scramble, settle, table, texts, word_bounds, word_hashes
+from forestjobs.llm.common import UPPER_TO_LOWER, portions, rolling, settle, table, texts, word_bounds, word_hashes
 
 WINDOW, GRAM = 10, 5
 BLOCK_BYTES = 32 << 20
 
 _GAP = np.zeros(256, bool)
 _GAP[list(range(0x30)) + list(range(0x3A, 0x61)) + list(range(0x7B, 0x80))] = True
-_STEP = np.uint64(0x2545F4914F6CDD1D)
+_STEP = 0x2545F4914F6CDD1D
 _FLAG_BITS = 22
 
 
@@ -47,12 +47,7 @@ def words(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
     """Hash of each n consecutive words (they may cross texts)."""
-    if len(h) < n:
-        return np.zeros(0, np.uint64)
-    out = np.zeros(len(h) - n + 1, np.uint64)
-    for j in range(n):
-        out = out * _STEP + h[j : len(h) - n + 1 + j]
-    return scramble(out, n)
+    return rolling(h, n, _STEP, n)
 
 
 def inside(first: np.ndarray, total: int, n: int) -> np.ndarray:
@@ -162,8 +157,8 @@ def scan(docs: DataFrame, block: Benchmark | None, doc_id: str = "doc_id") -> Da
         for batch in batches:
             rows = texts(batch, "text")
             n_words, starts, ends, items = [], [], [], []
-            for i in range(0, len(rows), 500):
-                h, first = words(rows[i : i + 500])
+            for _, part in portions(rows):
+                h, first = words(part)
                 hit, met = shared.value.hits(h, first) if shared.value else (np.zeros(len(h), bool), {})
                 for t in range(len(first) - 1):
                     turn = np.diff(np.concatenate(([0], hit[first[t] : first[t + 1]].view(np.int8), [0]))) if t in met else np.zeros(0)

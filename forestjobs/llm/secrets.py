@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from forestjobs.llm.common import UPPER_TO_LOWER, table, texts
+from forestjobs.llm.common import UPPER_TO_LOWER, portions, table, texts
 
 KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 ASSIGN = re.compile(rb"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -141,9 +141,11 @@ def secrets(docs: DataFrame, window: int = WINDOW, thresholds=THRESHOLDS, allow=
             rows = texts(batch, "text")
             ends = np.cumsum([len(t) + 1 for t in rows]) if rows else np.zeros(0, int)
             spans: list[list[tuple[int, int, int]]] = [[] for _ in rows]
-            for s, kind, e in scan(b"\0".join(rows), window, thresholds, allow):
-                doc = int(np.searchsorted(ends, s, side="right"))
-                spans[doc].append((s, kind, e))
+            for i, part in portions(rows):
+                base = int(ends[i]) - len(rows[i]) - 1
+                for s, kind, e in scan(b"\0".join(part), window, thresholds, allow):
+                    doc = int(np.searchsorted(ends, base + s, side="right"))
+                    spans[doc].append((base + s, kind, base + e))
             out: dict[str, list] = {"n_assign": [], "n_access": [], "n_hex": [], "n_entropy": [], "base_sha256": [], "spans": []}
             for i, (t, found) in enumerate(zip(rows, spans)):
                 first = int(ends[i]) - len(t) - 1

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forestjobs.llm.common import UPPER_TO_LOWER, crc_mod, table, texts, word_bounds, word_hashes
+from forestjobs.llm.common import UPPER_TO_LOWER, crc_mod, portions, table, texts, word_bounds, word_hashes
 
 HASH_BITS = 22
 PREFIX = 5
@@ -131,7 +131,9 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Machine:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, term = terms(texts(batch, "text"))
+            pairs = [(i, *terms(part)) for i, part in portions(texts(batch, "text"))]
+            row = np.concatenate([i + r for i, r, _ in pairs] or [np.zeros(0, int)])
+            term = np.concatenate([t for *_, t in pairs] or [np.zeros(0, int)])
             first = np.searchsorted(row, np.arange(batch.num_rows + 1))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("toxic").cast(pa.int32()), pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(term, pa.int32()))],
@@ -177,12 +179,10 @@ def score(docs: DataFrame, machine: Machine, threshold: float = 0.7) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            p = np.zeros(0)
-            rows = texts(batch, "text")
-            for i in range(0, len(rows), 1000):
-                part = rows[i : i + 1000]
+            p = np.zeros(batch.num_rows)
+            for i, part in portions(texts(batch, "text")):
                 z = m.logit(*m.find(*terms(part)), len(part))
-                p = np.append(p, 1 / (1 + np.exp(-np.clip(z, -30, 30))))
+                p[i : i + len(part)] = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
