@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from forestjobs.llm import decontaminate, exact_dedup, language, mixing, secrets, sharding, substring_dedup, toxicity
+from forestjobs.llm import decontaminate, exact_dedup, jaccard_join, language, mixing, secrets, sharding, substring_dedup, toxicity
 
 
 def queries():
@@ -14,6 +14,7 @@ def queries():
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
         "op7_language_id": language.op7_language_id,
         "op8_sharding": sharding.op8_sharding,
+        "op9_jaccard_join": jaccard_join.op9_jaccard_join,
         "op10_substring_dedup": substring_dedup.op10_substring_dedup,
     }
 
