@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from forestjobs.llm import decontaminate, exact_dedup, jaccard_join, language, mixing, secrets, sharding, substring_dedup, toxicity
+from forestjobs.llm import decontaminate, exact_dedup, jaccard_join, language, lm_scoring, mixing, secrets, sharding, substring_dedup, toxicity
 
 
 def queries():
@@ -11,6 +11,7 @@ def queries():
         "op2_toxicity": toxicity.op2_toxicity,
         "op3_secret_scans": secrets.op3_secret_scans,
         "op4_decontamination": decontaminate.op4_decontamination,
+        "op5_lm_scoring": lm_scoring.op5_lm_scoring,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
         "op7_language_id": language.op7_language_id,
         "op8_sharding": sharding.op8_sharding,

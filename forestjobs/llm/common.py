@@ -65,6 +65,25 @@ def portions(rows: list[bytes], most: int = 2 << 20) -> Iterator[tuple[int, list
         yield first, rows[first:]
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Sorted batches cut anew so that no group is split."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        values = batch.column(key).to_numpy()
+        if not len(values):
+            continue
+        last = int(np.flatnonzero(values != values[-1])[-1]) + 1 if values[0] != values[-1] else 0
+        if held and held[-1].column(key)[-1].as_py() != values[0]:
+            yield pa.Table.from_batches(held)
+            held = []
+        if last:
+            yield pa.Table.from_batches([*held, batch.slice(0, last)])
+            held = []
+        held.append(batch.slice(last))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 UPPER_TO_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 _GAP = np.zeros(256, bool)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forestjobs.llm.common import UPPER_TO_LOWER, portions, rolling, scramble, settle, table, texts, word_bounds, word_hashes
+from forestjobs.llm.common import UPPER_TO_LOWER, portions, rolling, scramble, settle, table, texts, whole_groups, word_bounds, word_hashes
 from forestjobs.llm.components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -148,25 +148,6 @@ def steps(rows: DataFrame, runs: int, level: int) -> DataFrame:
     return rows.mapInArrow(run, "node long, rep long")
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
-    """Sorted batches cut anew so that no group is split."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        values = batch.column(key).to_numpy()
-        if not len(values):
-            continue
-        last = int(np.flatnonzero(values != values[-1])[-1]) + 1 if values[0] != values[-1] else 0
-        if held and held[-1].column(key)[-1].as_py() != values[0]:
-            yield pa.Table.from_batches(held)
-            held = []
-        if last:
-            yield pa.Table.from_batches([*held, batch.slice(0, last)])
-            held = []
-        held.append(batch.slice(last))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _roots(n: int, i: np.ndarray, j: np.ndarray, root: np.ndarray) -> np.ndarray:
     """Least row that each row is tied to, after ties (i, j) more."""
     while True:

@@ -1,0 +1,398 @@
+"""Language-model scores by online logistic context mixing.
+
+The model predicts a text bit by bit. For each of ORDERS context lengths a
+hashed table holds what followed: a probability (kept as a logit) and how
+often it was seen. The logits of all orders are mixed by weights that a gate
+picks (the longest context that is known, and how well), the mixed logit is
+refined by an adaptive table over (bits of this byte so far, logit), and the
+log-probabilities of all bits add up to the text's.
+
+Training text comes in two parts by a hash of the id: seven eighths fill the
+tables, counted in Spark over all of it; on the last eighth the weights are
+learned online, in order of the minibatches, in every task at once and then
+averaged by the text they saw, and after that the refinement is counted. The
+tables have a fixed size (2 bytes for each of SLOTS slots), so the model that
+is broadcast is bounded; what is gathered to fill it grows with the corpus.
+
+Equal byte n-grams get equal scores, so each task scores its distinct n-grams
+only, and bytes look theirs up.
+
+A word unigram score with add-one smoothing comes along as a base line. The
+most frequent words (COMMON at most) are broadcast; rarer ones meet their
+counts in a join.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from dataclasses import dataclass, field
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from forestjobs.llm.common import UPPER_TO_LOWER, crc_mod, portions, scramble, settle, table, texts, whole_groups, word_bounds, word_hashes
+
+ORDERS = (1, 2, 3, 4)
+BLOCK_BITS = 12
+SLOTS = 1 << (2 * BLOCK_BITS)
+COMMON = 1 << 20
+TUNE_ONE_IN = 8
+PORTION = 8 << 20
+LEVELS = 33
+END = b"\xff"  # never part of UTF-8
+_LONGEST = max(ORDERS)
+_FEW = np.array([0, 1, 1, 2, 2, 2, 2, 2] + [3] * 248, np.int64)  # how well a context is known
+GATES = (len(ORDERS) + 1) * 4
+
+
+class Index:
+    """Places of values among distinct sorted keys, by one probe for most."""
+
+    def __init__(self, keys: np.ndarray, bits: int = 0):
+        self.keys = keys
+        self.bits = bits or max(12, int(len(keys)).bit_length() + 2)
+        self.table = np.zeros(1 << self.bits, np.int32)
+        self.table[self._slot(keys)] = np.arange(len(keys), dtype=np.int32)
+
+    def _slot(self, k: np.ndarray) -> np.ndarray:
+        return ((k * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place of each value (undefined where missing), and whether it is there."""
+        if not len(self.keys):
+            return np.zeros(len(k), np.int32), np.zeros(len(k), bool)
+        at = self.table[self._slot(k)]
+        good = self.keys[at] == k
+        rest = np.flatnonzero(~good)
+        if len(rest):
+            other = np.minimum(np.searchsorted(self.keys, k[rest]), len(self.keys) - 1)
+            at[rest] = other
+            good[rest] = self.keys[other] == k[rest]
+        return at, good
+
+
+def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and summed counts."""
+    keys, counts = np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts])
+    order = np.argsort(keys)
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, int)
+    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
+
+
+def byte_grams(part: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of context and byte for every byte and the end of each lower-case text; where each text begins."""
+    pad = b"\0" * _LONGEST
+    buf = np.frombuffer(b"".join(pad + t + END for t in part).translate(UPPER_TO_LOWER), np.uint8)
+    size = np.array([len(t) + 1 for t in part])
+    key = np.zeros(max(len(buf) - _LONGEST, 0), np.uint64)
+    for j in range(_LONGEST + 1):
+        key <<= np.uint64(8)
+        key |= buf[j : len(buf) - _LONGEST + j]
+    real = np.ones(len(key), bool)
+    begin = np.cumsum(size + _LONGEST)[:-1]
+    for j in range(_LONGEST):
+        real[begin - _LONGEST + j] = False
+    return key[real], np.concatenate(([0], np.cumsum(size)[:-1]))
+
+
+def words_of(part: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the lower-case words of texts, and where each text's begin."""
+    buf = np.frombuffer(b"\n".join(part).translate(UPPER_TO_LOWER), np.uint8)
+    start, end = word_bounds(buf)
+    return word_hashes(buf, start, end, 91), np.searchsorted(start, np.cumsum([0] + [len(r) + 1 for r in part]))
+
+
+def corpus_counts(train: DataFrame) -> DataFrame:
+    """(kind, key, n): words (kind 0) of all texts, byte n-grams (kind 1) of those that fill the tables."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list] = [[], []]
+
+        def out(kind: int) -> pa.RecordBatch:
+            keys, n = merged(held[kind])
+            held[kind] = []
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.view(np.int64)), pa.array(n)], ["kind", "key", "n"])
+
+        for batch in batches:
+            tune = batch.column("tune").to_numpy(zero_copy_only=False)
+            for i, part in portions(texts(batch, "text"), PORTION):
+                held[0].append(np.unique(words_of(part)[0], return_counts=True))
+                fill = [t for t, later in zip(part, tune[i : i + len(part)]) if not later]
+                if fill:
+                    held[1].append(np.unique(byte_grams(fill)[0], return_counts=True))
+                for kind in (0, 1):
+                    if sum(len(k) for k, _ in held[kind]) > 4_000_000:
+                        yield out(kind)
+        for kind in (0, 1):
+            if held[kind]:
+                yield out(kind)
+
+    rows = train.select("text", "tune").mapInArrow(run, "kind int, key long, n long")
+    return rows.groupBy("kind", "key").agg(F.sum("n").alias("n"))
+
+
+def _context(key: np.ndarray, order: int) -> np.ndarray:
+    """A hash of the last ``order`` bytes before the byte of each key."""
+    return scramble(((key >> np.uint64(8)) & np.uint64((1 << (8 * order)) - 1)) * np.uint64(8) + np.uint64(order), 81)
+
+
+def _node(context: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """The slot within the context's block of a bit position (with the bits before it)."""
+    return (scramble(context + node, 82) >> np.uint64(64 - BLOCK_BITS)).astype(np.int64)
+
+
+def _bits(byte: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each bit of bytes, the highest first: (bits before it with a leading one, the bit)."""
+    byte = byte.astype(np.int64)
+    for j in range(7, -1, -1):
+        yield (256 | byte) >> (j + 1), (byte >> j) & 1
+
+
+def stretch(p: np.ndarray) -> np.ndarray:
+    return np.log(p / (1 - p))
+
+
+def squash(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-z))
+
+
+def fill_tables(grams: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Logit and confidence bytes of all slots from (key, n)."""
+
+    def lower(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, n = batch.column("key").to_numpy().view(np.uint64), batch.column("n").to_numpy()
+            for order in ORDERS:
+                k, c = merged([(key & np.uint64((1 << (8 * order + 8)) - 1), n)])
+                block = (_context(k, order) >> np.uint64(64 - BLOCK_BITS)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(np.full(len(k), order, np.int32)), pa.array(k.view(np.int64)), pa.array(c)], ["block", "order", "key", "n"])
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in whole_groups(batches, "block"):
+            block = group["block"].to_numpy()
+            names, at = np.unique(block, return_inverse=True)
+            key, order, n = group["key"].to_numpy().view(np.uint64), group["order"].to_numpy(), group["n"].to_numpy()
+            zero, one = (np.zeros(len(names) << BLOCK_BITS) for _ in range(2))
+            for o in ORDERS:
+                mine = order == o
+                context, count = _context(key[mine], o), n[mine]
+                for node, bit in _bits(key[mine] & np.uint64(255)):
+                    slot = (at[mine] << BLOCK_BITS) + _node(context, node.astype(np.uint64))
+                    zero += np.bincount(slot, count * (1 - bit), len(zero))
+                    one += np.bincount(slot, count * bit, len(one))
+            logit = np.clip(np.round((stretch((one + 0.05) / (zero + one + 0.1)) + 8) * 16), 0, 255).astype(np.uint8).reshape(len(names), -1)
+            seen = np.minimum(zero + one, 255).astype(np.uint8).reshape(len(names), -1)
+            yield pa.RecordBatch.from_arrays([pa.array(names.astype(np.int32)), pa.array([x.tobytes() for x in logit], pa.binary()), pa.array([x.tobytes() for x in seen], pa.binary())], ["block", "logit", "seen"])
+
+    rows = grams.select("key", "n").mapInArrow(lower, "block int, order int, key long, n long")
+    rows = rows.groupBy("block", "order", "key").agg(F.sum("n").alias("n"))
+    filled = rows.repartition("block").sortWithinPartitions("block").mapInArrow(fill, "block int, logit binary, seen binary")
+    logit, seen = np.full(SLOTS, 128, np.uint8), np.zeros(SLOTS, np.uint8)
+    for r in filled.toLocalIterator():  # SLOTS slots of 2 bytes in all
+        at = slice(r["block"] << BLOCK_BITS, (r["block"] + 1) << BLOCK_BITS)
+        logit[at], seen[at] = np.frombuffer(r["logit"], np.uint8), np.frombuffer(r["seen"], np.uint8)
+    return logit, seen
+
+
+@dataclass
+class Model:
+    """Tables, mixing weights and refinement."""
+
+    logit: np.ndarray
+    seen: np.ndarray
+    weights: np.ndarray = field(default_factory=lambda: np.concatenate([np.full((GATES, len(ORDERS)), 0.3), np.zeros((GATES, 1))], 1))
+    refined: np.ndarray | None = None  # (256, LEVELS) probabilities
+
+    def inputs(self, context: list[np.ndarray], node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Logits of all orders and a constant, and the gate."""
+        x = np.empty((len(node), len(ORDERS) + 1), np.float32)
+        gate = np.zeros(len(node), np.int64)
+        for i, c in enumerate(context):
+            at = ((c >> np.uint64(64 - BLOCK_BITS)).astype(np.int64) << BLOCK_BITS) + _node(c, node)
+            seen = self.seen[at]
+            x[:, i] = np.where(seen > 0, self.logit[at] / np.float32(16) - 8, 0)
+            gate = np.where(seen > 0, (i + 1) * 4 + _FEW[seen], gate)
+        x[:, -1] = 0.3
+        return x, gate
+
+    def mixed(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
+        return np.clip((x * self.weights[gate]).sum(axis=1), -12, 12)
+
+    def refine(self, node: np.ndarray, z: np.ndarray) -> np.ndarray:
+        p = squash(z)
+        if self.refined is not None:
+            low, part = _levels(z)
+            row = node.astype(np.int64)
+            p = (p + self.refined[row, low] * (1 - part) + self.refined[row, low + 1] * part) / 2
+        return np.clip(p, 1e-6, 1 - 1e-6)
+
+    def score(self, keys: np.ndarray) -> np.ndarray:
+        """log10 probability of the byte of each key after its context."""
+        out = np.zeros(len(keys))
+        context = [_context(keys, o) for o in ORDERS]
+        for node, bit in _bits(keys & np.uint64(255)):
+            p = self.refine(node, self.mixed(*self.inputs(context, node.astype(np.uint64))))
+            out += np.log10(np.where(bit == 1, p, 1 - p))
+        return out
+
+
+def _levels(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    place = (np.clip(z, -7.999, 7.999) + 8) * ((LEVELS - 1) / 16)
+    low = place.astype(np.int64)
+    return low, place - low
+
+
+def learn_weights(tune: DataFrame, model: Model, batch_size: int = 4096, rate: float = 0.05) -> np.ndarray:
+    """Weights learned online in each task, averaged by the bytes seen under each gate."""
+    shared = tune.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = Model(shared.value.logit, shared.value.seen)
+        square, seen = np.full(m.weights.shape, 1e-3), np.zeros(GATES)
+        rng = np.random.default_rng(9)
+        for batch in batches:
+            for _, part in portions(texts(batch, "text"), PORTION):
+                keys, n = np.unique(byte_grams(part)[0], return_counts=True)
+                order = rng.permutation(len(keys))
+                for i in range(0, len(order), batch_size):
+                    k, c = keys[order[i : i + batch_size]], n[order[i : i + batch_size]].astype(float)
+                    context = [_context(k, o) for o in ORDERS]
+                    for node, bit in _bits(k & np.uint64(255)):
+                        x, gate = m.inputs(context, node.astype(np.uint64))
+                        error = (bit - squash(m.mixed(x, gate))) * c
+                        total = np.bincount(gate, c, GATES)
+                        step = np.stack([np.bincount(gate, error * x[:, j], GATES) for j in range(x.shape[1])], 1) / np.maximum(total, 1)[:, None]
+                        square += step * step
+                        m.weights += rate * step / np.sqrt(square)
+                        seen += total
+        flat = (m.weights * seen[:, None]).ravel()
+        share = np.repeat(seen, m.weights.shape[1])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat), pa.array(share)], ["i", "wn", "n"])
+
+    sums = tune.select("text").mapInArrow(run, "i long, wn double, n double").groupBy("i").agg(F.sum("wn").alias("wn"), F.sum("n").alias("n"))
+    out = model.weights.copy().ravel()
+    for r in sums.collect():  # one row for each weight
+        if r["n"]:
+            out[r["i"]] = r["wn"] / r["n"]
+    return out.reshape(model.weights.shape)
+
+
+def learn_refinement(tune: DataFrame, model: Model) -> np.ndarray:
+    """Share of ones by (bits before, level of the mixed logit), drawn to the level's own where few were seen."""
+    shared = tune.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        ones, total = np.zeros(256 * LEVELS), np.zeros(256 * LEVELS)
+        for batch in batches:
+            for _, part in portions(texts(batch, "text"), PORTION):
+                k, c = np.unique(byte_grams(part)[0], return_counts=True)
+                context = [_context(k, o) for o in ORDERS]
+                for node, bit in _bits(k & np.uint64(255)):
+                    low, rest = _levels(m.mixed(*m.inputs(context, node.astype(np.uint64))))
+                    for at, share in ((low, 1 - rest), (low + 1, rest)):
+                        cell = node * LEVELS + at
+                        ones += np.bincount(cell, c * share * bit, len(ones))
+                        total += np.bincount(cell, c * share, len(total))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(ones[at]), pa.array(total[at])], ["cell", "ones", "total"])
+
+    sums = tune.select("text").mapInArrow(run, "cell long, ones double, total double").groupBy("cell").agg(F.sum("ones").alias("ones"), F.sum("total").alias("total"))
+    prior = np.tile(squash((np.arange(LEVELS) * 16 / (LEVELS - 1)) - 8), 256)
+    ones, total = prior * 20, np.full(256 * LEVELS, 20.0)
+    for r in sums.collect():  # 256 * LEVELS rows at most
+        ones[r["cell"]] += r["ones"]
+        total[r["cell"]] += r["total"]
+    return (ones / total).reshape(256, LEVELS)
+
+
+def common_words(words: DataFrame, most: int = COMMON) -> tuple[DataFrame, DataFrame]:
+    """Words whose count is so high that there are at most ``most`` of them, and the others."""
+    bins = words.groupBy(F.floor(F.log2("n") * 16).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("words"), F.min("n").alias("least")).collect()  # 16 for each doubling
+    room, limit = most, None
+    for r in sorted(bins, key=lambda r: -r["bin"]):
+        room -= r["words"]
+        if room < 0:
+            break
+        limit = r["least"]
+    if limit is None:
+        return words.filter(F.lit(False)), words
+    return words.filter(F.col("n") >= limit), words.filter(F.col("n") < limit)
+
+
+def lm_scores(docs: DataFrame, train: DataFrame) -> DataFrame:
+    """One row per row of docs: doc_id, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
+
+    train has doc_id and text. Null and empty texts are an end and nothing
+    else. bits_per_byte divides by the bytes and the end. Without training
+    rows every bit is even and base_score is 0. Words are told apart by 64-bit
+    hashes. Ids may be null or repeated; extra columns are not read.
+    """
+    tuned = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(TUNE_ONE_IN)) == 0
+    train = train.select("doc_id", "text").withColumn("tune", tuned)
+    counts = settle(corpus_counts(train), "counts")
+    words = counts.filter("kind = 0").select("key", "n")
+    ends = train.count()
+    total, types = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    total, types = total + ends, types + (ends > 0)
+    model = Model(*fill_tables(counts.filter("kind = 1")))
+    tune = train.filter("tune")
+    model.weights = learn_weights(tune, model)
+    model.refined = learn_refinement(tune, model)
+    common, rare = common_words(words)
+    got = common.toArrow()  # COMMON rows at most
+    keys = got["key"].to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    value = np.log10(got["n"].to_numpy()[order] + 1.0)
+    shared = docs.sparkSession.sparkContext.broadcast((model, keys[order], value))
+    end_value = float(np.log10(ends + 1.0))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, common_keys, values = shared.value
+        index = Index(common_keys)
+        for batch in batches:
+            n_tokens, n_known, base, others, score, size = [], [], [], [], [], []
+            for _, part in portions(texts(batch, "text"), PORTION):
+                h, first = words_of(part)
+                at, good = index.find(h)
+                known = np.concatenate(([0], np.cumsum(good)))
+                sums = np.concatenate(([0.0], np.cumsum(np.where(good, values[at] if len(values) else 0.0, 0.0))))
+                keys, begin = byte_grams(part)
+                distinct = np.unique(keys)
+                logs = m.score(distinct)[Index(distinct).find(keys)[0]]
+                score.append(np.add.reduceat(logs, begin))
+                unknown, left = h[~good].view(np.int64), np.cumsum(np.concatenate(([0], ~good)))
+                others += [unknown[left[a] : left[b]] for a, b in zip(first[:-1], first[1:])]
+                n_tokens.append(np.diff(first) + 1), n_known.append(np.diff(known[first]) + (ends > 0)), base.append(np.diff(sums[first]) + end_value)
+                size.append(np.array([len(t) + 1 for t in part]))
+            flat = [np.concatenate(x) if x else np.zeros(0) for x in (n_tokens, n_known, base, score, size)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(flat[0].astype(np.int64)), pa.array(flat[1].astype(np.int64)), pa.array(flat[2]), pa.array(others, pa.list_(pa.int64())), pa.array(flat[3]), pa.array(flat[4].astype(np.int64))],
+                ["doc_id", "n_tokens", "known", "base", "others", "score", "size"],
+            )
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    scored = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, known long, base double, others array<long>, score double, size long")
+    scored = settle(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
+    met = scored.select("row", F.explode("others").alias("key")).join(rare, "key")
+    more = met.groupBy("row").agg(F.count(F.lit(1)).alias("met"), F.sum(F.log10(F.col("n") + 1.0)).alias("met_base"))
+    out = scored.drop("others").join(more, "row", "left")
+    norm = float(np.log10(total + types + 1.0))
+    return out.select(
+        "doc_id", "n_tokens",
+        (F.col("known") + F.coalesce("met", F.lit(0))).cast("long").alias("n_known"),
+        F.lit(int(total)).cast("long").alias("train_tokens"),
+        (F.col("base") + F.coalesce("met_base", F.lit(0.0)) - F.col("n_tokens") * norm).alias("base_score"),
+        "score",
+        (-F.col("score") / (F.log10(F.lit(2.0)) * F.col("size"))).alias("bits_per_byte"),
+    )
+
+
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = crc_mod("doc_id", 7) == 2
+    out = lm_scores(docs, docs.filter(~held))
+    return out.select("doc_id", held.alias("held_out"), *[c for c in out.columns if c != "doc_id"])
