@@ -212,6 +212,32 @@ def hit_runs(docs: DataFrame, benchmark: DataFrame, most: int = BLOCK_BYTES) ->
     return merged.select("doc_id", "n_words", F.col("runs.starts").alias("starts"), F.col("runs.ends").alias("ends"), "items", n_hit.alias("n_hit"))
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, most: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of docs, all columns, that share no window with the benchmark.
+
+    One scan for each block of the benchmark, and no shuffle.
+    """
+    for part in blocks(benchmark, most):
+        docs = _clean_of(docs, Benchmark([(r["item_id"], r["text"].encode()) for r in part.toLocalIterator()]))
+    return docs
+
+
+def _clean_of(docs: DataFrame, block: Benchmark) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(block)  # BLOCK_BYTES of text at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            for i, part in portions(texts(batch, "text")):
+                h, first = words(part)
+                hit, _ = shared.value.hits(h, first)
+                sums = np.concatenate(([0], np.cumsum(hit)))[first]
+                keep[i : i + len(part)] = np.diff(sums) == 0
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = hit_runs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(

@@ -333,17 +333,8 @@ def verify(docs: DataFrame, members: DataFrame, block: int = BLOCK) -> DataFrame
     return _clusters(sets_of, size, block).groupBy("cluster", "i", "j").applyInPandas(links, "rep long, n_links long, other long")
 
 
-def jaccard_join(docs: DataFrame, recall: float = RECALL, depth: int = DEPTH, bucket: int = BUCKET, block: int = BLOCK) -> DataFrame:
-    """One row per input row: doc_id, class_id, text_class, n_links.
-
-    text_class is the smallest doc_id with the same shingle set; class_id is
-    the smallest doc_id that is reached over links of similarity 0.8 or more;
-    n_links counts the other text classes that a row's is linked to. Null and
-    empty texts (and texts of white space) are one text class without links.
-    A null id is larger than any other. Rows with one id but different texts
-    are told apart by their text. Extra columns are not read; an empty table
-    gives no rows.
-    """
+def named_classes(docs: DataFrame, recall: float = RECALL, depth: int = DEPTH, bucket: int = BUCKET, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """The surveyed rows (doc_id, o, tk, rep) and the classes (rep, o, tk, head, head_tk, n_links)."""
     rows = settle(survey(docs), "survey")
     # A class is named by a hash of its set's two sums; ids come in at the end.
     rep = F.xxhash64("s1", "s2", "n")
@@ -356,11 +347,27 @@ def jaccard_join(docs: DataFrame, recall: float = RECALL, depth: int = DEPTH, bu
     found = settle(verify(docs, members, block), "links")
     linked = components(found.filter("rep <> other").select(F.col("rep").alias("a"), F.col("other").alias("b")))
     counts = found.groupBy("rep").agg(F.sum("n_links").alias("n_links"))
-    named = classes.select("rep", "o").join(linked.withColumnRenamed("node", "rep"), "rep", "left").join(counts, "rep", "left")
-    named = named.withColumn("root", F.coalesce("root", "rep"))
-    heads = settle(named.groupBy("root").agg(F.min("o").alias("head")), "heads")
-    named = settle(named.join(heads, "root").select("rep", "o", "head", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "named")
-    back = rows.withColumn("rep", rep).select("doc_id", F.col("o").alias("mine"), "tk", "rep").join(named, "rep")
+    named = classes.select("rep", *KEY).join(linked.withColumnRenamed("node", "rep"), "rep", "left").join(counts, "rep", "left")
+    named = settle(named.withColumn("root", F.coalesce("root", "rep")), "linked")
+    heads = named.groupBy("root").agg(F.min(F.struct(*KEY)).alias("h"))
+    heads = settle(heads.select("root", F.col("h.o").alias("head"), F.col("h.tk").alias("head_tk")), "heads")
+    named = named.join(heads, "root").select("rep", *KEY, "head", "head_tk", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return rows.select("doc_id", *KEY, rep.alias("rep")), settle(named, "named")
+
+
+def jaccard_join(docs: DataFrame, **how) -> DataFrame:
+    """One row per input row: doc_id, class_id, text_class, n_links.
+
+    text_class is the smallest doc_id with the same shingle set; class_id is
+    the smallest doc_id that is reached over links of similarity 0.8 or more;
+    n_links counts the other text classes that a row's is linked to. Null and
+    empty texts (and texts of white space) are one text class without links.
+    A null id is larger than any other. Rows with one id but different texts
+    are told apart by their text. Extra columns are not read; an empty table
+    gives no rows.
+    """
+    rows, named = named_classes(docs, **how)
+    back = rows.select("doc_id", "rep").join(named, "rep")
     null_id = F.lit(2**63 - 1)
     return back.select(
         "doc_id",
@@ -370,5 +377,24 @@ def jaccard_join(docs: DataFrame, recall: float = RECALL, depth: int = DEPTH, bu
     )
 
 
+def keep_one(docs: DataFrame, **how) -> DataFrame:
+    """The rows of docs, all columns: one of each class, that of the smallest doc_id.
+
+    Rows repeated with that same id and text leave one of them.
+    """
+    rows, named = named_classes(docs, **how)
+    back = rows.join(named.select("rep", "head", "head_tk"), "rep")
+    stays = (F.col("o") == F.col("head")) & (F.col("tk") == F.col("head_tk"))
+    counts = settle(back.groupBy(*KEY).agg(F.first(stays).alias("stays"), F.count(F.lit(1)).alias("n")).filter("n > 1 or not stays"), "fates")
+    cols = [F.col(c) for c in docs.columns]
+    marked = docs.select(F.struct(*cols).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("o"), F.xxhash64("text").alias("tk"))
+    few = counts.count() <= BROADCAST_IDS
+    kept = marked.join(F.broadcast(counts) if few else counts, KEY, "left_anti")
+    twice = counts.filter("stays and n > 1").select(*KEY)
+    if not twice.isEmpty():
+        kept = kept.unionByName(marked.join(twice, KEY, "left_semi").dropDuplicates(KEY))
+    return kept.select("row.*")
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))

@@ -32,7 +32,7 @@ _LETTERS: list[np.ndarray] = []
 def letters() -> np.ndarray:
     """Which code points are letters, for all of them; built once a worker."""
     if not _LETTERS:
-        _LETTERS.append(np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000))
+        _LETTERS.append(np.char.isalpha(np.arange(0x110000, dtype=np.uint32).view("U1")))
     return _LETTERS[0]
 
 
@@ -180,27 +180,48 @@ def learn(train: DataFrame, per_label: int = PER_LABEL):
     return (*fit(rows), idf) if rows else ([], np.zeros((SIZE + 1, 0)), 1.0, idf)
 
 
+def judge(rows: list[str | None], labels: list[str], weights: np.ndarray, idf: np.ndarray, temperature: float) -> tuple[list[str], list[float]]:
+    """Language and calibrated score of each text."""
+    lang, score = [], []
+    for text in rows:
+        counts = ngram_counts(text)
+        if counts is None or not labels:
+            lang.append(UNKNOWN), score.append(0.0)
+            continue
+        at, value = tf_idf(counts, idf)
+        p = softmax((value @ weights[at] + weights[SIZE]) / temperature)
+        lang.append(labels[int(p.argmax())]), score.append(float(p.max()))
+    return lang, score
+
+
 def predict(docs: DataFrame, labels: list[str], w: np.ndarray, temperature: float, idf: np.ndarray) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast((w.astype(np.float32), idf))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, idf = shared.value
         for batch in batches:
-            lang, score = [], []
-            for text in batch.column("text").to_pylist():
-                counts = ngram_counts(text)
-                if counts is None or not labels:
-                    lang.append(UNKNOWN), score.append(0.0)
-                    continue
-                at, value = tf_idf(counts, idf)
-                p = softmax((value @ weights[at] + weights[SIZE]) / temperature)
-                lang.append(labels[int(p.argmax())]), score.append(float(p.max()))
+            lang, score = judge(batch.column("text").to_pylist(), labels, *shared.value, temperature)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
 
 
+def accept(docs: DataFrame, train: DataFrame, per_label: int = PER_LABEL) -> DataFrame:
+    """The rows of docs, all columns, whose text has a language.
+
+    Rejected are texts that are null or without any letter (``und``).
+    """
+    labels, w, temperature, idf = learn(train, per_label)
+    shared = docs.sparkSession.sparkContext.broadcast((w.astype(np.float32), idf))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lang, _ = judge(batch.column("text").to_pylist(), labels, *shared.value, temperature)
+            yield batch.filter(pa.array([x != UNKNOWN for x in lang], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = identify(docs, docs.filter(crc_mod("doc_id", 4) != 2))

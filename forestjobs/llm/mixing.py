@@ -176,16 +176,15 @@ def apply_mix(docs: DataFrame, **how) -> DataFrame:
     """The mixed table: each document as often as the mix takes it.
 
     Rows alike in doc_id, source and size share their copies. Keeps the
-    columns of the input.
+    columns of the input. The texts are shuffled once.
     """
-    key = ["doc_id", *KEY, "size"]
-    total = mix(docs, **how).groupBy(*key).agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("alike"))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), *size_columns())
-    same = [rows[c].eqNullSafe(total[c]) for c in key]
-    joined = rows.join(total, same).select("row", *[rows[c] for c in key], "copies", "alike")
+    key = ["no_id", "id", *KEY, "size"]
+    named = [F.col("doc_id").isNull().alias("no_id"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id")]
+    total = mix(docs, **how).select(*named, *KEY, "size", "copies").groupBy(*key).agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("alike"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), *named, *size_columns()[1:])
     turn = F.row_number().over(W.partitionBy(*key).orderBy(F.xxhash64("row")))
     mine = F.expr("copies div alike") + (turn <= F.col("copies") % F.col("alike")).cast("long")
-    taken = joined.withColumn("mine", mine).filter("mine > 0")
+    taken = rows.join(settle(total, "copies"), key).withColumn("mine", mine).filter("mine > 0")
     return taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mine")))).select("row.*")
 
 

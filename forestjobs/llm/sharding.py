@@ -86,13 +86,31 @@ def shard_documents(docs: DataFrame, n_shards: int = 24, seed: int = 42) -> Data
     return interleave(narrow, "source", ["doc_id", "text_crc32", "size"], n_shards, seed)
 
 
+def place(docs: DataFrame, n_shards: int = 24, seed: int = 42) -> DataFrame:
+    """The rows of docs, all columns, with ``shard`` and ``slot``.
+
+    Places are found on narrow rows; the texts are shuffled once, to meet
+    them. Rows alike in id, source and text take their places in turn.
+    """
+    body = F.coalesce(F.col("text"), F.lit(""))
+    key = ["no_id", "id", "none", "src", "crc", "len"]
+    named = docs.select(
+        F.struct(*docs.columns).alias("row"),
+        F.col("doc_id").isNull().alias("no_id"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"),
+        F.col("source").isNull().alias("none"), F.coalesce(F.col("source"), F.lit("")).alias("src"),
+        F.crc32(body).alias("crc"), F.octet_length(body).alias("len"),
+    )
+    narrow = settle(named.select(*key, F.when(~F.col("none"), F.col("src")).alias("source")), "sizes")
+    placed = settle(interleave(narrow, "source", ["no_id", "id", "crc", "len"], n_shards, seed).drop("source"), "places")
+    turn = W.partitionBy(*key)
+    rows = named.withColumn("turn", F.row_number().over(turn.orderBy(F.xxhash64("row"))))
+    places = placed.withColumn("turn", F.row_number().over(turn.orderBy("shard", "slot")))
+    return rows.join(places, [*key, "turn"]).select("row.*", "shard", "slot")
+
+
 def write_shards(docs: DataFrame, path: str, n_shards: int = 24, seed: int = 42) -> None:
     """Write whole rows as Parquet, one folder per shard, in slot order."""
-    cols = docs.columns
-    body = F.coalesce(F.col("text"), F.lit(""))
-    named = docs.select(F.struct(*cols).alias("_row"), F.col("doc_id"), F.col("source"), F.crc32(body).alias("_crc"), F.octet_length(body).alias("_size"))
-    placed = interleave(named, "source", ["doc_id", "_crc", "_size"], n_shards, seed)
-    out = placed.select("_row.*", "shard", "slot").repartition(n_shards, "shard").sortWithinPartitions("shard", "slot")
+    out = place(docs, n_shards, seed).repartition(n_shards, "shard").sortWithinPartitions("shard", "slot")
     out.write.partitionBy("shard").parquet(path)
 
 
