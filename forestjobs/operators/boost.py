@@ -1,0 +1,453 @@
+"""Histogram boosting of fixed-depth forests, level by level.
+
+Rows never move: they are binned once, kept as a table, and every level is one
+map over them that sums counts, gradients and hessians by (output, node,
+feature, bin) inside the partition; only these sums are shuffled, and Spark
+picks each node's split with window functions. All outputs of a round grow in
+the same passes. Sums are whole numbers, so trees do not depend on the
+partitioning.
+
+Scores are carried forward as a written table every few rounds; in between
+they are recomputed from the trees since.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import math
+import tempfile
+import uuid
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass, field
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from forestjobs.functions import INT32_MAX, INT32_MIN, quantize
+from forestjobs.operators import profile
+from forestjobs.operators.binning import best_split, binned, quantile_thresholds
+from forestjobs.operators.model import Forest, Tree, add_trees
+
+GRID = float(1 << 26)
+PASS_SCHEMA = "kind int, out int, node int, feature int, draw int, bin int, n long, g long, h long, loss double, weight double, hits long"
+HIST, TOTAL, METRIC = 0, 1, 2
+SPLITS = ("train", "val", "test")
+
+
+@dataclass
+class Params:
+    trees: int = 200
+    depth: int = 4
+    lr: float = 0.05
+    min_leaf: int = 5
+    bins: int = 32
+    binning: str = "linear"
+    seed: int = 42
+    early_stop: bool = True
+    patience: int = 20
+    schedule: str = "none"  # plateau, piecewise
+    segments: Sequence[tuple[int, int, float]] = ()
+    plateau_patience: int = 10
+    plateau_factor: float = 0.9
+    lr_min: float = 0.0
+    weights: Sequence[float] | None = None
+    keep_every: int = 8
+    extra: dict = field(default_factory=dict)
+
+
+@dataclass
+class Run:
+    """What training leaves: the forest, its learning curve and the best round."""
+
+    forest: Forest
+    curve: list[tuple[int, str, str, float]]
+    best_iter: int
+    best_val: float | None
+
+    def curve_table(self, spark, run_id: str = "run") -> DataFrame:
+        rows = [(run_id, *r) for r in self.curve]
+        return spark.createDataFrame(rows, "run_id string, step int, split string, metric string, value double")
+
+
+def settle(df: DataFrame, label: str) -> DataFrame:
+    """Write into the folder of spark.checkpoint.dir and read again."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        folder = "file://" + tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    path = f"{folder.rstrip('/')}/forest/{uuid.uuid4().hex}/{label}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drawn_features(seed: int, round_: int, out: int, node: int, usable: Sequence[int]) -> list[int]:
+    """The node's sample of features: those of least hash, in that order."""
+    k = max(1, int(math.floor(math.sqrt(len(usable)) + 0.5)))
+    return sorted(usable, key=lambda f: hashlib.md5(f"{seed}:{round_}:{out}:{node}:{f}".encode()).hexdigest())[:k]
+
+
+def check_segments(segments: Sequence[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
+    out = sorted(segments)
+    for start, end, lr in out:
+        if start < 1 or end < start or not lr > 0:
+            raise ValueError(f"bad segment {start}:{end}:{lr}")
+    for (_, end, _), (start, _, _) in zip(out, out[1:]):
+        if start <= end:
+            raise ValueError("segments overlap")
+    return out
+
+
+def parse_segments(text: str) -> list[tuple[int, int, float]]:
+    """'start:end:lr' or 'start-end lr', comma-separated."""
+    out = []
+    for part in filter(None, (p.strip() for p in text.split(","))):
+        bits = part.split(":") if ":" in part else part.replace("-", " ", 1).split()
+        if len(bits) != 3:
+            raise ValueError(f"bad segment {part!r}")
+        out.append((int(bits[0]), int(bits[1]), float(bits[2])))
+    return check_segments(out)
+
+
+class Schedule:
+    """The learning rate of each round."""
+
+    def __init__(self, p: Params):
+        self.p, self.lr, self.bad = p, p.lr, 0
+        self.segments = check_segments(p.segments) if p.schedule == "piecewise" else []
+
+    def at(self, t: int) -> float:
+        if self.p.schedule == "piecewise":
+            return next((lr for start, end, lr in self.segments if start <= t <= end), self.p.lr)
+        return self.lr
+
+    def after(self, improved: bool) -> None:
+        if self.p.schedule != "plateau":
+            return
+        self.bad = 0 if improved else self.bad + 1
+        if self.bad >= self.p.plateau_patience:
+            self.lr, self.bad = max(self.lr * self.p.plateau_factor, self.p.lr_min, 1e-12), 0
+
+
+def _matrix(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    return batch.column(name).flatten().to_numpy().reshape(batch.num_rows, -1)
+
+
+def _targets(task: str, y: np.ndarray, score: np.ndarray, scale: float, w: np.ndarray | None):
+    """Whole-number gradients and hessians (rows, outputs), loss, weight and hits of each row."""
+    n, k = score.shape
+    if task == "regression":
+        g = y - score
+        r = g[:, 0] / scale
+        return g.astype(np.int64), np.zeros((n, 1), np.int64), r * r, np.ones(n), np.zeros(n, np.int64)
+    z = score / scale
+    if task == "multiclass_classification":
+        e = np.exp(z - z.max(1, keepdims=True))
+        p = e / e.sum(1, keepdims=True)
+        truth = np.zeros((n, k))
+        truth[np.arange(n), y[:, 0]] = 1
+        row_w = (w[y[:, 0]] if w is not None else np.ones(n))[:, None] * np.ones((1, k))
+        loss = -np.log(np.maximum(p[np.arange(n), y[:, 0]], 1e-12)) * row_w[:, 0]
+        weight, hits = row_w[:, 0], (score.argmax(1) == y[:, 0]).astype(np.int64)
+    else:
+        p = 1 / (1 + np.exp(-np.clip(z, -700, 700)))
+        truth = y.astype(float)
+        if w is None:
+            row_w = np.ones((n, k))
+        elif task == "binary_classification":
+            row_w = w[y]
+        else:  # label weights and their common scale
+            row_w = np.where(y == 1, w[:k] * w[k], w[k])
+        q = np.clip(p, 1e-12, 1 - 1e-12)
+        loss = (-(truth * np.log(q) + (1 - truth) * np.log(1 - q)) * row_w).sum(1)
+        weight, hits = row_w.sum(1), ((p >= 0.5) == (truth == 1)).sum(1).astype(np.int64)
+    g = np.floor((truth - p) * row_w * GRID + 0.5).astype(np.int64)
+    h = np.floor(np.maximum(p * (1 - p), 1e-12) * row_w * GRID + 0.5).astype(np.int64)
+    return g, h, loss, weight, hits
+
+
+def level_pass(rows: DataFrame, forest: Forest, since: list[list[Tree]], growing: list[Tree] | None, level: int, drawn: dict[tuple[int, int], list[int]], bins: int, w: np.ndarray | None, measure: bool) -> DataFrame:
+    """Sums of one map over the rows: histograms of the drawn features, totals of all nodes, metrics."""
+    task, depth, scale, n_out = forest.task, forest.depth, float(forest.scale_q), forest.n_out
+    first, width = (1 << level) - 1, 1 << level
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((3, n_out, width), np.int64)
+        hist = {key: np.zeros((3, len(fs), bins), np.int64) for key, fs in drawn.items()}
+        met = np.zeros((3, 4))
+        for batch in batches:
+            x, b, y = _matrix(batch, "xq"), _matrix(batch, "bins"), _matrix(batch, "y")
+            split = batch.column("split").to_numpy()
+            score = add_trees(_matrix(batch, "score").copy(), since, x, depth)
+            g, h, loss, weight, hits = _targets(task, y, score, scale, w)
+            if measure:
+                for i, v in enumerate((np.ones(len(x)), loss, weight, hits)):
+                    met[:, i] += np.bincount(split, v, 3)[:3]
+            if growing is None:
+                continue
+            train = np.flatnonzero(split == 0)
+            for k in range(n_out):
+                at = np.zeros(len(train), np.int64)
+                for _ in range(level):
+                    tree = growing[k]
+                    at = 2 * at + 1 + (x[train, tree.feat[at]] > tree.thr[at])
+                at -= first
+                sums = (np.ones(len(train), np.int64), g[train, k], h[train, k])
+                for i, v in enumerate(sums):
+                    total[i, k] += _summed(at, v, width)
+                for node in np.unique(at):
+                    fs = drawn.get((k, int(node) + first))
+                    if not fs:
+                        continue
+                    mine = np.flatnonzero(at == node)
+                    code = (np.arange(len(fs)) * bins + b[train[mine]][:, fs]).ravel()
+                    for i, v in enumerate(sums):
+                        hist[k, int(node) + first][i] += _summed(code, np.repeat(v[mine], len(fs)), len(fs) * bins).reshape(len(fs), bins)
+        out: list[tuple] = []
+        for (k, node), sums in hist.items():
+            for d, b in zip(*np.nonzero(sums[0])):
+                out.append((HIST, k, node, drawn[k, node][d], int(d), int(b), *(int(s[d, b]) for s in sums), 0.0, 0.0, 0))
+        for k, node in zip(*np.nonzero(total[0])):
+            out.append((TOTAL, int(k), int(node) + first, -1, 0, 0, *(int(t[k, node]) for t in total), 0.0, 0.0, 0))
+        for s in range(3):
+            if met[s, 0]:
+                out.append((METRIC, 0, s, -1, 0, 0, int(met[s, 0]), 0, 0, float(met[s, 1]), float(met[s, 2]), int(met[s, 3])))
+        cols = list(zip(*out)) if out else [[] for _ in range(12)]
+        kinds = [pa.int32()] * 6 + [pa.int64()] * 3 + [pa.float64()] * 2 + [pa.int64()]
+        names = [c.split()[0] for c in PASS_SCHEMA.split(", ")]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names)
+
+    sums = rows.mapInArrow(run, PASS_SCHEMA).groupBy("kind", "out", "node", "feature", "draw", "bin")
+    return sums.agg(*[F.sum(c).alias(c) for c in ("n", "g", "h", "loss", "weight", "hits")])
+
+
+def _summed(at: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
+    """Exact whole-number sums by place: low and high halves stay exact in doubles."""
+    low = np.bincount(at, (value & 0xFFFFF).astype(np.float64), n)
+    high = np.bincount(at, (value >> 20).astype(np.float64), n)
+    return low.astype(np.int64)[:n] + (high.astype(np.int64)[:n] << 20)
+
+
+def _winners(sums: DataFrame, p: Params, classify: bool) -> DataFrame:
+    """Totals and metrics as they are, and each node's best split, in one job."""
+    hist = sums.filter(F.col("kind") == HIST)
+    best = best_split(hist, ["out", "node"], p.min_leaf, classify, GRID if classify else 1.0, p.bins)
+    cols = ["kind", "out", "node", "feature", "bin", "n", "g", "h", "loss", "weight", "hits"]
+    return sums.filter(F.col("kind") != HIST).select(*cols).unionByName(best.select(*cols))
+
+
+def leaf_value(task: str, total: tuple[int, int, int], lr: float, scale_q: int) -> int:
+    n, g, h = total
+    if task == "regression":
+        value = lr * (g / n) if n else 0.0
+    else:
+        value = lr * (g / GRID) / (h / GRID + 1.0) * scale_q
+    return max(INT32_MIN, min(INT32_MAX, math.floor(value + 0.5)))
+
+
+def prepare(df: DataFrame, features: Sequence[str], task: str, p: Params, y: str = "y", row_id: str | None = None, n_out: int = 1, refit: bool = False):
+    """Quantised, binned rows with starting scores, as a written table; the blank forest; thresholds; weights."""
+    train = df.filter(F.col("split").isin("train", "val") if refit else F.col("split") == "train")
+    regression = task == "regression"
+    scale_q = profile.auto_scale(df, features, y if regression else None).first()[0]
+    ranges = {r["feature"]: (r["low"], r["width"]) for r in profile.feature_ranges(train, features).collect()}
+    thresholds = None
+    if p.binning == "quantile":
+        thresholds = {r["feature"]: list(np.maximum.accumulate(r["thresholds"])) for r in quantile_thresholds(train, features, p.bins, row_id).collect()}
+    w = None
+    if regression:
+        base = [profile.base_score_regression(train, scale_q, y).first()[0]]
+        target = F.array(quantize(F.col(y), scale_q))
+    elif task == "binary_classification":
+        w = None if p.weights is None else np.array(p.weights, float)
+        base = [profile.base_score_binary(train, scale_q, y, *(w if w is not None else (1.0, 1.0))).first()[0]]
+        target = F.array(F.col(y).cast("long"))
+    elif task == "multiclass_classification":
+        table = profile.class_weights(train, n_out, y, p.weights if p.weights is not None else [1.0] * n_out)
+        w = None if p.weights is None else np.array(p.weights, float)
+        base = [r["base_q"] for r in profile.base_score_multiclass(table, scale_q).orderBy("cls").collect()]
+        target = F.array(F.col(y).cast("long"))
+    else:
+        table = profile.label_pos_weights(train, n_out, y)
+        if p.weights is not None:
+            w = np.array([*p.weights, 1.0], float)
+            table = table.withColumn("w", F.element_at(F.array(*[F.lit(float(x)) for x in p.weights]), F.col("label") + 1))
+        else:
+            table = table.withColumn("w", F.lit(1.0))
+        base = [r["base_q"] for r in profile.base_score_multilabel(table, scale_q).orderBy("label").collect()]
+        target = F.transform(F.col(y), lambda v: v.cast("long"))
+    base = [int(b) if b is not None else 0 for b in base]
+    part = F.when(F.col("split") == "train", 0).when(F.col("split") == "val", 0 if refit else 1).otherwise(2)
+    rows = df.select(
+        part.cast("int").alias("split"),
+        F.array(*[quantize(F.col(c), scale_q).cast("int") for c in features]).alias("xq"),
+        binned(features, ranges, p.bins, thresholds).alias("bins"),
+        target.alias("y"),
+        F.array(*[F.lit(b).cast("double") for b in base]).alias("score"),
+    )
+    forest = Forest(task, len(features), p.depth, scale_q, base, [[] for _ in base], features=list(features))
+
+    def threshold(f: int, b: int) -> int:
+        low, width = ranges[features[f]]
+        real = thresholds[features[f]][b] if thresholds else low + width * (b + 1) / p.bins
+        return max(INT32_MIN, min(INT32_MAX, math.floor(real * scale_q + 0.5)))
+
+    usable = [i for i, c in enumerate(features) if ranges[c][1] > 0]
+    return settle(rows, "binned"), forest, threshold, usable, w
+
+
+def grow_round(rows: DataFrame, forest: Forest, since: list[list[Tree]], p: Params, t: int, lr: float, threshold, usable: Sequence[int], w) -> tuple[list[Tree], dict[int, tuple]]:
+    """One tree per output in depth + 1 passes, and the metrics before it."""
+    classify = forest.task != "regression"
+    trees = [Tree.blank(p.depth) for _ in range(forest.n_out)]
+    totals: dict[tuple[int, int], tuple[int, int, int]] = {}
+    split: set[tuple[int, int]] = set()
+    live = [(k, 0) for k in range(forest.n_out)]
+    metrics: dict[int, tuple] = {}
+    for level in range(p.depth + 1):
+        drawn = {(k, node): drawn_features(p.seed, t, k, node, usable) for k, node in live} if level < p.depth and usable else {}
+        if level and not live:
+            break
+        sums = level_pass(rows, forest, since, trees, level, drawn, p.bins, w, measure=level == 0)
+        got = _winners(sums, p, classify).collect()  # one row for each node and split
+        for r in got:
+            if r["kind"] == TOTAL:
+                totals[r["out"], r["node"]] = (r["n"], r["g"], r["h"])
+            elif r["kind"] == METRIC:
+                metrics[r["node"]] = (r["n"], r["loss"], r["weight"], r["hits"])
+        # Rows on a bin's edge may be routed to the other side than counted: a
+        # split that leaves a child too small is taken back.
+        for k, node in sorted({((k, (node - 1) // 2)) for k, node in live if level}):
+            if any(totals.get((k, c), (0,))[0] < p.min_leaf for c in (2 * node + 1, 2 * node + 2)):
+                trees[k].feat[node], trees[k].thr[node] = 0, INT32_MAX
+                split.discard((k, node))
+        chosen = [r for r in got if r["kind"] == HIST]
+        following = []
+        for r in chosen:
+            k, node = r["out"], r["node"]
+            if (node and (k, (node - 1) // 2) not in split) or totals[k, node][0] < 2 * p.min_leaf:
+                continue
+            trees[k].feat[node], trees[k].thr[node] = r["feature"], threshold(r["feature"], r["bin"])
+            split.add((k, node))
+            following += [(k, 2 * node + 1), (k, 2 * node + 2)]
+        live = following
+    for k in range(forest.n_out):
+        inner = (1 << p.depth) - 1
+        values = {0: totals.get((k, 0), (0, 0, 0))}
+        for node in range(inner):
+            own = values[node]
+            for child in (2 * node + 1, 2 * node + 2):
+                values[child] = totals.get((k, child), (0, 0, 0)) if (k, node) in split else own
+        for i in range(inner + 1):
+            trees[k].leaf[i] = leaf_value(forest.task, values[inner + i], lr, forest.scale_q)
+    return trees, metrics
+
+
+def _curve(t: int, metrics: dict[int, tuple], forest: Forest) -> list[tuple[int, str, str, float]]:
+    out = []
+    for s, (n, loss, weight, hits) in sorted(metrics.items()):
+        if forest.task == "regression":
+            out.append((t, SPLITS[s], "mse", loss / n))
+        else:
+            per = forest.n_out if forest.task == "multilabel_classification" else 1
+            out += [(t, SPLITS[s], "logloss", loss / weight if weight else 0.0), (t, SPLITS[s], "accuracy", hits / (n * per))]
+    return out
+
+
+def train(df: DataFrame, features: Sequence[str], task: str, p: Params | None = None, y: str = "y", row_id: str | None = None, n_out: int = 1, refit: bool = False) -> Run:
+    """Boost a forest on rows with ``split``; see Params. y is an array for multilabel."""
+    p = p or Params()
+    p.bins = max(8, min(512, p.bins))
+    rows, forest, threshold, usable, w = prepare(df, features, task, p, y, row_id, n_out, refit)
+    schedule, curve = Schedule(p), []
+    best, best_iter, since_best = math.inf, 0, 0
+    kept = 0
+    stop = False
+    for t in range(1, p.trees + 2):
+        since = [trees[kept:] for trees in forest.trees]
+        if t <= p.trees:
+            grown, metrics = grow_round(rows, forest, since, p, t, schedule.at(t), threshold, usable, w)
+        else:
+            grown = None
+            sums = level_pass(rows, forest, since, None, 0, {}, p.bins, w, True).collect()
+            metrics = {r["node"]: (r["n"], r["loss"], r["weight"], r["hits"]) for r in sums if r["kind"] == METRIC}
+        if t > 1:
+            step = t - 1
+            curve += _curve(step, metrics, forest)
+            n, loss, weight, _ = metrics.get(1, metrics.get(0, (1, 0.0, 1.0, 0)))
+            value = loss / (n if task == "regression" else weight or 1)
+            improved = value + 1e-12 < best
+            best, best_iter, since_best = (value, step, 0) if improved else (best, best_iter, since_best + 1)
+            schedule.after(improved)
+            stop = p.early_stop and not refit and since_best >= p.patience
+        if stop or grown is None:
+            break
+        for k, tree in enumerate(grown):
+            forest.trees[k].append(tree)
+        if len(forest.trees[0]) - kept >= p.keep_every:
+            rows = settle(_with_scores(rows, [trees[kept:] for trees in forest.trees], forest.depth), "scores")
+            kept = len(forest.trees[0])
+    if p.early_stop and not refit:
+        forest.trees = [trees[:best_iter] for trees in forest.trees]
+    return Run(forest, curve, best_iter, None if math.isinf(best) else best)
+
+
+def _with_scores(rows: DataFrame, since: list[list[Tree]], depth: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            score = add_trees(_matrix(batch, "score").copy(), since, _matrix(batch, "xq"), depth)
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(score) + 1) * score.shape[1], pa.int32()), pa.array(score.ravel()))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("split", "xq", "bins", "y")], flat], ["split", "xq", "bins", "y", "score"])
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+def train_regression(df: DataFrame, features: Sequence[str], p: Params | None = None, **more) -> Run:
+    return train(df, features, "regression", p, **more)
+
+
+def train_binary(df: DataFrame, features: Sequence[str], p: Params | None = None, **more) -> Run:
+    return train(df, features, "binary_classification", p, **more)
+
+
+def train_multiclass(df: DataFrame, features: Sequence[str], n_classes: int, p: Params | None = None, **more) -> Run:
+    return train(df, features, "multiclass_classification", p, n_out=n_classes, **more)
+
+
+def train_multilabel(df: DataFrame, features: Sequence[str], n_labels: int, p: Params | None = None, y: str = "labels", **more) -> Run:
+    return train(df, features, "multilabel_classification", p, y=y, n_out=n_labels, **more)
+
+
+def best_iteration(curve: DataFrame, patience: int) -> DataFrame:
+    """curve (run_id, step, val) with best so far, improvement, rounds since it, and where to stop."""
+    by_run = W.partitionBy("run_id").orderBy("step")
+    before = by_run.rowsBetween(W.unboundedPreceding, -1)
+    out = curve.withColumn("best_before", F.min("val").over(before))
+    out = out.withColumn("improved", F.coalesce(F.col("val") + 1e-12 < F.col("best_before"), F.lit(True)))
+    best_step = F.last(F.when(F.col("improved"), F.col("step")), ignorenulls=True).over(by_run)
+    out = out.withColumn("best_iter", best_step)
+    since = F.row_number().over(by_run) - F.last(F.when(F.col("improved"), F.row_number().over(by_run)), ignorenulls=True).over(by_run)
+    return out.withColumn("since_best", since).withColumn("stop", F.col("since_best") >= patience).drop("best_before")
+
+
+def plateau_lr(rounds: DataFrame, base: float, patience: int, factor: float, least: float = 0.0) -> DataFrame:
+    """rounds (run_id, step, improved) with ``lr`` in force after each round."""
+    by_run = W.partitionBy("run_id").orderBy("step")
+    stretch = F.sum(F.col("improved").cast("int")).over(by_run)
+    out = rounds.withColumn("_s", stretch)
+    place = F.row_number().over(W.partitionBy("run_id", "_s").orderBy("step")) - F.when(F.col("_s") > 0, 1).otherwise(0)
+    out = out.withColumn("_drop", F.when(~F.col("improved") & (place % patience == 0), 1).otherwise(0))
+    drops = F.sum("_drop").over(by_run)
+    return out.withColumn("lr", F.greatest(F.lit(least), F.lit(1e-12), base * F.pow(F.lit(float(factor)), drops))).drop("_s", "_drop")
+
+
+def piecewise_lr(rounds: DataFrame, segments: DataFrame, base: float) -> DataFrame:
+    """rounds (step) with the rate of the segment (start, end, lr) that holds it, else base."""
+    overlap = segments.withColumn("_e", F.lag("end").over(W.orderBy("start", "end"))).filter(F.col("start") <= F.col("_e"))
+    if not overlap.isEmpty():
+        raise ValueError("segments overlap")
+    within = (F.col("step") >= F.col("start")) & (F.col("step") <= F.col("end"))
+    return rounds.join(F.broadcast(segments), within, "left").select(*rounds.columns, F.coalesce("lr", F.lit(base)).alias("lr"))

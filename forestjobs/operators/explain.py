@@ -1,0 +1,86 @@
+"""Which features a forest uses, and what their values are worth."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+import numpy as np
+from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from forestjobs.operators.evaluate import evaluate
+from forestjobs.operators.model import Forest, real_splits
+from forestjobs.operators.split import sample_rows, seeded_hash
+
+NODE_VISITS = 12_000_000
+
+
+def split_usage(nodes: DataFrame) -> DataFrame:
+    """(feature, splits, share) of the nodes that really split."""
+    counts = real_splits(nodes).groupBy("feature").agg(F.count(F.lit(1)).alias("splits"))
+    total = F.broadcast(counts.agg(F.sum("splits").alias("total")))  # one row
+    return counts.crossJoin(total).select("feature", "splits", (F.col("splits") / F.col("total")).alias("share"))
+
+
+def importance_rows(forest: Forest, most: int = 1024, budget: int = NODE_VISITS) -> int:
+    visits = max(1, forest.n_features) * max(1, forest.n_out * len(forest.trees[0]) * forest.depth)
+    return max(16, min(most, budget // visits))
+
+
+def apply_permutation(rows: DataFrame, features: Sequence[str], row_id: str, seed: int) -> DataFrame:
+    """rows once for each feature f (``shuffled``), where f's value is that of another row.
+
+    Donors are the rows in the order of another hash; row and donor meet by
+    (feature, rank).
+    """
+    ranked = rows.withColumn("rank", F.row_number().over(W.orderBy(seeded_hash(seed, row_id), row_id)))  # a bounded sample
+    names = F.array(*[F.lit(c) for c in features])
+    each = ranked.withColumn("shuffled", F.explode(names))
+    value = F.coalesce(*[F.when(F.col("shuffled") == c, F.col(c).cast("double")) for c in features])
+    donors = each.select("shuffled", value.alias("donated"), F.col(row_id).alias("_d"))
+    order = W.partitionBy("shuffled").orderBy(F.md5(F.concat_ws(":", F.lit(seed + 1), "shuffled", F.col("_d").cast("string"))), "_d")
+    donors = donors.withColumn("rank", F.row_number().over(order)).drop("_d")
+    joined = each.join(donors, ["shuffled", "rank"])
+    return joined.select(*[c for c in rows.columns if c not in features], *[F.when(F.col("shuffled") == c, F.col("donated")).otherwise(F.col(c).cast("double")).alias(c) for c in features], "shuffled")
+
+
+def permutation_importance(df: DataFrame, forest: Forest, row_id: str, seed: int = 42, max_rows: int = 1024, y: str | None = None) -> DataFrame:
+    """(feature, delta_loss, delta_accuracy) when one feature's values are shuffled among sampled rows."""
+    rows = sample_rows(df, row_id, importance_rows(forest, max_rows), seed)
+    base = evaluate(rows.withColumn("part", F.lit("all")), forest, y, "part")
+    loss = "mse" if forest.task == "regression" else "logloss"
+    base = base.select(F.col(loss).alias("base_loss"), (F.col("accuracy") if loss == "logloss" else F.lit(None).cast("double")).alias("base_acc"))
+    shuffled = evaluate(apply_permutation(rows, forest.features, row_id, seed), forest, y, "shuffled")
+    acc = F.col("accuracy") if loss == "logloss" else F.lit(None).cast("double")
+    return shuffled.crossJoin(F.broadcast(base)).select(F.col("shuffled").alias("feature"), (F.col(loss) - F.col("base_loss")).alias("delta_loss"), (acc - F.col("base_acc")).alias("delta_accuracy"))
+
+
+def rank_features(importance: DataFrame, epsilon: float = 1e-12) -> DataFrame:
+    """importance (feature, delta_loss, splits) with its place and whether it is useful, harmful or neutral."""
+    order = W.orderBy(F.col("delta_loss").desc_nulls_last(), F.col("splits").desc(), "feature")  # one row for each feature
+    tag = F.when(F.col("delta_loss") > epsilon, "useful").when(F.col("delta_loss") < -epsilon, "harm").otherwise("neutral")
+    return importance.withColumn("place", F.row_number().over(order)).withColumn("tag", tag)
+
+
+def pca3(df: DataFrame, features: Sequence[str], row_id: str, sample: int = 2000, seed: int = 42) -> DataFrame:
+    """(row_id, pc1, pc2, pc3) of a sample, features standardised (those without spread stay 0).
+
+    The sign of a component is such that its largest loading is positive.
+    """
+    rows = sample_rows(df, row_id, sample, seed)
+    rows = VectorAssembler(inputCols=list(features), outputCol="v").transform(rows)
+    rows = StandardScaler(inputCol="v", outputCol="s", withMean=True, withStd=True).fit(rows).transform(rows)
+    model = PCA(k=min(3, len(features)), inputCol="s", outputCol="c").fit(rows)
+    load = model.pc.toArray()
+    signs = np.sign(load[np.abs(load).argmax(axis=0), np.arange(load.shape[1])])
+    c = vector_to_array("c")
+    cols = [(c[i] * float(signs[i] or 1)).alias(f"pc{i + 1}") if i < len(signs) else F.lit(0.0).alias(f"pc{i + 1}") for i in range(3)]
+    return model.transform(rows).select(row_id, *cols)
+
+
+def scatter3(df: DataFrame, row_id: str, cols: Sequence[str], target: str, k: int = 2000, seed: int = 42) -> DataFrame:
+    """A sample of three features with the target and the row's id."""
+    return sample_rows(df, row_id, max(500, min(10_000, k)), seed).select(row_id, *[F.col(c).cast("double").alias(a) for c, a in zip(cols, ("x", "y", "z"))], F.col(target).alias("target"))

@@ -1,0 +1,96 @@
+"""Scoring tables with one model or many; a map over the rows."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from forestjobs.functions import argmax, quantize, sigmoid, softmax
+from forestjobs.operators.model import Forest, Tree, add_trees
+
+#: Bytes of models up to which all of them go to every executor.
+BROADCAST_BYTES = 64 << 20
+
+
+def score_q(features: Sequence[Column], forest: Forest) -> Column:
+    """ARRAY<BIGINT> of the quantised score of each output."""
+    scale = forest.scale_q
+
+    @F.pandas_udf("array<long>")
+    def run(xq: pd.Series) -> pd.Series:
+        x = np.array(xq.tolist(), np.int64).reshape(len(xq), -1)
+        score = np.tile(np.array(forest.base_q, np.int64), (len(x), 1))
+        return pd.Series(list(add_trees(score, forest.trees, x, forest.depth)))
+
+    return run(F.array(*[quantize(c, scale) for c in features]))
+
+
+def predict(df: DataFrame, forest: Forest, features: Sequence[str] | None = None) -> DataFrame:
+    """df with score_q and, by task: value; probability and cls; or probabilities and cls or labels."""
+    cols = [F.col(c) for c in (features or forest.features)]
+    out = df.withColumn("score_q", score_q(cols, forest))
+    scale = float(forest.scale_q)
+    if forest.task == "regression":
+        return out.withColumn("value", F.col("score_q")[0] / scale)
+    if forest.task == "binary_classification":
+        return out.withColumn("probability", sigmoid(F.col("score_q")[0] / scale)).withColumn("cls", (F.col("probability") >= 0.5).cast("int"))
+    if forest.task == "multiclass_classification":
+        return out.withColumn("probabilities", softmax("score_q", scale)).withColumn("cls", argmax("score_q"))
+    out = out.withColumn("probabilities", F.transform("score_q", lambda v: sigmoid(v / scale)))
+    return out.withColumn("predicted", F.transform("probabilities", lambda p: (p >= 0.5).cast("int")))
+
+
+def _packed(head: DataFrame, trees: DataFrame) -> DataFrame:
+    own = trees.groupBy("model_id").agg(F.collect_list(F.struct("out", "tree", "feat", "thr", "leaf")).alias("trees"))
+    return head.select("model_id", "depth", "scale_q", "base_q").join(own, "model_id")
+
+
+def score_requests(requests: DataFrame, head: DataFrame, trees: DataFrame, salts: int = 8, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """requests (request_id, model_id, features) scored by their own model: (request_id, model_id, score_q).
+
+    Models of a small total size are sent to all executors. Otherwise requests
+    are dealt by (model, salt) and each salt gets its model, so that a model
+    with most of the requests is not one task's work.
+    """
+    size = trees.agg(F.sum(F.size("feat") * 8 + F.size("leaf") * 4)).first()[0] or 0
+    models = _packed(head, trees)
+    if size <= broadcast_bytes:
+        rows = requests.join(F.broadcast(models), "model_id")
+    else:
+        salted = models.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        rows = requests.withColumn("salt", F.pmod(F.xxhash64("request_id"), F.lit(salts)).cast("int")).join(salted, ["model_id", "salt"])
+    xq = F.transform("features", lambda v: quantize(v, F.col("scale_q")))
+    rows = rows.select("request_id", "model_id", xq.alias("xq"), "depth", "base_q", "trees")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for _, own in pdf.groupby("model_id", sort=False):
+                r = own.iloc[0]
+                forest: list[list[Tree]] = [[] for _ in r["base_q"]]
+                for t in sorted(r["trees"], key=lambda t: (t["out"], t["tree"])):
+                    forest[t["out"]].append(Tree(*(np.array(t[c], np.int64) for c in ("feat", "thr", "leaf"))))
+                x = np.array(own["xq"].tolist(), np.int64).reshape(len(own), -1)
+                score = add_trees(np.tile(np.array(r["base_q"], np.int64), (len(x), 1)), forest, x, int(r["depth"]))
+                yield pd.DataFrame({"request_id": own["request_id"], "model_id": own["model_id"], "score_q": list(score)})
+
+    return rows.mapInPandas(run, f"request_id {requests.schema['request_id'].dataType.simpleString()}, model_id string, score_q array<long>")
+
+
+def top_probabilities(df: DataFrame, k: int, names: Sequence[str], probabilities: str = "probabilities") -> DataFrame:
+    """df with ``top``: the k likeliest classes, the lower number first of equal ones."""
+    named = F.transform(probabilities, lambda p, i: F.struct((-p).alias("p"), i.alias("cls")))
+    label = F.array(*[F.lit(n) for n in names])
+    top = F.transform(F.slice(F.array_sort(named), 1, k), lambda s: F.struct(s["cls"].alias("cls"), F.element_at(label, s["cls"] + 1).alias("name"), (-s["p"]).alias("p")))
+    return df.withColumn("top", top)
+
+
+def positive_labels(df: DataFrame, names: Sequence[str], threshold: float = 0.5, k: int = 12, probabilities: str = "probabilities") -> DataFrame:
+    """df with ``positive`` (labels at the threshold, likeliest first, k at most) and ``n_positive``."""
+    named = F.filter(F.transform(probabilities, lambda p, i: F.struct((-p).alias("p"), i.alias("label"))), lambda s: -s["p"] >= threshold)
+    label = F.array(*[F.lit(n) for n in names])
+    out = df.withColumn("n_positive", F.size(named))
+    return out.withColumn("positive", F.transform(F.slice(F.array_sort(named), 1, k), lambda s: F.element_at(label, s["label"] + 1)))

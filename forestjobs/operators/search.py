@@ -1,0 +1,82 @@
+"""Search over training parameters by hill climbing."""
+
+from __future__ import annotations
+
+import dataclasses
+import hashlib
+import json
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from forestjobs.functions import clamp_for_size
+from forestjobs.operators.boost import Params, Run, train
+
+TRIALS = "round int, status string, params string, best_val double, best_iter int, error string"
+
+
+def _draw(seed: int, round_: int, what: str) -> float:
+    """A number in [0, 1) from a hash."""
+    return int(hashlib.md5(f"{seed}:{round_}:{what}".encode()).hexdigest()[:13], 16) / 16**13
+
+
+def candidate(base: Params, best: Params | None, round_: int, seed: int, task: str, n_out: int) -> Params:
+    """Parameters near the best (three times of four) or the base: trees, depth, rate, leaf size and patience move."""
+    pivot = best if best and _draw(seed, round_, "pivot") < 0.75 else base
+    u = lambda what: _draw(seed, round_, what) - 0.5
+    trees = min(5000, max(10, round(pivot.trees * 2 ** (u("trees") * 1.4) / 25) * 25))
+    depth = min(12, max(1, pivot.depth + round(u("depth") * 4)))
+    lr = round(min(1.0, max(0.001, pivot.lr * 10 ** (u("lr") * 0.8))), 6)
+    leaf = min(1000, max(1, round(pivot.min_leaf * 2 ** (u("leaf") * 2))))
+    patience = pivot.patience
+    if base.early_stop:
+        patience = min(500, max(1, round(pivot.patience * 2 ** (u("patience") * 1.6) / 5) * 5))
+    plateau = {}
+    if base.schedule == "plateau":
+        plateau = {
+            "plateau_patience": min(1000, max(1, round(pivot.plateau_patience * 2 ** (u("n") * 1.2)))),
+            "plateau_factor": 1 - min(0.99, max(0.01, (1 - pivot.plateau_factor) + round(u("drop") * 20) / 100)),
+            "lr_min": min(1.0, max(0.0, pivot.lr_min * 10 ** (u("min") * 1.2))),
+        }
+    trees, depth = clamp_for_size(trees, depth, task, n_out)
+    return dataclasses.replace(base, trees=trees, depth=depth, lr=lr, min_leaf=leaf, patience=patience, **plateau)
+
+
+def search(df: DataFrame, features: Sequence[str], task: str, base: Params, rounds: int = 10, seed: int = 42, cap_trees: int | None = None, **more) -> tuple[Run | None, DataFrame]:
+    """The best run and the table of trials; the first round is the base. A failing trial is noted, not fatal."""
+    best_run, best_params, rows = None, None, []
+    for r in range(1, rounds + 1):
+        p = base if r == 1 else candidate(base, best_params, r, seed, task, more.get("n_out", 1))
+        if cap_trees:
+            p = dataclasses.replace(p, trees=min(p.trees, cap_trees))
+        told = json.dumps({k: v for k, v in dataclasses.asdict(p).items() if k != "extra"})
+        try:
+            run = train(df, features, task, p, **more)
+        except Exception as error:  # noqa: BLE001  the trial's own failure belongs in its row
+            rows.append((r, "error", told, None, None, str(error)[:500]))
+            continue
+        rows.append((r, "done", told, run.best_val, run.best_iter, None))
+        if run.best_val is not None and (best_run is None or run.best_val < best_run.best_val):
+            best_run, best_params = run, p
+    return best_run, df.sparkSession.createDataFrame(rows, TRIALS)
+
+
+def best_trial(trials: DataFrame) -> DataFrame:
+    """The finished trial of least finite loss; the earlier of equal ones."""
+    ok = trials.filter((F.col("status") == "done") & F.col("best_val").isNotNull() & ~F.isnan("best_val") & (F.abs("best_val") < float("inf")))
+    return ok.withColumn("_r", F.row_number().over(W.orderBy("best_val", "round"))).filter("_r = 1").drop("_r")
+
+
+def refit(df: DataFrame, features: Sequence[str], task: str, p: Params, trees: int, **more) -> Run:
+    """Train on train and validation rows for a fixed number of trees."""
+    return train(df, features, task, dataclasses.replace(p, trees=trees, early_stop=False), refit=True, **more)
+
+
+def trial_page(trials: DataFrame, page: int, size: int = 25) -> DataFrame:
+    return trials.orderBy("round").offset(page * size).limit(size)
+
+
+def history(spark: SparkSession, rows: list[tuple]) -> DataFrame:
+    return spark.createDataFrame(rows, TRIALS)

@@ -1,0 +1,163 @@
+"""Model files: bytes to tables and back, packages, chunks."""
+
+from __future__ import annotations
+
+import struct
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from forestjobs.functions import CHUNK_SIZE, MAX_CHUNK
+from forestjobs.operators.model import HEAD_SCHEMA, Forest, Tree, from_tables
+
+# Fixed values of the file format: what files, footers and chunks begin with.
+MODEL_MAGIC = b"GL1F"
+PACKAGE_MAGIC = b"GL1X"
+CHUNK_MAGIC = b"GL1C"
+
+HEADER = struct.Struct("<4sBBHHIiIH")
+NODE = np.dtype([("feat", "<u2"), ("thr", "<i4"), ("pad", "<u2")])
+MODEL_SCHEMA = HEAD_SCHEMA + ", trees array<struct<out:int,tree:int,feat:array<int>,thr:array<int>,leaf:array<int>>>, footer binary"
+
+
+def encode(forest: Forest) -> bytes:
+    """One output: version 1; several: version 2, trees by output."""
+    n_trees, k = len(forest.trees[0]), forest.n_out
+    if not (0 < forest.n_features <= 0xFFFF and 0 < forest.depth <= 0xFFFF and 0 < forest.scale_q <= 0xFFFFFFFF and k <= 0xFFFF):
+        raise ValueError("a field does not fit its width")
+    if any(len(t) != n_trees for t in forest.trees):
+        raise ValueError("outputs differ in trees")
+    first = forest.base_q[0] if k == 1 else 0
+    out = [HEADER.pack(MODEL_MAGIC, 1 if k == 1 else 2, 0, forest.n_features, forest.depth, n_trees, first, forest.scale_q, 0 if k == 1 else k)]
+    if k > 1:
+        out.append(np.array(forest.base_q, "<i4").tobytes())
+    for trees in forest.trees:
+        for tree in trees:
+            if len(tree.feat) and (tree.feat.min() < 0 or tree.feat.max() >= forest.n_features):
+                raise ValueError("a node names a feature that is not there")
+            nodes = np.zeros(len(tree.feat), NODE)
+            nodes["feat"], nodes["thr"] = tree.feat, tree.thr
+            out += [nodes.tobytes(), np.asarray(tree.leaf, "<i4").tobytes()]
+    return b"".join(out)
+
+
+def decode(data: bytes, model_id: str = "model") -> tuple[Forest, bytes]:
+    """The forest and what follows it; wrong or short bytes raise ValueError."""
+    if len(data) < HEADER.size or data[:4] != MODEL_MAGIC:
+        raise ValueError("not a model")
+    _, version, _, n_features, depth, n_trees, base, scale_q, k = HEADER.unpack_from(data)
+    if version not in (1, 2) or (version == 2 and k < 2):
+        raise ValueError(f"unknown version {version}")
+    at = HEADER.size
+    outputs = 1 if version == 1 else k
+    base_q = [base]
+    if version == 2:
+        base_q = np.frombuffer(data[at : at + 4 * k], "<i4").tolist()
+        at += 4 * k
+    leaves = 1 << depth
+    per_tree = (leaves - 1) * NODE.itemsize + leaves * 4
+    if len(data) < at + per_tree * n_trees * outputs or len(base_q) < outputs:
+        raise ValueError("truncated")
+    trees: list[list[Tree]] = []
+    for _ in range(outputs):
+        own = []
+        for _ in range(n_trees):
+            nodes = np.frombuffer(data, NODE, leaves - 1, at)
+            leaf = np.frombuffer(data, "<i4", leaves, at + (leaves - 1) * NODE.itemsize)
+            own.append(Tree(nodes["feat"].astype(np.int32), nodes["thr"].astype(np.int32), leaf.astype(np.int32)))
+            at += per_tree
+        trees.append(own)
+    task = "regression" if outputs == 1 else "multiclass_classification"
+    return Forest(task, n_features, depth, scale_q, base_q, trees, model_id), data[at:]
+
+
+def read_models(spark: SparkSession, path: str) -> DataFrame:
+    """One row per file: header, trees and footer; files that are no models fail the job."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for name, data in zip(pdf["path"], pdf["content"]):
+                f, rest = decode(bytes(data), name.rsplit("/", 1)[-1].rsplit(".", 1)[0])
+                trees = [{"out": k, "tree": t, "feat": x.feat.tolist(), "thr": x.thr.tolist(), "leaf": x.leaf.tolist()} for k, own in enumerate(f.trees) for t, x in enumerate(own)]
+                rows.append((f.model_id, 1 if f.n_out == 1 else 2, f.n_features, f.depth, len(f.trees[0]), f.n_out, f.scale_q, f.base_q, f.task, trees, rest))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in HEAD_SCHEMA.split(", ")] + ["trees", "footer"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, MODEL_SCHEMA)
+
+
+def trees_of(models: DataFrame) -> DataFrame:
+    return models.select("model_id", F.explode("trees").alias("t")).select("model_id", "t.*")
+
+
+def read_model_packages(models: DataFrame) -> DataFrame:
+    """models with ``package``: the footer's JSON, null where it is missing or broken."""
+    f = F.col("footer")
+    size = F.conv(F.hex(F.concat(*[F.substring(f, i, 1) for i in (12, 11, 10, 9)])), 16, 10).cast("long")
+    text = F.decode(F.substring(f, 13, 1 << 30), "UTF-8")
+    good = (F.length(f) >= 12) & (F.hex(F.substring(f, 1, 4)) == PACKAGE_MAGIC.hex().upper()) & (F.length(f) - 12 >= size)
+    package = F.when(good, text)
+    return models.withColumn("package", F.when(F.try_parse_json(package).isNotNull(), package))
+
+
+def write_model_tables(forest: Forest, spark: SparkSession, path: str) -> None:
+    head, trees = forest.tables(spark)
+    head.write.parquet(f"{path}/models")
+    trees.write.partitionBy("model_id").parquet(f"{path}/trees")
+
+
+def encode_models(head: DataFrame, trees: DataFrame) -> DataFrame:
+    """(model_id, data): each model's bytes; a model is the work of one task."""
+    packed = trees.groupBy("model_id").agg(F.collect_list(F.struct("out", "tree", "feat", "thr", "leaf")).alias("trees"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples():
+                own: list[list[Tree]] = [[] for _ in range(r.n_out)]
+                for t in sorted(r.trees, key=lambda t: (t["out"], t["tree"])):
+                    own[t["out"]].append(Tree(*(np.array(t[c], np.int32) for c in ("feat", "thr", "leaf"))))
+                out.append((r.model_id, encode(Forest(r.task, r.n_features, r.depth, r.scale_q, list(r.base_q), own))))
+            yield pd.DataFrame(out, columns=["model_id", "data"])
+
+    return head.join(packed, "model_id").mapInPandas(run, "model_id string, data binary")
+
+
+def write_models(head: DataFrame, trees: DataFrame, path: str) -> None:
+    encode_models(head, trees).write.parquet(path)
+
+
+def attach_package(models: DataFrame, package: str = "package") -> DataFrame:
+    """(model_id, data) with a footer of magic, version, length and JSON text."""
+    body = F.encode(F.col(package), "UTF-8")
+    n = F.lpad(F.hex(F.length(body).cast("long")), 8, "0")
+    length = F.unhex(F.concat(*[F.substring(n, i, 2) for i in (7, 5, 3, 1)]))
+    head = F.unhex(F.lit(PACKAGE_MAGIC.hex() + "01000000"))
+    return models.withColumn("data", F.concat("data", head, length, body))
+
+
+def chunk_blobs(models: DataFrame, size: int = CHUNK_SIZE) -> DataFrame:
+    """(model_id, idx, total, data): the bytes in numbered chunks, each behind its magic."""
+    if not 0 < size <= MAX_CHUNK:
+        raise ValueError(f"chunks hold 1 to {MAX_CHUNK} bytes")
+    n = F.ceil(F.length("data") / size).cast("int")
+    at = models.select("model_id", F.length("data").cast("long").alias("total"), "data", F.explode(F.sequence(F.lit(0), n - 1)).alias("idx"))
+    piece = F.col("data").substr(F.col("idx") * size + 1, F.lit(size))
+    return at.select("model_id", "idx", "total", F.concat(F.unhex(F.lit(CHUNK_MAGIC.hex())), piece).alias("data"))
+
+
+def reassemble_chunks(chunks: DataFrame) -> DataFrame:
+    """(model_id, data) from chunks in any order, cut at the total; wrong magic or missing bytes fail."""
+    good = F.hex(F.substring("data", 1, 4)) == CHUNK_MAGIC.hex().upper()
+    part = F.when(good, F.substring(F.hex("data"), 9, 2 * MAX_CHUNK)).otherwise(F.raise_error(F.lit("bad chunk magic")).cast("string"))
+    rows = chunks.groupBy("model_id").agg(F.max("total").alias("total"), F.array_sort(F.collect_list(F.struct("idx", part.alias("h")))).alias("parts"))
+    whole = F.array_join(F.transform("parts", lambda p: p["h"]), "")
+    enough = F.length(whole) >= F.col("total") * 2
+    cut = F.when(enough, F.substr(whole, F.lit(1), (F.col("total") * 2).cast("int"))).otherwise(F.raise_error(F.lit("chunks are missing")).cast("string"))
+    return rows.select("model_id", F.unhex(cut).alias("data"))
+
+
+def forests(head: DataFrame, trees: DataFrame) -> dict[str, Forest]:
+    return from_tables(head, trees)

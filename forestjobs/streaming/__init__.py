@@ -1,0 +1,3 @@
+"""Structured Streaming jobs."""
+
+from forestjobs.streaming.jobs import *  # noqa: F401,F403
