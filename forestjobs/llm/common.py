@@ -148,7 +148,8 @@ def word_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, salt: int =
     length = end - start
     longest = int(length.max())
     table = _POWERS if longest <= len(_POWERS) else powers(0x5851F42D4C957F2D, longest)
-    take = np.repeat(start - np.concatenate(([0], np.cumsum(length)[:-1])), length) + np.arange(int(length.sum()))
-    part = _LETTER[buf[take]] * table[take - np.repeat(start, length)]
     first = np.concatenate(([0], np.cumsum(length)[:-1]))
+    within = np.arange(int(length.sum()), dtype=np.int32) - np.repeat(first.astype(np.int32), length)
+    part = table[within]
+    part *= _LETTER[buf[np.repeat(start.astype(np.int32), length) + within]]
     return scramble(np.add.reduceat(part, first) + length.astype(np.uint64), salt)

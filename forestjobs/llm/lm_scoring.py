@@ -39,7 +39,7 @@ BLOCK_BITS = 12
 SLOTS = 1 << (2 * BLOCK_BITS)
 COMMON = 1 << 20
 TUNE_ONE_IN = 8
-PORTION = 8 << 20
+PORTION = 2 << 20
 LEVELS = 33
 END = b"\xff"  # never part of UTF-8
 _LONGEST = max(ORDERS)
