@@ -93,23 +93,28 @@ def to_number(s) -> Column:
     """DOUBLE of a strictly written finite number, else null."""
     s = F.trim(_c(s))
     n = F.when(s.rlike(STRICT_NUMBER), s.try_cast("double"))
-    return F.when(~F.isnan(n) & (F.abs(n) < float("inf")), n)
+    return F.when(F.abs(n) < float("inf"), n)
 
 
 def canon_label(s) -> Column:
     """One text for each label: whole numbers lose their decimals, others keep the shortest form."""
     s = F.trim(F.coalesce(_c(s), F.lit("")))
-    n = to_number(s)
-    whole = (F.abs(n - F.round(n)) < 1e-12) & (F.abs(n) < 9.2e18)
-    shortest = F.regexp_replace(F.format_string("%.15f", n), r"0+$", "")
-    plain = F.when((F.abs(n) >= 1e-4) & (F.abs(n) < 1e16) & (shortest.cast("double") == n), shortest).otherwise(n.cast("string"))
-    return F.when(n.isNull(), s).when(whole, F.round(n).cast("long").cast("string")).otherwise(plain)
+
+    def number(n: Column) -> Column:
+        whole = (F.abs(n - F.round(n)) < 1e-12) & (F.abs(n) < 9.2e18)
+        fixed = F.regexp_replace(F.format_string("%.15f", n), r"0+$", "")
+        plain = (F.abs(n) >= 1e-4) & (F.abs(n) < 1e16) & (fixed.try_cast("double") == n)
+        return F.when(whole, F.round(n).cast("long").cast("string")).when(plain, fixed).otherwise(n.cast("string"))
+
+    # The lambda's argument is worked out once.
+    return F.coalesce(F.transform(F.array(to_number(s)), number)[0], s)
 
 
 def parse_binary01(s) -> Column:
     k = F.lower(F.trim(_c(s)))
     n = to_number(k)
-    return F.when(k.isin(*FALSE_WORDS) | (n == 0), 0).when(k.isin(*TRUE_WORDS) | (n == 1), 1).cast("int")
+    number = F.when(n == 0, 0).when(n == 1, 1)
+    return F.when(k.isin(*FALSE_WORDS), 0).when(k.isin(*TRUE_WORDS), 1).otherwise(number).cast("int")
 
 
 def title_words(s) -> Column:

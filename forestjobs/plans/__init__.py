@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from forestjobs.plans import catalogs, models, profiles, scalars
+from forestjobs.plans.models import flagship
 
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_returnflag").count()
+__all__ = ["flagship", "oracle_sql", "queries"]
+
+PARTS = (scalars, profiles, models, catalogs)
 
 
 def queries():
-    return {}
+    return {name: q for part in PARTS for name, q in part.QUERIES.items()}
 
 
 def oracle_sql():
-    return {}
+    return {name: sql for part in PARTS for name, sql in part.SQL.items()}

@@ -34,7 +34,7 @@ def _apply_access(key, batches: Iterator[pd.DataFrame], state: GroupState) -> It
                 expiry = NEVER
             elif e.kind == "access_revoked":
                 expiry = 0
-            else:
+            elif expiry != NEVER:
                 expiry = max(expiry, int(e.block)) + int(e.duration_blocks or 0)
             block, log = int(e.block), int(e.log_index)
         out.append((*key, int(e.block), int(e.log_index), str(expiry), bool(late)))
