@@ -1,0 +1,153 @@
+"""Trees do not depend on the partitioning and equal a plain trainer's."""
+
+import hashlib
+import math
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from forestjobs.operators import boost, evaluate, predict, split
+from forestjobs.operators.model import add_trees, from_tables
+from forestjobs.sources import models as files
+
+MAX = 2147483647
+
+
+@pytest.fixture(scope="module")
+def rows(spark):
+    rng = np.random.default_rng(3)
+    n = 400
+    data = [(i, float(rng.integers(0, 33)), float(rng.normal()), 1.0, float(rng.integers(0, 5))) for i in range(n)]
+    df = spark.createDataFrame(data, "id int, a double, b double, still double, c double")
+    df = df.withColumn("y", F.col("a") * 2 + F.when(F.col("b") > 0, 10).otherwise(0) + F.col("c"))
+    return split.seeded_split(df, "id").cache()
+
+
+FS = ["a", "b", "still", "c"]
+
+
+def shape(forest):
+    return [[(t.feat.tolist(), t.thr.tolist(), t.leaf.tolist()) for t in trees] for trees in forest.trees]
+
+
+def plain_regression(pdf, p):
+    """The rules in plain numpy: residuals, drawn features, best boundary, routing, leaves."""
+    x = pdf[FS].to_numpy(float)
+    y = pdf["y"].to_numpy(float)
+    train = (pdf["split"] == "train").to_numpy()
+    scale = int(max(1, min(1_000_000, math.floor(2147480000 / np.abs(x).max()), math.floor(2147480000 / np.abs(y).max()))))
+    q = lambda v: np.floor(v * scale + 0.5).astype(np.int64)
+    xq, yq = q(x), q(y)
+    lo, w = x[train].min(0), x[train].max(0) - x[train].min(0)
+    usable = [f for f in range(len(FS)) if w[f] > 0]
+    k = max(1, int(math.floor(math.sqrt(len(usable)) + 0.5)))
+    base = math.floor(y[train].mean() * scale + 0.5)
+    pred, out = np.full(len(y), base, np.int64), []
+    for t in range(1, p.trees + 1):
+        n_in = (1 << p.depth) - 1
+        feat, thr, leaf = [0] * n_in, [MAX] * n_in, [0] * (n_in + 1)
+        r = yq - pred
+
+        def fill(node, total):
+            if node >= n_in:
+                leaf[node - n_in] = math.floor(p.lr * (total.sum() / len(total)) + 0.5) if len(total) else 0
+                return
+            fill(2 * node + 1, total), fill(2 * node + 2, total)
+
+        def grow(node, idx):
+            if node >= n_in:
+                return fill(node, r[idx])
+            best = None
+            if len(idx) >= 2 * p.min_leaf:
+                drawn = sorted(usable, key=lambda f: hashlib.md5(f"{p.seed}:{t}:0:{node}:{f}".encode()).hexdigest())[:k]
+                for d, f in enumerate(drawn):
+                    b = np.clip(np.floor((x[idx, f] - lo[f]) / w[f] * p.bins), 0, p.bins - 1).astype(int)
+                    for cut in range(p.bins - 1):
+                        left = b <= cut
+                        nl, nr = left.sum(), (~left).sum()
+                        if nl < p.min_leaf or nr < p.min_leaf:
+                            continue
+                        score = float(r[idx][left].sum()) ** 2 / nl + float(r[idx][~left].sum()) ** 2 / nr
+                        if best is None or score > best[0]:
+                            best = (score, f, cut)
+            if best:
+                _, f, cut = best
+                at = math.floor((lo[f] + w[f] * (cut + 1) / p.bins) * scale + 0.5)
+                right = xq[idx, f] > at
+                if right.sum() >= p.min_leaf and (~right).sum() >= p.min_leaf:
+                    feat[node], thr[node] = f, at
+                    grow(2 * node + 1, idx[~right]), grow(2 * node + 2, idx[right])
+                    return
+            fill(node, r[idx])
+
+        grow(0, np.flatnonzero(train))
+        tree = boost.Tree(np.array(feat), np.array(thr), np.array(leaf))
+        out.append((feat, thr, leaf))
+        pred = add_trees(pred[:, None], [[tree]], xq, p.depth)[:, 0]
+    return out
+
+
+def test_trees_equal_a_plain_trainer_for_any_partitioning(spark, rows):
+    p = boost.Params(trees=3, depth=3, lr=0.3, bins=16, min_leaf=8, early_stop=False, keep_every=2)
+    plain = plain_regression(rows.toPandas(), p)
+    for n in (1, 3, 16):
+        run = boost.train_regression(rows.repartition(n), FS, p)
+        assert shape(run.forest)[0] == plain
+
+
+@pytest.mark.parametrize("task", ["binary", "multiclass", "multilabel"])
+def test_classifiers_do_not_depend_on_partitions(rows, task):
+    p = boost.Params(trees=2, depth=2, lr=0.3, early_stop=False)
+    df = rows.withColumn("target", (F.col("y") > 40).cast("int"))
+    if task == "binary":
+        fit = lambda d: boost.train_binary(d, FS, p, y="target")
+    elif task == "multiclass":
+        df = df.withColumn("target", (F.col("c") % 3).cast("int"))
+        fit = lambda d: boost.train_multiclass(d, FS, 3, p, y="target")
+    else:
+        df = df.withColumn("target", F.array("target", (F.col("b") > 0).cast("int")))
+        fit = lambda d: boost.train_multilabel(d, FS, 2, p, y="target")
+    runs = [fit(df.repartition(n)) for n in (1, 5)]
+    assert shape(runs[0].forest) == shape(runs[1].forest)
+    first = [v for s, part, m, v in runs[0].curve if part == "train" and m == "logloss"]
+    assert first == sorted(first, reverse=True)
+
+
+def test_model_bytes_round_trip(spark, rows):
+    forest = boost.train_regression(rows, FS, boost.Params(trees=2, depth=2, early_stop=False)).forest
+    again, rest = files.decode(files.encode(forest) + b"tail")
+    assert shape(again) == shape(forest) and rest == b"tail"
+    head, trees = forest.tables(spark)
+    assert shape(from_tables(head, trees)["model"]) == shape(forest)
+    for bad in (b"", b"XXXX" + b"\0" * 40, files.encode(forest)[:-1]):
+        with pytest.raises(ValueError):
+            files.decode(bad)
+
+
+def test_early_stop_keeps_the_best_trees(rows):
+    run = boost.train_regression(rows, FS, boost.Params(trees=6, depth=2, lr=1.0, patience=1))
+    assert len(run.forest.trees[0]) == run.best_iter
+    val = [v for s, part, m, v in run.curve if part == "val"]
+    assert min(val) == val[run.best_iter - 1]
+
+
+def test_evaluate_agrees_with_the_curve(rows):
+    run = boost.train_regression(rows, FS, boost.Params(trees=2, depth=2, lr=0.3, early_stop=False))
+    told = {r["split"]: r["mse"] for r in evaluate.evaluate(rows, run.forest).collect()}
+    for step, part, _, value in run.curve:
+        if step == 2:
+            assert told[part] == pytest.approx(value, rel=1e-5)
+
+
+def test_segments():
+    assert boost.parse_segments("1:5:0.1, 6-9 0.05") == [(1, 5, 0.1), (6, 9, 0.05)]
+    for bad in ("1:5:0.1,5:6:0.1", "5:1:0.1", "1:2:0"):
+        with pytest.raises(ValueError):
+            boost.parse_segments(bad)
+
+
+def test_positive_and_top(spark):
+    df = spark.createDataFrame([([0.2, 0.5, 0.5],)], "probabilities array<double>")
+    assert predict.positive_labels(df, ["a", "b", "c"]).first()["positive"] == ["b", "c"]
+    assert [t["name"] for t in predict.top_probabilities(df, 2, ["a", "b", "c"]).first()["top"]] == ["b", "c"]
