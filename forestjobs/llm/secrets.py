@@ -66,7 +66,7 @@ def entropy_spans(word: bytes, window: int = WINDOW, thresholds=THRESHOLDS) -> l
     if len(word) < window:
         return []
     limit = thresholds["hex" if _HEXLIKE.issuperset(word) else "mixed"]
-    plogp = [0.0] + [c * math.log2(c) for c in range(1, window + 1)]
+    plogp = [0.0] + [c * math.log2(c) for c in range(1, window + 2)]  # one steps in before one steps out
     counts: dict[int, int] = {}
     total = 0.0  # sum of c * log2(c) over the characters in the window
     spans: list[list[int]] = []

@@ -22,10 +22,11 @@ from forestjobs.llm.common import UPPER_TO_LOWER, crc_mod, portions, table, text
 HASH_BITS = 22
 PREFIX = 5
 SAMPLE = 20_000
-#: Terms kept at most, the least G-squared of a kept term (by chance one of
-#: the 2**22 buckets or so gets there), and the share of
-#: documents above which a term is a common word that mostly tells the length.
-TERMS, LEAST_G2, COMMON = 4096, 30.0, 0.2
+#: Terms kept at most; the least G-squared of a kept term, for each unit of
+#: the logarithm of the number of terms (a handful get there by chance); the
+#: share of documents above which a term is a common word that mostly tells
+#: the length.
+TERMS, LEAST_G2, COMMON = 4096, 1.5, 0.2
 FACTORS = 8
 
 _GAP = np.zeros(256, bool)
@@ -157,7 +158,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Machine:
     seen = np.bincount(term, minlength=1 << HASH_BITS).astype(float)
     hit = np.bincount(term, y[row], 1 << HASH_BITS)
     score = np.where((seen >= 2) & (seen <= COMMON * len(y)), g_squared(hit, seen, y.sum(), len(y)), 0.0)
-    kept = np.flatnonzero(score >= LEAST_G2)
+    kept = np.flatnonzero(score >= LEAST_G2 * np.log(max((seen >= 2).sum(), 2)))
     if len(kept) > TERMS:
         kept = np.sort(kept[np.argsort(-score[kept], kind="stable")[:TERMS]])
     # Linear weights start at three quarters of the log-odds of each term alone: terms that
