@@ -10,13 +10,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from forestjobs.llm import decontaminate, jaccard_join, language, mixing, sharding
-from forestjobs.llm.common import settle, table
+from forestjobs.llm.common import settle, small_batches, table
 
 N_SHARDS = 24
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in no language (null texts, texts without letters) go."""
+    small_batches(spark)
     return language.accept(docs, docs)
 
 

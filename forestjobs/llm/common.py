@@ -11,10 +11,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of texts in one Arrow batch; Spark's default of 10,000 is for narrow rows.
+BATCH_ROWS = 2000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Keep the batches of Arrow maps small in this session, unless they were set to be smaller."""
+    if int(spark.conf.get(_BATCH)) > BATCH_ROWS or int(spark.conf.get(_BATCH)) <= 0:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -38,6 +48,7 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     stages before it, and a value drawn once stays the same.
     """
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/forestjobs/{uuid.uuid4().hex}/{label}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -53,7 +64,7 @@ def texts(batch: pa.RecordBatch, name: str) -> list[bytes]:
     return [x or b"" for x in batch.column(name).cast(pa.large_binary()).to_pylist()]
 
 
-def portions(rows: list[bytes], most: int = 2 << 20) -> Iterator[tuple[int, list[bytes]]]:
+def portions(rows: list[bytes], most: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
     """Neighbouring texts in lists of about ``most`` bytes, with where each begins."""
     first, total = 0, 0
     for i, row in enumerate(rows):
