@@ -42,7 +42,9 @@ def duck():
 
 def told(value):
     """A value as text, numbers to six places."""
-    if value is None or value != value:
+    import pandas as pd
+
+    if value is None or value is pd.NA or value != value:
         return "null"
     if isinstance(value, bool) or type(value).__name__ == "bool_":
         return str(bool(value))
