@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from forestjobs.functions import INT32_MAX, INT32_MIN, quantize
 from forestjobs.operators import profile
-from forestjobs.operators.binning import best_split, binned, quantile_thresholds
+from forestjobs.operators.binning import binned, cumulative_bins, quantile_thresholds, split_score
 from forestjobs.operators.model import Forest, Tree, add_trees
 
 GRID = float(1 << 26)
@@ -232,11 +232,20 @@ def _summed(at: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
 
 
 def _winners(sums: DataFrame, p: Params, classify: bool) -> DataFrame:
-    """Totals and metrics as they are, and each node's best split, in one job."""
-    hist = sums.filter(F.col("kind") == HIST)
-    best = best_split(hist, ["out", "node"], p.min_leaf, classify, GRID if classify else 1.0, p.bins)
+    """Totals and metrics as they are, and each node's best split.
+
+    All kinds of rows go through the same windows: filtered apart, the map
+    over the rows would run once for each.
+    """
+    cum = cumulative_bins(sums, ["kind", "out", "node", "feature"])
+    fits = (F.col("kind") == HIST) & (F.col("nl") >= p.min_leaf) & (F.col("nt") - F.col("nl") >= p.min_leaf) & (F.col("bin") < p.bins - 1)
+    cum = cum.withColumn("score", F.when(fits, split_score(classify, GRID if classify else 1.0)))
+    if classify:
+        cum = cum.withColumn("score", F.when(F.col("score") > 0, F.col("score")))
+    order = W.partitionBy("kind", "out", "node").orderBy(F.col("score").desc_nulls_last(), "draw", "bin")
+    best = F.col("score").isNotNull() & (F.row_number().over(order) == 1)
     cols = ["kind", "out", "node", "feature", "bin", "n", "g", "h", "loss", "weight", "hits"]
-    return sums.filter(F.col("kind") != HIST).select(*cols).unionByName(best.select(*cols))
+    return cum.withColumn("best", best).filter((F.col("kind") != HIST) | F.col("best")).select(*cols)
 
 
 def leaf_value(task: str, total: tuple[int, int, int], lr: float, scale_q: int) -> int:
