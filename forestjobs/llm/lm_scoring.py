@@ -40,6 +40,7 @@ SLOTS = 1 << (2 * BLOCK_BITS)
 COMMON = 1 << 20
 TUNE_ONE_IN = 8
 PORTION = 2 << 20
+STEP = 1 << 14  # grams scored at once, so that what a step makes stays in the cache
 LEVELS = 33
 END = b"\xff"  # never part of UTF-8
 _LONGEST = max(ORDERS)
@@ -140,8 +141,12 @@ def _context(key: np.ndarray, order: int) -> np.ndarray:
 
 
 def _node(context: np.ndarray, node: np.ndarray) -> np.ndarray:
-    """The slot within the context's block of a bit position (with the bits before it)."""
-    return (scramble(context + node, 82) >> np.uint64(64 - BLOCK_BITS)).astype(np.int64)
+    """The slot within the context's block of a bit position (with the bits before it).
+
+    The context is mixed already, so one multiplication spreads the positions.
+    """
+    spread = (context ^ (node * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xD6E8FEB86659FD93)
+    return (spread >> np.uint64(64 - BLOCK_BITS)).view(np.int64)
 
 
 def _bits(byte: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -211,7 +216,7 @@ class Model:
         x = np.empty((len(node), len(ORDERS) + 1), np.float32)
         gate = np.zeros(len(node), np.int64)
         for i, c in enumerate(context):
-            at = ((c >> np.uint64(64 - BLOCK_BITS)).astype(np.int64) << BLOCK_BITS) + _node(c, node)
+            at = ((c >> np.uint64(64 - BLOCK_BITS)) << np.uint64(BLOCK_BITS)).view(np.int64) + _node(c, node)
             seen = self.seen[at]
             x[:, i] = np.where(seen > 0, self.logit[at] / np.float32(16) - 8, 0)
             gate = np.where(seen > 0, (i + 1) * 4 + _FEW[seen], gate)
@@ -219,7 +224,8 @@ class Model:
         return x, gate
 
     def mixed(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        return np.clip((x * self.weights[gate]).sum(axis=1), -12, 12)
+        z = np.einsum("ij,ij->i", x, self.weights.astype(np.float32)[gate])
+        return np.clip(z.astype(np.float64), -12, 12)
 
     def refine(self, node: np.ndarray, z: np.ndarray) -> np.ndarray:
         p = squash(z)
@@ -232,10 +238,12 @@ class Model:
     def score(self, keys: np.ndarray) -> np.ndarray:
         """log10 probability of the byte of each key after its context."""
         out = np.zeros(len(keys))
-        context = [_context(keys, o) for o in ORDERS]
-        for node, bit in _bits(keys & np.uint64(255)):
-            p = self.refine(node, self.mixed(*self.inputs(context, node.astype(np.uint64))))
-            out += np.log10(np.where(bit == 1, p, 1 - p))
+        for a in range(0, len(keys), STEP):
+            some, sums = keys[a : a + STEP], out[a : a + STEP]
+            context = [_context(some, o) for o in ORDERS]
+            for node, bit in _bits(some & np.uint64(255)):
+                p = self.refine(node, self.mixed(*self.inputs(context, node.astype(np.uint64))))
+                sums += np.log10(np.where(bit == 1, p, 1 - p))
         return out
 
 
@@ -289,14 +297,16 @@ def learn_refinement(tune: DataFrame, model: Model) -> np.ndarray:
         ones, total = np.zeros(256 * LEVELS), np.zeros(256 * LEVELS)
         for batch in batches:
             for _, part in portions(texts(batch, "text"), PORTION):
-                k, c = np.unique(byte_grams(part)[0], return_counts=True)
-                context = [_context(k, o) for o in ORDERS]
-                for node, bit in _bits(k & np.uint64(255)):
-                    low, rest = _levels(m.mixed(*m.inputs(context, node.astype(np.uint64))))
-                    for at, share in ((low, 1 - rest), (low + 1, rest)):
-                        cell = node * LEVELS + at
-                        ones += np.bincount(cell, c * share * bit, len(ones))
-                        total += np.bincount(cell, c * share, len(total))
+                keys, counts = np.unique(byte_grams(part)[0], return_counts=True)
+                for a in range(0, len(keys), STEP):
+                    k, c = keys[a : a + STEP], counts[a : a + STEP]
+                    context = [_context(k, o) for o in ORDERS]
+                    for node, bit in _bits(k & np.uint64(255)):
+                        low, rest = _levels(m.mixed(*m.inputs(context, node.astype(np.uint64))))
+                        for at, share in ((low, 1 - rest), (low + 1, rest)):
+                            cell = node * LEVELS + at
+                            ones += np.bincount(cell, c * share * bit, len(ones))
+                            total += np.bincount(cell, c * share, len(total))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(ones[at]), pa.array(total[at])], ["cell", "ones", "total"])
 
