@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from forestjobs.llm.common import UPPER_TO_LOWER, crc_mod, portions, scramble, settle, table, texts, whole_groups, word_bounds, word_hashes
 
-ORDERS = (1, 2, 3, 4)
+ORDERS = (2, 3, 5)
 BLOCK_BITS = 12
 SLOTS = 1 << (2 * BLOCK_BITS)
 COMMON = 1 << 20
