@@ -1,21 +1,26 @@
 """Language-model scores by online logistic context mixing.
 
-The model predicts a text bit by bit. For each of ORDERS context lengths a
-hashed table holds what followed: a probability (kept as a logit) and how
-often it was seen. The logits of all orders are mixed by weights that a gate
+The model predicts a text bit by bit. For each of ORDERS context lengths it
+is known what followed: a probability (kept as a logit) and how often the
+context was seen. The logits of all orders are mixed by weights that a gate
 picks (the longest context that is known, and how well), the mixed logit is
 refined by an adaptive table over (bits of this byte so far, logit), and the
 log-probabilities of all bits add up to the text's.
 
-Training text comes in two parts by a hash of the id: seven eighths fill the
-tables, counted in Spark over all of it; on the last eighth the weights are
+Training text comes in two parts by a hash of the id: seven eighths give the
+counts, gathered in Spark over all of it; on the last eighth the weights are
 learned online, in order of the minibatches, in every task at once and then
-averaged by the text they saw, and after that the refinement is counted. The
-tables have a fixed size (2 bytes for each of SLOTS slots), so the model that
-is broadcast is bounded; what is gathered to fill it grows with the corpus.
+averaged by the text they saw, and after that the refinement is counted.
 
-Equal byte n-grams get equal scores, so each task scores its distinct n-grams
-only, and bytes look theirs up.
+Counts are exact and kept whole. What followed two bytes has one place for
+each (two bytes, bits so far), a number set by the alphabet and not by the
+corpus, and is broadcast. What followed longer contexts stays a Spark table
+that grows with the corpus; the distinct grams to be scored meet it, dealt by
+their last three bytes, so each task has all counts of its contexts.
+
+Equal byte n-grams get equal scores, so the texts are dealt into portions by a
+hash, each portion asks for its distinct n-grams once, and the scores come back
+to the portion.
 
 A word unigram score with add-one smoothing comes along as a base line. The
 most frequent words (COMMON at most) are broadcast; rarer ones meet their
@@ -24,7 +29,7 @@ counts in a join.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -32,11 +37,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forestjobs.llm.common import UPPER_TO_LOWER, crc_mod, portions, scramble, settle, table, texts, whole_groups, word_bounds, word_hashes
+from forestjobs.llm.common import UPPER_TO_LOWER, crc_mod, portions, settle, table, texts, whole_groups, word_bounds, word_hashes
 
 ORDERS = (2, 3, 5)
-BLOCK_BITS = 12
-SLOTS = 1 << (2 * BLOCK_BITS)
+SHORT, LONG = ORDERS[0], ORDERS[1:]
+SLOTS = 1 << (8 * SHORT + 8)  # one for each (two bytes, bits so far)
+CHUNK = 1 << 17  # rows that meet at once
+GROUP = 8 << 20  # bytes of the texts that ask together
 COMMON = 1 << 20
 TUNE_ONE_IN = 8
 PORTION = 2 << 20
@@ -107,10 +114,10 @@ def words_of(part: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def corpus_counts(train: DataFrame) -> DataFrame:
-    """(kind, key, n): words (kind 0) of all texts, byte n-grams (kind 1) of those that fill the tables."""
+    """(kind, key, n): words (kind 0) of all texts, byte n-grams of those that give the counts (kind 1) and of the others (kind 2)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list] = [[], []]
+        held: list[list] = [[], [], []]
 
         def out(kind: int) -> pa.RecordBatch:
             keys, n = merged(held[kind])
@@ -121,13 +128,14 @@ def corpus_counts(train: DataFrame) -> DataFrame:
             tune = batch.column("tune").to_numpy(zero_copy_only=False)
             for i, part in portions(texts(batch, "text"), PORTION):
                 held[0].append(np.unique(words_of(part)[0], return_counts=True))
-                fill = [t for t, later in zip(part, tune[i : i + len(part)]) if not later]
-                if fill:
-                    held[1].append(np.unique(byte_grams(fill)[0], return_counts=True))
-                for kind in (0, 1):
+                for kind in (1, 2):
+                    mine = [t for t, later in zip(part, tune[i : i + len(part)]) if bool(later) == (kind == 2)]
+                    if mine:
+                        held[kind].append(np.unique(byte_grams(mine)[0], return_counts=True))
+                for kind in (0, 1, 2):
                     if sum(len(k) for k, _ in held[kind]) > 4_000_000:
                         yield out(kind)
-        for kind in (0, 1):
+        for kind in (0, 1, 2):
             if held[kind]:
                 yield out(kind)
 
@@ -135,20 +143,6 @@ def corpus_counts(train: DataFrame) -> DataFrame:
     return rows.groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
-def _context(key: np.ndarray, order: int) -> np.ndarray:
-    """A hash of the last ``order`` bytes before the byte of each key."""
-    return scramble(((key >> np.uint64(8)) & np.uint64((1 << (8 * order)) - 1)) * np.uint64(8) + np.uint64(order), 81)
-
-
-def _node(context: np.ndarray, node: np.ndarray) -> np.ndarray:
-    """The slot within the context's block of a bit position (with the bits before it).
-
-    The context is mixed already, so one multiplication spreads the positions.
-    """
-    spread = (context ^ (node * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xD6E8FEB86659FD93)
-    return (spread >> np.uint64(64 - BLOCK_BITS)).view(np.int64)
-
-
 def _bits(byte: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each bit of bytes, the highest first: (bits before it with a leading one, the bit)."""
     byte = byte.astype(np.int64)
@@ -164,61 +158,130 @@ def squash(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-z))
 
 
-def fill_tables(grams: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Logit and confidence bytes of all slots from (key, n)."""
+def _logit_bytes(zero: np.ndarray, one: np.ndarray) -> np.ndarray:
+    return np.clip(np.round((stretch((one + 0.05) / (zero + one + 0.1)) + 8) * 16), 0, 255).astype(np.uint8)
 
-    def lower(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            key, n = batch.column("key").to_numpy().view(np.uint64), batch.column("n").to_numpy()
-            for order in ORDERS:
-                k, c = merged([(key & np.uint64((1 << (8 * order + 8)) - 1), n)])
-                block = (_context(k, order) >> np.uint64(64 - BLOCK_BITS)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(np.full(len(k), order, np.int32)), pa.array(k.view(np.int64)), pa.array(c)], ["block", "order", "key", "n"])
-
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in whole_groups(batches, "block"):
-            block = group["block"].to_numpy()
-            names, at = np.unique(block, return_inverse=True)
-            key, order, n = group["key"].to_numpy().view(np.uint64), group["order"].to_numpy(), group["n"].to_numpy()
-            zero, one = (np.zeros(len(names) << BLOCK_BITS) for _ in range(2))
-            for o in ORDERS:
-                mine = order == o
-                context, count = _context(key[mine], o), n[mine]
-                for node, bit in _bits(key[mine] & np.uint64(255)):
-                    slot = (at[mine] << BLOCK_BITS) + _node(context, node.astype(np.uint64))
-                    zero += np.bincount(slot, count * (1 - bit), len(zero))
-                    one += np.bincount(slot, count * bit, len(one))
-            logit = np.clip(np.round((stretch((one + 0.05) / (zero + one + 0.1)) + 8) * 16), 0, 255).astype(np.uint8).reshape(len(names), -1)
-            seen = np.minimum(zero + one, 255).astype(np.uint8).reshape(len(names), -1)
-            yield pa.RecordBatch.from_arrays([pa.array(names.astype(np.int32)), pa.array([x.tobytes() for x in logit], pa.binary()), pa.array([x.tobytes() for x in seen], pa.binary())], ["block", "logit", "seen"])
-
-    rows = grams.select("key", "n").mapInArrow(lower, "block int, order int, key long, n long")
-    rows = rows.groupBy("block", "order", "key").agg(F.sum("n").alias("n"))
-    filled = rows.repartition("block").sortWithinPartitions("block").mapInArrow(fill, "block int, logit binary, seen binary")
-    logit, seen = np.full(SLOTS, 128, np.uint8), np.zeros(SLOTS, np.uint8)
-    for r in filled.toLocalIterator():  # SLOTS slots of 2 bytes in all
-        at = slice(r["block"] << BLOCK_BITS, (r["block"] + 1) << BLOCK_BITS)
-        logit[at], seen[at] = np.frombuffer(r["logit"], np.uint8), np.frombuffer(r["seen"], np.uint8)
+
+def short_tables(grams: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Logit and confidence bytes of what followed SHORT bytes, from (key, n)."""
+    rows = grams.groupBy(F.col("key").bitwiseAND(SLOTS - 1).alias("key")).agg(F.sum("n").alias("n")).toArrow()  # SLOTS rows at most, however large the corpus
+    key, n = rows["key"].to_numpy(), rows["n"].to_numpy().astype(float)
+    zero, one = np.zeros(SLOTS), np.zeros(SLOTS)
+    for node, bit in _bits(key & 255):
+        slot = (key >> 8 << 8) + node
+        np.add.at(zero, slot, n * (1 - bit))
+        np.add.at(one, slot, n * bit)
+    return _logit_bytes(zero, one), np.minimum(zero + one, 255).astype(np.uint8)
+
+
+def long_states(key: np.ndarray, n: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Logit and confidence bytes (asked gram, order, bit) of what followed the LONG contexts.
+
+    key and n have all grams of the contexts that are asked for.
+    """
+    logit, seen = (np.zeros((len(asked), len(LONG), 8), np.uint8) for _ in range(2))
+    for i, order in enumerate(LONG):
+        mask = np.uint64((1 << (8 * order + 8)) - 1)
+        have, count = merged([(key & mask, n)])
+        below = np.concatenate(([0], np.cumsum(count)))
+        want, place = np.unique(asked & mask, return_inverse=True)
+        low = want & ~np.uint64(255)
+        at, end = below[np.searchsorted(have, low)], below[np.searchsorted(have, low + np.uint64(256))]
+        for j, (_, bit) in enumerate(_bits(want & np.uint64(255))):
+            half = np.uint64(1 << (7 - j))
+            middle = below[np.searchsorted(have, low + half)]
+            zero, one = middle - at, end - middle
+            logit[:, i, j] = _logit_bytes(zero, one)[place]
+            seen[:, i, j] = np.minimum(zero + one, 255).astype(np.uint8)[place]
+            low = np.where(bit == 1, low + half, low)
+            at, end = np.where(bit == 1, middle, at), np.where(bit == 1, end, middle)
     return logit, seen
 
 
+def meet(grams: DataFrame, asked: DataFrame, use: Callable[..., Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``use(group, n, distinct, place, logit, seen)`` of asked grams (group, key, n) with the counts (key, n) of their contexts."""
+    context = F.shiftright("key", 8).bitwiseAND(0xFFFFFF).cast("int")
+    rows = grams.select(F.lit(-1).cast("long").alias("group"), "key", "n").union(asked.select("group", "key", "n")).withColumn("context", context)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def answer(held: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+            rows = pa.concat_tables(held)
+            group, key, n = rows["group"].to_numpy(), rows["key"].to_numpy().view(np.uint64), rows["n"].to_numpy()
+            mine = group >= 0
+            if mine.any():
+                distinct, place = np.unique(key[mine], return_inverse=True)
+                yield from use(group[mine], n[mine], distinct, place, *long_states(key[~mine], n[~mine], distinct))
+
+        held: list[pa.Table] = []
+        for whole in whole_groups(batches, "context"):
+            held.append(whole)
+            if sum(t.num_rows for t in held) >= CHUNK:
+                yield from answer(held)
+                held = []
+        if held:
+            yield from answer(held)
+
+    return rows.repartition("context").sortWithinPartitions("context").mapInArrow(run, schema)
+
+
+def tune_states(grams: DataFrame, tune: DataFrame) -> DataFrame:
+    """(key, n, logit, seen) of the distinct grams that weights and refinement are learned on."""
+
+    def use(group, n, distinct, place, logit, seen):
+        total = np.bincount(place, n, len(distinct)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(distinct.view(np.int64)), pa.array(total), pa.array([x.tobytes() for x in logit], pa.binary()), pa.array([x.tobytes() for x in seen], pa.binary())], ["key", "n", "logit", "seen"])
+
+    return meet(grams, tune.withColumn("group", F.lit(0).cast("long")), use, "key long, n long, logit binary, seen binary")
+
+
+def _states(batches: Iterator[pa.RecordBatch], most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]]:
+    """Keys, counts and long states of many rows at once."""
+    held: list[pa.RecordBatch] = []
+
+    def out():
+        t = pa.Table.from_batches(held)
+        both = tuple(np.frombuffer(b"".join(t[c].to_pylist()), np.uint8).reshape(t.num_rows, len(LONG), 8) for c in ("logit", "seen"))
+        return t["key"].to_numpy().view(np.uint64), t["n"].to_numpy().astype(float), both
+
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= most:
+            yield out()
+            held = []
+    if sum(b.num_rows for b in held):
+        yield out()
+
+
 @dataclass
 class Model:
-    """Tables, mixing weights and refinement."""
+    """Tables of the short context, mixing weights and refinement."""
 
     logit: np.ndarray
     seen: np.ndarray
     weights: np.ndarray = field(default_factory=lambda: np.concatenate([np.full((GATES, len(ORDERS)), 0.3), np.zeros((GATES, 1))], 1))
     refined: np.ndarray | None = None  # (256, LEVELS) probabilities
 
-    def inputs(self, context: list[np.ndarray], node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Logits of all orders and a constant, and the gate."""
-        x = np.empty((len(node), len(ORDERS) + 1), np.float32)
+    def __getstate__(self):
+        """Only contexts that were seen are sent."""
+        logit, seen = (a.reshape(-1, 256) for a in (self.logit, self.seen))
+        used = np.flatnonzero(seen.any(1))
+        return used, logit[used], seen[used], self.weights, self.refined
+
+    def __setstate__(self, state):
+        used, logit, seen, self.weights, self.refined = state
+        self.logit, self.seen = np.zeros(SLOTS, np.uint8), np.zeros(SLOTS, np.uint8)
+        self.logit.reshape(-1, 256)[used], self.seen.reshape(-1, 256)[used] = logit, seen
+
+    def inputs(self, keys: np.ndarray, bit: int, node: np.ndarray, longer: tuple[np.ndarray, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray]:
+        """Logits of all orders and a constant, and the gate; without ``longer`` only the short context is known."""
+        x = np.zeros((len(node), len(ORDERS) + 1), np.float32)
         gate = np.zeros(len(node), np.int64)
-        for i, c in enumerate(context):
-            at = ((c >> np.uint64(64 - BLOCK_BITS)) << np.uint64(BLOCK_BITS)).view(np.int64) + _node(c, node)
-            seen = self.seen[at]
-            x[:, i] = np.where(seen > 0, self.logit[at] / np.float32(16) - 8, 0)
+        at = ((keys & np.uint64(SLOTS - 256)).view(np.int64)) + node
+        known = [(self.logit[at], self.seen[at])]
+        if longer is not None:
+            known += [(longer[0][:, i, bit], longer[1][:, i, bit]) for i in range(len(LONG))]
+        for i, (logit, seen) in enumerate(known):
+            x[:, i] = np.where(seen > 0, logit / np.float32(16) - 8, 0)
             gate = np.where(seen > 0, (i + 1) * 4 + _FEW[seen], gate)
         x[:, -1] = 0.3
         return x, gate
@@ -235,14 +298,14 @@ class Model:
             p = (p + self.refined[row, low] * (1 - part) + self.refined[row, low + 1] * part) / 2
         return np.clip(p, 1e-6, 1 - 1e-6)
 
-    def score(self, keys: np.ndarray) -> np.ndarray:
+    def score(self, keys: np.ndarray, longer: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
         """log10 probability of the byte of each key after its context."""
         out = np.zeros(len(keys))
         for a in range(0, len(keys), STEP):
             some, sums = keys[a : a + STEP], out[a : a + STEP]
-            context = [_context(some, o) for o in ORDERS]
-            for node, bit in _bits(some & np.uint64(255)):
-                p = self.refine(node, self.mixed(*self.inputs(context, node.astype(np.uint64))))
+            known = longer and tuple(s[a : a + STEP] for s in longer)
+            for j, (node, bit) in enumerate(_bits(some & np.uint64(255))):
+                p = self.refine(node, self.mixed(*self.inputs(some, j, node, known)))
                 sums += np.log10(np.where(bit == 1, p, 1 - p))
         return out
 
@@ -253,7 +316,7 @@ def _levels(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return low, place - low
 
 
-def learn_weights(tune: DataFrame, model: Model, batch_size: int = 4096, rate: float = 0.05) -> np.ndarray:
+def learn_weights(tune: DataFrame, model: Model, batch_size: int = 1024, passes: int = 2, rate: float = 0.05) -> np.ndarray:
     """Weights learned online in each task, averaged by the bytes seen under each gate."""
     shared = tune.sparkSession.sparkContext.broadcast(model)
 
@@ -261,18 +324,17 @@ def learn_weights(tune: DataFrame, model: Model, batch_size: int = 4096, rate: f
         m = Model(shared.value.logit, shared.value.seen)
         square, seen = np.full(m.weights.shape, 1e-3), np.zeros(GATES)
         rng = np.random.default_rng(9)
-        for batch in batches:
-            for _, part in portions(texts(batch, "text"), PORTION):
-                keys, n = np.unique(byte_grams(part)[0], return_counts=True)
+        for keys, n, states in _states(batches):
+            for _ in range(passes):
                 order = rng.permutation(len(keys))
                 for i in range(0, len(order), batch_size):
-                    k, c = keys[order[i : i + batch_size]], n[order[i : i + batch_size]].astype(float)
-                    context = [_context(k, o) for o in ORDERS]
-                    for node, bit in _bits(k & np.uint64(255)):
-                        x, gate = m.inputs(context, node.astype(np.uint64))
+                    some = order[i : i + batch_size]
+                    k, c, known = keys[some], n[some], tuple(s[some] for s in states)
+                    for j, (node, bit) in enumerate(_bits(k & np.uint64(255))):
+                        x, gate = m.inputs(k, j, node, known)
                         error = (bit - squash(m.mixed(x, gate))) * c
                         total = np.bincount(gate, c, GATES)
-                        step = np.stack([np.bincount(gate, error * x[:, j], GATES) for j in range(x.shape[1])], 1) / np.maximum(total, 1)[:, None]
+                        step = np.stack([np.bincount(gate, error * x[:, f], GATES) for f in range(x.shape[1])], 1) / np.maximum(total, 1)[:, None]
                         square += step * step
                         m.weights += rate * step / np.sqrt(square)
                         seen += total
@@ -280,7 +342,7 @@ def learn_weights(tune: DataFrame, model: Model, batch_size: int = 4096, rate: f
         share = np.repeat(seen, m.weights.shape[1])
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat), pa.array(share)], ["i", "wn", "n"])
 
-    sums = tune.select("text").mapInArrow(run, "i long, wn double, n double").groupBy("i").agg(F.sum("wn").alias("wn"), F.sum("n").alias("n"))
+    sums = tune.mapInArrow(run, "i long, wn double, n double").groupBy("i").agg(F.sum("wn").alias("wn"), F.sum("n").alias("n"))
     out = model.weights.copy().ravel()
     for r in sums.collect():  # one row for each weight
         if r["n"]:
@@ -295,22 +357,19 @@ def learn_refinement(tune: DataFrame, model: Model) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         ones, total = np.zeros(256 * LEVELS), np.zeros(256 * LEVELS)
-        for batch in batches:
-            for _, part in portions(texts(batch, "text"), PORTION):
-                keys, counts = np.unique(byte_grams(part)[0], return_counts=True)
-                for a in range(0, len(keys), STEP):
-                    k, c = keys[a : a + STEP], counts[a : a + STEP]
-                    context = [_context(k, o) for o in ORDERS]
-                    for node, bit in _bits(k & np.uint64(255)):
-                        low, rest = _levels(m.mixed(*m.inputs(context, node.astype(np.uint64))))
-                        for at, share in ((low, 1 - rest), (low + 1, rest)):
-                            cell = node * LEVELS + at
-                            ones += np.bincount(cell, c * share * bit, len(ones))
-                            total += np.bincount(cell, c * share, len(total))
+        for keys, n, states in _states(batches):
+            for a in range(0, len(keys), STEP):
+                k, c, known = keys[a : a + STEP], n[a : a + STEP], tuple(s[a : a + STEP] for s in states)
+                for j, (node, bit) in enumerate(_bits(k & np.uint64(255))):
+                    low, rest = _levels(m.mixed(*m.inputs(k, j, node, known)))
+                    for at, share in ((low, 1 - rest), (low + 1, rest)):
+                        cell = node * LEVELS + at
+                        ones += np.bincount(cell, c * share * bit, len(ones))
+                        total += np.bincount(cell, c * share, len(total))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(ones[at]), pa.array(total[at])], ["cell", "ones", "total"])
 
-    sums = tune.select("text").mapInArrow(run, "cell long, ones double, total double").groupBy("cell").agg(F.sum("ones").alias("ones"), F.sum("total").alias("total"))
+    sums = tune.mapInArrow(run, "cell long, ones double, total double").groupBy("cell").agg(F.sum("ones").alias("ones"), F.sum("total").alias("total"))
     prior = np.tile(squash((np.arange(LEVELS) * 16 / (LEVELS - 1)) - 8), 256)
     ones, total = prior * 20, np.full(256 * LEVELS, 20.0)
     for r in sums.collect():  # 256 * LEVELS rows at most
@@ -319,6 +378,27 @@ def learn_refinement(tune: DataFrame, model: Model) -> np.ndarray:
     return (ones / total).reshape(256, LEVELS)
 
 
+def gram_scores(texts_by_group: DataFrame, grams: DataFrame, model: Model) -> DataFrame:
+    """(group, keys, logs): scores of the distinct grams of each group of texts, packed."""
+    shared = grams.sparkSession.sparkContext.broadcast(model)
+
+    def ask(key: tuple, rows: pa.Table) -> pa.Table:
+        parts = [np.unique(byte_grams(part)[0]) for _, part in portions(texts(rows, "text"), PORTION)]
+        keys = np.unique(np.concatenate(parts))
+        return pa.table({"group": np.full(len(keys), key[0].as_py(), np.int64), "key": keys.view(np.int64), "n": np.zeros(len(keys), np.int64)})
+
+    def use(group, n, distinct, place, logit, seen):
+        logs = shared.value.score(distinct, (logit, seen)).astype(np.float32)
+        order = np.argsort(group, kind="stable")
+        names, first = np.unique(group[order], return_index=True)
+        ends = np.append(first[1:], len(order))
+        packed = [[v[place[order[a:b]]].tobytes() for a, b in zip(first, ends)] for v in (distinct, logs)]
+        yield pa.RecordBatch.from_arrays([pa.array(names), *[pa.array(v, pa.binary()) for v in packed]], ["group", "keys", "logs"])
+
+    asked = texts_by_group.groupBy("group").applyInArrow(ask, "group long, key long, n long")
+    return meet(grams, asked, use, "group long, keys binary, logs binary")
+
+
 def common_words(words: DataFrame, most: int = COMMON) -> tuple[DataFrame, DataFrame]:
     """Words whose count is so high that there are at most ``most`` of them, and the others."""
     bins = words.groupBy(F.floor(F.log2("n") * 16).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("words"), F.min("n").alias("least")).collect()  # 16 for each doubling
@@ -348,8 +428,9 @@ def lm_scores(docs: DataFrame, train: DataFrame) -> DataFrame:
     ends = train.count()
     total, types = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     total, types = total + ends, types + (ends > 0)
-    model = Model(*fill_tables(counts.filter("kind = 1")))
-    tune = train.filter("tune")
+    grams = counts.filter("kind = 1").select("key", "n")
+    model = Model(*short_tables(grams))
+    tune = settle(tune_states(grams, counts.filter("kind = 2").select("key", "n")), "tune")
     model.weights = learn_weights(tune, model)
     model.refined = learn_refinement(tune, model)
     common, rare = common_words(words)
@@ -357,35 +438,42 @@ def lm_scores(docs: DataFrame, train: DataFrame) -> DataFrame:
     keys = got["key"].to_numpy().view(np.uint64)
     order = np.argsort(keys)
     value = np.log10(got["n"].to_numpy()[order] + 1.0)
-    shared = docs.sparkSession.sparkContext.broadcast((model, keys[order], value))
+    shared = docs.sparkSession.sparkContext.broadcast((keys[order], value))
     end_value = float(np.log10(ends + 1.0))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, common_keys, values = shared.value
-        index = Index(common_keys)
-        for batch in batches:
-            n_tokens, n_known, base, others, score, size = [], [], [], [], [], []
-            for _, part in portions(texts(batch, "text"), PORTION):
-                h, first = words_of(part)
-                at, good = index.find(h)
-                known = np.concatenate(([0], np.cumsum(good)))
-                sums = np.concatenate(([0.0], np.cumsum(np.where(good, values[at] if len(values) else 0.0, 0.0))))
-                keys, begin = byte_grams(part)
-                distinct = np.unique(keys)
-                logs = m.score(distinct)[Index(distinct).find(keys)[0]]
-                score.append(np.add.reduceat(logs, begin))
-                unknown, left = h[~good].view(np.int64), np.cumsum(np.concatenate(([0], ~good)))
-                others += [unknown[left[a] : left[b]] for a, b in zip(first[:-1], first[1:])]
-                n_tokens.append(np.diff(first) + 1), n_known.append(np.diff(known[first]) + (ends > 0)), base.append(np.diff(sums[first]) + end_value)
-                size.append(np.array([len(t) + 1 for t in part]))
-            flat = [np.concatenate(x) if x else np.zeros(0) for x in (n_tokens, n_known, base, score, size)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(flat[0].astype(np.int64)), pa.array(flat[1].astype(np.int64)), pa.array(flat[2]), pa.array(others, pa.list_(pa.int64())), pa.array(flat[3]), pa.array(flat[4].astype(np.int64))],
-                ["doc_id", "n_tokens", "known", "base", "others", "score", "size"],
-            )
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    groups = int(size) // GROUP + 1
+    dealt = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).alias("group"), "doc_id", "text")
+    kept: dict[str, Index] = {}  # one for each task
+
+    def run(rows: pa.Table, scores: pa.Table) -> pa.Table:
+        common_keys, values = shared.value
+        if not kept:
+            kept["index"] = Index(common_keys)
+        index = kept["index"]
+        found = np.concatenate([np.frombuffer(x, np.uint64) for x in scores["keys"].to_pylist()])
+        order = np.argsort(found)
+        gram_index, logs_of = Index(found[order]), np.concatenate([np.frombuffer(x, np.float32) for x in scores["logs"].to_pylist()])[order].astype(float)
+        n_tokens, n_known, base, others, score, size = [], [], [], [], [], []
+        for _, part in portions(texts(rows, "text"), PORTION):
+            h, first = words_of(part)
+            at, good = index.find(h)
+            known = np.concatenate(([0], np.cumsum(good)))
+            sums = np.concatenate(([0.0], np.cumsum(np.where(good, values[at] if len(values) else 0.0, 0.0))))
+            keys, begin = byte_grams(part)
+            score.append(np.add.reduceat(logs_of[gram_index.find(keys)[0]], begin))
+            unknown, left = h[~good].view(np.int64), np.cumsum(np.concatenate(([0], ~good)))
+            others += [unknown[left[a] : left[b]] for a, b in zip(first[:-1], first[1:])]
+            n_tokens.append(np.diff(first) + 1), n_known.append(np.diff(known[first]) + (ends > 0)), base.append(np.diff(sums[first]) + end_value)
+            size.append(np.array([len(t) + 1 for t in part]))
+        flat = [np.concatenate(x) if x else np.zeros(0) for x in (n_tokens, n_known, base, score, size)]
+        return pa.Table.from_arrays(
+            [rows["doc_id"], pa.array(flat[0].astype(np.int64)), pa.array(flat[1].astype(np.int64)), pa.array(flat[2]), pa.array(others, pa.list_(pa.int64())), pa.array(flat[3]), pa.array(flat[4].astype(np.int64))],
+            ["doc_id", "n_tokens", "known", "base", "others", "score", "size"],
+        )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, known long, base double, others array<long>, score double, size long")
+    met_again = dealt.groupBy("group").cogroup(gram_scores(dealt, grams, model).groupBy("group"))
+    scored = met_again.applyInArrow(run, f"doc_id {kind}, n_tokens long, known long, base double, others array<long>, score double, size long")
     scored = settle(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
     met = scored.select("row", F.explode("others").alias("key")).join(rare, "key")
     more = met.groupBy("row").agg(F.count(F.lit(1)).alias("met"), F.sum(F.log10(F.col("n") + 1.0)).alias("met_base"))
