@@ -1,11 +1,11 @@
 """Secret scans: fixed patterns plus sliding-window entropy.
 
 Besides the three base patterns, long runs of key-like characters are searched
-for stretches that look random. Each candidate has a character class (hex
-digits, or letters with digits); a window slides over it, the counts of its
-characters are kept up to date by one step in and one step out, and with them
-the Shannon entropy of the window. Windows above the class's threshold are
-joined into one span. An allow-list takes out strings that are long and mixed
+for stretches that look random. A window slides over each candidate; the counts
+of its characters are kept up to date by one step in and one step out, and with
+them the Shannon entropy of the window and its character class (hex digits,
+letters with digits, or letters alone). Windows above their own class's
+threshold are joined into one span. An allow-list takes out strings that are long and mixed
 but known: UUIDs, file paths, dates, version numbers and placeholders.
 """
 
@@ -28,15 +28,19 @@ ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 KINDS = ("assign", "access", "hex", "entropy")
 WINDOW = 20
 #: Bits a character over a window of 20; random strings of the class lie above.
-THRESHOLDS = {"hex": 3.0, "mixed": 3.6}
+THRESHOLDS = {"hex": 3.0, "mixed": 3.6, "letters": 3.7}
+#: A window of letters has so many of either case at least; words and names have fewer.
+CASES = WINDOW // 4
 ALLOW = (
     rb"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}",
-    rb"[A-Za-z_-]*\d{1,6}",
+    rb"[A-Za-z_-]*\d{1,6}",  # unless the letters look random
     rb"\d[\d_/-]*",
     rb"(?i:.*(example|placeholder|changeme|xxxx|0123456789|abcdefgh).*)",
     rb"([A-Za-z_-]+\d{0,4}/)+[A-Za-z_-]*\d{0,4}",
 )
 
+ENDS = re.compile(rb"[A-Za-z_-]+\d{1,6}")
+
 
 def _members(chars: bytes) -> np.ndarray:
     out = np.zeros(256, bool)
@@ -62,10 +66,13 @@ def runs(buf: np.ndarray, members: np.ndarray, least: int) -> tuple[np.ndarray,
 
 
 def entropy_spans(word: bytes, window: int = WINDOW, thresholds=THRESHOLDS) -> list[tuple[int, int]]:
-    """Stretches of a candidate whose windows are above their class's threshold."""
+    """Stretches of a candidate whose windows are above the threshold of their own class.
+
+    Windows of digits alone are numbers.
+    """
     if len(word) < window:
         return []
-    limit = thresholds["hex" if _HEXLIKE.issuperset(word) else "mixed"]
+    hexes = digits = upper = lower = 0  # in the window
     plogp = [0.0] + [c * math.log2(c) for c in range(1, window + 2)]  # one steps in before one steps out
     counts: dict[int, int] = {}
     total = 0.0  # sum of c * log2(c) over the characters in the window
@@ -74,12 +81,23 @@ def entropy_spans(word: bytes, window: int = WINDOW, thresholds=THRESHOLDS) -> l
         n = counts.get(c, 0)
         total += plogp[n + 1] - plogp[n]
         counts[c] = n + 1
+        hexes += c in _HEXLIKE
+        digits += c in DIGITS
+        upper += 65 <= c <= 90
+        lower += c >= 97
         if i >= window:
             gone = word[i - window]
             n = counts[gone]
             total += plogp[n - 1] - plogp[n]
             counts[gone] = n - 1
-        if i >= window - 1 and math.log2(window) - total / window >= limit:
+            hexes -= gone in _HEXLIKE
+            digits -= gone in DIGITS
+            upper -= 65 <= gone <= 90
+            lower -= gone >= 97
+        if i < window - 1 or digits == window or not digits and hexes < window and min(upper, lower) < CASES:
+            continue
+        limit = thresholds["hex" if hexes == window else "mixed" if digits else "letters"]
+        if math.log2(window) - total / window >= limit:
             start = i - window + 1
             if spans and start <= spans[-1][1]:
                 spans[-1][1] = i + 1
@@ -111,14 +129,14 @@ def scan(data: bytes, window: int = WINDOW, thresholds=THRESHOLDS, allow=ALLOW)
     if len(start):
         bounds = np.stack([start, np.minimum(end, len(buf) - 1)], 1).ravel()
         digits = np.add.reduceat(_DIGIT[buf].astype(np.int32), bounds)[::2] + ((end == len(buf)) & _DIGIT[buf[-1]])
-        mixed = (digits > 0) & (digits < end - start)
+        mixed = digits < end - start
         known = re.compile(b"|".join(b"(?:" + a + b")" for a in allow)) if allow else None
         base = sorted((s, e) for s, _, e in found)
         starts = [s for s, _ in base]
         reach = list(np.maximum.accumulate([e for _, e in base])) if base else []
         for s, e in zip(start[mixed].tolist(), end[mixed].tolist()):
             word = data[s:e]
-            if known and known.fullmatch(word):
+            if known and known.fullmatch(word) and not (ENDS.fullmatch(word) and entropy_spans(word.rstrip(DIGITS), window, thresholds)):
                 continue
             for a, b in entropy_spans(word, window, thresholds):
                 before = int(np.searchsorted(starts, s + b))

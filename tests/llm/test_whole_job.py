@@ -1,12 +1,14 @@
 """That the text operators keep nothing less than the whole job needs."""
 
 import collections
+import random
+import string
 
 import numpy as np
 import pytest
 
 from conftest import SMALL
-from forestjobs.llm import lm_scoring
+from forestjobs.llm import lm_scoring, secrets
 
 
 def test_long_contexts_never_share_a_place():
@@ -37,3 +39,16 @@ def test_scores_of_texts_do_not_depend_on_their_portion(spark, monkeypatch):
     monkeypatch.setattr(lm_scoring, "GROUP", 20_000)
     got = {r["doc_id"]: r["score"] for r in lm_scoring.lm_scores(docs, docs).collect()}
     assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], rel=1e-5) for i in want)
+
+
+@pytest.mark.parametrize("lead,chars,n,missed", [("v1/", "0123456789ABCDEF", 32, 0.01), ("id_", "0123456789ABCDEF", 32, 0.01), ("v1/", "0123456789ABCDEF", 20, 0.06), ("", string.ascii_letters, 32, 0.1)])
+def test_a_window_has_its_own_class(lead, chars, n, missed):
+    r = random.Random(2)
+    keys = [lead + "".join(r.choice(chars) for _ in range(n)) for _ in range(1000)]
+    found = [any(kind == 3 for _, kind, _ in secrets.scan(f"see {k} there".encode())) for k in keys]
+    assert sum(found) >= (1 - missed) * len(keys)
+
+
+def test_letters_of_words_are_no_keys():
+    for word in ("internationalizationOfConfigurations2", "get_user_account_balance_from_history", "well-known-and-state-of-the-art-methods", "https-server/with/path/names/only", "2024-11-28_2024-11-29_00"):
+        assert not [x for x in secrets.scan(f"see {word} there".encode()) if x[1] == 3]
