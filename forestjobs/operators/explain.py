@@ -68,12 +68,13 @@ def rank_features(importance: DataFrame, epsilon: float = 1e-12) -> DataFrame:
 def pca3(df: DataFrame, features: Sequence[str], row_id: str, sample: int = 2000, seed: int = 42) -> DataFrame:
     """(row_id, pc1, pc2, pc3) of a sample, features standardised (those without spread stay 0).
 
-    The sign of a component is such that its largest loading is positive.
+    Means, spreads and components are those of all rows; only the rows that are returned are sampled. The sign of a component is such that its largest loading is positive.
     """
-    rows = sample_rows(df, row_id, sample, seed)
-    rows = VectorAssembler(inputCols=list(features), outputCol="v").transform(rows)
-    rows = StandardScaler(inputCol="v", outputCol="s", withMean=True, withStd=True).fit(rows).transform(rows)
-    model = PCA(k=min(3, len(features)), inputCol="s", outputCol="c").fit(rows)
+    vectors = VectorAssembler(inputCols=list(features), outputCol="v")
+    every = vectors.transform(df)
+    scaler = StandardScaler(inputCol="v", outputCol="s", withMean=True, withStd=True).fit(every)
+    model = PCA(k=min(3, len(features)), inputCol="s", outputCol="c").fit(scaler.transform(every))
+    rows = scaler.transform(vectors.transform(sample_rows(df, row_id, sample, seed)))
     load = model.pc.toArray()
     signs = np.sign(load[np.abs(load).argmax(axis=0), np.arange(load.shape[1])])
     c = vector_to_array("c")

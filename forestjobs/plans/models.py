@@ -13,6 +13,7 @@ from forestjobs.plans.tables import FEATURES, LINES_SQL, lines, table
 from forestjobs.sources import models as files
 from forestjobs.sources.delimited import vector_source
 
+WIDTH = 64  # elements of embeddings.embedding
 PARAMS = boost.Params(trees=3, depth=2, lr=0.3, early_stop=False)
 
 
@@ -45,9 +46,9 @@ def m_train_binary(spark, d):
 
 
 def m_train_multiclass(spark, d):
-    rows = vector_source(table(spark, d, "embeddings"), "embedding", 16, ("vec_id", "label")).withColumnRenamed("label", "y")
+    rows = vector_source(table(spark, d, "embeddings"), "embedding", WIDTH, ("vec_id", "label")).withColumnRenamed("label", "y")
     rows = split.stratified_split(rows, "vec_id", "y")
-    return _curve(spark, boost.train_multiclass(rows, [f"f{i}" for i in range(16)], 10, boost.Params(trees=2, depth=2, lr=0.3, early_stop=False)))
+    return _curve(spark, boost.train_multiclass(rows, [f"f{i}" for i in range(WIDTH)], 10, boost.Params(trees=2, depth=2, lr=0.3, early_stop=False)))
 
 
 def m_train_multilabel(spark, d):
@@ -68,8 +69,8 @@ def m_importance(spark, d):
 
 
 def m_pca(spark, d):
-    rows = vector_source(table(spark, d, "embeddings"), "embedding", 16, ("vec_id",))
-    return explain.pca3(rows, [f"f{i}" for i in range(16)], "vec_id", 1000)
+    rows = vector_source(table(spark, d, "embeddings"), "embedding", WIDTH, ("vec_id",))
+    return explain.pca3(rows, [f"f{i}" for i in range(WIDTH)], "vec_id")
 
 
 def m_scatter(spark, d):
