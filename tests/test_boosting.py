@@ -7,9 +7,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from forestjobs.operators import boost, evaluate, predict, split
-from forestjobs.operators.model import add_trees, from_tables
-from forestjobs.sources import models as files
+from tilework.operators import boost, evaluate, predict, split
+from tilework.operators.model import add_trees, from_tables
+from tilework.sources import models as files
 
 MAX = 2147483647
 
@@ -27,8 +27,8 @@ def rows(spark):
 FS = ["a", "b", "still", "c"]
 
 
-def shape(forest):
-    return [[(t.feat.tolist(), t.thr.tolist(), t.leaf.tolist()) for t in trees] for trees in forest.trees]
+def shape(ensemble):
+    return [[(t.feat.tolist(), t.thr.tolist(), t.leaf.tolist()) for t in trees] for trees in ensemble.trees]
 
 
 def plain_regression(pdf, p):
@@ -93,7 +93,7 @@ def test_trees_equal_a_plain_trainer_for_any_partitioning(spark, rows):
     plain = plain_regression(rows.toPandas(), p)
     for n in (1, 3, 16):
         run = boost.train_regression(rows.repartition(n), FS, p)
-        assert shape(run.forest)[0] == plain
+        assert shape(run.ensemble)[0] == plain
 
 
 @pytest.mark.parametrize("task", ["binary", "multiclass", "multilabel"])
@@ -109,32 +109,32 @@ def test_classifiers_do_not_depend_on_partitions(rows, task):
         df = df.withColumn("target", F.array("target", (F.col("b") > 0).cast("int")))
         fit = lambda d: boost.train_multilabel(d, FS, 2, p, y="target")
     runs = [fit(df.repartition(n)) for n in (1, 5)]
-    assert shape(runs[0].forest) == shape(runs[1].forest)
+    assert shape(runs[0].ensemble) == shape(runs[1].ensemble)
     first = [v for s, part, m, v in runs[0].curve if part == "train" and m == "logloss"]
     assert first == sorted(first, reverse=True)
 
 
 def test_model_bytes_round_trip(spark, rows):
-    forest = boost.train_regression(rows, FS, boost.Params(trees=2, depth=2, early_stop=False)).forest
-    again, rest = files.decode(files.encode(forest) + b"tail")
-    assert shape(again) == shape(forest) and rest == b"tail"
-    head, trees = forest.tables(spark)
-    assert shape(from_tables(head, trees)["model"]) == shape(forest)
-    for bad in (b"", b"XXXX" + b"\0" * 40, files.encode(forest)[:-1]):
+    ensemble = boost.train_regression(rows, FS, boost.Params(trees=2, depth=2, early_stop=False)).ensemble
+    again, rest = files.decode(files.encode(ensemble) + b"tail")
+    assert shape(again) == shape(ensemble) and rest == b"tail"
+    head, trees = ensemble.tables(spark)
+    assert shape(from_tables(head, trees)["model"]) == shape(ensemble)
+    for bad in (b"", b"XXXX" + b"\0" * 40, files.encode(ensemble)[:-1]):
         with pytest.raises(ValueError):
             files.decode(bad)
 
 
 def test_early_stop_keeps_the_best_trees(rows):
     run = boost.train_regression(rows, FS, boost.Params(trees=6, depth=2, lr=1.0, patience=1))
-    assert len(run.forest.trees[0]) == run.best_iter
+    assert len(run.ensemble.trees[0]) == run.best_iter
     val = [v for s, part, m, v in run.curve if part == "val"]
     assert min(val) == val[run.best_iter - 1]
 
 
 def test_evaluate_agrees_with_the_curve(rows):
     run = boost.train_regression(rows, FS, boost.Params(trees=2, depth=2, lr=0.3, early_stop=False))
-    told = {r["split"]: r["mse"] for r in evaluate.evaluate(rows, run.forest).collect()}
+    told = {r["split"]: r["mse"] for r in evaluate.evaluate(rows, run.ensemble).collect()}
     for step, part, _, value in run.curve:
         if step == 2:
             assert told[part] == pytest.approx(value, rel=1e-5)

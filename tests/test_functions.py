@@ -3,7 +3,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from forestjobs import functions as fn
+from tilework import functions as fn
 
 
 def one(spark, column, *values, schema="x double"):

@@ -3,7 +3,7 @@
 import pytest
 
 from conftest import SMALL, same_rows
-from forestjobs import plans
+from tilework import plans
 
 QUERIES, SQL = plans.queries(), plans.oracle_sql()
 

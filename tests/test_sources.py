@@ -1,8 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from forestjobs.operators import catalog, clean, profile, split
-from forestjobs.sources import delimited, models
+from tilework.operators import catalog, clean, profile, split
+from tilework.sources import delimited, models
 
 
 @pytest.mark.parametrize("sep", [",", ";", "\t", "|"])

@@ -3,9 +3,9 @@
 import numpy as np
 
 from conftest import SMALL
-from forestjobs import plans
-from forestjobs.operators import explain
-from forestjobs.plans import models
+from tilework import plans
+from tilework.operators import explain
+from tilework.plans import models
 
 
 def test_queries_read_all_elements(spark, monkeypatch):

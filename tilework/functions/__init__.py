@@ -1,3 +1,3 @@
 """Column expressions; all run inside Spark's generated code."""
 
-from forestjobs.functions.scalars import *  # noqa: F401,F403
+from tilework.functions.scalars import *  # noqa: F401,F403

@@ -10,15 +10,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 INT32_MAX, INT32_MIN = 2147483647, -2147483648
-STRICT_NUMBER = r"^[-+]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][-+]?[0-9]+)?$"
+# Limits and sizes of files and models.
 SIZE_LIMIT = 15_000_000
 MAX_TREES = 65_535
 CHUNK_SIZE = 24_000
 MAX_CHUNK = 24_572
 NEVER = 18446744073709551615
 
-# The words that stand for 1 and 0, and those of the two sides
-# of a binary label.
+# What a number looks like, the words that stand for 1 and 0,
+# those of the two sides of a binary label, the tasks and their other names.
+STRICT_NUMBER = r"^[-+]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][-+]?[0-9]+)?$"
 TRUE_WORDS = ("1", "1.0", "true", "t", "yes", "y")
 FALSE_WORDS = ("0", "0.0", "false", "f", "no", "n")
 POSITIVE_WORDS = ("1", "true", "yes", "y", "t", "pos", "positive", "spam", "fraud")

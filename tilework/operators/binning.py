@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from forestjobs.functions import linear_bin, quantile_bin
-from forestjobs.operators.split import sample_rows
+from tilework.functions import linear_bin, quantile_bin
+from tilework.operators.split import sample_rows
 
 
 def quantile_thresholds(df: DataFrame, features: Sequence[str], bins: int = 32, row_id: str | None = None, sample: int = 50_000, seed: int = 42) -> DataFrame:

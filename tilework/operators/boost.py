@@ -1,4 +1,4 @@
-"""Histogram boosting of fixed-depth forests, level by level.
+"""Histogram boosting of fixed-depth ensembles, level by level.
 
 Rows never move: they are binned once, kept as a table, and every level is one
 map over them that sums counts, gradients and hessians by (output, node,
@@ -15,8 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-import tempfile
-import uuid
+import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -26,10 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from forestjobs.functions import INT32_MAX, INT32_MIN, quantize
-from forestjobs.operators import profile
-from forestjobs.operators.binning import binned, cumulative_bins, quantile_thresholds, split_score
-from forestjobs.operators.model import Forest, Tree, add_trees
+from tilework.functions import INT32_MAX, INT32_MIN, quantize
+from tilework.operators import profile
+from tilework.operators.binning import binned, cumulative_bins, quantile_thresholds, split_score
+from tilework.operators.model import Ensemble, Tree, add_trees
+from tilework.sources.shared import settle
 
 GRID = float(1 << 26)
 PASS_SCHEMA = "kind int, out int, node int, feature int, draw int, bin int, n long, g long, h long, loss double, weight double, hits long"
@@ -60,9 +60,9 @@ class Params:
 
 @dataclass
 class Run:
-    """What training leaves: the forest, its learning curve and the best round."""
+    """What training leaves: the ensemble, its learning curve and the best round."""
 
-    forest: Forest
+    ensemble: Ensemble
     curve: list[tuple[int, str, str, float]]
     best_iter: int
     best_val: float | None
@@ -72,44 +72,33 @@ class Run:
         return spark.createDataFrame(rows, "run_id string, step int, split string, metric string, value double")
 
 
-def settle(df: DataFrame, label: str) -> DataFrame:
-    """Write into the folder of spark.checkpoint.dir and read again."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/forest/{uuid.uuid4().hex}/{label}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def drawn_features(seed: int, round_: int, out: int, node: int, usable: Sequence[int]) -> list[int]:
     """The node's sample of features: those of least hash, in that order."""
     k = max(1, int(math.floor(math.sqrt(len(usable)) + 0.5)))
     return sorted(usable, key=lambda f: hashlib.md5(f"{seed}:{round_}:{out}:{node}:{f}".encode()).hexdigest())[:k]
 
 
+SEGMENT = re.compile(r"(\d+)\s*(?::\s*(\d+)\s*:|-\s*(\d+)\s)\s*([0-9.eE+-]+)")
+
+
 def check_segments(segments: Sequence[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
+    """Segments by start; each round may belong to one at most."""
+    free = 1  # first round that no segment has taken
     out = sorted(segments)
-    for start, end, lr in out:
-        if start < 1 or end < start or not lr > 0:
-            raise ValueError(f"bad segment {start}:{end}:{lr}")
-    for (_, end, _), (start, _, _) in zip(out, out[1:]):
-        if start <= end:
-            raise ValueError("segments overlap")
+    for segment in out:
+        start, end, lr = segment
+        if start < free or not (start <= end and lr > 0):
+            raise ValueError(f"segment {segment} is empty, has no rate or meets another")
+        free = end + 1
     return out
 
 
 def parse_segments(text: str) -> list[tuple[int, int, float]]:
     """'start:end:lr' or 'start-end lr', comma-separated."""
-    out = []
-    for part in filter(None, (p.strip() for p in text.split(","))):
-        bits = part.split(":") if ":" in part else part.replace("-", " ", 1).split()
-        if len(bits) != 3:
-            raise ValueError(f"bad segment {part!r}")
-        out.append((int(bits[0]), int(bits[1]), float(bits[2])))
-    return check_segments(out)
+    found = [SEGMENT.fullmatch(part.strip()) for part in text.split(",") if part.strip()]
+    if not all(found):
+        raise ValueError(f"segments are start:end:lr, not {text!r}")
+    return check_segments([(int(m[1]), int(m[2] or m[3]), float(m[4])) for m in found])
 
 
 class Schedule:
@@ -169,9 +158,9 @@ def _targets(task: str, y: np.ndarray, score: np.ndarray, scale: float, w: np.nd
     return g, h, loss, weight, hits
 
 
-def level_pass(rows: DataFrame, forest: Forest, since: list[list[Tree]], growing: list[Tree] | None, level: int, drawn: dict[tuple[int, int], list[int]], bins: int, w: np.ndarray | None, measure: bool) -> DataFrame:
+def level_pass(rows: DataFrame, ensemble: Ensemble, since: list[list[Tree]], growing: list[Tree] | None, level: int, drawn: dict[tuple[int, int], list[int]], bins: int, w: np.ndarray | None, measure: bool) -> DataFrame:
     """Sums of one map over the rows: histograms of the drawn features, totals of all nodes, metrics."""
-    task, depth, scale, n_out = forest.task, forest.depth, float(forest.scale_q), forest.n_out
+    task, depth, scale, n_out = ensemble.task, ensemble.depth, float(ensemble.scale_q), ensemble.n_out
     first, width = (1 << level) - 1, 1 << level
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,7 +247,7 @@ def leaf_value(task: str, total: tuple[int, int, int], lr: float, scale_q: int)
 
 
 def prepare(df: DataFrame, features: Sequence[str], task: str, p: Params, y: str = "y", row_id: str | None = None, n_out: int = 1, refit: bool = False):
-    """Quantised, binned rows with starting scores, as a written table; the blank forest; thresholds; weights."""
+    """Quantised, binned rows with starting scores, as a written table; the blank ensemble; thresholds; weights."""
     train = df.filter(F.col("split").isin("train", "val") if refit else F.col("split") == "train")
     regression = task == "regression"
     scale_q = profile.auto_scale(df, features, y if regression else None).first()[0]
@@ -297,7 +286,7 @@ def prepare(df: DataFrame, features: Sequence[str], task: str, p: Params, y: str
         target.alias("y"),
         F.array(*[F.lit(b).cast("double") for b in base]).alias("score"),
     )
-    forest = Forest(task, len(features), p.depth, scale_q, base, [[] for _ in base], features=list(features))
+    ensemble = Ensemble(task, len(features), p.depth, scale_q, base, [[] for _ in base], features=list(features))
 
     def threshold(f: int, b: int) -> int:
         low, width = ranges[features[f]]
@@ -305,22 +294,22 @@ def prepare(df: DataFrame, features: Sequence[str], task: str, p: Params, y: str
         return max(INT32_MIN, min(INT32_MAX, math.floor(real * scale_q + 0.5)))
 
     usable = [i for i, c in enumerate(features) if ranges[c][1] > 0]
-    return settle(rows, "binned"), forest, threshold, usable, w
+    return settle(rows, "binned"), ensemble, threshold, usable, w
 
 
-def grow_round(rows: DataFrame, forest: Forest, since: list[list[Tree]], p: Params, t: int, lr: float, threshold, usable: Sequence[int], w) -> tuple[list[Tree], dict[int, tuple]]:
+def grow_round(rows: DataFrame, ensemble: Ensemble, since: list[list[Tree]], p: Params, t: int, lr: float, threshold, usable: Sequence[int], w) -> tuple[list[Tree], dict[int, tuple]]:
     """One tree per output in depth + 1 passes, and the metrics before it."""
-    classify = forest.task != "regression"
-    trees = [Tree.blank(p.depth) for _ in range(forest.n_out)]
+    classify = ensemble.task != "regression"
+    trees = [Tree.blank(p.depth) for _ in range(ensemble.n_out)]
     totals: dict[tuple[int, int], tuple[int, int, int]] = {}
     split: set[tuple[int, int]] = set()
-    live = [(k, 0) for k in range(forest.n_out)]
+    live = [(k, 0) for k in range(ensemble.n_out)]
     metrics: dict[int, tuple] = {}
     for level in range(p.depth + 1):
         drawn = {(k, node): drawn_features(p.seed, t, k, node, usable) for k, node in live} if level < p.depth and usable else {}
         if level and not live:
             break
-        sums = level_pass(rows, forest, since, trees, level, drawn, p.bins, w, measure=level == 0)
+        sums = level_pass(rows, ensemble, since, trees, level, drawn, p.bins, w, measure=level == 0)
         got = _winners(sums, p, classify).collect()  # one row for each node and split
         for r in got:
             if r["kind"] == TOTAL:
@@ -343,7 +332,7 @@ def grow_round(rows: DataFrame, forest: Forest, since: list[list[Tree]], p: Para
             split.add((k, node))
             following += [(k, 2 * node + 1), (k, 2 * node + 2)]
         live = following
-    for k in range(forest.n_out):
+    for k in range(ensemble.n_out):
         inner = (1 << p.depth) - 1
         values = {0: totals.get((k, 0), (0, 0, 0))}
         for node in range(inner):
@@ -351,41 +340,41 @@ def grow_round(rows: DataFrame, forest: Forest, since: list[list[Tree]], p: Para
             for child in (2 * node + 1, 2 * node + 2):
                 values[child] = totals.get((k, child), (0, 0, 0)) if (k, node) in split else own
         for i in range(inner + 1):
-            trees[k].leaf[i] = leaf_value(forest.task, values[inner + i], lr, forest.scale_q)
+            trees[k].leaf[i] = leaf_value(ensemble.task, values[inner + i], lr, ensemble.scale_q)
     return trees, metrics
 
 
-def _curve(t: int, metrics: dict[int, tuple], forest: Forest) -> list[tuple[int, str, str, float]]:
+def _curve(t: int, metrics: dict[int, tuple], ensemble: Ensemble) -> list[tuple[int, str, str, float]]:
     out = []
     for s, (n, loss, weight, hits) in sorted(metrics.items()):
-        if forest.task == "regression":
+        if ensemble.task == "regression":
             out.append((t, SPLITS[s], "mse", loss / n))
         else:
-            per = forest.n_out if forest.task == "multilabel_classification" else 1
+            per = ensemble.n_out if ensemble.task == "multilabel_classification" else 1
             out += [(t, SPLITS[s], "logloss", loss / weight if weight else 0.0), (t, SPLITS[s], "accuracy", hits / (n * per))]
     return out
 
 
 def train(df: DataFrame, features: Sequence[str], task: str, p: Params | None = None, y: str = "y", row_id: str | None = None, n_out: int = 1, refit: bool = False) -> Run:
-    """Boost a forest on rows with ``split``; see Params. y is an array for multilabel."""
+    """Boost an ensemble on rows with ``split``; see Params. y is an array for multilabel."""
     p = p or Params()
     p.bins = max(8, min(512, p.bins))
-    rows, forest, threshold, usable, w = prepare(df, features, task, p, y, row_id, n_out, refit)
+    rows, ensemble, threshold, usable, w = prepare(df, features, task, p, y, row_id, n_out, refit)
     schedule, curve = Schedule(p), []
     best, best_iter, since_best = math.inf, 0, 0
     kept = 0
     stop = False
     for t in range(1, p.trees + 2):
-        since = [trees[kept:] for trees in forest.trees]
+        since = [trees[kept:] for trees in ensemble.trees]
         if t <= p.trees:
-            grown, metrics = grow_round(rows, forest, since, p, t, schedule.at(t), threshold, usable, w)
+            grown, metrics = grow_round(rows, ensemble, since, p, t, schedule.at(t), threshold, usable, w)
         else:
             grown = None
-            sums = level_pass(rows, forest, since, None, 0, {}, p.bins, w, True).collect()
+            sums = level_pass(rows, ensemble, since, None, 0, {}, p.bins, w, True).collect()
             metrics = {r["node"]: (r["n"], r["loss"], r["weight"], r["hits"]) for r in sums if r["kind"] == METRIC}
         if t > 1:
             step = t - 1
-            curve += _curve(step, metrics, forest)
+            curve += _curve(step, metrics, ensemble)
             n, loss, weight, _ = metrics.get(1, metrics.get(0, (1, 0.0, 1.0, 0)))
             value = loss / (n if task == "regression" else weight or 1)
             improved = value + 1e-12 < best
@@ -395,13 +384,13 @@ def train(df: DataFrame, features: Sequence[str], task: str, p: Params | None =
         if stop or grown is None:
             break
         for k, tree in enumerate(grown):
-            forest.trees[k].append(tree)
-        if len(forest.trees[0]) - kept >= p.keep_every:
-            rows = settle(_with_scores(rows, [trees[kept:] for trees in forest.trees], forest.depth), "scores")
-            kept = len(forest.trees[0])
+            ensemble.trees[k].append(tree)
+        if len(ensemble.trees[0]) - kept >= p.keep_every:
+            rows = settle(_with_scores(rows, [trees[kept:] for trees in ensemble.trees], ensemble.depth), "scores")
+            kept = len(ensemble.trees[0])
     if p.early_stop and not refit:
-        forest.trees = [trees[:best_iter] for trees in forest.trees]
-    return Run(forest, curve, best_iter, None if math.isinf(best) else best)
+        ensemble.trees = [trees[:best_iter] for trees in ensemble.trees]
+    return Run(ensemble, curve, best_iter, None if math.isinf(best) else best)
 
 
 def _with_scores(rows: DataFrame, since: list[list[Tree]], depth: int) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from forestjobs.functions import NEVER, title_words
+from tilework.functions import NEVER, title_words
 
 BURNED = "0x0000000000000000000000000000000000000000"
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from forestjobs.functions import NEGATIVE_WORDS, POSITIVE_WORDS, canon_label, parse_binary01, to_number
+from tilework.functions import NEGATIVE_WORDS, POSITIVE_WORDS, canon_label, parse_binary01, to_number
 
 
 def resolve_columns(df: DataFrame, specs: Sequence[str | int]) -> list[str]:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from forestjobs.operators.model import Forest
-from forestjobs.operators.predict import predict
+from tilework.operators.model import Ensemble
+from tilework.operators.predict import predict
 
 
 def _w(weight: str | None) -> Column:
@@ -46,14 +46,14 @@ def multilabel_logloss_acc(df: DataFrame, probabilities: str = "probabilities",
     return pairs.groupBy(by).agg(F.count(F.lit(1)).alias("n"), (F.sum(loss * w) / F.sum(w)).alias("logloss"), F.avg(right).alias("accuracy"))
 
 
-def evaluate(df: DataFrame, forest: Forest, y: str | None = None, by: str = "split") -> DataFrame:
+def evaluate(df: DataFrame, ensemble: Ensemble, y: str | None = None, by: str = "split") -> DataFrame:
     """Unweighted loss (and accuracy) of a stored model by part of a table."""
-    out = predict(df, forest)
-    if forest.task == "regression":
+    out = predict(df, ensemble)
+    if ensemble.task == "regression":
         return mse(out, y=y or "y", by=by)
-    if forest.task == "binary_classification":
+    if ensemble.task == "binary_classification":
         return binary_logloss_acc(out, y=y or "y", by=by)
-    if forest.task == "multiclass_classification":
+    if ensemble.task == "multiclass_classification":
         return multiclass_logloss_acc(out, y=y or "y", by=by)
     return multilabel_logloss_acc(out, labels=y or "labels", by=by)
 

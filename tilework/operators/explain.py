@@ -1,4 +1,4 @@
-"""Which features a forest uses, and what their values are worth."""
+"""Which features an ensemble uses, and what their values are worth."""
 
 from __future__ import annotations
 
@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from forestjobs.operators.evaluate import evaluate
-from forestjobs.operators.model import Forest, real_splits
-from forestjobs.operators.split import sample_rows, seeded_hash
+from tilework.operators.evaluate import evaluate
+from tilework.operators.model import Ensemble, real_splits
+from tilework.operators.split import sample_rows, seeded_hash
 
 NODE_VISITS = 12_000_000
 
@@ -25,8 +25,8 @@ def split_usage(nodes: DataFrame) -> DataFrame:
     return counts.crossJoin(total).select("feature", "splits", (F.col("splits") / F.col("total")).alias("share"))
 
 
-def importance_rows(forest: Forest, most: int = 1024, budget: int = NODE_VISITS) -> int:
-    visits = max(1, forest.n_features) * max(1, forest.n_out * len(forest.trees[0]) * forest.depth)
+def importance_rows(ensemble: Ensemble, most: int = 1024, budget: int = NODE_VISITS) -> int:
+    visits = max(1, ensemble.n_features) * max(1, ensemble.n_out * len(ensemble.trees[0]) * ensemble.depth)
     return max(16, min(most, budget // visits))
 
 
@@ -47,13 +47,13 @@ def apply_permutation(rows: DataFrame, features: Sequence[str], row_id: str, see
     return joined.select(*[c for c in rows.columns if c not in features], *[F.when(F.col("shuffled") == c, F.col("donated")).otherwise(F.col(c).cast("double")).alias(c) for c in features], "shuffled")
 
 
-def permutation_importance(df: DataFrame, forest: Forest, row_id: str, seed: int = 42, max_rows: int = 1024, y: str | None = None) -> DataFrame:
+def permutation_importance(df: DataFrame, ensemble: Ensemble, row_id: str, seed: int = 42, max_rows: int = 1024, y: str | None = None) -> DataFrame:
     """(feature, delta_loss, delta_accuracy) when one feature's values are shuffled among sampled rows."""
-    rows = sample_rows(df, row_id, importance_rows(forest, max_rows), seed)
-    base = evaluate(rows.withColumn("part", F.lit("all")), forest, y, "part")
-    loss = "mse" if forest.task == "regression" else "logloss"
+    rows = sample_rows(df, row_id, importance_rows(ensemble, max_rows), seed)
+    base = evaluate(rows.withColumn("part", F.lit("all")), ensemble, y, "part")
+    loss = "mse" if ensemble.task == "regression" else "logloss"
     base = base.select(F.col(loss).alias("base_loss"), (F.col("accuracy") if loss == "logloss" else F.lit(None).cast("double")).alias("base_acc"))
-    shuffled = evaluate(apply_permutation(rows, forest.features, row_id, seed), forest, y, "shuffled")
+    shuffled = evaluate(apply_permutation(rows, ensemble.features, row_id, seed), ensemble, y, "shuffled")
     acc = F.col("accuracy") if loss == "logloss" else F.lit(None).cast("double")
     return shuffled.crossJoin(F.broadcast(base)).select(F.col("shuffled").alias("feature"), (F.col(loss) - F.col("base_loss")).alias("delta_loss"), (acc - F.col("base_acc")).alias("delta_accuracy"))
 

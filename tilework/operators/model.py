@@ -1,4 +1,4 @@
-"""Forests: trees in arrays, tables of them, traversal of a block of rows."""
+"""Ensembles: trees in arrays, tables of them, traversal of a block of rows."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forestjobs.functions import INT32_MAX
+from tilework.functions import INT32_MAX
 
 TREE_SCHEMA = "model_id string, out int, tree int, feat array<int>, thr array<int>, leaf array<int>"
 HEAD_SCHEMA = "model_id string, version int, n_features int, depth int, n_trees long, n_out int, scale_q long, base_q array<int>, task string"
@@ -29,7 +29,7 @@ class Tree:
 
 
 @dataclass
-class Forest:
+class Ensemble:
     """Trees of one model by output, its starting scores and scale."""
 
     task: str
@@ -84,11 +84,11 @@ def real_splits(nodes: DataFrame) -> DataFrame:
     return nodes.filter(F.col("thr") != INT32_MAX)
 
 
-def from_tables(head: DataFrame, trees: DataFrame) -> dict[str, Forest]:
-    """Forests by model id; models are small (15 MB at most each)."""
+def from_tables(head: DataFrame, trees: DataFrame) -> dict[str, Ensemble]:
+    """Ensembles by model id; models are small (15 MB at most each)."""
     out = {}
     for r in head.collect():
-        out[r["model_id"]] = Forest(r["task"], r["n_features"], r["depth"], r["scale_q"], list(r["base_q"]), [[] for _ in range(r["n_out"])], r["model_id"])
+        out[r["model_id"]] = Ensemble(r["task"], r["n_features"], r["depth"], r["scale_q"], list(r["base_q"]), [[] for _ in range(r["n_out"])], r["model_id"])
     for r in trees.orderBy("model_id", "out", "tree").toLocalIterator():
         out[r["model_id"]].trees[r["out"]].append(Tree(np.array(r["feat"], np.int32), np.array(r["thr"], np.int32), np.array(r["leaf"], np.int32)))
     return out

@@ -9,36 +9,36 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from forestjobs.functions import argmax, quantize, sigmoid, softmax
-from forestjobs.operators.model import Forest, Tree, add_trees
+from tilework.functions import argmax, quantize, sigmoid, softmax
+from tilework.operators.model import Ensemble, Tree, add_trees
 
 #: Bytes of models up to which all of them go to every executor.
 BROADCAST_BYTES = 64 << 20
 
 
-def score_q(features: Sequence[Column], forest: Forest) -> Column:
+def score_q(features: Sequence[Column], ensemble: Ensemble) -> Column:
     """ARRAY<BIGINT> of the quantised score of each output."""
-    scale = forest.scale_q
+    scale = ensemble.scale_q
 
     @F.pandas_udf("array<long>")
     def run(xq: pd.Series) -> pd.Series:
         x = np.array(xq.tolist(), np.int64).reshape(len(xq), -1)
-        score = np.tile(np.array(forest.base_q, np.int64), (len(x), 1))
-        return pd.Series(list(add_trees(score, forest.trees, x, forest.depth)))
+        score = np.tile(np.array(ensemble.base_q, np.int64), (len(x), 1))
+        return pd.Series(list(add_trees(score, ensemble.trees, x, ensemble.depth)))
 
     return run(F.array(*[quantize(c, scale) for c in features]))
 
 
-def predict(df: DataFrame, forest: Forest, features: Sequence[str] | None = None) -> DataFrame:
+def predict(df: DataFrame, ensemble: Ensemble, features: Sequence[str] | None = None) -> DataFrame:
     """df with score_q and, by task: value; probability and cls; or probabilities and cls or labels."""
-    cols = [F.col(c) for c in (features or forest.features)]
-    out = df.withColumn("score_q", score_q(cols, forest))
-    scale = float(forest.scale_q)
-    if forest.task == "regression":
+    cols = [F.col(c) for c in (features or ensemble.features)]
+    out = df.withColumn("score_q", score_q(cols, ensemble))
+    scale = float(ensemble.scale_q)
+    if ensemble.task == "regression":
         return out.withColumn("value", F.col("score_q")[0] / scale)
-    if forest.task == "binary_classification":
+    if ensemble.task == "binary_classification":
         return out.withColumn("probability", sigmoid(F.col("score_q")[0] / scale)).withColumn("cls", (F.col("probability") >= 0.5).cast("int"))
-    if forest.task == "multiclass_classification":
+    if ensemble.task == "multiclass_classification":
         return out.withColumn("probabilities", softmax("score_q", scale)).withColumn("cls", argmax("score_q"))
     out = out.withColumn("probabilities", F.transform("score_q", lambda v: sigmoid(v / scale)))
     return out.withColumn("predicted", F.transform("probabilities", lambda p: (p >= 0.5).cast("int")))
@@ -70,11 +70,11 @@ def score_requests(requests: DataFrame, head: DataFrame, trees: DataFrame, salts
         for pdf in batches:
             for _, own in pdf.groupby("model_id", sort=False):
                 r = own.iloc[0]
-                forest: list[list[Tree]] = [[] for _ in r["base_q"]]
+                ensemble: list[list[Tree]] = [[] for _ in r["base_q"]]
                 for t in sorted(r["trees"], key=lambda t: (t["out"], t["tree"])):
-                    forest[t["out"]].append(Tree(*(np.array(t[c], np.int64) for c in ("feat", "thr", "leaf"))))
+                    ensemble[t["out"]].append(Tree(*(np.array(t[c], np.int64) for c in ("feat", "thr", "leaf"))))
                 x = np.array(own["xq"].tolist(), np.int64).reshape(len(own), -1)
-                score = add_trees(np.tile(np.array(r["base_q"], np.int64), (len(x), 1)), forest, x, int(r["depth"]))
+                score = add_trees(np.tile(np.array(r["base_q"], np.int64), (len(x), 1)), ensemble, x, int(r["depth"]))
                 yield pd.DataFrame({"request_id": own["request_id"], "model_id": own["model_id"], "score_q": list(score)})
 
     return rows.mapInPandas(run, f"request_id {requests.schema['request_id'].dataType.simpleString()}, model_id string, score_q array<long>")

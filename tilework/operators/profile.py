@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from forestjobs.functions import canon_label, clamp_i32, is_strict_number, js_round, log_odds, parse_binary01
+from tilework.functions import canon_label, clamp_i32, is_strict_number, js_round, log_odds, parse_binary01
 
 MAX_SCALE, HEADROOM = 1_000_000, 2147480000.0
 

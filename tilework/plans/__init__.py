@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from forestjobs.plans import catalogs, models, profiles, scalars
-from forestjobs.plans.models import flagship
+from tilework.plans import catalogs, models, profiles, scalars
+from tilework.plans.models import flagship
 
 __all__ = ["flagship", "oracle_sql", "queries"]
 

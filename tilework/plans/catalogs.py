@@ -6,13 +6,13 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from forestjobs.functions import NEVER
-from forestjobs.operators import catalog
-from forestjobs.operators.boost import settle
-from forestjobs.plans.models import given_forest
-from forestjobs.plans.tables import FEATURES, LINES_SQL, LOG_SQL, dirty, lines, log, renamed, table
-from forestjobs.sources.delimited import read_delimited
-from forestjobs.streaming import jobs
+from tilework.functions import NEVER
+from tilework.operators import catalog
+from tilework.plans.models import given_ensemble
+from tilework.plans.tables import FEATURES, LINES_SQL, LOG_SQL, dirty, lines, log, renamed, table
+from tilework.sources.delimited import read_delimited
+from tilework.sources.shared import shared_dir
+from tilework.streaming import jobs
 
 LISTING_KINDS = {"signup": "listed", "purchase": "bought", "error": "cancelled"}
 ACCESS_KINDS = {"signup": "access_granted", "purchase": "access_bought", "error": "access_revoked"}
@@ -229,11 +229,7 @@ L_SEARCH_PAGE = "SELECT p_partkey AS token_id FROM part WHERE contains(' ' || lo
 
 
 def _folder(spark):
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        settle(spark.range(1), "folder")
-        base = spark.conf.get("spark.checkpoint.dir")
-    return f"{base.rstrip('/')}/streams/{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
 
 
 def _streamed(spark, df, label):
@@ -274,7 +270,7 @@ T_STREAM_LISTINGS = C_LISTINGS
 def t_stream_score(spark, d):
     rows = lines(spark, d).select("row_id", *FEATURES)
     out = _folder(spark)
-    scored = jobs.stream_score(_streamed(spark, rows, "requests"), given_forest()).select("row_id", F.col("score_q")[0].alias("q"))
+    scored = jobs.stream_score(_streamed(spark, rows, "requests"), given_ensemble()).select("row_id", F.col("score_q")[0].alias("q"))
     _run(scored.writeStream.format("parquet").option("path", f"{out}/out").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start())
     return spark.read.parquet(f"{out}/out")
 
@@ -295,8 +291,8 @@ def s_delimited(spark, d):
     return read_delimited(spark, path).groupBy("a", "note").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("b") == "").cast("int")).cast("long").alias("empty"))
 
 
-from forestjobs.plans import models as _m, profiles as _p  # noqa: E402
-from forestjobs.plans.tables import DIRTY_SQL  # noqa: E402
+from tilework.plans import models as _m, profiles as _p  # noqa: E402
+from tilework.plans.tables import DIRTY_SQL  # noqa: E402
 
 T_STREAM_SCORE = f"WITH {_m.GIVEN_SQL} SELECT row_id, CAST(s0 AS BIGINT) AS q FROM given"
 T_STREAM_CLEAN = _p.P_DROP_REGRESSION

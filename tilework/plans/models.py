@@ -5,13 +5,13 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from forestjobs.functions import INT32_MAX, argmax, js_round, quantize, sigmoid
-from forestjobs.operators import boost, evaluate, explain, model, predict, search, split
-from forestjobs.operators.binning import best_split, cumulative_bins, linear_bin
-from forestjobs.operators.model import Forest, Tree
-from forestjobs.plans.tables import FEATURES, LINES_SQL, lines, table
-from forestjobs.sources import models as files
-from forestjobs.sources.delimited import vector_source
+from tilework.functions import INT32_MAX, argmax, js_round, quantize, sigmoid
+from tilework.operators import boost, evaluate, explain, model, predict, search, split
+from tilework.operators.binning import best_split, cumulative_bins, linear_bin
+from tilework.operators.model import Ensemble, Tree
+from tilework.plans.tables import FEATURES, LINES_SQL, lines, table
+from tilework.sources import models as files
+from tilework.sources.delimited import vector_source
 
 WIDTH = 64  # elements of embeddings.embedding
 PARAMS = boost.Params(trees=3, depth=2, lr=0.3, early_stop=False)
@@ -29,7 +29,7 @@ def flagship(spark, d):
     """Split, train three trees on the charge, score all rows, loss by split."""
     rows = split_lines(spark, d)
     run = boost.train_regression(rows, FEATURES, PARAMS)
-    return evaluate.evaluate(rows, run.forest)
+    return evaluate.evaluate(rows, run.ensemble)
 
 
 def _curve(spark, run):
@@ -59,12 +59,12 @@ def m_train_multilabel(spark, d):
 
 def m_importance(spark, d):
     rows = split_lines(spark, d).withColumn("y", (F.col("y") > 40000).cast("int"))
-    forest = boost.train_binary(rows, FEATURES, PARAMS).forest
-    _, trees = forest.tables(spark)
+    ensemble = boost.train_binary(rows, FEATURES, PARAMS).ensemble
+    _, trees = ensemble.tables(spark)
     usage = explain.split_usage(model.nodes_table(trees))
     names = F.array(*[F.lit(c) for c in FEATURES])
     usage = usage.select(F.element_at(names, F.col("feature") + 1).alias("feature"), "splits")
-    gain = explain.permutation_importance(rows.filter("split = 'test'"), forest, "row_id").join(usage, "feature", "left")
+    gain = explain.permutation_importance(rows.filter("split = 'test'"), ensemble, "row_id").join(usage, "feature", "left")
     return explain.rank_features(gain.fillna(0, ["splits"])).select("feature", "splits", "place", "tag")
 
 
@@ -94,13 +94,13 @@ def m_refit(spark, d):
 def k_model_round_trip(spark, d):
     """Encode, attach a package, chunk, put together, decode: the scores stay."""
     rows = split_lines(spark, d)
-    forest = boost.train_regression(rows, FEATURES, PARAMS).forest
-    data = files.encode_models(*forest.tables(spark))
+    ensemble = boost.train_regression(rows, FEATURES, PARAMS).ensemble
+    data = files.encode_models(*ensemble.tables(spark))
     packed = files.attach_package(data.withColumn("package", F.lit('{"meta":{"v":1}}')))
     back = files.reassemble_chunks(files.chunk_blobs(packed, 64)).first()
     again, footer = files.decode(bytes(back["data"]), "model")
     again.features = FEATURES
-    told = predict.predict(rows, forest).select("row_id", F.col("score_q")[0].alias("q"))
+    told = predict.predict(rows, ensemble).select("row_id", F.col("score_q")[0].alias("q"))
     same = predict.predict(rows, again).select("row_id", F.col("score_q")[0].alias("q2"))
     return told.join(same, "row_id").groupBy((F.col("q") == F.col("q2")).alias("same"), F.lit(len(footer)).alias("footer_bytes")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -125,9 +125,9 @@ hist AS (
 
 
 def _root_pass(spark, d):
-    rows, forest, _, usable, w = boost.prepare(split_lines(spark, d), FEATURES, "regression", PARAMS)
+    rows, ensemble, _, usable, w = boost.prepare(split_lines(spark, d), FEATURES, "regression", PARAMS)
     drawn = {(0, 0): boost.drawn_features(PARAMS.seed, 1, 0, 0, usable)}
-    return boost.level_pass(rows, forest, [[]], [Tree.blank(2)], 0, drawn, 32, w, False)
+    return boost.level_pass(rows, ensemble, [[]], [Tree.blank(2)], 0, drawn, 32, w, False)
 
 
 def m_root_histogram(spark, d):
@@ -172,14 +172,14 @@ def _tree(feat, thr, leaf) -> Tree:
     return Tree(np.array(feat, np.int32), np.array(thr, np.int32), np.array(leaf, np.int32))
 
 
-def given_forest(task: str = "regression", outputs: int = 1) -> Forest:
+def given_ensemble(task: str = "regression", outputs: int = 1) -> Ensemble:
     """Two trees of depth 2 for each output; the second has a node that is not split."""
     first = _tree([0, 1, 2], [25_000, 40_000_000, 50], [-700, 300, 900, 1500])
     second = _tree([3, 0, 1], [40, INT32_MAX, 60_000_000], [10, 10, -450, 820])
     trees = [[first, second]]
     for k in range(1, outputs):
         trees.append([_tree(first.feat, first.thr, first.leaf[::-1] * k), _tree(second.feat, second.thr, second.leaf + 100 * k)])
-    return Forest(task, 4, 2, SCALE, [50 * (k + 1) for k in range(outputs)], trees, features=FEATURES)
+    return Ensemble(task, 4, 2, SCALE, [50 * (k + 1) for k in range(outputs)], trees, features=FEATURES)
 
 
 GIVEN_SQL = f"""{LINES_SQL}, q AS (
@@ -194,14 +194,14 @@ GIVEN_SQL = f"""{LINES_SQL}, q AS (
 
 
 def m_predict_value(spark, d):
-    return predict.predict(lines(spark, d), given_forest()).select("row_id", F.col("score_q")[0].alias("q"), js_round(F.col("value") * 1000).alias("milli"))
+    return predict.predict(lines(spark, d), given_ensemble()).select("row_id", F.col("score_q")[0].alias("q"), js_round(F.col("value") * 1000).alias("milli"))
 
 
 M_PREDICT_VALUE = f"WITH {GIVEN_SQL} SELECT row_id, CAST(s0 AS BIGINT) AS q, CAST(s0 AS BIGINT) AS milli FROM given"
 
 
 def m_predict_binary(spark, d):
-    out = predict.predict(lines(spark, d), given_forest("binary_classification"))
+    out = predict.predict(lines(spark, d), given_ensemble("binary_classification"))
     return out.select("row_id", "cls", js_round(F.col("probability") * 1e6).alias("p"))
 
 
@@ -209,7 +209,7 @@ M_PREDICT_BINARY = f"WITH {GIVEN_SQL} SELECT row_id, CAST(s0 >= 0 AS INTEGER) AS
 
 
 def m_predict_classes(spark, d):
-    out = predict.predict(lines(spark, d), given_forest("multiclass_classification", 3))
+    out = predict.predict(lines(spark, d), given_ensemble("multiclass_classification", 3))
     out = predict.top_probabilities(out, 2, ["low", "mid", "high"])
     q = F.col("score_q")
     return out.select("row_id", q[0].alias("q0"), q[1].alias("q1"), q[2].alias("q2"), "cls", argmax("score_q").alias("top_cls"), F.col("top")[0]["name"].alias("first"), F.col("top")[1]["name"].alias("second"))
@@ -222,7 +222,7 @@ SELECT row_id, CAST(s0 AS BIGINT) AS q0, CAST(s1 AS BIGINT) AS q1, CAST(s2 AS BI
 
 
 def m_predict_labels(spark, d):
-    out = predict.predict(lines(spark, d), given_forest("multilabel_classification", 3))
+    out = predict.predict(lines(spark, d), given_ensemble("multilabel_classification", 3))
     return predict.positive_labels(out, ["a", "b", "c"]).select("row_id", "n_positive", F.array_join("positive", ",").alias("positive"))
 
 
@@ -235,7 +235,7 @@ def _parts(df):
 
 
 def a_mse(spark, d):
-    out = predict.predict(_parts(lines(spark, d)).withColumn("y", F.col("l_quantity") / 25), given_forest())
+    out = predict.predict(_parts(lines(spark, d)).withColumn("y", F.col("l_quantity") / 25), given_ensemble())
     return evaluate.mse(out).select("split", "n", F.round("mse", 6).alias("mse"))
 
 
@@ -244,7 +244,7 @@ SELECT CAST(l_linenumber AS VARCHAR) AS split, count(*) AS n, round(avg((s0 / 10
 
 
 def a_binary_logloss(spark, d):
-    out = predict.predict(_parts(lines(spark, d)).withColumn("y", (F.col("charge") > 40000).cast("int")).withColumn("w", F.col("l_quantity")), given_forest("binary_classification"))
+    out = predict.predict(_parts(lines(spark, d)).withColumn("y", (F.col("charge") > 40000).cast("int")).withColumn("w", F.col("l_quantity")), given_ensemble("binary_classification"))
     return evaluate.binary_logloss_acc(out, weight="w").select("split", "n", F.round("logloss", 6).alias("logloss"), F.round("accuracy", 6).alias("accuracy"))
 
 
@@ -255,7 +255,7 @@ SELECT CAST(l_linenumber AS VARCHAR) AS split, count(*) AS n, round(sum(-ln(CASE
 
 def a_class_logloss(spark, d):
     y = F.when(F.col("charge") < 20000, 0).when(F.col("charge") < 50000, 1).otherwise(2)
-    out = predict.predict(_parts(lines(spark, d)).withColumn("y", y), given_forest("multiclass_classification", 3))
+    out = predict.predict(_parts(lines(spark, d)).withColumn("y", y), given_ensemble("multiclass_classification", 3))
     return evaluate.multiclass_logloss_acc(out).select("split", "n", F.round("logloss", 6).alias("logloss"), F.round("accuracy", 6).alias("accuracy"))
 
 
@@ -267,7 +267,7 @@ SELECT CAST(l_linenumber AS VARCHAR) AS split, count(*) AS n, round(avg(-ln(exp(
 
 def a_label_logloss(spark, d):
     labels = F.array((F.col("l_quantity") > 25).cast("int"), (F.col("charge") > 40000).cast("int"))
-    out = predict.predict(_parts(lines(spark, d)).withColumn("labels", labels), given_forest("multilabel_classification", 2))
+    out = predict.predict(_parts(lines(spark, d)).withColumn("labels", labels), given_ensemble("multilabel_classification", 2))
     return evaluate.multilabel_logloss_acc(out, weights=[2.0, 0.5]).select("split", "n", F.round("logloss", 6).alias("logloss"), F.round("accuracy", 6).alias("accuracy"))
 
 
@@ -279,7 +279,7 @@ SELECT CAST(l_linenumber AS VARCHAR) AS split, count(*) AS n, round(sum(-ln(CASE
 
 def j_compare(spark, d):
     rows = lines(spark, d)
-    pred = predict.predict(rows, given_forest("binary_classification")).select("row_id", "cls")
+    pred = predict.predict(rows, given_ensemble("binary_classification")).select("row_id", "cls")
     actual = rows.select("row_id", (F.col("charge") > 40000).cast("int").alias("y"))
     return evaluate.compare_predictions(pred, actual, "binary_classification")
 
@@ -289,8 +289,8 @@ J_COMPARE = f"WITH {GIVEN_SQL} SELECT row_id, CAST(s0 >= 0 AS INTEGER) AS cls, C
 
 def j_score_requests(spark, d):
     """Each line asks one of two models; both ways of meeting the models agree."""
-    head, trees = given_forest().tables(spark)
-    other = given_forest("multiclass_classification", 3)
+    head, trees = given_ensemble().tables(spark)
+    other = given_ensemble("multiclass_classification", 3)
     other.model_id = "other"
     h2, t2 = other.tables(spark)
     asked = lines(spark, d).select(F.col("row_id").alias("request_id"), F.when(F.col("l_linenumber") == 1, "other").otherwise("model").alias("model_id"), F.array(*FEATURES).alias("features"))

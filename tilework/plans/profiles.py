@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from forestjobs.functions import js_round
-from forestjobs.operators import binning, clean, evaluate, profile, split
-from forestjobs.plans.tables import DIRTY_SQL, FEATURES, LINES_SQL, dirty, lines, table
+from tilework.functions import js_round
+from tilework.operators import binning, clean, evaluate, profile, split
+from tilework.plans.tables import DIRTY_SQL, FEATURES, LINES_SQL, dirty, lines, table
 
 NUMBER_SQL = r"""'[-+]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][-+]?[0-9]+)?'"""
 B_OK = f"regexp_full_match(trim(coalesce(b, '')), {NUMBER_SQL})"

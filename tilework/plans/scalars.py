@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from forestjobs import functions as fn
-from forestjobs.plans.tables import DIRTY_SQL, LINES_SQL, dirty, lines, table
+from tilework import functions as fn
+from tilework.plans.tables import DIRTY_SQL, LINES_SQL, dirty, lines, table
 
 
 def f_quantize(spark, d):

@@ -8,6 +8,7 @@ from collections import Counter
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# The delimiters that are tried and the names they go by.
 CANDIDATES = (",", ";", "\t", "|")
 NAMES = {"comma": ",", "semicolon": ";", "tab": "\t", "tsv": "\t", "\\t": "\t", "pipe": "|"}
 

@@ -10,8 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forestjobs.functions import CHUNK_SIZE, MAX_CHUNK
-from forestjobs.operators.model import HEAD_SCHEMA, Forest, Tree, from_tables
+from tilework.functions import CHUNK_SIZE, MAX_CHUNK
+from tilework.operators.model import HEAD_SCHEMA, Ensemble, Tree, from_tables
 
 # Fixed values of the file format: what files, footers and chunks begin with.
 MODEL_MAGIC = b"GL1F"
@@ -23,20 +23,20 @@ NODE = np.dtype([("feat", "<u2"), ("thr", "<i4"), ("pad", "<u2")])
 MODEL_SCHEMA = HEAD_SCHEMA + ", trees array<struct<out:int,tree:int,feat:array<int>,thr:array<int>,leaf:array<int>>>, footer binary"
 
 
-def encode(forest: Forest) -> bytes:
+def encode(ensemble: Ensemble) -> bytes:
     """One output: version 1; several: version 2, trees by output."""
-    n_trees, k = len(forest.trees[0]), forest.n_out
-    if not (0 < forest.n_features <= 0xFFFF and 0 < forest.depth <= 0xFFFF and 0 < forest.scale_q <= 0xFFFFFFFF and k <= 0xFFFF):
+    n_trees, k = len(ensemble.trees[0]), ensemble.n_out
+    if not (0 < ensemble.n_features <= 0xFFFF and 0 < ensemble.depth <= 0xFFFF and 0 < ensemble.scale_q <= 0xFFFFFFFF and k <= 0xFFFF):
         raise ValueError("a field does not fit its width")
-    if any(len(t) != n_trees for t in forest.trees):
+    if any(len(t) != n_trees for t in ensemble.trees):
         raise ValueError("outputs differ in trees")
-    first = forest.base_q[0] if k == 1 else 0
-    out = [HEADER.pack(MODEL_MAGIC, 1 if k == 1 else 2, 0, forest.n_features, forest.depth, n_trees, first, forest.scale_q, 0 if k == 1 else k)]
+    first = ensemble.base_q[0] if k == 1 else 0
+    out = [HEADER.pack(MODEL_MAGIC, 1 if k == 1 else 2, 0, ensemble.n_features, ensemble.depth, n_trees, first, ensemble.scale_q, 0 if k == 1 else k)]
     if k > 1:
-        out.append(np.array(forest.base_q, "<i4").tobytes())
-    for trees in forest.trees:
+        out.append(np.array(ensemble.base_q, "<i4").tobytes())
+    for trees in ensemble.trees:
         for tree in trees:
-            if len(tree.feat) and (tree.feat.min() < 0 or tree.feat.max() >= forest.n_features):
+            if len(tree.feat) and (tree.feat.min() < 0 or tree.feat.max() >= ensemble.n_features):
                 raise ValueError("a node names a feature that is not there")
             nodes = np.zeros(len(tree.feat), NODE)
             nodes["feat"], nodes["thr"] = tree.feat, tree.thr
@@ -44,8 +44,8 @@ def encode(forest: Forest) -> bytes:
     return b"".join(out)
 
 
-def decode(data: bytes, model_id: str = "model") -> tuple[Forest, bytes]:
-    """The forest and what follows it; wrong or short bytes raise ValueError."""
+def decode(data: bytes, model_id: str = "model") -> tuple[Ensemble, bytes]:
+    """The ensemble and what follows it; wrong or short bytes raise ValueError."""
     if len(data) < HEADER.size or data[:4] != MODEL_MAGIC:
         raise ValueError("not a model")
     _, version, _, n_features, depth, n_trees, base, scale_q, k = HEADER.unpack_from(data)
@@ -71,7 +71,7 @@ def decode(data: bytes, model_id: str = "model") -> tuple[Forest, bytes]:
             at += per_tree
         trees.append(own)
     task = "regression" if outputs == 1 else "multiclass_classification"
-    return Forest(task, n_features, depth, scale_q, base_q, trees, model_id), data[at:]
+    return Ensemble(task, n_features, depth, scale_q, base_q, trees, model_id), data[at:]
 
 
 def read_models(spark: SparkSession, path: str) -> DataFrame:
@@ -102,8 +102,8 @@ def read_model_packages(models: DataFrame) -> DataFrame:
     return models.withColumn("package", F.when(F.try_parse_json(package).isNotNull(), package))
 
 
-def write_model_tables(forest: Forest, spark: SparkSession, path: str) -> None:
-    head, trees = forest.tables(spark)
+def write_model_tables(ensemble: Ensemble, spark: SparkSession, path: str) -> None:
+    head, trees = ensemble.tables(spark)
     head.write.parquet(f"{path}/models")
     trees.write.partitionBy("model_id").parquet(f"{path}/trees")
 
@@ -119,7 +119,7 @@ def encode_models(head: DataFrame, trees: DataFrame) -> DataFrame:
                 own: list[list[Tree]] = [[] for _ in range(r.n_out)]
                 for t in sorted(r.trees, key=lambda t: (t["out"], t["tree"])):
                     own[t["out"]].append(Tree(*(np.array(t[c], np.int32) for c in ("feat", "thr", "leaf"))))
-                out.append((r.model_id, encode(Forest(r.task, r.n_features, r.depth, r.scale_q, list(r.base_q), own))))
+                out.append((r.model_id, encode(Ensemble(r.task, r.n_features, r.depth, r.scale_q, list(r.base_q), own))))
             yield pd.DataFrame(out, columns=["model_id", "data"])
 
     return head.join(packed, "model_id").mapInPandas(run, "model_id string, data binary")
@@ -159,5 +159,5 @@ def reassemble_chunks(chunks: DataFrame) -> DataFrame:
     return rows.select("model_id", F.unhex(cut).alias("data"))
 
 
-def forests(head: DataFrame, trees: DataFrame) -> dict[str, Forest]:
+def ensembles(head: DataFrame, trees: DataFrame) -> dict[str, Ensemble]:
     return from_tables(head, trees)

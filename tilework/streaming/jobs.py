@@ -9,17 +9,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from forestjobs.functions import NEVER
-from forestjobs.operators import catalog, clean
-from forestjobs.operators.model import Forest
-from forestjobs.operators.predict import predict
+from tilework.functions import NEVER
+from tilework.operators import catalog, clean
+from tilework.operators.model import Ensemble
+from tilework.operators.predict import predict
 
 ACCESS_OUT = "model_id string, key string, block long, log_index int, expiry string, late boolean"
 
 
-def stream_score(requests: DataFrame, forest: Forest, features: Sequence[str] | None = None) -> DataFrame:
+def stream_score(requests: DataFrame, ensemble: Ensemble, features: Sequence[str] | None = None) -> DataFrame:
     """A stream of requests with their scores; no state."""
-    return predict(requests, forest, features)
+    return predict(requests, ensemble, features)
 
 
 def _apply_access(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
