@@ -12,8 +12,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SMALL, same_rows
-from forestjobs.llm import catalog, decontaminate, exact_dedup, jaccard_join, language, lm_scoring, mixing, secrets, sharding, substring_dedup, toxicity
-from forestjobs.llm.components import components
+from tilework.llm import catalog, decontaminate, exact_dedup, jaccard_join, language, lm_scoring, mixing, secrets, sharding, substring_dedup, toxicity
+from tilework.llm.components import components
 
 LOW = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 

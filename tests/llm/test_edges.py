@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from forestjobs.llm import decontaminate, exact_dedup, jaccard_join, language, lm_scoring, mixing, secrets, sharding, substring_dedup, toxicity
+from tilework.llm import decontaminate, exact_dedup, jaccard_join, language, lm_scoring, mixing, secrets, sharding, substring_dedup, toxicity
 
 CLASH = ["o", "tk", "row", "key", "size", "rep", "node", "shard", "slot", "n", "keys", "src", "copies", "_h", "turn"]
 

@@ -2,7 +2,7 @@ import collections
 
 import corpus_pipeline
 from conftest import SMALL
-from forestjobs.llm import decontaminate, mixing
+from tilework.llm import decontaminate, mixing
 
 
 def test_each_stage_does_its_work(spark):

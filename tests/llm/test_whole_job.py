@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from conftest import SMALL
-from forestjobs.llm import lm_scoring, secrets
+from tilework.llm import lm_scoring, secrets
 
 
 def test_long_contexts_never_share_a_place():

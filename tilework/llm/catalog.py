@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from forestjobs.llm import decontaminate, exact_dedup, jaccard_join, language, lm_scoring, mixing, secrets, sharding, substring_dedup, toxicity
+from tilework.llm import decontaminate, exact_dedup, jaccard_join, language, lm_scoring, mixing, secrets, sharding, substring_dedup, toxicity
 
 
 def queries():

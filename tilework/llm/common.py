@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tilework.sources import shared
+from tilework.sources.shared import discard  # noqa: F401  for the operators
+
 #: Rows of texts in one Arrow batch; Spark's default of 10,000 is for narrow rows.
 BATCH_ROWS = 2000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -28,30 +29,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir.
-
-    Only where it is unset (tests, a single machine) a temporary one is made
-    and kept in the session.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def settle(df: DataFrame, label: str) -> DataFrame:
-    """Write a table into the shared folder and read it again.
-
-    It cuts lineage: a lost executor costs a read of this table, not the
-    stages before it, and a value drawn once stays the same.
-    """
-    spark = df.sparkSession
-    small_batches(spark)
-    path = f"{shared_dir(spark)}/forestjobs/{uuid.uuid4().hex}/{label}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """shared.settle() with the small batches that texts need."""
+    small_batches(df.sparkSession)
+    return shared.settle(df, label)
 
 
 def crc_mod(col: str | Column, n: int) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from forestjobs.llm.common import settle
+from tilework.llm.common import settle
 
 
 def components(edges: DataFrame, most: int = 60) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from forestjobs.llm.common import UPPER_TO_LOWER, portions, rolling, settle, table, texts, word_bounds, word_hashes
+from tilework.llm.common import UPPER_TO_LOWER, portions, rolling, settle, table, texts, word_bounds, word_hashes
 
 WINDOW, GRAM = 10, 5
 BLOCK_BYTES = 32 << 20

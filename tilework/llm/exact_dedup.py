@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forestjobs.llm.common import UPPER_TO_LOWER, settle, table, texts
+from tilework.llm.common import UPPER_TO_LOWER, settle, table, texts
 
 PRIMES = (2147483629, 2147483587)
 BASES = (1103515245, 69069069)

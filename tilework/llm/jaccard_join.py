@@ -18,7 +18,7 @@ with Jaccard similarity of at least SIMILARITY.
    Jaccard distance, a similar pair has close leaders).
 3. Ties become candidate clusters. In each cluster all pairs are verified
    exactly on whole shingle sets, block against block, and only counts of
-   links and a spanning forest leave a task, never the pairs themselves.
+   links and a set of spanning trees leave a task, never the pairs themselves.
 """
 
 from __future__ import annotations
@@ -32,8 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forestjobs.llm.common import UPPER_TO_LOWER, portions, rolling, scramble, settle, table, texts, whole_groups, word_bounds, word_hashes
-from forestjobs.llm.components import components
+from tilework.llm.common import UPPER_TO_LOWER, portions, rolling, scramble, settle, table, texts, whole_groups, word_bounds, word_hashes
+from tilework.llm.components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
 TOKENS, RECALL, DEPTH = 64, 0.999, 3
@@ -166,8 +166,8 @@ def compare(nodes: DataFrame, least: float) -> DataFrame:
     """Ties (a, b) between sets of a node whose tokens agree so often.
 
     All pairs in a node are compared, many nodes at a time: each row with the
-    next, then with the one after it, and so on. Only a forest of the ties of
-    each node is given out.
+    next, then with the one after it, and so on. Only spanning trees of the ties of
+    each node are given out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,7 +273,7 @@ def verify(docs: DataFrame, members: DataFrame, block: int = BLOCK) -> DataFrame
 
     members: (o, tk, rep, cluster). One row per set and task with its links
     there, and rows with n_links 0 whose ``other`` ties the set to another
-    (the forest of the task).
+    (spanning trees of the task).
     """
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,7 +302,7 @@ def verify(docs: DataFrame, members: DataFrame, block: int = BLOCK) -> DataFrame
         out = [(r, n, r) for r, n in zip(ra, linked.sum(1)) if n]
         if not same:
             out += [(r, n, r) for r, n in zip(rb, linked.sum(0)) if n]
-        # A forest: breadth first over what is linked.
+        # Spanning trees: breadth first over what is linked.
         free_a, free_b = linked.any(1), np.ones(len(rb), bool)
         for i in range(len(ra)):
             if not free_a[i]:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forestjobs.llm.common import crc_mod, scramble, table
+from tilework.llm.common import crc_mod, scramble, table
 
 HASH_BITS = 14
 SIZE = 1 << HASH_BITS

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forestjobs.llm.common import UPPER_TO_LOWER, crc_mod, portions, settle, table, texts, whole_groups, word_bounds, word_hashes
+from tilework.llm.common import UPPER_TO_LOWER, crc_mod, portions, settle, table, texts, whole_groups, word_bounds, word_hashes
 
 ORDERS = (2, 3, 5)
 SHORT, LONG = ORDERS[0], ORDERS[1:]

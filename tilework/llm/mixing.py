@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from forestjobs.llm.common import WORD, settle, table
+from tilework.llm.common import WORD, settle, table
 
 CAP = 3
 WEIGHTS = (5, 2, 1)

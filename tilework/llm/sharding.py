@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from forestjobs.llm.common import settle, table
+from tilework.llm.common import settle, table
 
 BUCKET_BITS = 12
 BUCKETS = 1 << BUCKET_BITS

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forestjobs.llm.common import portions, rolling, settle, table, texts, word_bounds, word_hashes
+from tilework.llm.common import portions, rolling, settle, table, texts, word_bounds, word_hashes
 
 WINDOW, GRAM = 50, 16
 #: Rows of the sketch, and cells of a row for each key counted in it.

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forestjobs.llm.common import UPPER_TO_LOWER, crc_mod, portions, table, texts, word_bounds, word_hashes
+from tilework.llm.common import UPPER_TO_LOWER, crc_mod, portions, table, texts, word_bounds, word_hashes
 
 HASH_BITS = 22
 PREFIX = 5
