@@ -9,8 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from forestjobs.llm import decontaminate, jaccard_join, language, mixing, sharding
-from forestjobs.llm.common import settle, small_batches, table
+from tilework.llm import decontaminate, jaccard_join, language, mixing, sharding
+from tilework.llm.common import settle, small_batches, table
 
 N_SHARDS = 24
 
