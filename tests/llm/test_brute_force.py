@@ -233,22 +233,6 @@ def test_lm_base_score_and_bits(spark):
     assert 1 < bits < 3.5
 
 
-def test_model_is_a_distribution():
-    """The probabilities of all bytes after a context add up to one."""
-    r = np.random.default_rng(5)
-    model = lm_scoring.Model(r.integers(0, 256, lm_scoring.SLOTS, np.uint8), r.integers(0, 3, lm_scoring.SLOTS, np.uint8), refined=r.random((256, lm_scoring.LEVELS)) * 0.8 + 0.1)
-    context = np.uint64(0x61626364 << 8)
-    assert (10 ** model.score(np.arange(256, dtype=np.uint64) + context)).sum() == pytest.approx(1)
-
-
-def test_rare_words_meet_their_counts(spark, monkeypatch):
-    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
-    want = {r["doc_id"]: (r["n_known"], round(r["base_score"], 6)) for r in lm_scoring.lm_scores(docs, docs).collect()}
-    whole = lm_scoring.common_words
-    monkeypatch.setattr(lm_scoring, "common_words", lambda words: whole(words, 50))
-    assert want == {r["doc_id"]: (r["n_known"], round(r["base_score"], 6)) for r in lm_scoring.lm_scores(docs, docs).collect()}
-
-
 # ---- Jaccard join ---------------------------------------------------------------
 
 

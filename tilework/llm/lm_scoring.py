@@ -1,30 +1,34 @@
 """Language-model scores by online logistic context mixing.
 
-The model predicts a text bit by bit. For each of ORDERS context lengths it
-is known what followed: a probability (kept as a logit) and how often the
-context was seen. The logits of all orders are mixed by weights that a gate
-picks (the longest context that is known, and how well), the mixed logit is
-refined by an adaptive table over (bits of this byte so far, logit), and the
+The model predicts a text bit by bit. For each of ORDERS context lengths it is
+known what followed: a probability (kept as a logit) and how often the context
+was seen. A gate (how many letters of the word are written, and the longest
+context that is known) picks the weights that mix the logits, a weight for
+each order and each degree of confidence in it; the mixed logit is refined by
+an adaptive table over (bits of this byte so far, logit), and the
 log-probabilities of all bits add up to the text's.
 
-Training text comes in two parts by a hash of the id: seven eighths give the
-counts, gathered in Spark over all of it; on the last eighth the weights are
-learned online, in order of the minibatches, in every task at once and then
-averaged by the text they saw, and after that the refinement is counted.
-
-Counts are exact and kept whole. What followed two bytes has one place for
-each (two bytes, bits so far), a number set by the alphabet and not by the
-corpus, and is broadcast. What followed longer contexts stays a Spark table
-that grows with the corpus; the distinct grams to be scored meet it, dealt by
-their last three bytes, so each task has all counts of its contexts.
-
-Equal byte n-grams get equal scores, so the texts are dealt into portions by a
-hash, each portion asks for its distinct n-grams once, and the scores come back
-to the portion.
-
-A word unigram score with add-one smoothing comes along as a base line. The
-most frequent words (COMMON at most) are broadcast; rarer ones meet their
-counts in a join.
+All that the model says of a byte depends on the byte and the six before it,
+so one score for each distinct gram of seven bytes serves the whole corpus:
+
+1. One scan counts words and grams, apart for the texts that give the counts
+   (seven eighths of the training texts, by a hash of the id), those that the
+   weights are learned on (the last eighth) and the others. Counts are exact
+   and grow with the corpus.
+2. What followed one and two bytes is a table whose size the alphabet sets; it
+   is broadcast. Longer contexts are dealt by their last three bytes, so that
+   each task has all counts of its contexts.
+3. Weights are learned online, minibatch by minibatch, in streams of about
+   STREAM grams that a hash deals; their number depends on the corpus alone.
+   The streams' weights are averaged by the text they saw. Sums are whole
+   numbers, so weights, refinement and scores do not depend on the
+   partitioning.
+4. With the counts of all training texts every distinct gram gets its score.
+   A second scan adds them up text by text: the most frequent grams (GRAMS at
+   most) are broadcast, rarer ones meet their scores in a join.
+
+A word unigram score with add-one smoothing comes along as a base line; its
+words meet their counts in the same way.
 """
 
 from __future__ import annotations
@@ -34,25 +38,29 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilework.llm.common import UPPER_TO_LOWER, crc_mod, portions, settle, table, texts, whole_groups, word_bounds, word_hashes
+from tilework.llm.common import UPPER_TO_LOWER, crc_mod, discard, portions, scramble, settle, table, texts, word_bounds, word_hashes
 
-ORDERS = (2, 3, 5)
-SHORT, LONG = ORDERS[0], ORDERS[1:]
-SLOTS = 1 << (8 * SHORT + 8)  # one for each (two bytes, bits so far)
-CHUNK = 1 << 17  # rows that meet at once
-GROUP = 8 << 20  # bytes of the texts that ask together
-COMMON = 1 << 20
+ORDERS = (1, 2, 3, 4, 5, 6)
+SHORT, LONG = ORDERS[:2], ORDERS[2:]
+BUCKET = 8 << 20  # bytes of text for each bucket of counts
+STREAM = 1 << 17  # grams that one online learner sees
+WORDS, GRAMS = 1 << 20, 1 << 21  # broadcast at most
 TUNE_ONE_IN = 8
-PORTION = 2 << 20
+PORTION = 1 << 20
 STEP = 1 << 14  # grams scored at once, so that what a step makes stays in the cache
-LEVELS = 33
+HELD = 2_000_000  # keys that a counting task gathers before it hands them on
+CURVE = 33  # points of a refinement curve
+UNIT = float(1 << 20)  # scores are summed in whole units of log10
 END = b"\xff"  # never part of UTF-8
-_LONGEST = max(ORDERS)
-_FEW = np.array([0, 1, 1, 2, 2, 2, 2, 2] + [3] * 248, np.int64)  # how well a context is known
-GATES = (len(ORDERS) + 1) * 4
+_LONGEST = ORDERS[-1]
+_DEGREE = np.array([0] + [1] * 2 + [2] * 5 + [3] * 24 + [4] * 224, np.uint8)  # confidence by times seen
+DEGREES = 5
+GATES = (_LONGEST + 1) * (len(ORDERS) + 1)
+_SPACE = np.zeros(256, bool)
+_SPACE[[0, 9, 10, 11, 12, 13, 32]] = True
 
 
 class Index:
@@ -65,7 +73,7 @@ class Index:
         self.table[self._slot(keys)] = np.arange(len(keys), dtype=np.int32)
 
     def _slot(self, k: np.ndarray) -> np.ndarray:
-        return ((k * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+        return ((k * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).view(np.int64)
 
     def find(self, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place of each value (undefined where missing), and whether it is there."""
@@ -82,9 +90,9 @@ class Index:
 
 
 def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys and summed counts."""
+    """Distinct keys and summed counts (a number or a row of them for each key)."""
     keys, counts = np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts])
-    order = np.argsort(keys)
+    order = np.argsort(keys, kind="stable")  # quick on runs that are sorted already
     keys, counts = keys[order], counts[order]
     first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, int)
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts
@@ -113,34 +121,72 @@ def words_of(part: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return word_hashes(buf, start, end, 91), np.searchsorted(start, np.cumsum([0] + [len(r) + 1 for r in part]))
 
 
-def corpus_counts(train: DataFrame) -> DataFrame:
-    """(kind, key, n): words (kind 0) of all texts, byte n-grams of those that give the counts (kind 1) and of the others (kind 2)."""
+def _packed(kind: bool, keys: np.ndarray, n: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Keys and counts by bucket, a row for each: grams are dealt by the last three bytes of their contexts, words by their hash."""
+    of = scramble((keys >> np.uint64(8)) & np.uint64(0xFFFFFF) if kind else keys, 19) % np.uint64(buckets)
+    order = np.argsort(of, kind="stable")
+    names, first = np.unique(of[order], return_index=True)
+    ends = np.append(first[1:], len(order))
+    cut = [order[a:b] for a, b in zip(first, ends)]
+    columns = [pa.array([v[c].tobytes() for c in cut], pa.binary()) for v in (keys, n)]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(names), kind)), pa.array(names.astype(np.int32)), *columns], ["gram", "bucket", "keys", "counts"])
+
+
+def _unpacked(keys: list[bytes], counts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    return [(np.frombuffer(k, np.uint64), np.frombuffer(c, np.int64).reshape(-1, 3)) for k, c in zip(keys, counts)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list] = [[], [], []]
 
-        def out(kind: int) -> pa.RecordBatch:
-            keys, n = merged(held[kind])
-            held[kind] = []
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.view(np.int64)), pa.array(n)], ["kind", "key", "n"])
+def corpus_counts(rows: DataFrame, buckets: int) -> DataFrame:
+    """One row per bucket: gram, bucket, tuned, keys, counts (n1, n2, n3 of each key).
 
+    rows: (text, part). Grams of parts 1 to 3, and words (gram false) of parts
+    1 and 2; tuned is the number of keys that occur in part 2. Keys and counts
+    are packed arrays, and equal keys of all tasks meet in one bucket.
+    """
+
+    def counted(keys: np.ndarray, part: int) -> tuple[np.ndarray, np.ndarray]:
+        keys, times = np.unique(keys, return_counts=True)
+        n = np.zeros((len(keys), 3), np.int64)
+        n[:, part - 1] = times
+        return keys, n
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bool, list] = {True: [], False: []}
         for batch in batches:
-            tune = batch.column("tune").to_numpy(zero_copy_only=False)
-            for i, part in portions(texts(batch, "text"), PORTION):
-                held[0].append(np.unique(words_of(part)[0], return_counts=True))
-                for kind in (1, 2):
-                    mine = [t for t, later in zip(part, tune[i : i + len(part)]) if bool(later) == (kind == 2)]
+            parts = batch.column("part").to_numpy()
+            for i, some in portions(texts(batch, "text"), PORTION):
+                for p in (1, 2, 3):
+                    mine = [t for t, q in zip(some, parts[i : i + len(some)]) if q == p]
                     if mine:
-                        held[kind].append(np.unique(byte_grams(mine)[0], return_counts=True))
-                for kind in (0, 1, 2):
-                    if sum(len(k) for k, _ in held[kind]) > 4_000_000:
-                        yield out(kind)
-        for kind in (0, 1, 2):
-            if held[kind]:
-                yield out(kind)
+                        held[True].append(counted(byte_grams(mine)[0], p))
+                    if mine and p < 3:
+                        held[False].append(counted(words_of(mine)[0], p))
+                for gram, have in held.items():
+                    if sum(len(k) for k, _ in have) > HELD:
+                        have[:] = [merged(have)]
+                        if len(have[0][0]) > HELD * 3 // 4:
+                            yield _packed(gram, *have.pop(), buckets)
+        for gram, have in held.items():
+            if have:
+                yield _packed(gram, *merged(have), buckets)
+
+    def meet(key: tuple, group: pa.Table) -> pa.Table:
+        keys, n = merged(_unpacked(group["keys"].to_pylist(), group["counts"].to_pylist()))
+        return pa.table({"gram": [key[0].as_py()], "bucket": pa.array([key[1].as_py()], pa.int32()), "tuned": [int((n[:, 1] > 0).sum())], "keys": pa.array([keys.tobytes()], pa.binary()), "counts": pa.array([n.tobytes()], pa.binary())})
+
+    found = rows.select("text", "part").mapInArrow(run, "gram boolean, bucket int, keys binary, counts binary")
+    return found.groupBy("gram", "bucket").applyInArrow(meet, "gram boolean, bucket int, tuned long, keys binary, counts binary")
 
-    rows = train.select("text", "tune").mapInArrow(run, "kind int, key long, n long")
-    return rows.groupBy("kind", "key").agg(F.sum("n").alias("n"))
+
+def word_counts(counts: DataFrame) -> DataFrame:
+    """(key, n) of the words of the training texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for keys, n in _unpacked(batch.column("keys").to_pylist(), batch.column("counts").to_pylist()):
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.sum(1))], ["key", "n"])
+
+    return counts.filter("not gram").select("keys", "counts").mapInArrow(run, "key long, n long")
 
 
 def _bits(byte: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -162,16 +208,30 @@ def _logit_bytes(zero: np.ndarray, one: np.ndarray) -> np.ndarray:
     return np.clip(np.round((stretch((one + 0.05) / (zero + one + 0.1)) + 8) * 16), 0, 255).astype(np.uint8)
 
 
-def short_tables(grams: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Logit and confidence bytes of what followed SHORT bytes, from (key, n)."""
-    rows = grams.groupBy(F.col("key").bitwiseAND(SLOTS - 1).alias("key")).agg(F.sum("n").alias("n")).toArrow()  # SLOTS rows at most, however large the corpus
-    key, n = rows["key"].to_numpy(), rows["n"].to_numpy().astype(float)
-    zero, one = np.zeros(SLOTS), np.zeros(SLOTS)
-    for node, bit in _bits(key & 255):
-        slot = (key >> 8 << 8) + node
-        np.add.at(zero, slot, n * (1 - bit))
-        np.add.at(one, slot, n * bit)
-    return _logit_bytes(zero, one), np.minimum(zero + one, 255).astype(np.uint8)
+def _degrees(total: np.ndarray) -> np.ndarray:
+    return _DEGREE[np.minimum(total, 255).astype(np.int64)]
+
+
+class ShortTable:
+    """Logit and confidence of what followed the contexts of one or two bytes that were seen."""
+
+    def __init__(self, order: int, key: np.ndarray, n: np.ndarray):
+        key, n = merged([(key & np.uint64((1 << (8 * order + 8)) - 1), n)])
+        self.order = order
+        context = (key >> np.uint64(8)).astype(np.int64)
+        used, row = np.unique(context, return_inverse=True)
+        self.place = np.full(1 << (8 * order), len(used), np.int32)  # the last row: never seen
+        self.place[used] = np.arange(len(used))
+        zero, one = np.zeros((len(used) + 1) * 256), np.zeros((len(used) + 1) * 256)
+        for node, bit in _bits(key & np.uint64(255)):
+            zero += np.bincount(row * 256 + node, n * (1 - bit), len(zero))
+            one += np.bincount(row * 256 + node, n * bit, len(one))
+        self.logit, self.degree = _logit_bytes(zero, one), _degrees(zero + one)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Where the row of each gram's context begins."""
+        context = (keys >> np.uint64(8)) & np.uint64((1 << (8 * self.order)) - 1)
+        return self.place[context.astype(np.int64)].astype(np.int64) * 256
 
 
 def long_states(key: np.ndarray, n: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -179,7 +239,7 @@ def long_states(key: np.ndarray, n: np.ndarray, asked: np.ndarray) -> tuple[np.n
 
     key and n have all grams of the contexts that are asked for.
     """
-    logit, seen = (np.zeros((len(asked), len(LONG), 8), np.uint8) for _ in range(2))
+    logit, degree = (np.zeros((len(asked), len(LONG), 8), np.uint8) for _ in range(2))
     for i, order in enumerate(LONG):
         mask = np.uint64((1 << (8 * order + 8)) - 1)
         have, count = merged([(key & mask, n)])
@@ -192,305 +252,329 @@ def long_states(key: np.ndarray, n: np.ndarray, asked: np.ndarray) -> tuple[np.n
             middle = below[np.searchsorted(have, low + half)]
             zero, one = middle - at, end - middle
             logit[:, i, j] = _logit_bytes(zero, one)[place]
-            seen[:, i, j] = np.minimum(zero + one, 255).astype(np.uint8)[place]
+            degree[:, i, j] = _degrees(zero + one)[place]
             low = np.where(bit == 1, low + half, low)
             at, end = np.where(bit == 1, middle, at), np.where(bit == 1, end, middle)
-    return logit, seen
+    return logit, degree
 
 
-def meet(grams: DataFrame, asked: DataFrame, use: Callable[..., Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``use(group, n, distinct, place, logit, seen)`` of asked grams (group, key, n) with the counts (key, n) of their contexts."""
-    context = F.shiftright("key", 8).bitwiseAND(0xFFFFFF).cast("int")
-    rows = grams.select(F.lit(-1).cast("long").alias("group"), "key", "n").union(asked.select("group", "key", "n")).withColumn("context", context)
+def by_bucket(grams: DataFrame, use: Callable[..., Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``use(key, n1, n2, n3)`` for each bucket, which has all grams of its contexts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def answer(held: list[pa.Table]) -> Iterator[pa.RecordBatch]:
-            rows = pa.concat_tables(held)
-            group, key, n = rows["group"].to_numpy(), rows["key"].to_numpy().view(np.uint64), rows["n"].to_numpy()
-            mine = group >= 0
-            if mine.any():
-                distinct, place = np.unique(key[mine], return_inverse=True)
-                yield from use(group[mine], n[mine], distinct, place, *long_states(key[~mine], n[~mine], distinct))
-
-        held: list[pa.Table] = []
-        for whole in whole_groups(batches, "context"):
-            held.append(whole)
-            if sum(t.num_rows for t in held) >= CHUNK:
-                yield from answer(held)
-                held = []
-        if held:
-            yield from answer(held)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                (keys, n), = _unpacked([batch.column("keys")[i].as_py()], [batch.column("counts")[i].as_py()])
+                yield from use(keys, *n.T)
 
-    return rows.repartition("context").sortWithinPartitions("context").mapInArrow(run, schema)
+    return grams.select("keys", "counts").mapInArrow(run, schema)
 
 
-def tune_states(grams: DataFrame, tune: DataFrame) -> DataFrame:
-    """(key, n, logit, seen) of the distinct grams that weights and refinement are learned on."""
+def tune_states(grams: DataFrame, streams: int) -> DataFrame:
+    """(stream, keys, n, logit, degree), packed: the distinct grams that weights and refinement are learned on, under the counts of part 1."""
 
-    def use(group, n, distinct, place, logit, seen):
-        total = np.bincount(place, n, len(distinct)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(distinct.view(np.int64)), pa.array(total), pa.array([x.tobytes() for x in logit], pa.binary()), pa.array([x.tobytes() for x in seen], pa.binary())], ["key", "n", "logit", "seen"])
+    def use(key: np.ndarray, n1: np.ndarray, n2: np.ndarray, _: np.ndarray) -> Iterator[pa.RecordBatch]:
+        mine, known = n2 > 0, n1 > 0
+        if not mine.any():
+            return
+        key, n, known_key = key[mine], n2[mine], key[known]
+        logit, degree = long_states(known_key, n1[known], key)
+        of = (scramble(key, 13) % np.uint64(streams)).astype(np.int64)
+        for stream in np.unique(of):
+            some = of == stream
+            yield pa.RecordBatch.from_arrays([pa.array([stream]), *[pa.array([v[some].tobytes()], pa.binary()) for v in (key, n, logit, degree)]], ["stream", "keys", "n", "logit", "degree"])
 
-    return meet(grams, tune.withColumn("group", F.lit(0).cast("long")), use, "key long, n long, logit binary, seen binary")
+    return by_bucket(grams, use, "stream long, keys binary, n binary, logit binary, degree binary")
 
 
-def _states(batches: Iterator[pa.RecordBatch], most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]]:
-    """Keys, counts and long states of many rows at once."""
-    held: list[pa.RecordBatch] = []
+def _states(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """Keys, counts and long states, in an order that a hash of the key sets."""
+    keys, n, logit, degree = (np.frombuffer(b"".join(rows[c].to_pylist()), t) for c, t in (("keys", np.uint64), ("n", np.int64), ("logit", np.uint8), ("degree", np.uint8)))
+    order = np.argsort(scramble(keys, 17))
+    return keys[order], n[order].astype(float), tuple(s.reshape(-1, len(LONG), 8)[order] for s in (logit, degree))
 
-    def out():
-        t = pa.Table.from_batches(held)
-        both = tuple(np.frombuffer(b"".join(t[c].to_pylist()), np.uint8).reshape(t.num_rows, len(LONG), 8) for c in ("logit", "seen"))
-        return t["key"].to_numpy().view(np.uint64), t["n"].to_numpy().astype(float), both
 
-    for batch in batches:
-        held.append(batch)
-        if sum(b.num_rows for b in held) >= most:
-            yield out()
-            held = []
-    if sum(b.num_rows for b in held):
-        yield out()
+def _start() -> np.ndarray:
+    """Weights (gate, order and a constant, confidence) before learning."""
+    out = np.zeros((GATES, len(ORDERS) + 1, DEGREES))
+    out[:, :-1, 1:] = 0.15 + 0.05 * np.arange(DEGREES - 1)
+    return out
 
 
 @dataclass
 class Model:
-    """Tables of the short context, mixing weights and refinement."""
-
-    logit: np.ndarray
-    seen: np.ndarray
-    weights: np.ndarray = field(default_factory=lambda: np.concatenate([np.full((GATES, len(ORDERS)), 0.3), np.zeros((GATES, 1))], 1))
-    refined: np.ndarray | None = None  # (256, LEVELS) probabilities
-
-    def __getstate__(self):
-        """Only contexts that were seen are sent."""
-        logit, seen = (a.reshape(-1, 256) for a in (self.logit, self.seen))
-        used = np.flatnonzero(seen.any(1))
-        return used, logit[used], seen[used], self.weights, self.refined
-
-    def __setstate__(self, state):
-        used, logit, seen, self.weights, self.refined = state
-        self.logit, self.seen = np.zeros(SLOTS, np.uint8), np.zeros(SLOTS, np.uint8)
-        self.logit.reshape(-1, 256)[used], self.seen.reshape(-1, 256)[used] = logit, seen
-
-    def inputs(self, keys: np.ndarray, bit: int, node: np.ndarray, longer: tuple[np.ndarray, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray]:
-        """Logits of all orders and a constant, and the gate; without ``longer`` only the short context is known."""
-        x = np.zeros((len(node), len(ORDERS) + 1), np.float32)
-        gate = np.zeros(len(node), np.int64)
-        at = ((keys & np.uint64(SLOTS - 256)).view(np.int64)) + node
-        known = [(self.logit[at], self.seen[at])]
-        if longer is not None:
-            known += [(longer[0][:, i, bit], longer[1][:, i, bit]) for i in range(len(LONG))]
-        for i, (logit, seen) in enumerate(known):
-            x[:, i] = np.where(seen > 0, logit / np.float32(16) - 8, 0)
-            gate = np.where(seen > 0, (i + 1) * 4 + _FEW[seen], gate)
+    """Tables of the short contexts, mixing weights and refinement."""
+
+    short: list[ShortTable]
+    weights: np.ndarray = field(default_factory=_start)
+    refined: np.ndarray | None = None  # (256, CURVE) probabilities
+
+    def gate(self, keys: np.ndarray) -> np.ndarray:
+        """Letters since the last space among the bytes of the context."""
+        letters, inside = np.zeros(len(keys), np.int64), np.ones(len(keys), bool)
+        for back in range(1, _LONGEST + 1):
+            inside &= ~_SPACE[((keys >> np.uint64(8 * back)) & np.uint64(255)).astype(np.int64)]
+            letters += inside
+        return letters * (len(ORDERS) + 1)
+
+    def inputs(self, begins: list[np.ndarray], gate: np.ndarray, bit: int, node: np.ndarray, longer: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Logits of all orders and a constant, and the place of each one's weight."""
+        x = np.empty((len(node), len(ORDERS) + 1), np.float32)
+        degree = np.zeros((len(node), len(ORDERS) + 1), np.int64)
+        for i, (t, begin) in enumerate(zip(self.short, begins)):
+            x[:, i], degree[:, i] = t.logit[begin + node], t.degree[begin + node]
+        x[:, len(SHORT) : -1], degree[:, len(SHORT) : -1] = longer[0][:, :, bit], longer[1][:, :, bit]
+        x[:, :-1] = x[:, :-1] / np.float32(16) - np.float32(8)
+        known = degree[:, :-1] > 0
+        x[:, :-1] *= known
         x[:, -1] = 0.3
-        return x, gate
+        longest = np.where(known.any(1), len(ORDERS) - known[:, ::-1].argmax(1), 0)
+        place = ((gate + longest)[:, None] * (len(ORDERS) + 1) + np.arange(len(ORDERS) + 1)) * DEGREES + degree
+        return x, place
+
+    def steps(self, keys: np.ndarray, longer: tuple[np.ndarray, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each bit of the grams' last bytes: (bits before, the bit, inputs, places of weights)."""
+        begins, gate = [t.find(keys) for t in self.short], self.gate(keys)
+        for j, (node, bit) in enumerate(_bits(keys & np.uint64(255))):
+            yield node, bit, *self.inputs(begins, gate, j, node, longer)
 
-    def mixed(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        z = np.einsum("ij,ij->i", x, self.weights.astype(np.float32)[gate])
-        return np.clip(z.astype(np.float64), -12, 12)
+    def mixed(self, x: np.ndarray, place: np.ndarray) -> np.ndarray:
+        return np.clip((x * self.weights.ravel()[place]).sum(1), -12, 12)
 
     def refine(self, node: np.ndarray, z: np.ndarray) -> np.ndarray:
         p = squash(z)
         if self.refined is not None:
-            low, part = _levels(z)
-            row = node.astype(np.int64)
-            p = (p + self.refined[row, low] * (1 - part) + self.refined[row, low + 1] * part) / 2
+            low, part = _points(z)
+            p = (p + self.refined[node, low] * (1 - part) + self.refined[node, low + 1] * part) / 2
         return np.clip(p, 1e-6, 1 - 1e-6)
 
-    def score(self, keys: np.ndarray, longer: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    def score(self, keys: np.ndarray, longer: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
         """log10 probability of the byte of each key after its context."""
         out = np.zeros(len(keys))
         for a in range(0, len(keys), STEP):
-            some, sums = keys[a : a + STEP], out[a : a + STEP]
-            known = longer and tuple(s[a : a + STEP] for s in longer)
-            for j, (node, bit) in enumerate(_bits(some & np.uint64(255))):
-                p = self.refine(node, self.mixed(*self.inputs(some, j, node, known)))
+            sums = out[a : a + STEP]
+            for node, bit, x, place in self.steps(keys[a : a + STEP], tuple(s[a : a + STEP] for s in longer)):
+                p = self.refine(node, self.mixed(x, place))
                 sums += np.log10(np.where(bit == 1, p, 1 - p))
         return out
 
+    def learn(self, keys: np.ndarray, n: np.ndarray, longer: tuple[np.ndarray, np.ndarray], batch: int = 1024, passes: int = 2, rate: float = 0.05) -> np.ndarray:
+        """Move the weights online, minibatch by minibatch; the text seen under each weight."""
+        w, square, seen = self.weights.ravel(), np.full(self.weights.size, 1e-4), np.zeros(self.weights.size)
+        for turn in range(passes):
+            for i in range(0, len(keys), batch):
+                c = n[i : i + batch]
+                for _, bit, x, place in self.steps(keys[i : i + batch], tuple(s[i : i + batch] for s in longer)):
+                    error = (bit - squash(self.mixed(x, place))) * c
+                    total = np.bincount(place.ravel(), np.repeat(c, place.shape[1]), w.size)
+                    step = np.bincount(place.ravel(), (error[:, None] * x).ravel(), w.size) / np.maximum(total, 1)
+                    square += step * step
+                    w += rate * step / np.sqrt(square)
+                    if not turn:
+                        seen += total
+        self.weights = w.reshape(self.weights.shape)
+        return seen
+
 
-def _levels(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    place = (np.clip(z, -7.999, 7.999) + 8) * ((LEVELS - 1) / 16)
+def _points(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    place = (np.clip(z, -7.999, 7.999) + 8) * ((CURVE - 1) / 16)
     low = place.astype(np.int64)
     return low, place - low
 
 
-def learn_weights(tune: DataFrame, model: Model, batch_size: int = 1024, passes: int = 2, rate: float = 0.05) -> np.ndarray:
-    """Weights learned online in each task, averaged by the bytes seen under each gate."""
+def learn_weights(tune: DataFrame, model: Model) -> np.ndarray:
+    """Weights learned online in streams that a hash deals, averaged by the text seen under each."""
     shared = tune.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = Model(shared.value.logit, shared.value.seen)
-        square, seen = np.full(m.weights.shape, 1e-3), np.zeros(GATES)
-        rng = np.random.default_rng(9)
-        for keys, n, states in _states(batches):
-            for _ in range(passes):
-                order = rng.permutation(len(keys))
-                for i in range(0, len(order), batch_size):
-                    some = order[i : i + batch_size]
-                    k, c, known = keys[some], n[some], tuple(s[some] for s in states)
-                    for j, (node, bit) in enumerate(_bits(k & np.uint64(255))):
-                        x, gate = m.inputs(k, j, node, known)
-                        error = (bit - squash(m.mixed(x, gate))) * c
-                        total = np.bincount(gate, c, GATES)
-                        step = np.stack([np.bincount(gate, error * x[:, f], GATES) for f in range(x.shape[1])], 1) / np.maximum(total, 1)[:, None]
-                        square += step * step
-                        m.weights += rate * step / np.sqrt(square)
-                        seen += total
-        flat = (m.weights * seen[:, None]).ravel()
-        share = np.repeat(seen, m.weights.shape[1])
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat), pa.array(share)], ["i", "wn", "n"])
+    def run(rows: pa.Table) -> pa.Table:
+        m = Model(shared.value.short)
+        seen = m.learn(*_states(rows))
+        at = np.flatnonzero(seen)
+        whole = np.round(m.weights.ravel()[at] * UNIT).astype(np.int64)
+        return pa.table({"i": at, "w": whole, "n": seen[at].astype(np.int64)})
 
-    sums = tune.mapInArrow(run, "i long, wn double, n double").groupBy("i").agg(F.sum("wn").alias("wn"), F.sum("n").alias("n"))
+    each = tune.groupBy("stream").applyInArrow(run, "i long, w long, n long")
+    # Whole numbers of any size add up alike in any order.
+    sums = each.groupBy("i").agg(F.sum(F.col("w").cast("decimal(20,0)") * F.col("n").cast("decimal(18,0)")).alias("wn"), F.sum("n").alias("n"))
     out = model.weights.copy().ravel()
     for r in sums.collect():  # one row for each weight
-        if r["n"]:
-            out[r["i"]] = r["wn"] / r["n"]
+        out[r["i"]] = float(r["wn"]) / r["n"] / UNIT
     return out.reshape(model.weights.shape)
 
 
 def learn_refinement(tune: DataFrame, model: Model) -> np.ndarray:
-    """Share of ones by (bits before, level of the mixed logit), drawn to the level's own where few were seen."""
+    """Share of ones by (bits before, point of the mixed logit), drawn to the point's own where few were seen."""
     shared = tune.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        ones, total = np.zeros(256 * LEVELS), np.zeros(256 * LEVELS)
-        for keys, n, states in _states(batches):
-            for a in range(0, len(keys), STEP):
-                k, c, known = keys[a : a + STEP], n[a : a + STEP], tuple(s[a : a + STEP] for s in states)
-                for j, (node, bit) in enumerate(_bits(k & np.uint64(255))):
-                    low, rest = _levels(m.mixed(*m.inputs(k, j, node, known)))
-                    for at, share in ((low, 1 - rest), (low + 1, rest)):
-                        cell = node * LEVELS + at
-                        ones += np.bincount(cell, c * share * bit, len(ones))
-                        total += np.bincount(cell, c * share, len(total))
+        ones, total = np.zeros(256 * CURVE), np.zeros(256 * CURVE)
+        for batch in batches:
+            keys, n, longer = _states(pa.Table.from_batches([batch]))
+            for node, bit, x, place in m.steps(keys, longer):
+                low, rest = _points(m.mixed(x, place))
+                part = np.floor(rest * 1024)  # whole shares: sums do not depend on their order
+                for at, share in ((low, 1024 - part), (low + 1, part)):
+                    cell = node * CURVE + at
+                    ones += np.bincount(cell, n * share * bit, len(ones))
+                    total += np.bincount(cell, n * share, len(total))
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(ones[at]), pa.array(total[at])], ["cell", "ones", "total"])
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(ones[at].astype(np.int64)), pa.array(total[at].astype(np.int64))], ["cell", "ones", "total"])
 
-    sums = tune.mapInArrow(run, "cell long, ones double, total double").groupBy("cell").agg(F.sum("ones").alias("ones"), F.sum("total").alias("total"))
-    prior = np.tile(squash((np.arange(LEVELS) * 16 / (LEVELS - 1)) - 8), 256)
-    ones, total = prior * 20, np.full(256 * LEVELS, 20.0)
-    for r in sums.collect():  # 256 * LEVELS rows at most
-        ones[r["cell"]] += r["ones"]
-        total[r["cell"]] += r["total"]
-    return (ones / total).reshape(256, LEVELS)
+    sums = tune.mapInArrow(run, "cell long, ones long, total long").groupBy("cell").agg(F.sum("ones").alias("ones"), F.sum("total").alias("total"))
+    prior = np.tile(squash((np.arange(CURVE) * 16 / (CURVE - 1)) - 8), 256)
+    ones, total = prior * 20, np.full(256 * CURVE, 20.0)
+    for r in sums.collect():  # 256 * CURVE rows at most
+        ones[r["cell"]] += r["ones"] / 1024
+        total[r["cell"]] += r["total"] / 1024
+    return (ones / total).reshape(256, CURVE)
 
 
-def gram_scores(texts_by_group: DataFrame, grams: DataFrame, model: Model) -> DataFrame:
-    """(group, keys, logs): scores of the distinct grams of each group of texts, packed."""
-    shared = grams.sparkSession.sparkContext.broadcast(model)
+def short_tables(grams: DataFrame) -> tuple[list[ShortTable], list[ShortTable]]:
+    """The tables of one and two bytes under the counts of part 1, and under those of parts 1 and 2."""
+    mask = np.uint64((1 << (8 * SHORT[-1] + 8)) - 1)
+
+    def use(key: np.ndarray, n1: np.ndarray, n2: np.ndarray, _: np.ndarray) -> Iterator[pa.RecordBatch]:
+        keys, n = merged([(key & mask, np.stack([n1, n2], 1))])
+        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *[pa.array(n[:, p]) for p in (0, 1)]], ["key", "n1", "n2"])
 
-    def ask(key: tuple, rows: pa.Table) -> pa.Table:
-        parts = [np.unique(byte_grams(part)[0]) for _, part in portions(texts(rows, "text"), PORTION)]
-        keys = np.unique(np.concatenate(parts))
-        return pa.table({"group": np.full(len(keys), key[0].as_py(), np.int64), "key": keys.view(np.int64), "n": np.zeros(len(keys), np.int64)})
+    sums = by_bucket(grams, use, "key long, n1 long, n2 long").groupBy("key").agg(F.sum("n1").alias("n1"), F.sum("n2").alias("n2")).filter("n1 + n2 > 0")
+    rows = sums.toArrow()  # trigrams of bytes: the alphabet bounds them, not the corpus
+    keys, n1, n2 = rows["key"].to_numpy().view(np.uint64), rows["n1"].to_numpy(), rows["n2"].to_numpy()
+    some = n1 > 0
+    return [ShortTable(o, keys[some], n1[some]) for o in SHORT], [ShortTable(o, keys, n1 + n2) for o in SHORT]
 
-    def use(group, n, distinct, place, logit, seen):
-        logs = shared.value.score(distinct, (logit, seen)).astype(np.float32)
-        order = np.argsort(group, kind="stable")
-        names, first = np.unique(group[order], return_index=True)
-        ends = np.append(first[1:], len(order))
-        packed = [[v[place[order[a:b]]].tobytes() for a, b in zip(first, ends)] for v in (distinct, logs)]
-        yield pa.RecordBatch.from_arrays([pa.array(names), *[pa.array(v, pa.binary()) for v in packed]], ["group", "keys", "logs"])
 
-    asked = texts_by_group.groupBy("group").applyInArrow(ask, "group long, key long, n long")
-    return meet(grams, asked, use, "group long, keys binary, logs binary")
+def gram_scores(grams: DataFrame, model: Model) -> DataFrame:
+    """(key, n, units) of every distinct gram, under the counts of all training texts."""
+    shared = grams.sparkSession.sparkContext.broadcast(model)
 
+    def use(key: np.ndarray, n1: np.ndarray, n2: np.ndarray, n3: np.ndarray) -> Iterator[pa.RecordBatch]:
+        known = n1 + n2 > 0
+        logs = shared.value.score(key, long_states(key[known], (n1 + n2)[known], key))
+        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n1 + n2 + n3), pa.array(np.round(logs * UNIT).astype(np.int32))], ["key", "n", "units"])
 
-def common_words(words: DataFrame, most: int = COMMON) -> tuple[DataFrame, DataFrame]:
-    """Words whose count is so high that there are at most ``most`` of them, and the others."""
-    bins = words.groupBy(F.floor(F.log2("n") * 16).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("words"), F.min("n").alias("least")).collect()  # 16 for each doubling
+    return by_bucket(grams, use, "key long, n long, units int")
+
+
+def most_common(counts: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """Rows whose n is so high that there are at most ``most`` of them, and the others."""
+    bins = counts.groupBy(F.floor(F.log2("n") * 16).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("rows"), F.min("n").alias("least")).collect()  # 16 for each doubling
     room, limit = most, None
     for r in sorted(bins, key=lambda r: -r["bin"]):
-        room -= r["words"]
+        room -= r["rows"]
         if room < 0:
             break
         limit = r["least"]
     if limit is None:
-        return words.filter(F.lit(False)), words
-    return words.filter(F.col("n") >= limit), words.filter(F.col("n") < limit)
+        return counts.filter(F.lit(False)), counts
+    return counts.filter(F.col("n") >= limit), counts.filter(F.col("n") < limit)
 
 
-def lm_scores(docs: DataFrame, train: DataFrame) -> DataFrame:
-    """One row per row of docs: doc_id, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
+def _fetched(rows: DataFrame, value: str) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys and their values; for tables of a bounded number of rows."""
+    got = rows.select("key", value).toArrow()
+    keys = got["key"].to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], got[value].to_numpy()[order]
 
-    train has doc_id and text. Null and empty texts are an end and nothing
-    else. bits_per_byte divides by the bytes and the end. Without training
-    rows every bit is even and base_score is 0. Words are told apart by 64-bit
-    hashes. Ids may be null or repeated; extra columns are not read.
-    """
+
+def _scores(rows: DataFrame) -> DataFrame:
+    """See lm_scores(); rows has doc_id, text, learn and ask."""
     tuned = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(TUNE_ONE_IN)) == 0
-    train = train.select("doc_id", "text").withColumn("tune", tuned)
-    counts = settle(corpus_counts(train), "counts")
-    words = counts.filter("kind = 0").select("key", "n")
-    ends = train.count()
+    rows = rows.withColumn("part", F.when(~F.col("learn"), 3).when(tuned, 2).otherwise(1))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    counts = settle(corpus_counts(rows, max(64, int(size) // BUCKET)), "counts")
+    words = settle(word_counts(counts), "words")
+    grams = counts.filter("gram")
+    tuned = grams.agg(F.sum("tuned")).first()[0] or 0
+    ends = rows.filter("learn").count()
     total, types = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     total, types = total + ends, types + (ends > 0)
-    grams = counts.filter("kind = 1").select("key", "n")
-    model = Model(*short_tables(grams))
-    tune = settle(tune_states(grams, counts.filter("kind = 2").select("key", "n")), "tune")
+    first, whole = short_tables(grams)
+    model = Model(first)
+    tune = settle(tune_states(grams, max(1, -(-int(tuned) // STREAM))), "tune")
     model.weights = learn_weights(tune, model)
     model.refined = learn_refinement(tune, model)
-    common, rare = common_words(words)
-    got = common.toArrow()  # COMMON rows at most
-    keys = got["key"].to_numpy().view(np.uint64)
-    order = np.argsort(keys)
-    value = np.log10(got["n"].to_numpy()[order] + 1.0)
-    shared = docs.sparkSession.sparkContext.broadcast((keys[order], value))
+    model.short = whole
+    scores = settle(gram_scores(grams, model), "scores")
+    discard(tune, counts)
+    common_words, rare_words = most_common(words, WORDS)
+    common_grams, rare_grams = most_common(scores, GRAMS)
+    values = common_words.select("key", F.log10(F.col("n") + 1.0).alias("value"))
+    shared = rows.sparkSession.sparkContext.broadcast((*_fetched(values, "value"), *_fetched(common_grams, "units")))
     end_value = float(np.log10(ends + 1.0))
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    groups = int(size) // GROUP + 1
-    dealt = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).alias("group"), "doc_id", "text")
-    kept: dict[str, Index] = {}  # one for each task
-
-    def run(rows: pa.Table, scores: pa.Table) -> pa.Table:
-        common_keys, values = shared.value
-        if not kept:
-            kept["index"] = Index(common_keys)
-        index = kept["index"]
-        found = np.concatenate([np.frombuffer(x, np.uint64) for x in scores["keys"].to_pylist()])
-        order = np.argsort(found)
-        gram_index, logs_of = Index(found[order]), np.concatenate([np.frombuffer(x, np.float32) for x in scores["logs"].to_pylist()])[order].astype(float)
-        n_tokens, n_known, base, others, score, size = [], [], [], [], [], []
-        for _, part in portions(texts(rows, "text"), PORTION):
-            h, first = words_of(part)
-            at, good = index.find(h)
-            known = np.concatenate(([0], np.cumsum(good)))
-            sums = np.concatenate(([0.0], np.cumsum(np.where(good, values[at] if len(values) else 0.0, 0.0))))
-            keys, begin = byte_grams(part)
-            score.append(np.add.reduceat(logs_of[gram_index.find(keys)[0]], begin))
-            unknown, left = h[~good].view(np.int64), np.cumsum(np.concatenate(([0], ~good)))
-            others += [unknown[left[a] : left[b]] for a, b in zip(first[:-1], first[1:])]
-            n_tokens.append(np.diff(first) + 1), n_known.append(np.diff(known[first]) + (ends > 0)), base.append(np.diff(sums[first]) + end_value)
-            size.append(np.array([len(t) + 1 for t in part]))
-        flat = [np.concatenate(x) if x else np.zeros(0) for x in (n_tokens, n_known, base, score, size)]
-        return pa.Table.from_arrays(
-            [rows["doc_id"], pa.array(flat[0].astype(np.int64)), pa.array(flat[1].astype(np.int64)), pa.array(flat[2]), pa.array(others, pa.list_(pa.int64())), pa.array(flat[3]), pa.array(flat[4].astype(np.int64))],
-            ["doc_id", "n_tokens", "known", "base", "others", "score", "size"],
-        )
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    met_again = dealt.groupBy("group").cogroup(gram_scores(dealt, grams, model).groupBy("group"))
-    scored = met_again.applyInArrow(run, f"doc_id {kind}, n_tokens long, known long, base double, others array<long>, score double, size long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        word_keys, values, gram_keys, units = shared.value
+        word_index, gram_index = Index(word_keys), Index(gram_keys)
+
+        def split(missing: np.ndarray, keys: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
+            left = np.cumsum(np.concatenate(([0], missing)))[bounds]
+            rest = keys[missing].view(np.int64)
+            return [rest[a:b] for a, b in zip(left[:-1], left[1:])]
+
+        for batch in batches:
+            out: dict[str, list] = {c: [] for c in ("n_tokens", "known", "base", "rare_words", "units", "rare_grams", "size")}
+            for _, part in portions(texts(batch, "text"), PORTION):
+                h, bounds = words_of(part)
+                at, good = word_index.find(h)
+                sums = np.concatenate(([0.0], np.cumsum(np.where(good, values[at] if len(values) else 0.0, 0.0))))[bounds]
+                out["n_tokens"].append(np.diff(bounds) + 1)
+                out["known"].append(np.diff(np.concatenate(([0], np.cumsum(good)))[bounds]) + (ends > 0))
+                out["base"].append(np.diff(sums) + end_value)
+                out["rare_words"] += split(~good, h, bounds)
+                keys, begin = byte_grams(part)
+                at, good = gram_index.find(keys)
+                bounds = np.append(begin, len(keys))
+                out["units"].append(np.add.reduceat(np.where(good, units[at] if len(units) else 0, 0).astype(np.int64), begin))
+                out["rare_grams"] += split(~good, keys, bounds)
+                out["size"].append(np.diff(bounds))
+            longs = pa.list_(pa.int64())
+            arrays = [pa.array(v, longs) if c.startswith("rare") else pa.array(np.concatenate(v) if v else np.zeros(0), pa.float64() if c == "base" else pa.int64()) for c, v in out.items()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], ["doc_id", *out])
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    scored = rows.filter("ask").select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, known long, base double, rare_words array<long>, units long, rare_grams array<long>, size long")
     scored = settle(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
-    met = scored.select("row", F.explode("others").alias("key")).join(rare, "key")
-    more = met.groupBy("row").agg(F.count(F.lit(1)).alias("met"), F.sum(F.log10(F.col("n") + 1.0)).alias("met_base"))
-    out = scored.drop("others").join(more, "row", "left")
+    met_words = scored.select("row", F.explode("rare_words").alias("key")).join(rare_words, "key")
+    met_words = met_words.groupBy("row").agg(F.count(F.lit(1)).alias("more_known"), F.sum(F.log10(F.col("n") + 1.0)).alias("more_base"))
+    met_grams = scored.select("row", F.explode("rare_grams").alias("key")).join(rare_grams.select("key", "units"), "key")
+    met_grams = met_grams.groupBy("row").agg(F.sum(F.col("units").cast("long")).alias("more_units"))
+    out = scored.drop("rare_words", "rare_grams").join(met_words, "row", "left").join(met_grams, "row", "left")
     norm = float(np.log10(total + types + 1.0))
+    score = (F.col("units") + F.coalesce("more_units", F.lit(0))) / F.lit(UNIT)
     return out.select(
         "doc_id", "n_tokens",
-        (F.col("known") + F.coalesce("met", F.lit(0))).cast("long").alias("n_known"),
+        (F.col("known") + F.coalesce("more_known", F.lit(0))).cast("long").alias("n_known"),
         F.lit(int(total)).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("met_base", F.lit(0.0)) - F.col("n_tokens") * norm).alias("base_score"),
-        "score",
-        (-F.col("score") / (F.log10(F.lit(2.0)) * F.col("size"))).alias("bits_per_byte"),
+        (F.col("base") + F.coalesce("more_base", F.lit(0.0)) - F.col("n_tokens") * norm).alias("base_score"),
+        score.alias("score"),
+        (-score / (F.log10(F.lit(2.0)) * F.col("size"))).alias("bits_per_byte"),
     )
 
 
+def lm_scores(docs: DataFrame, train: DataFrame | Column) -> DataFrame:
+    """One row per row of docs: doc_id, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
+
+    train: a table of doc_id and text, or a condition on docs (then docs are
+    scanned once for both). Null and empty texts are an end and nothing else.
+    bits_per_byte divides by the bytes and the end. Without training rows
+    every bit is even and base_score is 0. Words are told apart by 64-bit
+    hashes. Ids may be null or repeated; an empty table gives no rows; extra
+    columns are not read.
+    """
+    if isinstance(train, Column):
+        rows = docs.select("doc_id", "text", F.coalesce(train, F.lit(False)).alias("learn"), F.lit(True).alias("ask"))
+    else:
+        rows = docs.select("doc_id", "text", F.lit(False).alias("learn"), F.lit(True).alias("ask"))
+        rows = rows.union(train.select("doc_id", "text", F.lit(True), F.lit(False)))
+    return _scores(rows)
+
+
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's scores, learned from the documents outside the held-out seventh."""
     docs = table(spark, sf_dir, "documents")
     held = crc_mod("doc_id", 7) == 2
-    out = lm_scores(docs, docs.filter(~held))
+    out = lm_scores(docs, ~held)
     return out.select("doc_id", held.alias("held_out"), *[c for c in out.columns if c != "doc_id"])
