@@ -45,13 +45,13 @@ from tilework.llm.common import UPPER_TO_LOWER, crc_mod, discard, portions, scra
 
 ORDERS = (1, 2, 3, 4, 5, 6)
 SHORT, LONG = ORDERS[:2], ORDERS[2:]
-BUCKET = 8 << 20  # bytes of text for each bucket of counts
+BUCKET = 4 << 20  # bytes of text for each bucket of counts
 STREAM = 1 << 17  # grams that one online learner sees
 WORDS, GRAMS = 1 << 20, 1 << 21  # broadcast at most
 TUNE_ONE_IN = 8
-PORTION = 1 << 20
+PORTION = 1 << 19
 STEP = 1 << 14  # grams scored at once, so that what a step makes stays in the cache
-HELD = 2_000_000  # keys that a counting task gathers before it hands them on
+HELD = 1_000_000  # keys that a counting task gathers before it hands them on
 CURVE = 33  # points of a refinement curve
 UNIT = float(1 << 20)  # scores are summed in whole units of log10
 END = b"\xff"  # never part of UTF-8
@@ -95,7 +95,7 @@ def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     order = np.argsort(keys, kind="stable")  # quick on runs that are sorted already
     keys, counts = keys[order], counts[order]
     first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, int)
-    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
+    return keys[first], np.add.reduceat(counts, first, dtype=counts.dtype) if len(first) else counts
 
 
 def byte_grams(part: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -121,6 +121,15 @@ def words_of(part: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return word_hashes(buf, start, end, 91), np.searchsorted(start, np.cumsum([0] + [len(r) + 1 for r in part]))
 
 
+def _planes(v: np.ndarray) -> bytes:
+    """An array's first bytes, then its second ones, and so on: sorted keys and small counts are packed well so."""
+    return v.view(np.uint8).reshape(-1, v.dtype.itemsize).T.tobytes()
+
+
+def _of_planes(data: bytes, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
 def _packed(kind: bool, keys: np.ndarray, n: np.ndarray, buckets: int) -> pa.RecordBatch:
     """Keys and counts by bucket, a row for each: grams are dealt by the last three bytes of their contexts, words by their hash."""
     of = scramble((keys >> np.uint64(8)) & np.uint64(0xFFFFFF) if kind else keys, 19) % np.uint64(buckets)
@@ -128,12 +137,12 @@ def _packed(kind: bool, keys: np.ndarray, n: np.ndarray, buckets: int) -> pa.Rec
     names, first = np.unique(of[order], return_index=True)
     ends = np.append(first[1:], len(order))
     cut = [order[a:b] for a, b in zip(first, ends)]
-    columns = [pa.array([v[c].tobytes() for c in cut], pa.binary()) for v in (keys, n)]
+    columns = [pa.array([_planes(v[c].ravel()) for c in cut], pa.binary()) for v in (keys, n)]
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(names), kind)), pa.array(names.astype(np.int32)), *columns], ["gram", "bucket", "keys", "counts"])
 
 
-def _unpacked(keys: list[bytes], counts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
-    return [(np.frombuffer(k, np.uint64), np.frombuffer(c, np.int64).reshape(-1, 3)) for k, c in zip(keys, counts)]
+def _unpacked(keys: list[bytes], counts: list[bytes], kind: type = np.int64) -> list[tuple[np.ndarray, np.ndarray]]:
+    return [(_of_planes(k, np.uint64), _of_planes(c, kind).reshape(-1, 3)) for k, c in zip(keys, counts)]
 
 
 def corpus_counts(rows: DataFrame, buckets: int) -> DataFrame:
@@ -146,7 +155,7 @@ def corpus_counts(rows: DataFrame, buckets: int) -> DataFrame:
 
     def counted(keys: np.ndarray, part: int) -> tuple[np.ndarray, np.ndarray]:
         keys, times = np.unique(keys, return_counts=True)
-        n = np.zeros((len(keys), 3), np.int64)
+        n = np.zeros((len(keys), 3), np.uint32)  # no task reads 2**32 bytes of text
         n[:, part - 1] = times
         return keys, n
 
@@ -171,8 +180,8 @@ def corpus_counts(rows: DataFrame, buckets: int) -> DataFrame:
                 yield _packed(gram, *merged(have), buckets)
 
     def meet(key: tuple, group: pa.Table) -> pa.Table:
-        keys, n = merged(_unpacked(group["keys"].to_pylist(), group["counts"].to_pylist()))
-        return pa.table({"gram": [key[0].as_py()], "bucket": pa.array([key[1].as_py()], pa.int32()), "tuned": [int((n[:, 1] > 0).sum())], "keys": pa.array([keys.tobytes()], pa.binary()), "counts": pa.array([n.tobytes()], pa.binary())})
+        keys, n = merged([(k, c.astype(np.int64)) for k, c in _unpacked(group["keys"].to_pylist(), group["counts"].to_pylist(), np.uint32)])
+        return pa.table({"gram": [key[0].as_py()], "bucket": pa.array([key[1].as_py()], pa.int32()), "tuned": [int((n[:, 1] > 0).sum())], "keys": pa.array([_planes(keys)], pa.binary()), "counts": pa.array([_planes(n.ravel())], pa.binary())})
 
     found = rows.select("text", "part").mapInArrow(run, "gram boolean, bucket int, keys binary, counts binary")
     return found.groupBy("gram", "bucket").applyInArrow(meet, "gram boolean, bucket int, tuned long, keys binary, counts binary")
