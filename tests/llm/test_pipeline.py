@@ -1,8 +1,11 @@
 import collections
+import random
+
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from conftest import SMALL
-from tilework.llm import decontaminate, mixing
+from tilework.llm import decontaminate, language, mixing
 
 
 def test_each_stage_does_its_work(spark):
@@ -14,7 +17,11 @@ def test_each_stage_does_its_work(spark):
         seen[name] = docs
         if name == "language_id":
             letters = {r["doc_id"] for r in before.collect() if any(c.isalpha() for c in r["text"] or "")}
-            assert {r["doc_id"] for r in docs.collect()} == letters
+            told = language.identify(before, before).collect()
+            n = len({r["lang"] for r in before.collect() if r["lang"] is not None})
+            sure = {r["doc_id"] for r in told if r["lang_pred"] != "und" and r["score"] >= 1 / n + 0.2 * (1 - 1 / n)}
+            kept = {r["doc_id"] for r in docs.collect()}
+            assert kept == sure and kept <= letters and len(kept) >= 0.98 * len(letters)
         if name == "decontamination":
             found = decontaminate.hit_runs(before, spark.read.parquet(f"{SMALL}/benchmark.parquet"))
             assert {r["doc_id"] for r in docs.collect()} == {r["doc_id"] for r in found.filter("n_hit = 0").collect()}
@@ -30,3 +37,20 @@ def test_each_stage_does_its_work(spark):
     assert len({(r["shard"], r["slot"]) for r in rows}) == len(rows)
     again = corpus_pipeline.run(spark, SMALL).collect()
     assert sorted((r["doc_id"], r["shard"], r["slot"]) for r in again) == sorted((r["doc_id"], r["shard"], r["slot"]) for r in rows)
+
+
+def test_language_stage_rejects_what_no_language_explains(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    r = random.Random(2)
+    odd = {}
+    for i, letters in enumerate(("абвгдежзиклмнопрст", "αβγδεζηθικλμνξ", "的一是不了人我在有他", "qxzjkvwbpfhg")):
+        odd[10**6 + i] = " ".join("".join(r.choice(letters) for _ in range(r.randint(2, 9))) for _ in range(60))
+    more = spark.createDataFrame([(i, t, None, "odd", len(t)) for i, t in odd.items()], docs.schema)
+    kept = {x["doc_id"] for x in corpus_pipeline.language_id(spark, docs.union(more), SMALL).collect()}
+    assert not kept & set(odd) and len(kept) >= 0.98 * docs.filter("text is not null").count()
+
+
+def test_language_stage_without_labels_keeps_texts(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").withColumn("lang", F.lit(None).cast("string"))
+    kept = {x["doc_id"] for x in corpus_pipeline.language_id(spark, docs, SMALL).collect()}
+    assert kept == {x["doc_id"] for x in docs.collect() if any(c.isalpha() for c in x["text"] or "")}

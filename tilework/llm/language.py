@@ -25,6 +25,8 @@ SIZE = 1 << HASH_BITS
 ORDERS = (1, 2, 3)
 PER_LABEL = 1500
 UNKNOWN = "und"
+#: How far from chance (0) to certainty (1) the score of a text must lie to be accepted.
+MARGIN = 0.2
 
 _LETTERS: list[np.ndarray] = []
 
@@ -86,10 +88,11 @@ def document_counts(train: DataFrame) -> np.ndarray:
 
 
 def sample(train: DataFrame, per_label: int) -> DataFrame:
-    """About per_label documents of each language, by a hash of the id."""
+    """(h, text, lang): about per_label documents of each language, by a hash of id and text; rows alike in these count once."""
     share = train.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(per_label * 1.0) / F.count(F.lit(1))).alias("share"))
-    drawn = F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1 << 20)) / float(1 << 20)
-    return train.join(F.broadcast(share.withColumnRenamed("lang", "_lang")), F.col("lang") == F.col("_lang")).filter(drawn < F.col("share")).select("doc_id", "text", "lang")
+    drawn = F.pmod(F.xxhash64(F.lit(7), "doc_id", "text"), F.lit(1 << 20)) / float(1 << 20)
+    some = train.join(F.broadcast(share.withColumnRenamed("lang", "_lang")), F.col("lang") == F.col("_lang")).filter(drawn < F.col("share"))  # one row for each language
+    return some.select(F.xxhash64(F.lit(8), "doc_id", "text").alias("h"), "text", "lang").dropDuplicates(["h", "lang"])
 
 
 class Ftrl:
@@ -156,6 +159,7 @@ def identify(docs: DataFrame, train: DataFrame, per_label: int = PER_LABEL) -> D
 
 
 def learn(train: DataFrame, per_label: int = PER_LABEL):
+    """Languages, weights, temperature and IDF from (doc_id, text, lang); no languages where no row has both a lang and a letter."""
     train = train.filter(F.col("lang").isNotNull()).select("doc_id", "text", "lang")
     seen = document_counts(train)
     idf = np.log((1 + seen[SIZE]) / (1 + seen[:SIZE])) + 1
@@ -174,8 +178,7 @@ def learn(train: DataFrame, per_label: int = PER_LABEL):
             )
 
     # The sample is bounded by per_label a language, so it fits the driver.
-    drawn = sample(train, per_label).select(F.xxhash64(F.lit(8), "doc_id", "text").alias("h"), "text", "lang")
-    got = sorted(drawn.mapInArrow(run, "h long, at binary, value binary, lang string").toLocalIterator(), key=lambda r: (r["h"], r["lang"]))
+    got = sorted(sample(train, per_label).mapInArrow(run, "h long, at binary, value binary, lang string").toLocalIterator(), key=lambda r: (r["h"], r["lang"]))
     rows = [(np.frombuffer(r["at"], np.int32), np.frombuffer(r["value"], np.float32), r["lang"]) for r in got]
     return (*fit(rows), idf) if rows else ([], np.zeros((SIZE + 1, 0)), 1.0, idf)
 
@@ -206,23 +209,40 @@ def predict(docs: DataFrame, labels: list[str], w: np.ndarray, temperature: floa
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
 
 
-def accept(docs: DataFrame, train: DataFrame, per_label: int = PER_LABEL) -> DataFrame:
-    """The rows of docs, all columns, whose text has a language.
+def least_score(languages: int) -> float:
+    """The score from which a text is accepted: MARGIN of the way from chance to certainty."""
+    return 1 / languages + MARGIN * (1 - 1 / languages)
+
 
-    Rejected are texts that are null or without any letter (``und``).
+def accept(docs: DataFrame, train: DataFrame, per_label: int = PER_LABEL) -> DataFrame:
+    """The rows of docs, all columns, whose text is in one of the learned languages.
+
+    Rejected are texts that are null or without any letter (``und``) and those
+    whose calibrated score is below least_score(): texts in another script or
+    language, or strings of random letters, score near chance. Where train has
+    no labelled text there is nothing to judge by, and every text with a letter
+    stays. Repeated rows have one fate; an empty table gives no rows; columns
+    other than text are only carried along.
     """
     labels, w, temperature, idf = learn(train, per_label)
     shared = docs.sparkSession.sparkContext.broadcast((w.astype(np.float32), idf))
+    least = least_score(len(labels)) if labels else 0.0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lang, _ = judge(batch.column("text").to_pylist(), labels, *shared.value, temperature)
-            yield batch.filter(pa.array([x != UNKNOWN for x in lang], pa.bool_()))
+            rows = batch.column("text").to_pylist()
+            if labels:
+                lang, score = judge(rows, labels, *shared.value, temperature)
+                stays = [x != UNKNOWN and p >= least for x, p in zip(lang, score)]
+            else:
+                stays = [ngram_counts(text) is not None for text in rows]
+            yield batch.filter(pa.array(stays, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language, learned outside the held-out quarter."""
     docs = table(spark, sf_dir, "documents")
     found = identify(docs, docs.filter(crc_mod("doc_id", 4) != 2))
     return found.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")

@@ -3,9 +3,10 @@
 Besides the three base patterns, long runs of key-like characters are searched
 for stretches that look random. A window slides over each candidate; the counts
 of its characters are kept up to date by one step in and one step out, and with
-them the Shannon entropy of the window and its character class (hex digits,
-letters with digits, or letters alone). Windows above their own class's
-threshold are joined into one span. An allow-list takes out strings that are long and mixed
+them the Shannon entropy of the window and its character class (digits, hex
+digits, letters of one case, letters of both, or letters with digits). Windows
+above their own class's threshold are joined into one span; letters of one
+case must also be short of vowels, which words are not. An allow-list takes out strings that are long and mixed
 but known: UUIDs, file paths, dates, version numbers and placeholders.
 """
 
@@ -28,13 +29,15 @@ ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 KINDS = ("assign", "access", "hex", "entropy")
 WINDOW = 20
 #: Bits a character over a window of 20; random strings of the class lie above.
-THRESHOLDS = {"hex": 3.0, "mixed": 3.6, "letters": 3.7}
-#: A window of letters has so many of either case at least; words and names have fewer.
+THRESHOLDS = {"digits": 2.9, "hex": 3.0, "mixed": 3.6, "letters": 3.7, "lower": 3.65, "upper": 3.65}
+#: A window of letters of both cases has so many of either at least; words and names have fewer.
 CASES = WINDOW // 4
+#: A window of letters of one case has so many vowels at most; words have more.
+VOWELS = WINDOW // 4
 ALLOW = (
     rb"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}",
     rb"[A-Za-z_-]*\d{1,6}",  # unless the letters look random
-    rb"\d[\d_/-]*",
+    rb"(\d{1,19}[_/-]+)*\d{1,19}",
     rb"(?i:.*(example|placeholder|changeme|xxxx|0123456789|abcdefgh).*)",
     rb"([A-Za-z_-]+\d{0,4}/)+[A-Za-z_-]*\d{0,4}",
 )
@@ -50,9 +53,9 @@ def _members(chars: bytes) -> np.ndarray:
 
 DIGITS = b"0123456789"
 _HEX = _members(DIGITS + b"abcdef")
-_DIGIT = _members(DIGITS)
 _KEYLIKE = _members(DIGITS + bytes(range(65, 91)) + bytes(range(97, 123)) + b"+/_-")
 _HEXLIKE = frozenset(DIGITS + b"abcdefABCDEF")
+_VOWELS = frozenset(b"aeiouAEIOU")
 
 
 def runs(buf: np.ndarray, members: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -65,14 +68,25 @@ def runs(buf: np.ndarray, members: np.ndarray, least: int) -> tuple[np.ndarray,
     return start[long], end[long]
 
 
-def entropy_spans(word: bytes, window: int = WINDOW, thresholds=THRESHOLDS) -> list[tuple[int, int]]:
-    """Stretches of a candidate whose windows are above the threshold of their own class.
+def window_class(window: int, digits: int, hexes: int, upper: int, lower: int, vowels: int) -> str | None:
+    """The class of a window by how many characters of each kind it has; None for what words and names look like."""
+    if digits == window:
+        return "digits"
+    if hexes == window:
+        return "hex"
+    if digits:
+        return "mixed"
+    if lower == window or upper == window:
+        one = "lower" if lower else "upper"
+        return one if vowels * WINDOW <= VOWELS * window else None
+    return "letters" if min(upper, lower) >= CASES else None
 
-    Windows of digits alone are numbers.
-    """
+
+def entropy_spans(word: bytes, window: int = WINDOW, thresholds=THRESHOLDS) -> list[tuple[int, int]]:
+    """Stretches of a candidate whose windows are above the threshold of their own class."""
     if len(word) < window:
         return []
-    hexes = digits = upper = lower = 0  # in the window
+    hexes = digits = upper = lower = vowels = 0  # in the window
     plogp = [0.0] + [c * math.log2(c) for c in range(1, window + 2)]  # one steps in before one steps out
     counts: dict[int, int] = {}
     total = 0.0  # sum of c * log2(c) over the characters in the window
@@ -83,6 +97,7 @@ def entropy_spans(word: bytes, window: int = WINDOW, thresholds=THRESHOLDS) -> l
         counts[c] = n + 1
         hexes += c in _HEXLIKE
         digits += c in DIGITS
+        vowels += c in _VOWELS
         upper += 65 <= c <= 90
         lower += c >= 97
         if i >= window:
@@ -92,12 +107,13 @@ def entropy_spans(word: bytes, window: int = WINDOW, thresholds=THRESHOLDS) -> l
             counts[gone] = n - 1
             hexes -= gone in _HEXLIKE
             digits -= gone in DIGITS
+            vowels -= gone in _VOWELS
             upper -= 65 <= gone <= 90
             lower -= gone >= 97
-        if i < window - 1 or digits == window or not digits and hexes < window and min(upper, lower) < CASES:
+        if i < window - 1:
             continue
-        limit = thresholds["hex" if hexes == window else "mixed" if digits else "letters"]
-        if math.log2(window) - total / window >= limit:
+        kind = window_class(window, digits, hexes, upper, lower, vowels)
+        if kind and math.log2(window) - total / window >= thresholds[kind] - 1e-9:
             start = i - window + 1
             if spans and start <= spans[-1][1]:
                 spans[-1][1] = i + 1
@@ -127,14 +143,11 @@ def scan(data: bytes, window: int = WINDOW, thresholds=THRESHOLDS, allow=ALLOW)
     found += [(int(s), 2, int(e)) for s, e in zip(*runs(buf, _HEX, 24))]
     start, end = runs(buf, _KEYLIKE, window)
     if len(start):
-        bounds = np.stack([start, np.minimum(end, len(buf) - 1)], 1).ravel()
-        digits = np.add.reduceat(_DIGIT[buf].astype(np.int32), bounds)[::2] + ((end == len(buf)) & _DIGIT[buf[-1]])
-        mixed = digits < end - start
         known = re.compile(b"|".join(b"(?:" + a + b")" for a in allow)) if allow else None
         base = sorted((s, e) for s, _, e in found)
         starts = [s for s, _ in base]
         reach = list(np.maximum.accumulate([e for _, e in base])) if base else []
-        for s, e in zip(start[mixed].tolist(), end[mixed].tolist()):
+        for s, e in zip(start.tolist(), end.tolist()):
             word = data[s:e]
             if known and known.fullmatch(word) and not (ENDS.fullmatch(word) and entropy_spans(word.rstrip(DIGITS), window, thresholds)):
                 continue
@@ -183,4 +196,5 @@ def secrets(docs: DataFrame, window: int = WINDOW, thresholds=THRESHOLDS, allow=
 
 
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The secrets of every document."""
     return secrets(table(spark, sf_dir, "documents"))
