@@ -16,7 +16,7 @@ N_SHARDS = 24
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in no language (null texts, texts without letters) go."""
+    """Documents that no learned language explains go, and those without a letter."""
     small_batches(spark)
     return language.accept(docs, docs)
 
