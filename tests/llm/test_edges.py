@@ -73,6 +73,21 @@ def test_stages_keep_columns(edge, items, stage):
     assert stage(plain.limit(0), items.limit(0)).collect() == []
 
 
+def test_place_replaces_its_own_columns(edge):
+    out = sharding.place(edge, 3)
+    assert sorted(out.columns) == sorted(edge.columns) and out.count() == edge.count()
+    assert {r["shard"] for r in out.select("shard").collect()} <= {0, 1, 2}
+    assert sharding.place(edge.limit(0), 3).collect() == []
+
+
+@pytest.mark.parametrize("name", ["jaccard", "substring"])
+def test_ids_are_whole_numbers(edge, labels, items, name):
+    with pytest.raises(ValueError, match="whole number"):
+        OPERATORS[name](edge.withColumn("doc_id", F.concat(F.lit("d"), "doc_id")), labels, items)
+    small = edge.filter("doc_id < 9").withColumn("doc_id", F.col("doc_id").cast("int"))
+    assert OPERATORS[name](small, labels, items).count() == small.count()
+
+
 def test_exact_groups_edges(edge):
     rows = [(r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_groups(edge).collect()]
     assert (1, 2, 3, False) in rows and (2, 2, 3, True) in rows and (5, 6, 2, False) in rows

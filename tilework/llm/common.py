@@ -40,6 +40,14 @@ def crc_mod(col: str | Column, n: int) -> Column:
     return F.crc32(F.coalesce((F.col(col) if isinstance(col, str) else col).cast("string"), F.lit(""))) % n
 
 
+def id_order(df: DataFrame) -> Column:
+    """doc_id as BIGINT by size; a null id is larger than all. Ids are whole numbers."""
+    kind = df.schema["doc_id"].dataType.typeName()
+    if kind not in ("byte", "short", "integer", "long"):
+        raise ValueError(f"doc_id must be a whole number of 64 bits at most, not {kind}")
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))
+
+
 def texts(batch: pa.RecordBatch, name: str) -> list[bytes]:
     """The UTF-8 bytes of each text; null counts as empty."""
     return [x or b"" for x in batch.column(name).cast(pa.large_binary()).to_pylist()]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilework.llm.common import settle
+from tilework.llm.common import discard, settle
 
 
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
@@ -29,9 +29,11 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
             above = hook.select(F.col("a").alias("up"), F.col("up").alias("upper"))
             hook = hook.join(above, "up").select("a", F.col("upper").alias("up"))
         hook = settle(hook, f"hook_{i}")
+        roots_then = roots
         roots = roots.join(hook.withColumnRenamed("a", "root"), "root", "left").select("node", F.coalesce("up", "root").alias("root"))
-        roots = settle(roots, f"roots_{i + 1}")
+        before, roots = roots_then, settle(roots, f"roots_{i + 1}")
         up_a, up_b = hook.select("a", F.col("up").alias("ua")), hook.select(F.col("a").alias("b"), F.col("up").alias("ub"))
         moved = edges.join(up_a, "a").join(up_b, "b").select(F.least("ua", "ub").alias("a"), F.greatest("ua", "ub").alias("b"))
-        edges = settle(moved.filter("a < b").distinct(), f"edges_{i + 1}")
+        last, edges = edges, settle(moved.filter("a < b").distinct(), f"edges_{i + 1}")
+        discard(last, hook, before)
     raise RuntimeError(f"components did not settle in {most} rounds")

@@ -215,10 +215,17 @@ def hit_runs(docs: DataFrame, benchmark: DataFrame, most: int = BLOCK_BYTES) ->
 def clean(docs: DataFrame, benchmark: DataFrame, most: int = BLOCK_BYTES) -> DataFrame:
     """The rows of docs, all columns, that share no window with the benchmark.
 
-    One scan for each block of the benchmark, and no shuffle.
+    One scan for each block of the benchmark, and no shuffle; between blocks
+    the rows that are left are written, so that a task has one block in memory.
+    Null and empty texts stay; an empty table gives no rows, an empty benchmark
+    leaves all; columns other than text, whatever their names, are carried
+    along.
     """
-    for part in blocks(benchmark, most):
+    parts = blocks(benchmark, most)
+    for i, part in enumerate(parts):
         docs = _clean_of(docs, Benchmark([(r["item_id"], r["text"].encode()) for r in part.toLocalIterator()]))
+        if i + 1 < len(parts):
+            docs = settle(docs, f"clean_{i}")
     return docs
 
 
@@ -239,6 +246,7 @@ def _clean_of(docs: DataFrame, block: Benchmark) -> DataFrame:
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's words that it shares with the benchmark."""
     found = hit_runs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
         "doc_id", "n_words", "n_hit",

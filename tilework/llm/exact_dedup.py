@@ -146,6 +146,7 @@ def exact_groups(docs: DataFrame, primes=PRIMES) -> DataFrame:
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's group of equal texts and the row that stays."""
     return exact_groups(table(spark, sf_dir, "documents"))
 
 

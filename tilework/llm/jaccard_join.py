@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilework.llm.common import UPPER_TO_LOWER, portions, rolling, scramble, settle, table, texts, whole_groups, word_bounds, word_hashes
+from tilework.llm.common import UPPER_TO_LOWER, id_order, portions, rolling, scramble, settle, table, texts, whole_groups, word_bounds, word_hashes
 from tilework.llm.components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -96,8 +96,7 @@ def tokens(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    order = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))
-    return docs.select("doc_id", order.alias("o"), F.xxhash64("text").alias("tk"), "text")
+    return docs.select("doc_id", id_order(docs).alias("o"), F.xxhash64("text").alias("tk"), "text")
 
 
 def survey(docs: DataFrame) -> DataFrame:
@@ -209,6 +208,18 @@ def lead(nodes: DataFrame, near: float) -> DataFrame:
     return nodes.groupBy("node", "block").applyInPandas(run, "node long, a long, b long, sig binary")
 
 
+def leader_pairs(leaders: DataFrame, bucket: int) -> DataFrame:
+    """(node, rep, sig) rows dealt anew, so that all pairs of a node's leaders meet in nodes of two blocks at most.
+
+    A node may keep many leaders where a passage is shared by texts that are
+    not alike; a task compares about 2 * bucket of them at once.
+    """
+    blocks = leaders.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / bucket).cast("int").alias("blocks"))
+    dealt = leaders.join(blocks, "node").withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.select(F.xxhash64("node", F.least("mine", "other"), F.greatest("mine", "other")).alias("node"), "rep", "sig")
+
+
 def candidates(sets: DataFrame, recall: float = RECALL, depth: int = DEPTH, bucket: int = BUCKET) -> DataFrame:
     """Ties (a, b) over (rep, tokens, sig) rows by chosen paths.
 
@@ -233,7 +244,7 @@ def candidates(sets: DataFrame, recall: float = RECALL, depth: int = DEPTH, buck
             dealt = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / bucket).cast("long")))
             led = settle(lead(dealt, 0.85), "leaders")
             ties.append(led.filter("a <> b").select("a", "b"))
-            ties.append(compare(led.filter("a = b").select("node", F.col("a").alias("rep"), "sig"), 0.1))
+            ties.append(compare(leader_pairs(led.filter("a = b").select("node", F.col("a").alias("rep"), "sig"), bucket), 0.1))
     out = ties[0]
     for more in ties[1:]:
         out = out.union(more)
@@ -364,7 +375,7 @@ def jaccard_join(docs: DataFrame, **how) -> DataFrame:
     empty texts (and texts of white space) are one text class without links.
     A null id is larger than any other. Rows with one id but different texts
     are told apart by their text. Extra columns are not read; an empty table
-    gives no rows.
+    gives no rows. Ids that are no whole numbers raise ValueError.
     """
     rows, named = named_classes(docs, **how)
     back = rows.select("doc_id", "rep").join(named, "rep")
@@ -387,7 +398,7 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
     stays = (F.col("o") == F.col("head")) & (F.col("tk") == F.col("head_tk"))
     counts = settle(back.groupBy(*KEY).agg(F.first(stays).alias("stays"), F.count(F.lit(1)).alias("n")).filter("n > 1 or not stays"), "fates")
     cols = [F.col(c) for c in docs.columns]
-    marked = docs.select(F.struct(*cols).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("o"), F.xxhash64("text").alias("tk"))
+    marked = docs.select(F.struct(*cols).alias("row"), id_order(docs).alias("o"), F.xxhash64("text").alias("tk"))
     few = counts.count() <= BROADCAST_IDS
     kept = marked.join(F.broadcast(counts) if few else counts, KEY, "left_anti")
     twice = counts.filter("stays and n > 1").select(*KEY)
@@ -397,4 +408,5 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's class and links at a similarity of 0.8 over five-word shingles."""
     return jaccard_join(table(spark, sf_dir, "documents"))

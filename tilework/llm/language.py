@@ -27,6 +27,8 @@ PER_LABEL = 1500
 UNKNOWN = "und"
 #: How far from chance (0) to certainty (1) the score of a text must lie to be accepted.
 MARGIN = 0.2
+#: A text of fewer characters is too short to be told from chance, and stays.
+SHORT = 20
 
 _LETTERS: list[np.ndarray] = []
 
@@ -143,7 +145,13 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, str]], epochs: int = 4) -> tupl
     logits = np.array([value @ w[at] + w[SIZE] for at, value, _ in held])
     truth = np.array([code[lang] for _, _, lang in held])
     grid = np.exp(np.linspace(np.log(0.02), np.log(20), 200))
-    loss = [-np.log(softmax(logits / t)[np.arange(len(truth)), truth] + 1e-12).mean() for t in grid]
+    # Few texts that are all told right would call for a temperature near 0: the
+    # rule of succession leaves each of them a doubt, spread over all languages.
+    doubt = 1 / (len(held) + 2)
+    loss = []
+    for t in grid:
+        logs = np.log(softmax(logits / t) + 1e-12)
+        loss.append(-((1 - doubt) * logs[np.arange(len(truth)), truth] + doubt * logs.mean(1)).mean())
     return labels, w, float(grid[int(np.argmin(loss))])
 
 
@@ -219,7 +227,8 @@ def accept(docs: DataFrame, train: DataFrame, per_label: int = PER_LABEL) -> Dat
 
     Rejected are texts that are null or without any letter (``und``) and those
     whose calibrated score is below least_score(): texts in another script or
-    language, or strings of random letters, score near chance. Where train has
+    language, or strings of random letters, score near chance. Texts of fewer
+    than SHORT characters with a letter stay. Where train has
     no labelled text there is nothing to judge by, and every text with a letter
     stays. Repeated rows have one fate; an empty table gives no rows; columns
     other than text are only carried along.
@@ -233,7 +242,7 @@ def accept(docs: DataFrame, train: DataFrame, per_label: int = PER_LABEL) -> Dat
             rows = batch.column("text").to_pylist()
             if labels:
                 lang, score = judge(rows, labels, *shared.value, temperature)
-                stays = [x != UNKNOWN and p >= least for x, p in zip(lang, score)]
+                stays = [x != UNKNOWN and (p >= least or len(text) < SHORT) for x, p, text in zip(lang, score, rows)]
             else:
                 stays = [ngram_counts(text) is not None for text in rows]
             yield batch.filter(pa.array(stays, pa.bool_()))

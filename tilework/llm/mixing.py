@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tilework.llm.common import WORD, settle, table
+from tilework.llm.common import WORD, discard, settle, table
 
 CAP = 3
 WEIGHTS = (5, 2, 1)
@@ -70,14 +70,14 @@ def rate(lam: Column, x: Column, cap: int = CAP) -> Column:
     return F.when(lam.isNull(), F.lit(float(cap))).otherwise(cap / (1 + (cap - 1) * F.exp(-lam * x)))
 
 
-def balance(cells: DataFrame, targets: DataFrame, cap: int = CAP, tolerance: float = 1e-9, most: int = 40) -> DataFrame:
+def balance(cells: DataFrame, targets: DataFrame, cap: int = CAP, tolerance: float = 1e-9, most: int = 100) -> DataFrame:
     """targets with ``lam``, the dual variable of each source.
 
     Sources whose target is their cap (or that have no words) have no finite
     solution or any; they get null and take the cap. Each iteration is one
-    aggregation of the cells by source; it ends when every constraint holds to
-    the tolerance, or after ``most`` iterations (rounding then takes up what
-    is left).
+    aggregation of the cells by source, summed as decimals so that reruns agree
+    to the last bit; it ends when every constraint holds to the tolerance.
+    Newton's steps need about ten iterations; ArithmeticError after ``most``.
     """
     share = F.col("target") / F.col("source_size")
     free = (F.col("source_size") > 0) & (share < cap * (1 - 1e-12)) & (F.col("target") > 0)
@@ -85,13 +85,13 @@ def balance(cells: DataFrame, targets: DataFrame, cap: int = CAP, tolerance: flo
     mean = F.col("source_size") / F.col("source_docs")
     far = F.lit(700.0)
     state = targets.select(*KEY, "source_size", "source_docs", "target", mean.alias("mean"), F.when(free, start).alias("lam"), (-far * 1e6).alias("lo"), (far * 1e6).alias("hi"))
-    state = settle(state, "dual_0")
+    before = state = settle(state, "dual_0")
     for i in range(most):
         x = F.col("size") / F.col("mean")
         r = rate(F.col("lam"), x, cap)
         tokens = F.col("n") * F.col("size")
         joined = cells.join(state.filter(F.col("lam").isNotNull()).select(*KEY, "mean", "lam"), KEY)
-        sums = joined.groupBy(*KEY).agg(F.sum(tokens * r).alias("have"), F.sum(tokens * x * r * (cap - r) / cap).alias("slope"))
+        sums = joined.groupBy(*KEY).agg(*[F.sum(v.cast("decimal(28,9)")).cast("double").alias(c) for c, v in (("have", tokens * r), ("slope", tokens * x * r * (cap - r) / cap))])
         gap = F.col("have") - F.col("target")
         lo = F.when(gap < 0, F.col("lam")).otherwise(F.col("lo"))
         hi = F.when(gap > 0, F.col("lam")).otherwise(F.col("hi"))
@@ -107,10 +107,14 @@ def balance(cells: DataFrame, targets: DataFrame, cap: int = CAP, tolerance: flo
             .withColumn("lam", F.when(F.col("off") <= tolerance, F.col("lam")).otherwise(next_lam))
             .select(*KEY, "source_size", "source_docs", "target", "mean", "lam", F.col("nlo").alias("lo"), F.col("nhi").alias("hi"), "off")
         )
-        state = settle(state, f"dual_{i + 1}")
+        last, state = before, settle(state, f"dual_{i + 1}")
+        discard(last)
+        before = state
         worst = state.agg(F.max("off")).first()[0]
         if worst is None or worst <= tolerance:
             break
+    else:
+        raise ArithmeticError(f"the dual is off by {worst:.2g} of a target after {most} iterations")
     return state.select(*KEY, "source_size", "target", "mean", "lam")
 
 
@@ -158,7 +162,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, see
     empty table gives no rows. Columns other than doc_id, text and source are
     not read.
     """
-    rows = settle(docs.select(*size_columns()), "sizes").withColumn("b", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(spread)).cast("int"))
+    # Rows without an id are interchangeable; a number of their own spreads them.
+    own = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
+    rows = settle(docs.select(*size_columns()).withColumn("b", F.pmod(F.xxhash64(F.lit(seed), "doc_id", own), F.lit(spread)).cast("int")), "sizes")
     cells = settle(rows.groupBy(*KEY, "size").agg(F.count(F.lit(1)).alias("n")), "cells")
     solved = balance(cells, source_targets(cells, weights, cap), cap)
     rounded = round_cells(cells, solved, cap)
@@ -175,8 +181,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, see
 def apply_mix(docs: DataFrame, **how) -> DataFrame:
     """The mixed table: each document as often as the mix takes it.
 
-    Rows alike in doc_id, source and size share their copies. Keeps the
-    columns of the input. The texts are shuffled once.
+    Rows alike in doc_id, source and size share their copies. Null texts and
+    texts without words are taken once, null ids and sources are rows like
+    others, an empty table gives no rows. Keeps the columns of the input,
+    whatever their names. The texts are shuffled once.
     """
     key = ["no_id", "id", *KEY, "size"]
     named = [F.col("doc_id").isNull().alias("no_id"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id")]
@@ -189,5 +197,6 @@ def apply_mix(docs: DataFrame, **how) -> DataFrame:
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's words in the mix of all sources."""
     out = mix(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "rate")

@@ -87,11 +87,13 @@ def shard_documents(docs: DataFrame, n_shards: int = 24, seed: int = 42) -> Data
 
 
 def place(docs: DataFrame, n_shards: int = 24, seed: int = 42) -> DataFrame:
-    """The rows of docs, all columns, with ``shard`` and ``slot``.
+    """The rows of docs, all columns, with ``shard`` and ``slot``; columns of these names in docs are replaced.
 
-    Places are found on narrow rows; the texts are shuffled once, to meet
+    Null ids, texts and sources are rows like others, an empty table gives no
+    rows, and other columns, whatever their names, are carried along. Places are found on narrow rows; the texts are shuffled once, to meet
     them. Rows alike in id, source and text take their places in turn.
     """
+    docs = docs.drop("shard", "slot")
     body = F.coalesce(F.col("text"), F.lit(""))
     key = ["no_id", "id", "none", "src", "crc", "len"]
     named = docs.select(
@@ -115,6 +117,7 @@ def write_shards(docs: DataFrame, path: str, n_shards: int = 24, seed: int = 42)
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shard of 24 and its slot there, under the law of rows."""
     out = shard_documents(table(spark, sf_dir, "documents"), 24)
     none: Column = F.lit(None).cast("int")
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), none.alias("grown_shard"))

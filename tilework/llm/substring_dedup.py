@@ -28,16 +28,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilework.llm.common import portions, rolling, settle, table, texts, word_bounds, word_hashes
+from tilework.llm.common import discard, id_order, portions, rolling, settle, table, texts, word_bounds, word_hashes
 
 WINDOW, GRAM = 50, 16
 #: Rows of the sketch, and cells of a row for each key counted in it.
 DEPTH, CELLS = 2, 8
 #: Ids up to which a set of documents is broadcast (24 bytes each).
 BROADCAST_IDS = 1_000_000
+#: Rows from which a key is hot; there are at most rows / HOT such keys, and they are broadcast.
+HOT = 100_000
 KEY = ["o", "tk"]
 _STEPS = (0x5851F42D4C957F2D, 0x2545F4914F6CDD1D, 0xD6E8FEB86659FD93)
 
@@ -65,11 +67,6 @@ def _signed(h: np.ndarray) -> pa.Array:
     return pa.array(h.view(np.int64))
 
 
-def _order(doc_id: str = "doc_id") -> Column:
-    """Ids by size; a null id is larger than all."""
-    return F.coalesce(F.col(doc_id).cast("long"), F.lit(2**63 - 1))
-
-
 def survey(docs: DataFrame, window: int, gram: int) -> DataFrame:
     """o, tk, s1, s2 (hashes of the word sequence), n_words, whole_sha256, keys."""
 
@@ -97,17 +94,33 @@ def survey(docs: DataFrame, window: int, gram: int) -> DataFrame:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", _order().alias("o"), F.xxhash64("text").alias("tk"), "text")
+    return docs.select("doc_id", id_order(docs).alias("o"), F.xxhash64("text").alias("tk"), "text")
+
+
+def met(rows: DataFrame, keys: DataFrame, on: list[str], hot: int = HOT) -> DataFrame:
+    """rows joined with keys (whose n counts the rows of each), without n.
+
+    A boilerplate passage may be the key of a large share of the rows: keys of
+    more than ``hot`` rows are met by broadcast, the others in a shuffle.
+    """
+    large = keys.filter(F.col("n") > hot).drop("n")
+    out = rows.join(keys.filter(F.col("n") <= hot).drop("n"), on)
+    return out if large.isEmpty() else out.unionByName(rows.join(F.broadcast(large), on))
 
 
 def sketch_filter(keys: DataFrame, depth: int = DEPTH, cells: int = CELLS) -> DataFrame:
-    """The (o, tk, key) rows whose key no row of the count-min sketch rules out."""
+    """The (o, tk, key) rows whose key no row of the count-min sketch rules out.
+
+    A task counts its keys by cell, which is its partition's sketch; the
+    sketches are merged by adding up their cells.
+    """
     for row in range(depth):
         width = max(1024, cells * keys.count())
         dealt = keys.withColumn("cell", F.pmod(F.xxhash64(F.lit(row), "key"), F.lit(width)))
-        several = dealt.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2").select("cell")
-        several = settle(several, f"sketch_{row}")
-        keys = settle(dealt.join(several, "cell", "left_semi").drop("cell"), f"keys_{row}")
+        several = settle(dealt.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2"), f"sketch_{row}")
+        kept = settle(met(dealt, several, ["cell"]).drop("cell"), f"keys_{row}")
+        discard(several, *([keys] if row else []))
+        keys = kept
     return keys
 
 
@@ -179,8 +192,9 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, depth:
     where nothing was removed: the text is left as it is). Null and empty
     texts have no words. A null id counts as larger than any other. Rows with
     one id are not smaller than each other, so of equal ids none loses words
-    to the other; repeated rows get the same result. Extra columns are not
-    read.
+    to the other; repeated rows get the same result. An empty table gives no
+    rows; extra columns are not read. Ids that are no whole numbers raise
+    ValueError.
     """
     rows = settle(survey(docs, window, gram), "survey")
     firsts = rows.groupBy("s1", "s2").agg(F.min("o").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -190,12 +204,15 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, depth:
     few = copies.count() <= BROADCAST_IDS
     alone = rows.join(F.broadcast(copies) if few else copies, KEY, "left_anti")
     keys = settle(alone.select(*KEY, F.explode("keys").alias("key")), "keys")
-    wanted = sketch_filter(keys, depth).groupBy(*KEY).agg(F.collect_set("key").alias("wanted"))
-    found = settle(windows(docs, settle(wanted, "wanted"), window, gram), "windows")
-    smallest = found.groupBy("h1", "h2").agg(F.min("o").alias("first"), F.max("o").alias("last")).filter("first < last")
+    passed = sketch_filter(keys, depth)
+    wanted = settle(passed.groupBy(*KEY).agg(F.collect_set("key").alias("wanted")), "wanted")
+    discard(keys, passed)
+    found = settle(windows(docs, wanted, window, gram), "windows")
+    smallest = found.groupBy("h1", "h2").agg(F.min("o").alias("first"), F.max("o").alias("last"), F.count(F.lit(1)).alias("n")).filter("first < last")
     smallest = settle(smallest.drop("last"), "smallest")
-    later = found.join(smallest, ["h1", "h2"]).filter("o > first")
+    later = met(found, smallest, ["h1", "h2"]).filter("o > first")
     starts = settle(later.groupBy(*KEY).agg(F.collect_set("start").alias("starts")), "starts")
+    discard(wanted, found, smallest)
     cut = removals(docs, starts, window).dropDuplicates(KEY)
     if not keep_texts:
         cut = cut.drop("kept")
@@ -208,6 +225,7 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, depth:
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the windows that start in an earlier one."""
     return deduplicate(table(spark, sf_dir, "documents"))
 
 
