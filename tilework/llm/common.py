@@ -14,7 +14,10 @@ from tilework.sources.shared import discard  # noqa: F401  for the operators
 
 #: Rows of texts in one Arrow batch; Spark's default of 10,000 is for narrow rows.
 BATCH_ROWS = 2000
+#: Bytes of such a batch; a batch is held by Spark and by the Python worker.
+BATCH_BYTES = "8m"
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -22,6 +25,8 @@ def small_batches(spark: SparkSession) -> None:
     """Keep the batches of Arrow maps small in this session, unless they were set to be smaller."""
     if int(spark.conf.get(_BATCH)) > BATCH_ROWS or int(spark.conf.get(_BATCH)) <= 0:
         spark.conf.set(_BATCH, str(BATCH_ROWS))
+    if spark.conf.get(_BYTES) == "67108864b":  # Spark's own
+        spark.conf.set(_BYTES, BATCH_BYTES)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

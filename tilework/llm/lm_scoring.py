@@ -130,15 +130,16 @@ def _of_planes(data: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
-def _packed(kind: bool, keys: np.ndarray, n: np.ndarray, buckets: int) -> pa.RecordBatch:
+def _packed(kind: bool, keys: np.ndarray, n: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
     """Keys and counts by bucket, a row for each: grams are dealt by the last three bytes of their contexts, words by their hash."""
     of = scramble((keys >> np.uint64(8)) & np.uint64(0xFFFFFF) if kind else keys, 19) % np.uint64(buckets)
     order = np.argsort(of, kind="stable")
     names, first = np.unique(of[order], return_index=True)
     ends = np.append(first[1:], len(order))
-    cut = [order[a:b] for a, b in zip(first, ends)]
-    columns = [pa.array([_planes(v[c].ravel()) for c in cut], pa.binary()) for v in (keys, n)]
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(names), kind)), pa.array(names.astype(np.int32)), *columns], ["gram", "bucket", "keys", "counts"])
+    for i in range(0, len(names), 16):  # a few at once: each batch is held several times over
+        cut = [order[a:b] for a, b in zip(first[i : i + 16], ends[i : i + 16])]
+        columns = [pa.array([_planes(v[c].ravel()) for c in cut], pa.binary()) for v in (keys, n)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cut), kind)), pa.array(names[i : i + 16].astype(np.int32)), *columns], ["gram", "bucket", "keys", "counts"])
 
 
 def _unpacked(keys: list[bytes], counts: list[bytes], kind: type = np.int64) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -174,10 +175,10 @@ def corpus_counts(rows: DataFrame, buckets: int) -> DataFrame:
                     if sum(len(k) for k, _ in have) > HELD:
                         have[:] = [merged(have)]
                         if len(have[0][0]) > HELD * 3 // 4:
-                            yield _packed(gram, *have.pop(), buckets)
+                            yield from _packed(gram, *have.pop(), buckets)
         for gram, have in held.items():
             if have:
-                yield _packed(gram, *merged(have), buckets)
+                yield from _packed(gram, *merged(have), buckets)
 
     def meet(key: tuple, group: pa.Table) -> pa.Table:
         keys, n = merged([(k, c.astype(np.int64)) for k, c in _unpacked(group["keys"].to_pylist(), group["counts"].to_pylist(), np.uint32)])
