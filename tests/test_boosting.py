@@ -151,3 +151,26 @@ def test_positive_and_top(spark):
     df = spark.createDataFrame([([0.2, 0.5, 0.5],)], "probabilities array<double>")
     assert predict.positive_labels(df, ["a", "b", "c"]).first()["positive"] == ["b", "c"]
     assert [t["name"] for t in predict.top_probabilities(df, 2, ["a", "b", "c"]).first()["top"]] == ["b", "c"]
+
+
+def test_requests_meet_their_own_models(spark):
+    """1,000 models, one of them with most of the requests; both ways agree with plain traversal."""
+    from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
+
+    from tilework.operators.model import HEAD_SCHEMA, TREE_SCHEMA
+
+    rng = np.random.default_rng(2)
+    heads = [(f"m{i}", 1, 2, 1, 1, 1, 10 + i % 7, [i], "regression") for i in range(1000)]
+    trees = [(f"m{i}", 0, 0, [i % 2], [i % 50], [i, -i]) for i in range(1000)]
+    asked = [(i, "m7" if i % 3 else f"m{i % 1000}", [float(rng.normal() * 4), float(rng.normal() * 4)]) for i in range(1500)] + [(9999, "none", [0.0, 0.0])]
+    schema = StructType([StructField("request_id", LongType()), StructField("model_id", StringType()), StructField("features", ArrayType(DoubleType()))])
+    requests = spark.createDataFrame(asked, schema)
+    head, own = spark.createDataFrame(heads, HEAD_SCHEMA), spark.createDataFrame(trees, TREE_SCHEMA)
+    want = {}
+    for r, m, x in asked[:-1]:
+        i = int(m[1:])
+        q = math.floor(x[i % 2] * (10 + i % 7) + 0.5)
+        want[r] = i + (-i if q > i % 50 else i)
+    for size in (1 << 20, 0):
+        got = {r["request_id"]: r["score_q"][0] for r in predict.score_requests(requests, head, own, block=200, broadcast_bytes=size).collect()}
+        assert got == want

@@ -29,7 +29,7 @@ from tilework.functions import INT32_MAX, INT32_MIN, quantize
 from tilework.operators import profile
 from tilework.operators.binning import binned, cumulative_bins, quantile_thresholds, split_score
 from tilework.operators.model import Ensemble, Tree, add_trees
-from tilework.sources.shared import settle
+from tilework.sources.shared import discard, settle
 
 GRID = float(1 << 26)
 PASS_SCHEMA = "kind int, out int, node int, feature int, draw int, bin int, n long, g long, h long, loss double, weight double, hits long"
@@ -248,6 +248,9 @@ def leaf_value(task: str, total: tuple[int, int, int], lr: float, scale_q: int)
 
 def prepare(df: DataFrame, features: Sequence[str], task: str, p: Params, y: str = "y", row_id: str | None = None, n_out: int = 1, refit: bool = False):
     """Quantised, binned rows with starting scores, as a written table; the blank ensemble; thresholds; weights."""
+    # What the table was made from (splits, joins) runs once.
+    columns = dict.fromkeys(["split", *features, y, *([row_id] if row_id else [])])
+    df = settle(df.select(*columns), "training_rows")
     train = df.filter(F.col("split").isin("train", "val") if refit else F.col("split") == "train")
     regression = task == "regression"
     scale_q = profile.auto_scale(df, features, y if regression else None).first()[0]
@@ -294,7 +297,13 @@ def prepare(df: DataFrame, features: Sequence[str], task: str, p: Params, y: str
         return max(INT32_MIN, min(INT32_MAX, math.floor(real * scale_q + 0.5)))
 
     usable = [i for i, c in enumerate(features) if ranges[c][1] > 0]
-    return settle(rows, "binned"), ensemble, threshold, usable, w
+    # A small table is dealt to all cores; a large one has more parts than cores already.
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        rows = rows.repartition(cores)
+    binned_rows = settle(rows, "binned")
+    discard(df)
+    return binned_rows, ensemble, threshold, usable, w
 
 
 def grow_round(rows: DataFrame, ensemble: Ensemble, since: list[list[Tree]], p: Params, t: int, lr: float, threshold, usable: Sequence[int], w) -> tuple[list[Tree], dict[int, tuple]]:
@@ -386,8 +395,10 @@ def train(df: DataFrame, features: Sequence[str], task: str, p: Params | None =
         for k, tree in enumerate(grown):
             ensemble.trees[k].append(tree)
         if len(ensemble.trees[0]) - kept >= p.keep_every:
-            rows = settle(_with_scores(rows, [trees[kept:] for trees in ensemble.trees], ensemble.depth), "scores")
+            last, rows = rows, settle(_with_scores(rows, [trees[kept:] for trees in ensemble.trees], ensemble.depth), "scores")
+            discard(last)
             kept = len(ensemble.trees[0])
+    discard(rows)
     if p.early_stop and not refit:
         ensemble.trees = [trees[:best_iter] for trees in ensemble.trees]
     return Run(ensemble, curve, best_iter, None if math.isinf(best) else best)

@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tilework.functions import argmax, quantize, sigmoid, softmax
-from tilework.operators.model import Ensemble, Tree, add_trees
+from tilework.functions import INT32_MAX, INT32_MIN, argmax, quantize, sigmoid, softmax
+from tilework.operators.model import Ensemble, Tree, add_trees, from_tables
 
 #: Bytes of models up to which all of them go to every executor.
 BROADCAST_BYTES = 64 << 20
@@ -22,7 +22,7 @@ def score_q(features: Sequence[Column], ensemble: Ensemble) -> Column:
 
     @F.pandas_udf("array<long>")
     def run(xq: pd.Series) -> pd.Series:
-        x = np.array(xq.tolist(), np.int64).reshape(len(xq), -1)
+        x = np.stack(xq.to_numpy()).astype(np.int64) if len(xq) else np.zeros((0, 1), np.int64)
         score = np.tile(np.array(ensemble.base_q, np.int64), (len(x), 1))
         return pd.Series(list(add_trees(score, ensemble.trees, x, ensemble.depth)))
 
@@ -44,40 +44,57 @@ def predict(df: DataFrame, ensemble: Ensemble, features: Sequence[str] | None =
     return out.withColumn("predicted", F.transform("probabilities", lambda p: (p >= 0.5).cast("int")))
 
 
-def _packed(head: DataFrame, trees: DataFrame) -> DataFrame:
-    own = trees.groupBy("model_id").agg(F.collect_list(F.struct("out", "tree", "feat", "thr", "leaf")).alias("trees"))
-    return head.select("model_id", "depth", "scale_q", "base_q").join(own, "model_id")
+def _scores_of(features: list, model: Ensemble) -> list:
+    """Quantised scores of the rows of one model; null where a feature is null or NaN."""
+    x = np.array([list(f) for f in features], np.float64).reshape(len(features), -1)
+    bad = np.isnan(x).any(1)
+    held = np.clip(np.where(np.isnan(x), 0.0, x) * model.scale_q, INT32_MIN, INT32_MAX)
+    q = np.minimum(np.floor(held + 0.5), INT32_MAX).astype(np.int64)
+    score = add_trees(np.tile(np.array(model.base_q, np.int64), (len(q), 1)), model.trees, q, model.depth)
+    return [None if lost else row for lost, row in zip(bad, score)]
 
 
-def score_requests(requests: DataFrame, head: DataFrame, trees: DataFrame, salts: int = 8, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def score_requests(requests: DataFrame, head: DataFrame, trees: DataFrame, block: int = 100_000, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """requests (request_id, model_id, features) scored by their own model: (request_id, model_id, score_q).
 
-    Models of a small total size are sent to all executors. Otherwise requests
-    are dealt by (model, salt) and each salt gets its model, so that a model
-    with most of the requests is not one task's work.
+    A model never travels with the rows. Models of a small total size are sent
+    to all executors once. Otherwise the requests of each model are dealt into
+    blocks of about ``block`` rows, and a task meets one block with one copy of
+    its model, so that a model with most of the requests is not one task's
+    work. Requests for a model that is not there are left out.
     """
+    kind = requests.schema["request_id"].dataType.simpleString()
+    schema = f"request_id {kind}, model_id string, score_q array<long>"
+    rows = requests.select("request_id", "model_id", "features")
     size = trees.agg(F.sum(F.size("feat") * 8 + F.size("leaf") * 4)).first()[0] or 0
-    models = _packed(head, trees)
     if size <= broadcast_bytes:
-        rows = requests.join(F.broadcast(models), "model_id")
-    else:
-        salted = models.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        rows = requests.withColumn("salt", F.pmod(F.xxhash64("request_id"), F.lit(salts)).cast("int")).join(salted, ["model_id", "salt"])
-    xq = F.transform("features", lambda v: quantize(v, F.col("scale_q")))
-    rows = rows.select("request_id", "model_id", xq.alias("xq"), "depth", "base_q", "trees")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for _, own in pdf.groupby("model_id", sort=False):
-                r = own.iloc[0]
-                ensemble: list[list[Tree]] = [[] for _ in r["base_q"]]
-                for t in sorted(r["trees"], key=lambda t: (t["out"], t["tree"])):
-                    ensemble[t["out"]].append(Tree(*(np.array(t[c], np.int64) for c in ("feat", "thr", "leaf"))))
-                x = np.array(own["xq"].tolist(), np.int64).reshape(len(own), -1)
-                score = add_trees(np.tile(np.array(r["base_q"], np.int64), (len(x), 1)), ensemble, x, int(r["depth"]))
-                yield pd.DataFrame({"request_id": own["request_id"], "model_id": own["model_id"], "score_q": list(score)})
-
-    return rows.mapInPandas(run, f"request_id {requests.schema['request_id'].dataType.simpleString()}, model_id string, score_q array<long>")
+        shared = requests.sparkSession.sparkContext.broadcast(from_tables(head, trees))  # broadcast_bytes at most
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for model_id, own in pdf.groupby("model_id", sort=False):
+                    if model_id in shared.value:
+                        yield pd.DataFrame({"request_id": own["request_id"], "model_id": model_id, "score_q": _scores_of(own["features"], shared.value[model_id])})
+
+        return rows.mapInPandas(run, schema)
+    blocks = rows.groupBy("model_id").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    packed = trees.groupBy("model_id").agg(F.collect_list(F.struct("out", "tree", "feat", "thr", "leaf")).alias("trees"))
+    copies = head.select("model_id", "depth", "scale_q", "base_q", "task").join(packed, "model_id").join(blocks, "model_id")
+    copies = copies.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    dealt = rows.join(blocks, "model_id").withColumn("block", F.pmod(F.xxhash64("request_id"), F.col("blocks")).cast("int")).drop("blocks")
+
+    def meet(own: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
+        if not len(own) or not len(model):
+            return pd.DataFrame({"request_id": own["request_id"][:0], "model_id": own["model_id"][:0], "score_q": pd.Series([], dtype=object)})
+        r = model.iloc[0]
+        by_output: list[list[Tree]] = [[] for _ in r["base_q"]]
+        for t in sorted(r["trees"], key=lambda t: (t["out"], t["tree"])):
+            by_output[t["out"]].append(Tree(*(np.array(t[c], np.int64) for c in ("feat", "thr", "leaf"))))
+        ensemble = Ensemble(r["task"], 0, int(r["depth"]), int(r["scale_q"]), list(r["base_q"]), by_output)
+        return pd.DataFrame({"request_id": own["request_id"], "model_id": own["model_id"], "score_q": _scores_of(own["features"], ensemble)})
+
+    key = ["model_id", "block"]
+    return dealt.groupBy(*key).cogroup(copies.groupBy(*key)).applyInPandas(meet, schema)
 
 
 def top_probabilities(df: DataFrame, k: int, names: Sequence[str], probabilities: str = "probabilities") -> DataFrame:

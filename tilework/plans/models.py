@@ -288,14 +288,14 @@ J_COMPARE = f"WITH {GIVEN_SQL} SELECT row_id, CAST(s0 >= 0 AS INTEGER) AS cls, C
 
 
 def j_score_requests(spark, d):
-    """Each line asks one of two models; both ways of meeting the models agree."""
+    """Each line asks one of two models."""
     head, trees = given_ensemble().tables(spark)
     other = given_ensemble("multiclass_classification", 3)
     other.model_id = "other"
     h2, t2 = other.tables(spark)
     asked = lines(spark, d).select(F.col("row_id").alias("request_id"), F.when(F.col("l_linenumber") == 1, "other").otherwise("model").alias("model_id"), F.array(*FEATURES).alias("features"))
-    salted = predict.score_requests(asked, head.union(h2), trees.union(t2), broadcast_bytes=0)
-    return salted.select("request_id", "model_id", F.array_join("score_q", ",").alias("scores"))
+    scored = predict.score_requests(asked, head.union(h2), trees.union(t2))
+    return scored.select("request_id", "model_id", F.array_join("score_q", ",").alias("scores"))
 
 
 J_SCORE_REQUESTS = f"""WITH {GIVEN_SQL.replace('row_id, charge, l_quantity, floor', 'row_id, charge, l_quantity, l_linenumber, floor')}
