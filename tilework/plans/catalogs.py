@@ -232,15 +232,18 @@ def _folder(spark):
     return f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
 
 
-def _streamed(spark, df, label):
-    """A written table as a stream of files."""
+def _streamed(spark, df, label, batches=None):
+    """A written table as a stream of files, in so many micro-batches if that is said."""
     path = f"{_folder(spark)}/{label}"
-    df.write.parquet(path)
-    return spark.readStream.schema(df.schema).parquet(path)
+    (df.repartition(batches) if batches else df).write.parquet(path)
+    reader = spark.readStream.schema(df.schema)
+    return (reader.option("maxFilesPerTrigger", 1) if batches else reader).parquet(path)
 
 
-def _run(query) -> None:
+def _run(query) -> int:
+    """The number of the last micro-batch."""
     query.awaitTermination()
+    return max((p["batchId"] for p in query.recentProgress if p["numInputRows"]), default=0)
 
 
 def t_stream_access(spark, d):
@@ -259,9 +262,9 @@ T_STREAM_ACCESS = C_ACCESS
 def t_stream_listings(spark, d):
     events = renamed(log(spark, d), LISTING_KINDS)
     out = _folder(spark)
-    writer = jobs.stream_listings(_streamed(spark, events, "listings"), f"{out}/listings", f"{out}/state")
-    _run(writer.trigger(availableNow=True).start())
-    return jobs.current_listings(spark, f"{out}/listings", 0).select("token_id", F.col("price").cast("long").alias("price"), "seller")
+    writer = jobs.stream_listings(_streamed(spark, events, "listings", 3), f"{out}/listings", f"{out}/state")
+    last = _run(writer.trigger(availableNow=True).start())
+    return jobs.current_listings(spark, f"{out}/listings", last).select("token_id", F.col("price").cast("long").alias("price"), "seller")
 
 
 T_STREAM_LISTINGS = C_LISTINGS
