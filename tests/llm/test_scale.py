@@ -66,6 +66,36 @@ def test_leaders_of_a_large_node(spark):
     assert sum(got.values()) == sum(want.values()) and all(got[i] == n for i, n in want.items())
 
 
+def test_sizes_far_apart_in_one_cluster(spark):
+    """A chain of ever longer beginnings of one text: one cluster over many bands of size, cut into blocks."""
+    r = random.Random(6)
+    words = ["w%d" % r.randrange(10**6) for _ in range(1200)]
+    texts = [" ".join(words[: 40 + 4 * k]) for k in range(290)]
+    r.shuffle(texts)
+    want = collections.Counter(x for pair in links_of([shingles(t) for t in texts]) for x in pair)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = jaccard_join.jaccard_join(df, block=16).collect()
+    assert {x["doc_id"]: x["n_links"] for x in got} == dict(want)
+    assert {x["class_id"] for x in got} == {0}
+
+
+def test_passage_in_unlike_texts(spark):
+    """Texts that share a passage but are not alike stay apart as candidates, also where a node's leaders meet."""
+    r = random.Random(8)
+    passage = ["p%d" % i for i in range(60)]
+    own = [["w%d" % r.randrange(10**7) for _ in range(60)] for _ in range(500)]
+    own += [[*w[:30], "x%d" % i, *w[31:]] for i, w in enumerate(own[:20])]
+    texts = [" ".join([*passage, *w]) for w in own]
+    want = collections.Counter(x for pair in links_of([shingles(t) for t in texts]) for x in pair)
+    assert len(want) == 40
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x["doc_id"]: x["n_links"] for x in jaccard_join.jaccard_join(df, bucket=20).collect() if x["n_links"]}
+    assert got == dict(want)
+    sets = jaccard_join.survey(df).select(F.col("doc_id").alias("rep"), "tokens", "sig")
+    ties = {(min(t), max(t)) for t in jaccard_join.candidates(sets, bucket=20).collect()}
+    assert {(i, 500 + i) for i in range(20)} <= ties and len(ties) < 60
+
+
 def test_leaders_meet_in_blocks(spark):
     df = spark.range(50).select(F.lit(1).cast("long").alias("node"), F.col("id").alias("rep"), F.lit(b"x").alias("sig"))
     groups = collections.defaultdict(set)

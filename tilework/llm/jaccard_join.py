@@ -14,11 +14,12 @@ with Jaccard similarity of at least SIMILARITY.
    hashes until a pair at the threshold meets with the target recall. A node
    that is still large at full depth holds sets that are nearly all alike: it
    is dealt into blocks, sets near a block's leader are tied to it, and
-   leaders are compared with a wider margin (by the triangle inequality of the
-   Jaccard distance, a similar pair has close leaders).
-3. Ties become candidate clusters. In each cluster all pairs are verified
-   exactly on whole shingle sets, block against block, and only counts of
-   links and a set of spanning trees leave a task, never the pairs themselves.
+   leaders are compared with a margin as wide as their sets are away from them
+   (tokens that differ are a metric, so no tie between two sets is lost).
+3. Ties become candidate clusters. In each cluster all pairs whose sizes allow
+   a link are verified exactly on whole shingle sets, block against block, and
+   only counts of links and a set of spanning trees leave a task, never the
+   pairs themselves.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilework.llm.common import UPPER_TO_LOWER, id_order, portions, rolling, scramble, settle, table, texts, whole_groups, word_bounds, word_hashes
@@ -41,6 +42,9 @@ TOKENS, RECALL, DEPTH = 64, 0.999, 3
 BUCKET = 1000
 #: Sets in a block of exact verification, and shingles multiplied at once.
 BLOCK, COLUMNS = 512, 1 << 14
+#: Ratio of the sizes of neighbouring bands; a little over 1 / SIMILARITY, so that
+#: linked sets are in one band or in two neighbouring ones.
+BAND = 1.0001 / SIMILARITY
 BROADCAST_IDS = 1_000_000
 KEY = ["o", "tk"]
 _STEP = 0xD6E8FEB86659FD93
@@ -164,7 +168,8 @@ def _roots(n: int, i: np.ndarray, j: np.ndarray, root: np.ndarray) -> np.ndarray
 def compare(nodes: DataFrame, least: float) -> DataFrame:
     """Ties (a, b) between sets of a node whose tokens agree so often.
 
-    All pairs in a node are compared, many nodes at a time: each row with the
+    Where nodes have a column ``away``, a pair may miss as many tokens more as
+    its two rows are away. All pairs in a node are compared, many nodes at a time: each row with the
     next, then with the one after it, and so on. Only spanning trees of the ties of
     each node are given out.
     """
@@ -173,6 +178,7 @@ def compare(nodes: DataFrame, least: float) -> DataFrame:
         for group in whole_groups(batches, "node"):
             node, rep = group["node"].to_numpy(), group["rep"].to_numpy()
             sig = np.frombuffer(b"".join(group["sig"].to_pylist()), np.uint8).reshape(-1, TOKENS)
+            away = group["away"].to_numpy()
             root, row = np.arange(len(node)), np.arange(len(node))
             for ahead in range(1, len(node)):
                 row = row[row + ahead < len(node)]
@@ -180,17 +186,19 @@ def compare(nodes: DataFrame, least: float) -> DataFrame:
                 if not len(row):
                     break
                 apart = row[root[row] != root[row + ahead]]
-                near = apart[(sig[apart] == sig[apart + ahead]).mean(axis=1) >= least]
+                agreed = (sig[apart] == sig[apart + ahead]).sum(axis=1)
+                near = apart[agreed + away[apart] + away[apart + ahead] >= least * TOKENS]
                 if len(near):
                     root = _roots(len(node), near, near + ahead, root)
             tied = np.flatnonzero(root != np.arange(len(node)))
             yield pa.RecordBatch.from_arrays([pa.array(rep[root[tied]]), pa.array(rep[tied])], ["a", "b"])
 
-    return nodes.select("node", "rep", "sig").repartition("node").sortWithinPartitions("node").mapInArrow(run, "a long, b long")
+    away = F.col("away") if "away" in nodes.columns else F.lit(0).alias("away")
+    return nodes.select("node", "rep", "sig", away).repartition("node").sortWithinPartitions("node").mapInArrow(run, "a long, b long")
 
 
 def lead(nodes: DataFrame, near: float) -> DataFrame:
-    """For each block of a node, (node, a, b, sig): each set b with its leader a, and the leader's tokens."""
+    """For each block of a node, (node, a, b, sig, away): each set b with its leader a, the leader's tokens, and how many of them the farthest of its sets has not."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rep")
@@ -203,13 +211,15 @@ def lead(nodes: DataFrame, near: float) -> DataFrame:
                 free = i + np.flatnonzero(leader[i:] < 0)
                 leader[free[(sig[free] == sig[i]).mean(axis=1) >= near]] = i
                 leader[i] = i
-        return pd.DataFrame({"node": pdf["node"].to_numpy(), "a": rep[leader], "b": rep, "sig": full[leader]})
+        away = np.zeros(len(rep), np.int32)
+        np.maximum.at(away, leader, (sig != sig[leader]).sum(axis=1).astype(np.int32))
+        return pd.DataFrame({"node": pdf["node"].to_numpy(), "a": rep[leader], "b": rep, "sig": full[leader], "away": away[leader]})
 
-    return nodes.groupBy("node", "block").applyInPandas(run, "node long, a long, b long, sig binary")
+    return nodes.groupBy("node", "block").applyInPandas(run, "node long, a long, b long, sig binary, away int")
 
 
 def leader_pairs(leaders: DataFrame, bucket: int) -> DataFrame:
-    """(node, rep, sig) rows dealt anew, so that all pairs of a node's leaders meet in nodes of two blocks at most.
+    """(node, rep, sig, away) rows dealt anew, so that all pairs of a node's leaders meet in nodes of two blocks at most.
 
     A node may keep many leaders where a passage is shared by texts that are
     not alike; a task compares about 2 * bucket of them at once.
@@ -217,7 +227,7 @@ def leader_pairs(leaders: DataFrame, bucket: int) -> DataFrame:
     blocks = leaders.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / bucket).cast("int").alias("blocks"))
     dealt = leaders.join(blocks, "node").withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return dealt.select(F.xxhash64("node", F.least("mine", "other"), F.greatest("mine", "other")).alias("node"), "rep", "sig")
+    return dealt.select(F.xxhash64("node", F.least("mine", "other"), F.greatest("mine", "other")).alias("node"), *[c for c in leaders.columns if c != "node"])
 
 
 def candidates(sets: DataFrame, recall: float = RECALL, depth: int = DEPTH, bucket: int = BUCKET) -> DataFrame:
@@ -239,23 +249,43 @@ def candidates(sets: DataFrame, recall: float = RECALL, depth: int = DEPTH, buck
             break
         rows = settle(paths.join(large, "node").join(sets, "rep"), f"large_{level}")
         if level == depth - 1:
-            # d(leader, leader) <= 2 d(set, leader) + 1 - SIMILARITY: with the
-            # estimate's error the leaders of a similar pair agree on a tenth.
             dealt = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / bucket).cast("long")))
             led = settle(lead(dealt, 0.85), "leaders")
             ties.append(led.filter("a <> b").select("a", "b"))
-            ties.append(compare(leader_pairs(led.filter("a = b").select("node", F.col("a").alias("rep"), "sig"), bucket), 0.1))
+            ties.append(compare(leader_pairs(led.filter("a = b").select("node", F.col("a").alias("rep"), "sig", "away"), bucket), least))
     out = ties[0]
     for more in ties[1:]:
         out = out.union(more)
     return out
 
 
-def _clusters(sets_of: DataFrame, size: DataFrame, block: int) -> DataFrame:
-    """Rows (cluster, i, j, side, rep, grams): each block of a cluster in each task that needs it."""
-    dealt = sets_of.join(size, "cluster").withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
-    dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+def _blocks(members: DataFrame, block: int) -> DataFrame:
+    """rep, cluster, band of the set's size, and the numbers of blocks in it and in the bands below and above.
+
+    Clusters of more than ``block`` sets are cut into bands of size, as sets
+    of which one is less than SIMILARITY of the other cannot be linked; a band is cut by a
+    hash, and meets itself and the next bands.
+    """
+    whole = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
+    band = F.when(F.col("size") > block, F.floor(F.log("n") / F.lit(math.log(BAND)))).otherwise(0).cast("long")
+    banded = members.join(whole, "cluster").select("rep", "cluster", band.alias("band"))
+    cuts = banded.groupBy("cluster", "band").agg(F.ceil(F.count(F.lit(1)) / block).cast("long").alias("blocks"))
+    for side, step in (("below", 1), ("above", -1)):
+        near = cuts.select("cluster", (F.col("band") + step).alias("band"), F.col("blocks").alias(side))
+        banded = banded.join(near, ["cluster", "band"], "left")
+    return banded.join(cuts, ["cluster", "band"])
+
+
+def _clusters(sets_of: DataFrame) -> DataFrame:
+    """Rows (cluster, i, j, left, rep, grams): each block of a cluster in each task that needs it; blocks are numbered band by band."""
+
+    def of(band: Column, blocks: str) -> Column:
+        first = band * F.lit(1 << 32)
+        return F.when(F.col(blocks) > 0, F.sequence(first, first + F.col(blocks) - 1)).otherwise(F.array().cast("array<bigint>"))
+
+    band = F.col("band")
+    mine = band * F.lit(1 << 32) + F.pmod(F.xxhash64("rep"), F.col("blocks"))
+    dealt = sets_of.withColumn("mine", mine).withColumn("other", F.explode(F.concat(of(band - 1, "below"), of(band, "blocks"), of(band + 1, "above"))))
     return dealt.select("cluster", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") <= F.col("other")).alias("left"), "rep", "grams")
 
 
@@ -282,17 +312,19 @@ def shared_counts(a: list[np.ndarray], b: list[np.ndarray], columns: int = COLUM
 def verify(docs: DataFrame, members: DataFrame, block: int = BLOCK) -> DataFrame:
     """Exact links inside clusters: rows (rep, n_links, other).
 
-    members: (o, tk, rep, cluster). One row per set and task with its links
+    members: (o, tk, rep, n, cluster). One row per set and task with its links
     there, and rows with n_links 0 whose ``other`` ties the set to another
     (spanning trees of the task).
     """
 
+    names = ["rep", "cluster", "band", "below", "blocks", "above"]
+
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, part in portions(texts(batch, "text")):
                 sets = [s.view(np.int64) for s in shingle_sets(part)]
                 rows = batch.slice(i, len(part))
-                yield pa.RecordBatch.from_arrays([rows.column("rep"), rows.column("cluster"), pa.array([s.tobytes() for s in sets], pa.binary())], ["rep", "cluster", "grams"])
+                yield pa.RecordBatch.from_arrays([*[rows.column(c) for c in names], pa.array([s.tobytes() for s in sets], pa.binary())], [*names, "grams"])
 
     def links(pdf: pd.DataFrame) -> pd.DataFrame:
         if len(pdf) < 2:
@@ -338,10 +370,10 @@ def verify(docs: DataFrame, members: DataFrame, block: int = BLOCK) -> DataFrame
 
     few = members.count() <= BROADCAST_IDS
     rows = _keyed(docs).drop("doc_id")
-    found = rows.join(F.broadcast(members) if few else members, KEY).dropDuplicates(["rep"])
-    sets_of = found.select("rep", "cluster", "text").mapInArrow(grams, "rep long, cluster long, grams binary")
-    size = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
-    return _clusters(sets_of, size, block).groupBy("cluster", "i", "j").applyInPandas(links, "rep long, n_links long, other long")
+    dealt = settle(members.select(*KEY, "rep").join(_blocks(members, block), "rep"), "blocks")
+    found = rows.join(F.broadcast(dealt) if few else dealt, KEY).dropDuplicates(["rep"])
+    sets_of = found.select(*names, "text").mapInArrow(grams, "rep long, cluster long, band long, below long, blocks long, above long, grams binary")
+    return _clusters(sets_of).groupBy("cluster", "i", "j").applyInPandas(links, "rep long, n_links long, other long")
 
 
 def named_classes(docs: DataFrame, recall: float = RECALL, depth: int = DEPTH, bucket: int = BUCKET, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
@@ -354,7 +386,7 @@ def named_classes(docs: DataFrame, recall: float = RECALL, depth: int = DEPTH, b
     sets = classes.filter("n > 0")
     ties = settle(candidates(sets.select("rep", "tokens", "sig"), recall, depth, bucket), "ties")
     clusters = components(ties).withColumnRenamed("node", "rep").withColumnRenamed("root", "cluster")
-    members = settle(sets.select(*KEY, "rep").join(clusters, "rep"), "members")
+    members = settle(sets.select(*KEY, "rep", "n").join(clusters, "rep"), "members")
     found = settle(verify(docs, members, block), "links")
     linked = components(found.filter("rep <> other").select(F.col("rep").alias("a"), F.col("other").alias("b")))
     counts = found.groupBy("rep").agg(F.sum("n_links").alias("n_links"))
