@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tilework.llm import decontaminate, exact_dedup, jaccard_join, language, lm_scoring, mixing, secrets, sharding, substring_dedup, toxicity
+from tilework.llm import bpe, decontaminate, divergence, exact_dedup, jaccard_join, language, lm_scoring, mixing, negatives, secrets, sharding, substring_dedup, toxicity
 
 
 def queries():
@@ -17,8 +17,17 @@ def queries():
         "op8_sharding": sharding.op8_sharding,
         "op9_jaccard_join": jaccard_join.op9_jaccard_join,
         "op10_substring_dedup": substring_dedup.op10_substring_dedup,
+        "op11_negatives": negatives.op11_negatives,
+        "op12_divergence": divergence.op12_divergence,
+        "op13_bpe": bpe.op13_bpe,
     }
 
 
 def oracle_sql():
-    return {"op4_decontamination": decontaminate.OP4_SQL, "op6_exact_dedup": exact_dedup.OP6_SQL, "op10_substring_dedup": substring_dedup.OP10_SQL}
+    return {
+        "op4_decontamination": decontaminate.OP4_SQL,
+        "op6_exact_dedup": exact_dedup.OP6_SQL,
+        "op10_substring_dedup": substring_dedup.OP10_SQL,
+        "op11_negatives": negatives.OP11_SQL,
+        "op12_divergence": divergence.OP12_SQL,
+    }
