@@ -47,11 +47,13 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
-def merge_gadgets(n_base: int, pairs: list[tuple[int, int, int]], n: int, inner: np.ndarray) -> np.ndarray:
-    """may[s, t]: whether token t may follow the token of state s, after all merges (a, b, c).
+def merge_gadgets(n_base: int, pairs: list[tuple[int, int, int]], n: int, inner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """may[s, t]: whether token t may follow the token of state s, after all merges (a, b, c); and which tokens arise at all.
 
     ``inner`` numbers the tokens that something can follow; a token that ends
-    a word has -1, as no arc leaves its state. Bits are packed over t.
+    a word has -1, as no arc leaves its state. Bits are packed over t. Where
+    earlier merges leave no path a, b, the merge has no effect and its token
+    no arc.
     """
     may = np.zeros((int(inner.max()) + 1, (n + 7) // 8), np.uint8)
     begun = [t for t in range(n) if t < n_base]
@@ -59,14 +61,19 @@ def merge_gadgets(n_base: int, pairs: list[tuple[int, int, int]], n: int, inner:
     row[begun] = 1
     may[inner[: n_base][inner[: n_base] >= 0]] = np.packbits(row, bitorder="little")
     states = int((inner[:n_base] >= 0).sum())
+    arises = np.ones(n, bool)
     for a, b, c in pairs:
+        if not (arises[a] and arises[b] and may[inner[a], b >> 3] >> (b & 7) & 1):
+            arises[c] = False
+            states += int(inner[c] >= 0)
+            continue
         if inner[c] >= 0:
             may[inner[c]] = may[inner[b]]  # what may follow b may follow c
             states += 1
         may[inner[a], b >> 3] &= 255 ^ (1 << (b & 7))  # a and b are always merged
         arcs = (may[:states, a >> 3] >> (a & 7)) & 1  # c starts where a does
         may[:states, c >> 3] |= arcs << (c & 7)
-    return may
+    return may, arises
 
 
 def alike(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -86,7 +93,7 @@ class Automaton:
     kind: list[int]  # by token
     label: list[str]  # by id
     ids: list[int]  # by token
-    spelled: list[bytes]
+    spelled: list[bytes | None]  # by token; None: it never arises
     ends: list[bool]
     specials: dict[str, int]
     splitter: str  # the tokenizer's own normaliser and pre-tokenizer, as JSON
@@ -100,10 +107,12 @@ class Automaton:
             self.rows = [self.table[i : i + self.width] for i in range(0, len(self.table), self.width)]
             for t, text in enumerate(self.spelled):
                 node = self.trie
+                if text is None:
+                    continue
                 for b in text:
                     node = node.setdefault(b, {})
                 node[LAST if self.ends[t] else WHOLE] = t
-            self.longest = max(map(len, self.spelled), default=0) + 1
+            self.longest = max((len(t) for t in self.spelled if t), default=0) + 1
         return self
 
     def encode_word(self, word: bytes) -> list[int]:
@@ -168,7 +177,7 @@ def compile_automaton(spec: dict) -> Automaton:
     ends = [t.endswith(suffix) for t in order]
     inner = np.full(len(order), -1, np.int64)
     inner[~np.array(ends)] = np.arange(len(order) - sum(ends))
-    may = merge_gadgets(len(base), [(number[a], number[b], number[c]) for (a, b), c in zip(merges, made)], len(order), inner)
+    may, arises = merge_gadgets(len(base), [(number[a], number[b], number[c]) for (a, b), c in zip(merges, made)], len(order), inner)
     states, state_of = alike(may)
     columns = (np.packbits(np.unpackbits(states[:, i : i + 128], axis=1, bitorder="little"), axis=0).T for i in range(0, states.shape[1], 128))
     kinds, kind_of = alike(np.concatenate(list(columns))[: len(order)])
@@ -179,7 +188,7 @@ def compile_automaton(spec: dict) -> Automaton:
     state = np.where(inner >= 0, state_of[np.maximum(inner, 0)], -1)
     return Automaton(
         arcs.tobytes(), arcs.shape[1], state.tolist(), kind_of.tolist(), label, [vocab[t] for t in order],
-        [bytes(byte_of[c] for c in (t.removesuffix(suffix) if e else t)) for t, e in zip(order, ends)], ends, special,
+        [bytes(byte_of[c] for c in (t.removesuffix(suffix) if e else t)) if up else None for t, e, up in zip(order, ends, arises)], ends, special,
         json.dumps(spec | {"model": {"type": "BPE", "vocab": {}, "merges": []}, "added_tokens": []}),
     )
 

@@ -189,7 +189,7 @@ def _score_block(key, block: pa.Table, top: int) -> pa.Table:
     counts = np.full((len(groups), 1 << max(len(words) - 1, 0).bit_length()), -1, np.int64)  # -1: no term
     counts[:, : len(words)] = 0
     for s, x, t, c in zip(side, source, term, n):
-        if t is not None:
+        if t is not None and (s, x) in number:
             counts[number[s, x], place[t]] = c
     roots, leaves, levels = consed(counts)
     p = [shares(np.maximum(leaves, 0), g[2], V) for g in groups] if V else []
@@ -268,7 +268,9 @@ def audit(docs: DataFrame, least: int = 10, top: int = 10) -> DataFrame:
     own = dict(side=F.lit(2), source=none.cast("string"))
     whole = langs.select("*", every("blocks").alias("block")).withColumns(own | {"total": F.col("whole")}).select("*", every("bands").alias("low"), *nothing).withColumn("high", F.col("low"))
     of_lang = kept.groupBy("lang", "term").agg(F.sum("n").alias("n")).join(shapes, "lang").withColumn("block", block)
-    of_lang = of_lang.withColumns(own | {"total": none.cast("long")}).select("*", every("bands").alias("low")).withColumn("high", F.col("low"))
+    # Every cell needs all terms of its block: two sources that both lack a term differ in its share too.
+    of_lang = of_lang.withColumns(own | {"total": none.cast("long")}).select("*", every("bands").alias("low"))
+    of_lang = of_lang.select("*", F.explode(F.sequence("low", F.col("bands") - 1)).alias("high"))
     rows = named.unionByName(counted).unionByName(whole.select(*cols)).unionByName(of_lang.select(*cols))
     scored = rows.groupBy("lang", "block", "low", "high").applyInArrow(lambda key, block: _score_block(key, block, top), SCORE_SCHEMA)
     scored = settle(scored, "scored")
