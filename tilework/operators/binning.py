@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tilework.functions import linear_bin, quantile_bin
 from tilework.operators.split import sample_rows
 
 
@@ -30,20 +29,6 @@ def quantile_thresholds(df: DataFrame, features: Sequence[str], bins: int = 32,
     return one.select(pairs.alias("r")).select("r.*")
 
 
-def binned(features: Sequence[str], ranges: dict[str, tuple[float, float]], bins: int, thresholds: dict[str, list[float]] | None = None) -> Column:
-    """An array of the bin of each feature; -1 for a feature that does not spread."""
-    out = []
-    for c in features:
-        low, width = ranges[c]
-        if not width > 0:
-            out.append(F.lit(-1))
-        elif thresholds:
-            out.append(quantile_bin(F.col(c), F.array(*[F.lit(float(t)) for t in thresholds[c]])))
-        else:
-            out.append(linear_bin(F.col(c), low, width, bins))
-    return F.array(*[b.cast("int") for b in out])
-
-
 def cumulative_bins(hist: DataFrame, key: Sequence[str]) -> DataFrame:
     """hist (key, bin, n, g, h) with sums left of and at each bin (nl, gl, hl) and of all (nt, gt, ht)."""
     w = W.partitionBy(*key)
@@ -65,19 +50,27 @@ def split_score(classify: bool, grid: float = 1.0) -> Column:
     return gl * gl / (hl + 1) + gr * gr / (ht - hl + 1) - gt * gt / (ht + 1)
 
 
-def best_split(hist: DataFrame, key: Sequence[str], min_leaf: int, classify: bool = False, grid: float = 1.0, bins: int | None = None) -> DataFrame:
-    """For each node (key) the best (feature, bin) with its sums.
+def ranked_splits(hist: DataFrame, key: Sequence[str], min_leaf: int, classify: bool = False, grid: float = 1.0, bins: int | None = None, counts: Column | None = None) -> DataFrame:
+    """hist with its cumulative sums, the ``score`` of each boundary (null: not allowed) and whether it is its node's ``best``.
 
-    hist has key, feature, draw, bin, n, g, h; empty bins may be missing. Both
-    sides need min_leaf rows; a classification gain must be positive. Ties go
-    to the earlier drawn feature, then to the lowest bin.
+    Both sides need min_leaf rows; a classification gain must be positive.
+    Ties go to the earlier drawn feature, then to the lowest bin. Rows outside
+    ``counts`` pass through without a score.
     """
     cum = cumulative_bins(hist, [*key, "feature"])
-    enough = (F.col("nl") >= min_leaf) & (F.col("nt") - F.col("nl") >= min_leaf)
-    if bins is not None:
-        enough = enough & (F.col("bin") < bins - 1)
-    scored = cum.filter(enough).withColumn("score", split_score(classify, grid))
+    allowed = (F.col("nl") >= min_leaf) & (F.col("nt") - F.col("nl") >= min_leaf)
+    for more in (counts, F.col("bin") < bins - 1 if bins is not None else None):
+        allowed = allowed if more is None else allowed & more
+    cum = cum.withColumn("score", F.when(allowed, split_score(classify, grid)))
     if classify:
-        scored = scored.filter("score > 0")
-    rank = F.row_number().over(W.partitionBy(*key).orderBy(F.col("score").desc(), "draw", "bin"))
-    return scored.withColumn("_r", rank).filter("_r = 1").drop("_r")
+        cum = cum.withColumn("score", F.when(F.col("score") > 0, F.col("score")))
+    order = W.partitionBy(*key).orderBy(F.col("score").desc_nulls_last(), "draw", "bin")
+    return cum.withColumn("best", F.col("score").isNotNull() & (F.row_number().over(order) == 1))
+
+
+def best_split(hist: DataFrame, key: Sequence[str], min_leaf: int, classify: bool = False, grid: float = 1.0, bins: int | None = None) -> DataFrame:
+    """For each node (key) the best (feature, bin) with its sums, by ranked_splits().
+
+    hist has key, feature, draw, bin, n, g, h; empty bins may be missing.
+    """
+    return ranked_splits(hist, key, min_leaf, classify, grid, bins).filter("best").drop("best")

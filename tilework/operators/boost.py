@@ -1,14 +1,19 @@
 """Histogram boosting of fixed-depth ensembles, level by level.
 
-Rows never move: they are binned once, kept as a table, and every level is one
-map over them that sums counts, gradients and hessians by (output, node,
-feature, bin) inside the partition; only these sums are shuffled, and Spark
-picks each node's split with window functions. All outputs of a round grow in
-the same passes. Sums are whole numbers, so trees do not depend on the
-partitioning.
+Rows never move: they are quantised and binned once, in one Arrow map whatever
+the number of features, and kept as a table of packed blocks of a few thousand
+rows each. Every level is one map over the blocks that sums counts, gradients
+and hessians by (output, node, feature, bin) inside the partition; only these
+sums are shuffled, and Spark picks each node's split with window functions.
+All outputs of a round grow in the same passes. Sums are whole numbers, so
+trees do not depend on the partitioning.
 
 Scores are carried forward as a written table every few rounds; in between
-they are recomputed from the trees since.
+they are recomputed from the trees since. The node of a row is walked to anew
+at each level: that is a few array look-ups a row, while writing nodes back
+would write the packed features again. Sibling histograms are not taken by
+subtraction, as each node draws features of its own and the parent's
+histograms are mostly of others.
 """
 
 from __future__ import annotations
@@ -25,9 +30,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tilework.functions import INT32_MAX, INT32_MIN, quantize
+from tilework.functions import INT32_MAX, INT32_MIN
 from tilework.operators import profile
-from tilework.operators.binning import binned, cumulative_bins, quantile_thresholds, split_score
+from tilework.operators.binning import quantile_thresholds, ranked_splits
+from tilework.operators.blocks import BLOCK_SCHEMA, pack_rows, packed, ranges_of, targets, with_bins
 from tilework.operators.model import Ensemble, Tree, add_trees
 from tilework.sources.shared import discard, settle
 
@@ -121,10 +127,6 @@ class Schedule:
             self.lr, self.bad = max(self.lr * self.p.plateau_factor, self.p.lr_min, 1e-12), 0
 
 
-def _matrix(batch: pa.RecordBatch, name: str) -> np.ndarray:
-    return batch.column(name).flatten().to_numpy().reshape(batch.num_rows, -1)
-
-
 def _targets(task: str, y: np.ndarray, score: np.ndarray, scale: float, w: np.ndarray | None):
     """Whole-number gradients and hessians (rows, outputs), loss, weight and hits of each row."""
     n, k = score.shape
@@ -160,17 +162,18 @@ def _targets(task: str, y: np.ndarray, score: np.ndarray, scale: float, w: np.nd
 
 def level_pass(rows: DataFrame, ensemble: Ensemble, since: list[list[Tree]], growing: list[Tree] | None, level: int, drawn: dict[tuple[int, int], list[int]], bins: int, w: np.ndarray | None, measure: bool) -> DataFrame:
     """Sums of one map over the rows: histograms of the drawn features, totals of all nodes, metrics."""
-    task, depth, scale, n_out = ensemble.task, ensemble.depth, float(ensemble.scale_q), ensemble.n_out
+    task, depth, scale, n_out, n_features = ensemble.task, ensemble.depth, float(ensemble.scale_q), ensemble.n_out, ensemble.n_features
     first, width = (1 << level) - 1, 1 << level
+    n_y = n_out if task == "multilabel_classification" else 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((3, n_out, width), np.int64)
         hist = {key: np.zeros((3, len(fs), bins), np.int64) for key, fs in drawn.items()}
         met = np.zeros((3, 4))
         for batch in batches:
-            x, b, y = _matrix(batch, "xq"), _matrix(batch, "bins"), _matrix(batch, "y")
-            split = batch.column("split").to_numpy()
-            score = add_trees(_matrix(batch, "score").copy(), since, x, depth)
+            x, b = packed(batch, "xq", np.int32, n_features), packed(batch, "bins", np.uint16, n_features)
+            y, split = packed(batch, "y", np.int64, n_y), packed(batch, "split", np.uint8, 1)[:, 0]
+            score = add_trees(packed(batch, "score", np.float64, n_out).copy(), since, x, depth)
             g, h, loss, weight, hits = _targets(task, y, score, scale, w)
             if measure:
                 for i, v in enumerate((np.ones(len(x)), loss, weight, hits)):
@@ -192,7 +195,7 @@ def level_pass(rows: DataFrame, ensemble: Ensemble, since: list[list[Tree]], gro
                     if not fs:
                         continue
                     mine = np.flatnonzero(at == node)
-                    code = (np.arange(len(fs)) * bins + b[train[mine]][:, fs]).ravel()
+                    code = (np.arange(len(fs)) * bins + b[train[mine][:, None], fs]).ravel()
                     for i, v in enumerate(sums):
                         hist[k, int(node) + first][i] += _summed(code, np.repeat(v[mine], len(fs)), len(fs) * bins).reshape(len(fs), bins)
         out: list[tuple] = []
@@ -209,7 +212,9 @@ def level_pass(rows: DataFrame, ensemble: Ensemble, since: list[list[Tree]], gro
         names = [c.split()[0] for c in PASS_SCHEMA.split(", ")]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names)
 
-    sums = rows.mapInArrow(run, PASS_SCHEMA).groupBy("kind", "out", "node", "feature", "draw", "bin")
+    # Sums come as one row for each key and task; one exchange serves them and the windows over bins.
+    told = rows.mapInArrow(run, PASS_SCHEMA).repartition("kind", "out", "node", "feature")
+    sums = told.groupBy("kind", "out", "node", "feature", "draw", "bin")
     return sums.agg(*[F.sum(c).alias(c) for c in ("n", "g", "h", "loss", "weight", "hits")])
 
 
@@ -226,15 +231,9 @@ def _winners(sums: DataFrame, p: Params, classify: bool) -> DataFrame:
     All kinds of rows go through the same windows: filtered apart, the map
     over the rows would run once for each.
     """
-    cum = cumulative_bins(sums, ["kind", "out", "node", "feature"])
-    fits = (F.col("kind") == HIST) & (F.col("nl") >= p.min_leaf) & (F.col("nt") - F.col("nl") >= p.min_leaf) & (F.col("bin") < p.bins - 1)
-    cum = cum.withColumn("score", F.when(fits, split_score(classify, GRID if classify else 1.0)))
-    if classify:
-        cum = cum.withColumn("score", F.when(F.col("score") > 0, F.col("score")))
-    order = W.partitionBy("kind", "out", "node").orderBy(F.col("score").desc_nulls_last(), "draw", "bin")
-    best = F.col("score").isNotNull() & (F.row_number().over(order) == 1)
+    ranked = ranked_splits(sums, ["kind", "out", "node"], p.min_leaf, classify, GRID if classify else 1.0, p.bins, F.col("kind") == HIST)
     cols = ["kind", "out", "node", "feature", "bin", "n", "g", "h", "loss", "weight", "hits"]
-    return cum.withColumn("best", best).filter((F.col("kind") != HIST) | F.col("best")).select(*cols)
+    return ranked.filter((F.col("kind") != HIST) | F.col("best")).select(*cols)
 
 
 def leaf_value(task: str, total: tuple[int, int, int], lr: float, scale_q: int) -> int:
@@ -249,28 +248,34 @@ def leaf_value(task: str, total: tuple[int, int, int], lr: float, scale_q: int)
 def prepare(df: DataFrame, features: Sequence[str], task: str, p: Params, y: str = "y", row_id: str | None = None, n_out: int = 1, refit: bool = False):
     """Quantised, binned rows with starting scores, as a written table; the blank ensemble; thresholds; weights."""
     # What the table was made from (splits, joins) runs once.
-    columns = dict.fromkeys(["split", *features, y, *([row_id] if row_id else [])])
-    df = settle(df.select(*columns), "training_rows")
-    train = df.filter(F.col("split").isin("train", "val") if refit else F.col("split") == "train")
+    part = F.when(F.col("split") == "train", 0).when(F.col("split") == "val", 0 if refit else 1).otherwise(2)
+    quantile = p.binning == "quantile"
+    if quantile:
+        df = settle(df.select(*dict.fromkeys(["split", *features, y, *([row_id] if row_id else [])])), "training_rows")
+    raw = settle(pack_rows(df.withColumn("_part", part), features, y), "raw_blocks")
     regression = task == "regression"
-    scale_q = profile.auto_scale(df, features, y if regression else None).first()[0]
-    ranges = {r["feature"]: (r["low"], r["width"]) for r in profile.feature_ranges(train, features).collect()}
+    told = ranges_of(raw, len(features))
+    scale_q = profile.scale_of([t[2] for t in told], [told[-1][2]] if regression else [])
+    ranges = [(low, max(high - low, 0.0)) for low, high, _ in told[:-1]]
     thresholds = None
-    if p.binning == "quantile":
-        thresholds = {r["feature"]: list(np.maximum.accumulate(r["thresholds"])) for r in quantile_thresholds(train, features, p.bins, row_id).collect()}
+    if quantile:
+        rows = df.filter(F.col("split").isin("train", "val") if refit else F.col("split") == "train")
+        found = {r["feature"]: list(np.maximum.accumulate(r["thresholds"])) for r in quantile_thresholds(rows, features, p.bins, row_id).collect()}
+        thresholds = [found[c] for c in features]
+        discard(df)
+    n_y = n_out if task == "multilabel_classification" else 1
+    train = targets(raw, n_y).filter("part = 0")
+    y = "y"
     w = None
     if regression:
         base = [profile.base_score_regression(train, scale_q, y).first()[0]]
-        target = F.array(quantize(F.col(y), scale_q))
     elif task == "binary_classification":
         w = None if p.weights is None else np.array(p.weights, float)
         base = [profile.base_score_binary(train, scale_q, y, *(w if w is not None else (1.0, 1.0))).first()[0]]
-        target = F.array(F.col(y).cast("long"))
     elif task == "multiclass_classification":
         table = profile.class_weights(train, n_out, y, p.weights if p.weights is not None else [1.0] * n_out)
         w = None if p.weights is None else np.array(p.weights, float)
         base = [r["base_q"] for r in profile.base_score_multiclass(table, scale_q).orderBy("cls").collect()]
-        target = F.array(F.col(y).cast("long"))
     else:
         table = profile.label_pos_weights(train, n_out, y)
         if p.weights is not None:
@@ -279,30 +284,20 @@ def prepare(df: DataFrame, features: Sequence[str], task: str, p: Params, y: str
         else:
             table = table.withColumn("w", F.lit(1.0))
         base = [r["base_q"] for r in profile.base_score_multilabel(table, scale_q).orderBy("label").collect()]
-        target = F.transform(F.col(y), lambda v: v.cast("long"))
     base = [int(b) if b is not None else 0 for b in base]
-    part = F.when(F.col("split") == "train", 0).when(F.col("split") == "val", 0 if refit else 1).otherwise(2)
-    rows = df.select(
-        part.cast("int").alias("split"),
-        F.array(*[quantize(F.col(c), scale_q).cast("int") for c in features]).alias("xq"),
-        binned(features, ranges, p.bins, thresholds).alias("bins"),
-        target.alias("y"),
-        F.array(*[F.lit(b).cast("double") for b in base]).alias("score"),
-    )
     ensemble = Ensemble(task, len(features), p.depth, scale_q, base, [[] for _ in base], features=list(features))
 
     def threshold(f: int, b: int) -> int:
-        low, width = ranges[features[f]]
-        real = thresholds[features[f]][b] if thresholds else low + width * (b + 1) / p.bins
+        low, width = ranges[f]
+        real = thresholds[f][b] if thresholds else low + width * (b + 1) / p.bins
         return max(INT32_MIN, min(INT32_MAX, math.floor(real * scale_q + 0.5)))
 
-    usable = [i for i, c in enumerate(features) if ranges[c][1] > 0]
+    usable = [i for i, (_, width) in enumerate(ranges) if width > 0]
     # A small table is dealt to all cores; a large one has more parts than cores already.
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        rows = rows.repartition(cores)
-    binned_rows = settle(rows, "binned")
-    discard(df)
+    cores = raw.sparkSession.sparkContext.defaultParallelism
+    dealt = raw.repartition(cores) if raw.rdd.getNumPartitions() < cores else raw
+    binned_rows = settle(with_bins(dealt, scale_q, ranges, p.bins, thresholds, base, n_y, regression), "binned")
+    discard(raw)
     return binned_rows, ensemble, threshold, usable, w
 
 
@@ -395,7 +390,7 @@ def train(df: DataFrame, features: Sequence[str], task: str, p: Params | None =
         for k, tree in enumerate(grown):
             ensemble.trees[k].append(tree)
         if len(ensemble.trees[0]) - kept >= p.keep_every:
-            last, rows = rows, settle(_with_scores(rows, [trees[kept:] for trees in ensemble.trees], ensemble.depth), "scores")
+            last, rows = rows, settle(_with_scores(rows, [trees[kept:] for trees in ensemble.trees], ensemble.depth, ensemble.n_features), "scores")
             discard(last)
             kept = len(ensemble.trees[0])
     discard(rows)
@@ -404,14 +399,15 @@ def train(df: DataFrame, features: Sequence[str], task: str, p: Params | None =
     return Run(ensemble, curve, best_iter, None if math.isinf(best) else best)
 
 
-def _with_scores(rows: DataFrame, since: list[list[Tree]], depth: int) -> DataFrame:
+def _with_scores(rows: DataFrame, since: list[list[Tree]], depth: int, n_features: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            score = add_trees(_matrix(batch, "score").copy(), since, _matrix(batch, "xq"), depth)
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(score) + 1) * score.shape[1], pa.int32()), pa.array(score.ravel()))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("split", "xq", "bins", "y")], flat], ["split", "xq", "bins", "y", "score"])
+            score = add_trees(packed(batch, "score", np.float64, len(since)).copy(), since, packed(batch, "xq", np.int32, n_features), depth)
+            ends = np.cumsum(batch.column("n").to_numpy())
+            blobs = pa.array([part.tobytes() for part in np.split(score, ends[:-1])], pa.binary())
+            yield pa.RecordBatch.from_arrays([blobs if c == "score" else batch.column(c) for c in batch.schema.names], batch.schema.names)
 
-    return rows.mapInArrow(run, rows.schema)
+    return rows.mapInArrow(run, BLOCK_SCHEMA)
 
 
 def train_regression(df: DataFrame, features: Sequence[str], p: Params | None = None, **more) -> Run:

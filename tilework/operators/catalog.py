@@ -12,15 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tilework.functions import NEVER, title_words
+from tilework.functions import title_words
+from tilework.operators.access import access_at, access_from_events, access_history  # noqa: F401  part of the catalogue
 
 BURNED = "0x0000000000000000000000000000000000000000"
 
 
-def never() -> Column:
-    return F.lit(str(NEVER)).cast("decimal(20,0)")
-
-
 def _when() -> Column:
     return F.struct("block", "log_index")
 
@@ -49,48 +46,6 @@ def listings_from_events(events: DataFrame) -> DataFrame:
     return live.groupBy("token_id").agg(F.max_by("amount", _when()).alias("price"), F.min_by("actor", _when()).alias("seller"))
 
 
-def access_history(events: DataFrame, plans: DataFrame) -> DataFrame:
-    """(model_id, key, block, log_index, expiry) after each access event.
-
-    A purchase extends: expiry = max(expiry, block) + duration. A grant is for
-    ever, a revocation clears. Between two of these resets the fold over
-    purchases has a closed form, running sums and maxima: with S the sum of
-    durations, expiry = S + max(block - S before).
-    """
-    mine = events.filter(F.col("kind").isin("access_bought", "access_granted", "access_revoked"))
-    mine = mine.join(plans.select("model_id", "plan_id", "duration_blocks"), ["model_id", "plan_id"], "left")
-    order = W.partitionBy("model_id", "key").orderBy("block", "log_index")
-    reset = (F.col("kind") != "access_bought").cast("int")
-    mine = mine.withColumn("segment", F.sum(reset).over(order))
-    inside = W.partitionBy("model_id", "key", "segment").orderBy("block", "log_index")
-    d = F.when(F.col("kind") == "access_bought", F.coalesce("duration_blocks", F.lit(0))).otherwise(0).cast("decimal(20,0)")
-    mine = mine.withColumn("d", d).withColumn("s", F.sum("d").over(inside).cast("decimal(20,0)"))
-    lead = F.max(F.when(F.col("kind") == "access_bought", F.col("block") - (F.col("s") - F.col("d")))).over(inside)
-    forever = F.first(F.col("kind") == "access_granted").over(inside)
-    expiry = F.when(forever, never()).when(lead.isNull(), F.lit(0).cast("decimal(20,0)")).otherwise((F.col("s") + lead).cast("decimal(20,0)"))
-    return mine.select("model_id", "key", "block", "log_index", expiry.alias("expiry"))
-
-
-def access_from_events(events: DataFrame, plans: DataFrame) -> DataFrame:
-    """(model_id, key, expiry) in the end."""
-    return access_history(events, plans).groupBy("model_id", "key").agg(F.max_by("expiry", _when()).alias("expiry"))
-
-
-def access_at(requests: DataFrame, history: DataFrame) -> DataFrame:
-    """requests with the expiry in force at their block (0: none) and whether it is valid.
-
-    An as-of join without a range join: both sides in one order per (model,
-    key), the last expiry carried forward.
-    """
-    ids = [c for c in requests.columns if c not in ("model_id", "key", "block")]
-    asked = requests.select("model_id", "key", "block", F.lit(2**31 - 1).alias("log_index"), F.lit(None).cast("decimal(20,0)").alias("expiry"), F.struct(*ids).alias("r"))
-    known = history.select("model_id", "key", "block", F.col("log_index").cast("int"), "expiry", F.lit(None).cast(asked.schema["r"].dataType).alias("r"))
-    order = W.partitionBy("model_id", "key").orderBy("block", "log_index").rowsBetween(W.unboundedPreceding, W.currentRow)
-    out = asked.unionByName(known).withColumn("expiry", F.coalesce(F.last("expiry", ignorenulls=True).over(order), F.lit(0).cast("decimal(20,0)")))
-    valid = (F.col("expiry") == never()) | ((F.col("expiry") >= F.col("block")) & (F.col("expiry") > 0))
-    return out.filter(F.col("r").isNotNull()).select("model_id", "key", "block", "r.*", "expiry", valid.alias("valid"))
-
-
 def build_postings(models: DataFrame) -> DataFrame:
     """(word, token_id, pos): each distinct title word of each token."""
     return models.select("token_id", F.posexplode(title_words("title")).alias("pos", "word")).select("word", "token_id", "pos")

@@ -45,38 +45,54 @@ def predict(df: DataFrame, ensemble: Ensemble, features: Sequence[str] | None =
 
 
 def _scores_of(features: list, model: Ensemble) -> list:
-    """Quantised scores of the rows of one model; null where a feature is null or NaN."""
+    """Quantised scores of the rows of one model."""
     x = np.array([list(f) for f in features], np.float64).reshape(len(features), -1)
-    bad = np.isnan(x).any(1)
-    held = np.clip(np.where(np.isnan(x), 0.0, x) * model.scale_q, INT32_MIN, INT32_MAX)
-    q = np.minimum(np.floor(held + 0.5), INT32_MAX).astype(np.int64)
-    score = add_trees(np.tile(np.array(model.base_q, np.int64), (len(q), 1)), model.trees, q, model.depth)
-    return [None if lost else row for lost, row in zip(bad, score)]
+    q = np.minimum(np.floor(np.clip(x * model.scale_q, INT32_MIN, INT32_MAX) + 0.5), INT32_MAX).astype(np.int64)
+    return list(add_trees(np.tile(np.array(model.base_q, np.int64), (len(q), 1)), model.trees, q, model.depth))
 
 
-def score_requests(requests: DataFrame, head: DataFrame, trees: DataFrame, block: int = 100_000, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """requests (request_id, model_id, features) scored by their own model: (request_id, model_id, score_q).
+def refusal(n_features: str = "n_features", features: str = "features") -> Column:
+    """Why a request is not scored: unknown_model, feature_count, bad_feature (null or NaN); null where it is."""
+    f = F.col(features)
+    count = F.coalesce(F.size(f) != F.col(n_features), F.lit(True))
+    bad = F.exists(f, lambda v: v.isNull() | F.isnan(v.cast("double")))
+    return F.when(F.col(n_features).isNull(), "unknown_model").when(f.isNull() | count, "feature_count").when(bad, "bad_feature")
+
 
-    A model never travels with the rows. Models of a small total size are sent
-    to all executors once. Otherwise the requests of each model are dealt into
-    blocks of about ``block`` rows, and a task meets one block with one copy of
-    its model, so that a model with most of the requests is not one task's
-    work. Requests for a model that is not there are left out.
+def score_requests(requests: DataFrame, head: DataFrame, trees: DataFrame, block: int = 100_000, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """requests (request_id, model_id, features) scored by their own model: (request_id, model_id, score_q, reason).
+
+    Every request has a row: one that names no model, has another number of
+    features than its model or a feature that is no number has a ``reason``
+    and no score. A model never travels with the rows. Models of a small total
+    size are sent to all executors once. Otherwise the requests of each model
+    are dealt into blocks of about ``block`` rows, and a task meets one block
+    with one copy of its model, so that a model with most of the requests is
+    not one task's work.
     """
     kind = requests.schema["request_id"].dataType.simpleString()
-    schema = f"request_id {kind}, model_id string, score_q array<long>"
-    rows = requests.select("request_id", "model_id", "features")
+    schema = f"request_id {kind}, model_id string, score_q array<long>, reason string"
+    known = head.select("model_id", "n_features")
+    rows = requests.select("request_id", "model_id", "features").join(known, "model_id", "left")
+    rows = rows.select("request_id", "model_id", "features", refusal().alias("reason"))
     size = trees.agg(F.sum(F.size("feat") * 8 + F.size("leaf") * 4)).first()[0] or 0
+
+    def told(own: pd.DataFrame, scores) -> pd.DataFrame:
+        return pd.DataFrame({"request_id": own["request_id"], "model_id": own["model_id"], "score_q": pd.Series(scores or [None] * len(own), index=own.index, dtype=object), "reason": own["reason"]})
+
     if size <= broadcast_bytes:
         shared = requests.sparkSession.sparkContext.broadcast(from_tables(head, trees))  # broadcast_bytes at most
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                for model_id, own in pdf.groupby("model_id", sort=False):
-                    if model_id in shared.value:
-                        yield pd.DataFrame({"request_id": own["request_id"], "model_id": model_id, "score_q": _scores_of(own["features"], shared.value[model_id])})
+                good = pdf["reason"].isna()
+                yield told(pdf[~good], None)
+                for model_id, own in pdf[good].groupby("model_id", sort=False):
+                    yield told(own, _scores_of(own["features"], shared.value[model_id]))
 
         return rows.mapInPandas(run, schema)
+    refused = rows.filter(F.col("reason").isNotNull()).select("request_id", "model_id", F.lit(None).cast("array<long>").alias("score_q"), "reason")
+    rows = rows.filter(F.col("reason").isNull())
     blocks = rows.groupBy("model_id").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     packed = trees.groupBy("model_id").agg(F.collect_list(F.struct("out", "tree", "feat", "thr", "leaf")).alias("trees"))
     copies = head.select("model_id", "depth", "scale_q", "base_q", "task").join(packed, "model_id").join(blocks, "model_id")
@@ -85,16 +101,16 @@ def score_requests(requests: DataFrame, head: DataFrame, trees: DataFrame, block
 
     def meet(own: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
         if not len(own) or not len(model):
-            return pd.DataFrame({"request_id": own["request_id"][:0], "model_id": own["model_id"][:0], "score_q": pd.Series([], dtype=object)})
+            return told(own[:0], None)
         r = model.iloc[0]
         by_output: list[list[Tree]] = [[] for _ in r["base_q"]]
         for t in sorted(r["trees"], key=lambda t: (t["out"], t["tree"])):
             by_output[t["out"]].append(Tree(*(np.array(t[c], np.int64) for c in ("feat", "thr", "leaf"))))
         ensemble = Ensemble(r["task"], 0, int(r["depth"]), int(r["scale_q"]), list(r["base_q"]), by_output)
-        return pd.DataFrame({"request_id": own["request_id"], "model_id": own["model_id"], "score_q": _scores_of(own["features"], ensemble)})
+        return told(own, _scores_of(own["features"], ensemble))
 
     key = ["model_id", "block"]
-    return dealt.groupBy(*key).cogroup(copies.groupBy(*key)).applyInPandas(meet, schema)
+    return dealt.groupBy(*key).cogroup(copies.groupBy(*key)).applyInPandas(meet, schema).unionByName(refused)
 
 
 def top_probabilities(df: DataFrame, k: int, names: Sequence[str], probabilities: str = "probabilities") -> DataFrame:

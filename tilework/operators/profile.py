@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -107,6 +108,12 @@ def auto_scale(df: DataFrame, features: Sequence[str], y: str | None = None) ->
     return df.agg(F.greatest(F.lit(1), F.least(F.lit(MAX_SCALE), scale)).cast("long").alias("scale_q"))
 
 
+def scale_of(tops: Sequence[float], more: Sequence[float] = ()) -> int:
+    """auto_scale() from the largest magnitudes that were found already."""
+    room = [math.floor(HEADROOM / m) if m > 0 else MAX_SCALE for m in (max(tops, default=0.0), *more)]
+    return max(1, min(MAX_SCALE, *room))
+
+
 def base_score_regression(df: DataFrame, scale_q: int, y: str = "y") -> DataFrame:
     return df.agg(clamp_i32(js_round(F.avg(F.col(y).cast("double")) * scale_q)).alias("base_q"))
 

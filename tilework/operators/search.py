@@ -110,5 +110,3 @@ def trial_page(trials: DataFrame, page: int, size: int = 25) -> DataFrame:
     return trials.orderBy("round").offset(page * size).limit(size)
 
 
-def history(spark: SparkSession, rows: list[tuple]) -> DataFrame:
-    return spark.createDataFrame(rows, TRIALS)

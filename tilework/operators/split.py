@@ -83,7 +83,3 @@ def train_plus_val(df: DataFrame) -> DataFrame:
 def sample_rows(df: DataFrame, row_id: str, k: int, seed: int = 42) -> DataFrame:
     """k rows of least hash; Spark keeps k rows a task."""
     return df.orderBy(seeded_hash(seed, row_id), row_id).limit(k)
-
-
-def limit_raw_rows(df: DataFrame, row_id: str, n: int) -> DataFrame:
-    return df.orderBy(row_id).limit(n)

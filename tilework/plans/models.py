@@ -5,9 +5,9 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from tilework.functions import INT32_MAX, argmax, js_round, quantize, sigmoid
+from tilework.functions import INT32_MAX, argmax, js_round, linear_bin, quantize, sigmoid
 from tilework.operators import boost, evaluate, explain, model, predict, search, split
-from tilework.operators.binning import best_split, cumulative_bins, linear_bin
+from tilework.operators.binning import best_split, cumulative_bins
 from tilework.operators.model import Ensemble, Tree
 from tilework.plans.tables import FEATURES, LINES_SQL, lines, table
 from tilework.sources import models as files

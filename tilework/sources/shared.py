@@ -48,3 +48,35 @@ def discard(*tables: DataFrame) -> None:
             jvm = df.sparkSession._jvm
             at = jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+
+
+class Folder:
+    """Small files of a folder of any file system that Spark reads."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.jvm = spark, spark._jvm
+        self.root = path.rstrip("/")
+        self.fs = self._path("").getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _path(self, name: str):
+        return self.jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
+
+    def names(self, folder: str) -> list[str]:
+        at = self._path(folder)
+        return [s.getPath().getName() for s in self.fs.listStatus(at)] if self.fs.exists(at) else []
+
+    def read(self, name: str) -> str:
+        return "".join(r[0] for r in self.spark.read.text(f"{self.root}/{name}", wholetext=True).collect())  # one small file
+
+    def write(self, name: str, data: str | bytes) -> None:
+        """Written aside and renamed, so that a file is there whole or not at all."""
+        aside = self._path(f"{name}.writing")
+        out = self.fs.create(aside, True)
+        out.write(bytearray(data, "utf-8") if isinstance(data, str) else bytearray(data))
+        out.close()
+        self.fs.delete(self._path(name), False)
+        if not self.fs.rename(aside, self._path(name)):
+            raise OSError(f"{self.root}/{name} could not be written")
+
+    def delete(self, name: str) -> None:
+        self.fs.delete(self._path(name), True)

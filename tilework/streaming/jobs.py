@@ -1,93 +1,22 @@
-"""Scoring, access, listings and cleaning over streams."""
+"""Scoring and cleaning over streams; access and listings have modules of their own."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tilework.functions import NEVER
-from tilework.operators import catalog, clean
+from tilework.operators import clean
 from tilework.operators.model import Ensemble
 from tilework.operators.predict import predict
-
-ACCESS_OUT = "model_id string, key string, block long, log_index int, expiry string, late boolean"
-
-
+from tilework.streaming.access import current_access, keep_batches, stream_access  # noqa: F401
+from tilework.streaming.listings import current_listings, stream_listings  # noqa: F401
 def stream_score(requests: DataFrame, ensemble: Ensemble, features: Sequence[str] | None = None) -> DataFrame:
     """A stream of requests with their scores; no state."""
     return predict(requests, ensemble, features)
 
 
-def _apply_access(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    expiry, block, log = state.get if state.exists else ("0", -1, -1)
-    expiry = int(expiry)
-    events = pd.concat(list(batches)).sort_values(["block", "log_index"])
-    out = []
-    for e in events.itertuples():
-        late = (e.block, e.log_index) <= (block, log)
-        if not late:
-            if e.kind == "access_granted":
-                expiry = NEVER
-            elif e.kind == "access_revoked":
-                expiry = 0
-            elif expiry != NEVER:
-                expiry = max(expiry, int(e.block)) + int(e.duration_blocks or 0)
-            block, log = int(e.block), int(e.log_index)
-        out.append((*key, int(e.block), int(e.log_index), str(expiry), bool(late)))
-    state.update((str(expiry), block, log))
-    yield pd.DataFrame(out, columns=["model_id", "key", "block", "log_index", "expiry", "late"])
-
-
-def stream_access(events: DataFrame) -> DataFrame:
-    """The expiry of (model_id, key) after each access event of a stream.
-
-    events: model_id, key, kind, block, log_index, duration_blocks. Inside a
-    micro-batch they are applied in order; one that is older than the last
-    applied comes out as late and changes nothing, as the fold does not
-    commute.
-    """
-    mine = events.filter(F.col("kind").isin("access_bought", "access_granted", "access_revoked"))
-    mine = mine.select("model_id", "key", "kind", "block", "log_index", F.coalesce("duration_blocks", F.lit(0)).alias("duration_blocks"))
-    return mine.groupBy("model_id", "key").applyInPandasWithState(_apply_access, ACCESS_OUT, "expiry string, block long, log int", "append", GroupStateTimeout.NoTimeout)
-
-
-def merge_listings(state: DataFrame | None, batch: DataFrame) -> DataFrame:
-    """(token_id, block, log_index, kind, amount, actor): the events that still matter.
-
-    Of each token those since it was last closed, or the closing one.
-    """
-    cols = ["token_id", "block", "log_index", "kind", "amount", "actor"]
-    rows = batch.filter(F.col("kind").isin("listed", "cancelled", "bought")).select(*cols)
-    rows = rows if state is None else state.select(*cols).unionByName(rows)
-    when = F.struct("block", "log_index")
-    closed = rows.groupBy("token_id").agg(F.max(F.when(F.col("kind") != "listed", when)).alias("closed"))
-    kept = rows.join(closed, "token_id").filter(F.col("closed").isNull() | (when >= F.col("closed")))
-    return kept.select(*cols).distinct()
-
-
-def stream_listings(events: DataFrame, path: str, checkpoint: str):
-    """Keep the open listings under path/v<n> current; returns the query's writer.
-
-    Each micro-batch writes version n + 1 from version n; a batch that is
-    repeated after a failure writes the same version again.
-    """
-    spark = events.sparkSession
-
-    def upsert(batch: DataFrame, n: int) -> None:
-        state = spark.read.parquet(f"{path}/v{n - 1}") if n else None
-        merge_listings(state, batch).write.mode("overwrite").parquet(f"{path}/v{n}")
-
-    return events.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
-
-
-def current_listings(spark, path: str, n: int) -> DataFrame:
-    return catalog.listings_from_events(spark.read.parquet(f"{path}/v{n}"))
-
-
 def stream_clean(rows: DataFrame, task: str, labels: Sequence[str], features: Sequence[str], classes: Sequence[str] = ()) -> DataFrame:
     """A stream of text rows with ``reason``; the kept ones are those with reason 'kept'."""
     return rows.withColumn("reason", clean.drop_reason(task, labels, features, classes))
