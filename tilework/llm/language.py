@@ -25,10 +25,11 @@ SIZE = 1 << HASH_BITS
 ORDERS = (1, 2, 3)
 PER_LABEL = 1500
 UNKNOWN = "und"
-#: How far from chance (0) to certainty (1) the score of a text must lie to be accepted.
-MARGIN = 0.2
-#: A text of fewer characters is too short to be told from chance, and stays.
-SHORT = 20
+#: How far from chance (0) to certainty (1) a score must lie to be beyond doubt.
+MARGIN = 1 / 3
+#: A doubtful text goes only if at most this share of labelled texts of its length scores as low.
+RARE = 0.02
+FOLDS = 5
 
 _LETTERS: list[np.ndarray] = []
 
@@ -134,16 +135,39 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, str]], epochs: int = 4) -> tupl
     """
     labels = sorted({lang for _, _, lang in rows})
     code = {lang: i for i, lang in enumerate(labels)}
-    model = Ftrl(len(labels))
-    fitted = [r for i, r in enumerate(rows) if i % 5] or rows
-    held = [r for i, r in enumerate(rows) if i % 5 == 0]
-    bias = np.array([SIZE])
+    held = [r for i, r in enumerate(rows) if i % FOLDS == 0]
+    w = trained([r for i, r in enumerate(rows) if i % FOLDS] or rows, code, epochs)
+    return labels, w, temperature_of(logits_of(held, w), np.array([code[lang] for _, _, lang in held]))
+
+
+def trained(rows: list[tuple[np.ndarray, np.ndarray, str]], code: dict[str, int], epochs: int = 4) -> np.ndarray:
+    """Weights after some passes over the rows."""
+    model, bias = Ftrl(len(code)), np.array([SIZE])
     for _ in range(epochs):
-        for at, value, lang in fitted:
+        for at, value, lang in rows:
             model.step(np.concatenate((at, bias)), np.append(value, 1.0), code[lang])
-    w = model.weights(slice(None))
-    logits = np.array([value @ w[at] + w[SIZE] for at, value, _ in held])
-    truth = np.array([code[lang] for _, _, lang in held])
+    return model.weights(slice(None))
+
+
+def logits_of(rows: list[tuple[np.ndarray, np.ndarray, str]], w: np.ndarray) -> np.ndarray:
+    return np.array([value @ w[at] + w[SIZE] for at, value, _ in rows])
+
+
+def cross_fit(rows: list[tuple[np.ndarray, np.ndarray, str]]) -> tuple[list[str], np.ndarray, float, np.ndarray]:
+    """Languages, weights of all rows, temperature, and the calibrated score of each row by weights that did not learn from it."""
+    labels = sorted({lang for _, _, lang in rows})
+    code = {lang: i for i, lang in enumerate(labels)}
+    logits, truth = np.zeros((len(rows), len(labels))), np.array([code[lang] for _, _, lang in rows])
+    for fold in range(min(FOLDS, len(rows))):
+        mine = list(range(fold, len(rows), FOLDS))
+        logits[mine] = logits_of([rows[i] for i in mine], trained([r for i, r in enumerate(rows) if i % FOLDS != fold] or rows, code))
+    t = temperature_of(logits, truth)
+    return labels, trained(rows, code), t, softmax(logits / t).max(axis=1)
+
+
+def temperature_of(logits: np.ndarray, truth: np.ndarray) -> float:
+    """The temperature under which held-back rows are likeliest."""
+    held = truth
     grid = np.exp(np.linspace(np.log(0.02), np.log(20), 200))
     # Few texts that are all told right would call for a temperature near 0: the
     # rule of succession leaves each of them a doubt, spread over all languages.
@@ -152,7 +176,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, str]], epochs: int = 4) -> tupl
     for t in grid:
         logs = np.log(softmax(logits / t) + 1e-12)
         loss.append(-((1 - doubt) * logs[np.arange(len(truth)), truth] + doubt * logs.mean(1)).mean())
-    return labels, w, float(grid[int(np.argmin(loss))])
+    return float(grid[int(np.argmin(loss))])
 
 
 def identify(docs: DataFrame, train: DataFrame, per_label: int = PER_LABEL) -> DataFrame:
@@ -168,6 +192,12 @@ def identify(docs: DataFrame, train: DataFrame, per_label: int = PER_LABEL) -> D
 
 def learn(train: DataFrame, per_label: int = PER_LABEL):
     """Languages, weights, temperature and IDF from (doc_id, text, lang); no languages where no row has both a lang and a letter."""
+    rows, idf = features(train, per_label)
+    return (*fit(rows), idf) if rows else ([], np.zeros((SIZE + 1, 0)), 1.0, idf)
+
+
+def features(train: DataFrame, per_label: int) -> tuple[list[tuple[np.ndarray, np.ndarray, str]], np.ndarray]:
+    """(buckets, values, lang) of the sampled rows, in an order of their hash, and the IDF."""
     train = train.filter(F.col("lang").isNotNull()).select("doc_id", "text", "lang")
     seen = document_counts(train)
     idf = np.log((1 + seen[SIZE]) / (1 + seen[:SIZE])) + 1
@@ -187,8 +217,7 @@ def learn(train: DataFrame, per_label: int = PER_LABEL):
 
     # The sample is bounded by per_label a language, so it fits the driver.
     got = sorted(sample(train, per_label).mapInArrow(run, "h long, at binary, value binary, lang string").toLocalIterator(), key=lambda r: (r["h"], r["lang"]))
-    rows = [(np.frombuffer(r["at"], np.int32), np.frombuffer(r["value"], np.float32), r["lang"]) for r in got]
-    return (*fit(rows), idf) if rows else ([], np.zeros((SIZE + 1, 0)), 1.0, idf)
+    return [(np.frombuffer(r["at"], np.int32), np.frombuffer(r["value"], np.float32), r["lang"]) for r in got], idf
 
 
 def judge(rows: list[str | None], labels: list[str], weights: np.ndarray, idf: np.ndarray, temperature: float) -> tuple[list[str], list[float]]:
@@ -222,29 +251,49 @@ def least_score(languages: int) -> float:
     return 1 / languages + MARGIN * (1 - 1 / languages)
 
 
+def is_rare(score: float, length: int, scores: np.ndarray, lengths: np.ndarray) -> bool:
+    """Whether at most RARE of the labelled texts that are no more than twice as long score as low.
+
+    The text itself is counted with them, so with fewer than 1 / RARE - 1 such
+    texts nothing is rare: there is no ground to reject it.
+    """
+    alike = lengths <= 2 * length
+    return (1 + int((scores[alike] <= score).sum())) / (1 + int(alike.sum())) <= RARE
+
+
 def accept(docs: DataFrame, train: DataFrame, per_label: int = PER_LABEL) -> DataFrame:
     """The rows of docs, all columns, whose text is in one of the learned languages.
 
-    Rejected are texts that are null or without any letter (``und``) and those
-    whose calibrated score is below least_score(): texts in another script or
-    language, or strings of random letters, score near chance. Texts of fewer
-    than SHORT characters with a letter stay. Where train has
-    no labelled text there is nothing to judge by, and every text with a letter
-    stays. Repeated rows have one fate; an empty table gives no rows; columns
-    other than text are only carried along.
+    Rejected are texts that are null or without any letter (``und``), and
+    texts that are both in doubt and unlike the labelled ones: their
+    calibrated score is below least_score(), and hardly any labelled text of
+    such a length scores as low when it is held back (is_rare()). Texts in
+    another script or strings of random letters do so. Labelled texts score
+    through folds that did not learn from them, which also gives the
+    temperature. A text that is like the labelled ones goes with a chance of
+    RARE at most, whatever their number; with few labelled texts, with few as
+    short as a text is, or with none, texts with a letter stay. Repeated rows
+    have one fate; an empty table gives no rows; columns other than text are
+    only carried along.
     """
-    labels, w, temperature, idf = learn(train, per_label)
-    shared = docs.sparkSession.sparkContext.broadcast((w.astype(np.float32), idf))
+    rows, idf = features(train, per_label)
+    labels, w, temperature, scores = cross_fit(rows) if rows else ([], np.zeros((SIZE + 1, 0)), 1.0, np.zeros(0))
+    lengths = np.array([len(at) for at, _, _ in rows])  # distinct n-grams
+    shared = docs.sparkSession.sparkContext.broadcast((w.astype(np.float32), idf, scores, lengths))  # per_label rows a language at most
     least = least_score(len(labels)) if labels else 0.0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.column("text").to_pylist()
-            if labels:
-                lang, score = judge(rows, labels, *shared.value, temperature)
-                stays = [x != UNKNOWN and (p >= least or len(text) < SHORT) for x, p, text in zip(lang, score, rows)]
-            else:
-                stays = [ngram_counts(text) is not None for text in rows]
+            stays = []
+            for text in batch.column("text").to_pylist():
+                counts = ngram_counts(text)
+                if counts is None or not labels:
+                    stays.append(counts is not None)
+                    continue
+                weights, idf, known, sizes = shared.value
+                at, value = tf_idf(counts, idf)
+                score = float(softmax((value @ weights[at] + weights[SIZE]) / temperature).max())
+                stays.append(score >= least or not is_rare(score, len(at), known, sizes))
             yield batch.filter(pa.array(stays, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
