@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tilework.operators.sketch import quantile_sketch
 from tilework.operators.split import sample_rows
 
 
@@ -15,16 +16,13 @@ def quantile_thresholds(df: DataFrame, features: Sequence[str], bins: int = 32,
     """(feature, thresholds): bins - 1 interpolated quantiles each.
 
     With row_id they are exact on a seeded sample of rows (256 at least);
-    without, approximate over all rows in one pass.
+    without, those of a sketch of all rows (see sketch.quantile_sketch).
     """
+    if row_id is None:
+        return quantile_sketch(df, features, bins).drop("error")
     at = [j / bins for j in range(1, bins)]
-    if row_id:
-        rows = sample_rows(df.select(row_id, *features), row_id, max(256, sample), seed)
-        cuts = [F.percentile(F.col(c).cast("double"), F.array(*[F.lit(q) for q in at])).alias(f"q{i}") for i, c in enumerate(features)]
-    else:
-        rows = df
-        cuts = [F.percentile_approx(F.col(c).cast("double"), at, 10_000).alias(f"q{i}") for i, c in enumerate(features)]
-    one = rows.agg(*cuts)
+    rows = sample_rows(df.select(row_id, *features), row_id, max(256, sample), seed)
+    one = rows.agg(*[F.percentile(F.col(c).cast("double"), F.array(*[F.lit(q) for q in at])).alias(f"q{i}") for i, c in enumerate(features)])
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"q{i}").alias("thresholds")) for i, c in enumerate(features)]))
     return one.select(pairs.alias("r")).select("r.*")
 

@@ -35,6 +35,7 @@ from tilework.operators import profile
 from tilework.operators.binning import quantile_thresholds, ranked_splits
 from tilework.operators.blocks import BLOCK_SCHEMA, pack_rows, packed, ranges_of, targets, with_bins
 from tilework.operators.model import Ensemble, Tree, add_trees
+from tilework.operators.sketch import sketched_thresholds
 from tilework.sources.shared import discard, settle
 
 GRID = float(1 << 26)
@@ -59,7 +60,9 @@ class Params:
     plateau_patience: int = 10
     plateau_factor: float = 0.9
     lr_min: float = 0.0
-    weights: Sequence[float] | None = None
+    weights: Sequence[float] | str | None = None  # by class or label, or "auto": from the training rows
+    weight_cap: float = 20.0
+    normalize_weights: bool = False
     keep_every: int = 8
     extra: dict = field(default_factory=dict)
 
@@ -250,7 +253,8 @@ def prepare(df: DataFrame, features: Sequence[str], task: str, p: Params, y: str
     # What the table was made from (splits, joins) runs once.
     part = F.when(F.col("split") == "train", 0).when(F.col("split") == "val", 0 if refit else 1).otherwise(2)
     quantile = p.binning == "quantile"
-    if quantile:
+    exact = quantile and row_id is not None  # else by a sketch of all rows
+    if exact:
         df = settle(df.select(*dict.fromkeys(["split", *features, y, *([row_id] if row_id else [])])), "training_rows")
     raw = settle(pack_rows(df.withColumn("_part", part), features, y), "raw_blocks")
     regression = task == "regression"
@@ -258,27 +262,35 @@ def prepare(df: DataFrame, features: Sequence[str], task: str, p: Params, y: str
     scale_q = profile.scale_of([t[2] for t in told], [told[-1][2]] if regression else [])
     ranges = [(low, max(high - low, 0.0)) for low, high, _ in told[:-1]]
     thresholds = None
-    if quantile:
+    if quantile and not exact:
+        thresholds, _ = sketched_thresholds(raw, len(features), p.bins)
+    elif exact:
         rows = df.filter(F.col("split").isin("train", "val") if refit else F.col("split") == "train")
         found = {r["feature"]: list(np.maximum.accumulate(r["thresholds"])) for r in quantile_thresholds(rows, features, p.bins, row_id).collect()}
         thresholds = [found[c] for c in features]
         discard(df)
     n_y = n_out if task == "multilabel_classification" else 1
     train = targets(raw, n_y).filter("part = 0")
-    y = "y"
+    y, auto = "y", isinstance(p.weights, str)
+    if auto and p.weights != "auto":
+        raise ValueError(f"weights are numbers or 'auto', not {p.weights!r}")
     w = None
     if regression:
         base = [profile.base_score_regression(train, scale_q, y).first()[0]]
     elif task == "binary_classification":
-        w = None if p.weights is None else np.array(p.weights, float)
+        w = None if p.weights is None else np.array(p.weights if not auto else profile.binary_weights(train, y, cap=p.weight_cap, normalize=p.normalize_weights).first()[2:4], float)
         base = [profile.base_score_binary(train, scale_q, y, *(w if w is not None else (1.0, 1.0))).first()[0]]
     elif task == "multiclass_classification":
-        table = profile.class_weights(train, n_out, y, p.weights if p.weights is not None else [1.0] * n_out)
-        w = None if p.weights is None else np.array(p.weights, float)
+        manual = None if auto else p.weights if p.weights is not None else [1.0] * n_out
+        table = profile.class_weights(train, n_out, y, manual, p.weight_cap, p.normalize_weights and p.weights is not None)
+        w = None if p.weights is None else np.array([r["w"] for r in table.orderBy("cls").collect()], float)
         base = [r["base_q"] for r in profile.base_score_multiclass(table, scale_q).orderBy("cls").collect()]
     else:
-        table = profile.label_pos_weights(train, n_out, y)
-        if p.weights is not None:
+        table = profile.label_pos_weights(train, n_out, y, p.weight_cap, p.normalize_weights and auto)
+        if auto:
+            told = table.orderBy("label").collect()
+            w = np.array([*[r["w"] for r in told], told[0]["scale"]], float)
+        elif p.weights is not None:
             w = np.array([*p.weights, 1.0], float)
             table = table.withColumn("w", F.element_at(F.array(*[F.lit(float(x)) for x in p.weights]), F.col("label") + 1))
         else:
@@ -360,7 +372,11 @@ def _curve(t: int, metrics: dict[int, tuple], ensemble: Ensemble) -> list[tuple[
 
 
 def train(df: DataFrame, features: Sequence[str], task: str, p: Params | None = None, y: str = "y", row_id: str | None = None, n_out: int = 1, refit: bool = False) -> Run:
-    """Boost an ensemble on rows with ``split``; see Params. y is an array for multilabel."""
+    """Boost an ensemble on rows with ``split``; see Params. y is an array for multilabel.
+
+    With binning="quantile" the cuts are exact on a sample where there is a
+    row_id, else those of a sketch of all training rows.
+    """
     p = p or Params()
     p.bins = max(8, min(512, p.bins))
     rows, ensemble, threshold, usable, w = prepare(df, features, task, p, y, row_id, n_out, refit)

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from tilework.functions import INT32_MAX, argmax, js_round, linear_bin, quantize, sigmoid
-from tilework.operators import boost, evaluate, explain, model, predict, search, split
+from tilework.operators import boost, evaluate, explain, job, model, predict, search, split
 from tilework.operators.binning import best_split, cumulative_bins
 from tilework.operators.model import Ensemble, Tree
 from tilework.plans.tables import FEATURES, LINES_SQL, lines, table
 from tilework.sources import models as files
 from tilework.sources.delimited import vector_source
+from tilework.sources.shared import shared_dir
 
 WIDTH = 64  # elements of embeddings.embedding
 PARAMS = boost.Params(trees=3, depth=2, lr=0.3, early_stop=False)
@@ -193,6 +196,61 @@ GIVEN_SQL = f"""{LINES_SQL}, q AS (
 )"""
 
 
+def k_model_store(spark, d):
+    """From files to scores: four models and a broken file are read, stored as tables, and meet the lines that ask for them."""
+    path = f"{shared_dir(spark)}/model_store/{uuid.uuid4().hex}"
+    tasks = (("regression", 1), ("binary_classification", 1), ("multiclass_classification", 3), ("multilabel_classification", 3))
+    data = []
+    for task, outputs in tasks:
+        e = given_ensemble(task, outputs)
+        e.model_id = task
+        package = files.package_of(task, task, FEATURES, ["a", "b", "c"][:outputs], {}, [(1, "train", "logloss", 0.5)], {})
+        data.append((task, bytearray(files.encode(e)), package))
+    rows = spark.createDataFrame(data, "model_id string, data binary, package string")
+    files.write_model_files(files.attach_package(rows), f"{path}/files")
+    files.write_model_files(rows.limit(1).select(F.lit("broken").alias("model_id"), F.substring("data", 1, 60).alias("data")), f"{path}/files")
+    files.write_store(files.read_models(spark, f"{path}/files"), f"{path}/store")
+    head, trees = files.read_store(spark, f"{path}/store")
+    names = F.array(*[F.lit(t) for t, _ in tasks], F.lit("broken"))
+    asked = lines(spark, d).select(F.col("row_id").alias("request_id"), F.element_at(names, (F.pmod("l_linenumber", F.lit(5)) + 1).cast("int")).alias("model_id"), F.when(F.col("l_quantity") <= 2, F.array(*FEATURES[:3])).otherwise(F.array(*FEATURES)).alias("features"))
+    scored = predict.score_requests(asked, head, trees).join(F.broadcast(head.select("model_id", "task")), "model_id", "left")  # four rows
+    return scored.select("request_id", "task", F.array_join("score_q", ",").alias("scores"), "reason")
+
+
+K_MODEL_STORE = f"""WITH {GIVEN_SQL.replace('row_id, charge, l_quantity, floor', 'row_id, charge, l_quantity, l_linenumber, floor')}, m AS (
+  SELECT *, l_linenumber % 5 AS k, ['regression', 'binary_classification', 'multiclass_classification', 'multilabel_classification', NULL][l_linenumber % 5 + 1] AS task FROM given
+)
+SELECT row_id AS request_id, task, CASE WHEN k < 4 AND l_quantity > 2 THEN CASE WHEN k < 2 THEN CAST(s0 AS VARCHAR) ELSE s0 || ',' || s1 || ',' || s2 END END AS scores,
+  CASE WHEN k = 4 THEN 'unknown_model' WHEN l_quantity <= 2 THEN 'feature_count' END AS reason FROM m"""
+
+
+def k_file_to_model(spark, d):
+    """A file of lines with faults becomes a stored model: rows by fate and by part, and whether the file on disk scores as the run did."""
+    path = f"{shared_dir(spark)}/file_to_model/{uuid.uuid4().hex}"
+    label = F.when(F.col("l_orderkey") % 11 == 0, "").when(F.col("charge") > 40000, " Yes").otherwise("no")
+    price = F.when(F.col("l_partkey") % 13 == 0, "12abc").otherwise(F.col("l_extendedprice").cast("string"))
+    text = lines(spark, d).select("row_id", "l_quantity", price.alias("l_extendedprice"), "l_discount", "l_tax", label.alias("big"))
+    text.write.csv(f"{path}/text", sep=";", header=True)
+    done = job.train_file(spark, f"{path}/text", f"{path}/out", "binary_classification", ["big"], params=boost.Params(trees=2, depth=2, lr=0.3, weights="auto", early_stop=False), row_id="row_id", title="big lines")
+    told = files.with_package_fields(files.read_model_packages(files.read_models(spark, f"{path}/out/files")))
+    r = told.first()
+    again = files.decode(bytes(files.encode(done.run.ensemble)), r["model_id"], r["task"])[0]
+    again.features = list(r["feature_names"])
+    stored = spark.read.parquet(f"{path}/out/rows")
+    key = lambda df: df.select("split", F.col("logloss").alias("loss"), F.col("accuracy").alias("acc"))
+    same = key(done.losses).join(key(evaluate.evaluate(stored, again)).withColumnsRenamed({"loss": "l2", "acc": "a2"}), "split")
+    fits = same.filter((F.abs(F.col("loss") - F.col("l2")) < 1e-9) & (F.col("acc") == F.col("a2")) & (F.col("loss") < 0.68)).select(F.concat(F.lit("scores alike: "), "split").alias("what"), F.lit(1).cast("long").alias("n"))
+    return done.report.select(F.col("reason").alias("what"), "n").union(done.parts.select(F.concat(F.lit("part: "), "split"), "n")).union(fits)
+
+
+K_FILE_TO_MODEL = f"""WITH {LINES_SQL}, t AS (
+  SELECT row_id, CASE WHEN l_orderkey % 11 = 0 THEN 'bad_label' WHEN l_partkey % 13 = 0 THEN 'bad_feature' ELSE 'kept' END AS reason FROM lines
+), r AS (SELECT row_number() OVER (ORDER BY md5('42:' || row_id), row_id) AS i, count(*) OVER () AS n FROM t WHERE reason = 'kept')
+SELECT reason AS what, count(*) AS n FROM t GROUP BY 1
+UNION ALL SELECT 'part: ' || CASE WHEN i <= floor(n * 0.7) THEN 'train' WHEN i <= floor(n * 0.7) + floor(n * 0.2) THEN 'val' ELSE 'test' END, count(*) FROM r GROUP BY 1
+UNION ALL SELECT 'scores alike: ' || unnest(['train', 'val', 'test']), 1"""
+
+
 def m_predict_value(spark, d):
     return predict.predict(lines(spark, d), given_ensemble()).select("row_id", F.col("score_q")[0].alias("q"), js_round(F.col("value") * 1000).alias("milli"))
 

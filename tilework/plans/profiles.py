@@ -169,11 +169,11 @@ SELECT CAST(greatest(1, least(1000000, floor(2147480000 / greatest(max(abs(l_qua
 
 
 def a_quantiles(spark, d):
-    out = binning.quantile_thresholds(lines(spark, d), ["l_extendedprice", "charge"], 16, "row_id", sample=5000, seed=7)
+    out = binning.quantile_thresholds(lines(spark, d), ["l_extendedprice", "charge"], 16, "row_id", seed=7)
     return out.select("feature", F.posexplode("thresholds").alias("j", "t")).select("feature", "j", js_round(F.col("t") * 100).alias("t"))
 
 
-A_QUANTILES = f"""WITH {LINES_SQL}, s AS (SELECT * FROM lines ORDER BY md5('7:' || row_id), row_id LIMIT 5000),
+A_QUANTILES = f"""WITH {LINES_SQL}, s AS (SELECT * FROM lines ORDER BY md5('7:' || row_id), row_id LIMIT 50000),
 q AS (
   SELECT 'l_extendedprice' AS feature, unnest(quantile_cont(l_extendedprice, [{', '.join(str(j / 16) for j in range(1, 16))}])) AS t, unnest(range(15)) AS j FROM s
   UNION ALL SELECT 'charge', unnest(quantile_cont(charge, [{', '.join(str(j / 16) for j in range(1, 16))}])), unnest(range(15)) FROM s
@@ -181,6 +181,26 @@ q AS (
 SELECT feature, CAST(j AS INTEGER) AS j, CAST(floor(t * 100 + 0.5) AS BIGINT) AS t FROM q"""
 
 
+def a_quantile_sketch(spark, d):
+    """Cuts of all rows by the sketch: whether the exact ranks of each are within the error that it states."""
+    rows, names, bins = lines(spark, d), ["l_quantity", "l_extendedprice", "charge"], 32
+    cuts = binning.quantile_sketch(rows, names, bins).select("feature", "error", F.posexplode("thresholds").alias("j", "cut"))
+    values = rows.select(F.explode(F.create_map(*[x for c in names for x in (F.lit(c), F.col(c))])).alias("feature", "x"))
+    # The values of a feature between two cuts are counted, and the counts added up.
+    ends = F.broadcast(cuts.groupBy("feature").agg(F.array_sort(F.collect_list("cut")).alias("cuts")))
+    below = lambda op: F.size(F.filter("cuts", op)).cast("int")
+    placed = values.join(ends, "feature").select("feature", below(lambda t: t < F.col("x")).alias("under"), below(lambda t: t <= F.col("x")).alias("upto"))
+    counts = placed.groupBy("feature", "under", "upto").agg(F.count(F.lit(1)).alias("n"))
+    # A value is at or below cut j where it is above j cuts at most, and below it where at most j cuts are at or below it.
+    ranked = cuts.join(counts, "feature").groupBy("feature", "j", "error").agg(
+        F.sum(F.when(F.col("under") <= F.col("j"), F.col("n")).otherwise(0)).alias("high"), F.sum(F.when(F.col("upto") <= F.col("j"), F.col("n")).otherwise(0)).alias("low"), F.sum("n").alias("n"))
+    want, off = (F.col("j") + 1) / bins * F.col("n"), F.col("error") * F.col("n")
+    return ranked.select("feature", "j", "n", ((F.col("low") <= want + off) & (F.col("high") >= want - off) & (F.col("error") < 0.02)).alias("within"))
+
+
+A_QUANTILE_SKETCH = "SELECT unnest(['l_quantity', 'l_extendedprice', 'charge']) AS feature, CAST(j.range AS INTEGER) AS j, (SELECT count(*) FROM lineitem) AS n, true AS within FROM range(31) j"
+
+
 def a_base_scores(spark, d):
     rows = _bucketed(spark, d)
     classes = profile.base_score_multiclass(profile.class_weights(rows, 4), 1000).select(F.concat(F.lit("class "), F.col("cls")).alias("what"), "base_q")
