@@ -10,10 +10,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tilework.functions import to_number
+from tilework.sources.shared import settle
+
 
 def seeded_hash(seed: int, row_id: str | Column) -> Column:
     row_id = F.col(row_id) if isinstance(row_id, str) else row_id
@@ -83,3 +86,16 @@ def train_plus_val(df: DataFrame) -> DataFrame:
 def sample_rows(df: DataFrame, row_id: str, k: int, seed: int = 42) -> DataFrame:
     """k rows of least hash; Spark keeps k rows a task."""
     return df.orderBy(seeded_hash(seed, row_id), row_id).limit(k)
+
+
+def sample_valid(df: DataFrame, row_id: str, columns: Sequence[str], k: int, seed: int = 42) -> DataFrame:
+    """k rows of least hash among those whose columns are all finite numbers, with ``n_valid``, how many such rows there are.
+
+    The count is observed in the pass that finds the sample; columns come as
+    DOUBLE. Without a valid row there are no rows.
+    """
+    numbers = [to_number(F.col(f"`{c}`").cast("string")) for c in columns]
+    valid = df.select(row_id, *[n.alias(c) for n, c in zip(numbers, columns)]).dropna(subset=list(columns))
+    seen = Observation()
+    rows = sample_rows(valid.observe(seen, F.count(F.lit(1)).alias("n")), row_id, k, seed)
+    return settle(rows, "sample").withColumn("n_valid", F.lit(int(seen.get["n"])).cast("long"))

@@ -76,6 +76,16 @@ def m_pca(spark, d):
     return explain.pca3(rows, [f"f{i}" for i in range(WIDTH)], "vec_id")
 
 
+def m_correlations(spark, d):
+    """Correlations of all pairs of columns by one mergeable pass; a row with a missing value is left out."""
+    rows = lines(spark, d).withColumn("l_tax", F.when(F.col("l_partkey") % 17 != 0, F.col("l_tax")))
+    return explain.correlations(rows, [*FEATURES, "charge"]).select("left", "right", F.round("r", 6).alias("r"))
+
+
+M_CORRELATIONS = f"""WITH {LINES_SQL}, v AS (SELECT * FROM lines WHERE l_partkey % 17 <> 0)
+""" + " UNION ALL ".join(f"SELECT '{a}' AS left, '{b}' AS right, round(corr({a}, {b}), 6) AS r FROM v" for i, a in enumerate([*FEATURES, "charge"]) for b in [*FEATURES, "charge"][i + 1 :])
+
+
 def m_scatter(spark, d):
     return explain.scatter3(lines(spark, d), "row_id", FEATURES[:3], "charge", 1000, 3)
 
@@ -196,6 +206,28 @@ GIVEN_SQL = f"""{LINES_SQL}, q AS (
 )"""
 
 
+def m_permutation(spark, d):
+    """What each feature is worth to the given trees, on a sample of a thousand lines."""
+    rows = lines(spark, d).withColumn("y", F.col("l_quantity") / 25)
+    return explain.permutation_importance(rows, given_ensemble(), "row_id", 42, 1000).select("feature", F.round("delta_loss", 6).alias("delta_loss"))
+
+
+M_PERMUTATION = f"""WITH {LINES_SQL}, s AS (SELECT * FROM lines ORDER BY md5('42:' || row_id), row_id LIMIT 1000),
+r AS (SELECT *, row_number() OVER (ORDER BY md5('42:' || row_id), row_id) AS i FROM s),
+f AS (SELECT unnest(['', 'l_quantity', 'l_extendedprice', 'l_discount', 'l_tax']) AS feature),
+d AS (SELECT feature, l_quantity, l_extendedprice, l_discount, l_tax, row_number() OVER (PARTITION BY feature ORDER BY md5('43:' || feature || ':' || row_id), row_id) AS i FROM r, f),
+m AS (
+  SELECT f.feature, r.l_quantity / 25 AS y, floor(CASE f.feature WHEN 'l_quantity' THEN d.l_quantity ELSE r.l_quantity END * 1000 + 0.5) AS x0,
+    least(floor(CASE f.feature WHEN 'l_extendedprice' THEN d.l_extendedprice ELSE r.l_extendedprice END * 1000 + 0.5), 2147483647) AS x1,
+    floor(CASE f.feature WHEN 'l_discount' THEN d.l_discount ELSE r.l_discount END * 1000 + 0.5) AS x2, floor(CASE f.feature WHEN 'l_tax' THEN d.l_tax ELSE r.l_tax END * 1000 + 0.5) AS x3
+  FROM r JOIN d USING (i) JOIN f ON f.feature = d.feature
+), e AS (
+  SELECT feature, y, 50 + [-700, 300, 900, 1500][CASE WHEN x0 > 25000 THEN CASE WHEN x2 > 50 THEN 4 ELSE 3 END ELSE CASE WHEN x1 > 40000000 THEN 2 ELSE 1 END END]
+    + [10, 10, -450, 820][CASE WHEN x3 > 40 THEN CASE WHEN x1 > 60000000 THEN 4 ELSE 3 END ELSE 1 END] AS s FROM m
+), l AS (SELECT feature, avg((s / 1000.0 - y) * (s / 1000.0 - y)) AS loss FROM e GROUP BY feature)
+SELECT a.feature, round(a.loss - b.loss, 6) AS delta_loss FROM l a, l b WHERE b.feature = '' AND a.feature <> ''"""
+
+
 def k_model_store(spark, d):
     """From files to scores: four models and a broken file are read, stored as tables, and meet the lines that ask for them."""
     path = f"{shared_dir(spark)}/model_store/{uuid.uuid4().hex}"

@@ -273,5 +273,14 @@ def l_sample_rows(spark, d):
 L_SAMPLE_ROWS = f"WITH {LINES_SQL} SELECT row_id, l_quantity FROM lines ORDER BY md5('5:' || row_id), row_id LIMIT 2000"
 
 
+def l_valid_sample(spark, d):
+    """Rows of a dirty file that can be plotted: a sample of them, and how many there are."""
+    return split.sample_valid(dirty(spark, d), "row_id", ["a", "b"], 2000, 5)
+
+
+L_VALID_SAMPLE = f"""WITH {LINES_SQL}, {DIRTY_SQL}, v AS (SELECT row_id, CAST(trim(a) AS DOUBLE) AS a, CAST(b AS DOUBLE) AS b, count(*) OVER () AS n_valid FROM dirty WHERE {A_OK} AND {B_OK})
+SELECT * FROM v ORDER BY md5('5:' || row_id), row_id LIMIT 2000"""
+
+
 QUERIES = {k: v for k, v in globals().items() if k[:2] in ("p_", "a_", "w_", "x_", "l_") and callable(v)}
 SQL = {k: globals()[k.upper()] for k in QUERIES}
