@@ -18,10 +18,11 @@ histograms are mostly of others.
 
 from __future__ import annotations
 
+import dataclasses
 import hashlib
 import math
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -75,6 +76,7 @@ class Run:
     curve: list[tuple[int, str, str, float]]
     best_iter: int
     best_val: float | None
+    stopped: bool = False  # by the one who watched
 
     def curve_table(self, spark, run_id: str = "run") -> DataFrame:
         rows = [(run_id, *r) for r in self.curve]
@@ -379,8 +381,22 @@ def train(df: DataFrame, features: Sequence[str], task: str, p: Params | None =
     """
     p = p or Params()
     p.bins = max(8, min(512, p.bins))
-    rows, ensemble, threshold, usable, w = prepare(df, features, task, p, y, row_id, n_out, refit)
-    schedule, curve = Schedule(p), []
+    prepared = prepare(df, features, task, p, y, row_id, n_out, refit)
+    try:
+        return fit(prepared, p, refit=refit)
+    finally:
+        discard(prepared[0])
+
+
+def fit(prepared: tuple, p: Params, refit: bool = False, watch: Callable[[int, float], bool] | None = None) -> Run:
+    """Boost on what prepare() gave, which stays as it was and may serve several runs at once.
+
+    ``watch`` is told each round's number and loss and ends the run by giving True.
+    """
+    binned_rows, blank, threshold, usable, w = prepared
+    ensemble = dataclasses.replace(blank, depth=p.depth, trees=[[] for _ in blank.base_q])
+    rows, task = binned_rows, ensemble.task
+    schedule, curve, stopped = Schedule(p), [], False
     best, best_iter, since_best = math.inf, 0, 0
     kept = 0
     stop = False
@@ -401,18 +417,22 @@ def train(df: DataFrame, features: Sequence[str], task: str, p: Params | None =
             best, best_iter, since_best = (value, step, 0) if improved else (best, best_iter, since_best + 1)
             schedule.after(improved)
             stop = p.early_stop and not refit and since_best >= p.patience
+            stopped = watch is not None and watch(step, value)
+            stop = stop or stopped
         if stop or grown is None:
             break
         for k, tree in enumerate(grown):
             ensemble.trees[k].append(tree)
         if len(ensemble.trees[0]) - kept >= p.keep_every:
             last, rows = rows, settle(_with_scores(rows, [trees[kept:] for trees in ensemble.trees], ensemble.depth, ensemble.n_features), "scores")
-            discard(last)
+            if last is not binned_rows:
+                discard(last)
             kept = len(ensemble.trees[0])
-    discard(rows)
+    if rows is not binned_rows:
+        discard(rows)
     if p.early_stop and not refit:
         ensemble.trees = [trees[:best_iter] for trees in ensemble.trees]
-    return Run(ensemble, curve, best_iter, None if math.isinf(best) else best)
+    return Run(ensemble, curve, best_iter, None if math.isinf(best) else best, stopped)
 
 
 def _with_scores(rows: DataFrame, since: list[list[Tree]], depth: int, n_features: int) -> DataFrame:

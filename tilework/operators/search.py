@@ -3,17 +3,22 @@
 from __future__ import annotations
 
 import dataclasses
+import itertools
 import json
 import math
+import statistics
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import inheritable_thread_target
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tilework.functions import clamp_for_size
-from tilework.operators.boost import Params, Run, train
+from tilework.operators.boost import Params, Run, fit, prepare, train
+from tilework.sources.shared import discard
 
 TRIALS = "round int, status string, params string, best_val double, best_iter int, error string"
 
@@ -76,23 +81,75 @@ def candidate(base: Params, best: Params | None, round_: int, seed: int, task: s
     return dataclasses.replace(base, **new)
 
 
-def search(df: DataFrame, features: Sequence[str], task: str, base: Params, rounds: int = 10, seed: int = 42, cap_trees: int | None = None, **more) -> tuple[Run | None, DataFrame]:
-    """The best run and the table of trials; the first round is the base. A failing trial is noted, not fatal."""
-    best_run, best_params, rows = None, None, []
-    for r in range(1, rounds + 1):
-        p = base if r == 1 else candidate(base, best_params, r, seed, task, more.get("n_out", 1))
-        if cap_trees:
-            p = dataclasses.replace(p, trees=min(p.trees, cap_trees))
-        told = json.dumps({k: v for k, v in dataclasses.asdict(p).items() if k != "extra"})
+class Medians:
+    """Ends a trial whose loss is above the median of the finished trials' best losses up to the same round."""
+
+    def __init__(self, warm: int):
+        self.warm, self.curves = warm, []
+
+    def watch(self, step: int, value: float) -> bool:
+        known = [c[min(step, len(c)) - 1] for c in self.curves]
+        return step >= self.warm and len(known) >= 2 and value > statistics.median(known)
+
+    def finished(self, run: Run) -> None:
+        metric = "mse" if run.ensemble.task == "regression" else "logloss"
+        parts = {part for _, part, m, _ in run.curve if m == metric}
+        losses = [v for _, part, m, v in run.curve if m == metric and part == ("val" if "val" in parts else "train")]
+        if losses:
+            self.curves.append(list(itertools.accumulate(losses, min)))
+
+
+def search(df: DataFrame, features: Sequence[str], task: str, base: Params, rounds: int = 10, seed: int = 42, cap_trees: int | None = None, parallel: int = 1, end_early: int | None = None, **more) -> tuple[Run | None, DataFrame]:
+    """The best run and the table of trials; the first round is the base. A failing trial is noted, not fatal.
+
+    The data are quantised, binned and written once for all trials. After the
+    base, trials run in waves of ``parallel``, each as jobs of its own
+    scheduler pool; all of a wave step from the best before it, so the result
+    does not depend on which ends first. With ``end_early`` a trial is ended
+    from that round on when it is worse than the median of the waves before.
+    """
+    spark = df.sparkSession
+    base = dataclasses.replace(base, bins=max(8, min(512, base.bins)))
+    prepared = prepare(df, features, task, base, **more)
+    medians = Medians(end_early) if end_early is not None else None
+
+    def attempt(r: int, p: Params) -> tuple[Run | None, str | None]:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"trial_{r}")
         try:
-            run = train(df, features, task, p, **more)
+            return fit(prepared, p, watch=medians.watch if medians else None), None
         except (ValueError, ArithmeticError) as error:  # what the trial's own parameters cause; a lost cluster ends the search
-            rows.append((r, "error", told, None, None, str(error)[:500]))
-            continue
-        rows.append((r, "done", told, run.best_val, run.best_iter, None))
-        if run.best_val is not None and (best_run is None or run.best_val < best_run.best_val):
-            best_run, best_params = run, p
-    return best_run, df.sparkSession.createDataFrame(rows, TRIALS)
+            return None, str(error)[:500]
+        finally:
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", None)
+
+    best_run, best_params, rows, r = None, None, [], 1
+    try:
+        while r <= rounds:
+            wave = range(r, min(r + (parallel if r > 1 else 1), rounds + 1))
+            trials = [(i, base if i == 1 else candidate(base, best_params, i, seed, task, more.get("n_out", 1))) for i in wave]
+            if cap_trees:
+                trials = [(i, dataclasses.replace(p, trees=min(p.trees, cap_trees))) for i, p in trials]
+            if len(trials) == 1:
+                told = [attempt(*trials[0])]
+            else:
+                with ThreadPoolExecutor(len(trials)) as pool:
+                    told = [f.result() for f in [pool.submit(inheritable_thread_target(spark)(attempt), *t) for t in trials]]
+            for (i, p), (run, error) in zip(trials, told):
+                text = json.dumps({k: v for k, v in dataclasses.asdict(p).items() if k != "extra"})
+                if run is None:
+                    rows.append((i, "error", text, None, None, error))
+                    continue
+                rows.append((i, "stopped" if run.stopped else "done", text, run.best_val, run.best_iter, None))
+                if not run.stopped and run.best_val is not None and (best_run is None or run.best_val < best_run.best_val):
+                    best_run, best_params = run, p
+            if medians:
+                for run, _ in told:
+                    if run is not None and not run.stopped:
+                        medians.finished(run)
+            r = wave[-1] + 1
+    finally:
+        discard(prepared[0])
+    return best_run, spark.createDataFrame(rows, TRIALS)
 
 
 def best_trial(trials: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tilework.functions import NEVER
 from tilework.operators import catalog
+from tilework.operators.index import index_page, search_index, write_index
 from tilework.plans.models import given_ensemble
 from tilework.plans.tables import FEATURES, LINES_SQL, LOG_SQL, dirty, lines, log, renamed, table
 from tilework.sources.delimited import read_delimited
@@ -154,6 +155,38 @@ def j_search_listed(spark, d):
 J_SEARCH_LISTED = f"WITH {LOG_SQL}, {LISTINGS_SQL} SELECT token_id, price, seller FROM listings JOIN part ON p_partkey = token_id WHERE contains(' ' || lower(p_name) || ' ', ' red ')"
 
 
+def _index(spark, d):
+    path = f"{_folder(spark)}/index"
+    write_index(models(spark, d), path)
+    return path
+
+
+def j_search_index(spark, d):
+    """Enabled models and their prices by two words, through the stored index."""
+    hits = search_index(spark, _index(spark, d), ["Red", "widget"])
+    enabled = models(spark, d).filter("enabled").select("token_id", "title")
+    return hits.join(enabled, "token_id").join(listings(spark, d), "token_id", "left").select("token_id", "title", F.col("price").cast("long").alias("price"))
+
+
+J_SEARCH_INDEX = f"""WITH {LOG_SQL}, {LISTINGS_SQL} SELECT p_partkey AS token_id, p_name AS title, price FROM part LEFT JOIN listings ON token_id = p_partkey
+WHERE contains(' ' || lower(p_name) || ' ', ' red ') AND contains(' ' || lower(p_name) || ' ', ' widget ') AND p_size % 5 <> 0"""
+
+
+def l_index_page(spark, d):
+    """Three pages behind each other, each from the last token of the one before."""
+    path, pages, after = _index(spark, d), None, None
+    for n in range(3):
+        page = index_page(spark, path, ["red"], after, 7)
+        after = page.agg(F.max("token_id")).first()[0]
+        page = page.select("token_id", F.lit(n).alias("page"))
+        pages = page if pages is None else pages.union(page)
+    return pages
+
+
+L_INDEX_PAGE = """WITH r AS (SELECT p_partkey AS token_id, row_number() OVER (ORDER BY p_partkey) AS i FROM part WHERE contains(' ' || lower(p_name) || ' ', ' red '))
+SELECT token_id, CAST((i - 1) // 7 AS INTEGER) AS page FROM r WHERE i <= 21"""
+
+
 def _cards(spark, d):
     return catalog.catalog_cards(models(spark, d).filter("enabled"), owners(spark, d), listings(spark, d))
 

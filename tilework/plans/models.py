@@ -99,6 +99,13 @@ def m_search(spark, d):
     return search.trial_page(trials, 0).select("round", "status", "best_iter")
 
 
+def m_search_waves(spark, d):
+    """Ten trials on data that are prepared once, three at a time, hopeless ones ended after two rounds."""
+    rows = split_lines(spark, d)
+    _, trials = search.search(rows, FEATURES, "regression", boost.Params(trees=4, depth=2, lr=0.3), rounds=10, cap_trees=4, parallel=3, end_early=2)
+    return trials.select("round", "status", "best_iter", F.round("best_val", 3).alias("best_val"))
+
+
 def m_refit(spark, d):
     run = search.refit(split_lines(spark, d), FEATURES, "regression", PARAMS, 2)
     return _curve(spark, run)
