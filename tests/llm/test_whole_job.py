@@ -24,7 +24,7 @@ def test_letters_of_words_are_no_keys():
         assert not [x for x in secrets.scan(f"see {word} there".encode()) if x[1] == 3]
 
 
-@pytest.mark.parametrize("chars,n,missed", [(string.ascii_lowercase, 40, 0.15), (string.ascii_uppercase, 40, 0.15), ("0123456789", 23, 0.4), ("0123456789abcdef", 22, 0.06), (string.ascii_letters + "0123456789+/", 32, 0.01)])
+@pytest.mark.parametrize("chars,n,missed", [(string.ascii_lowercase, 40, 0.15), (string.ascii_uppercase, 40, 0.15), (string.ascii_lowercase + "-_", 40, 0.2), (string.ascii_uppercase + "+/", 40, 0.3), ("0123456789", 23, 0.4), ("0123456789abcdef", 22, 0.06), (string.ascii_letters + "0123456789+/", 32, 0.01)])
 def test_keys_of_each_class_are_found(chars, n, missed):
     r = random.Random(7)
     keys = ["".join(r.choice(chars) for _ in range(n)) for _ in range(1000)]
@@ -49,6 +49,8 @@ def plain_entropy_spans(text):
             limit = 3.6
         elif 20 in (lower, upper):
             limit = 3.65 if vowels <= 5 else 9
+        elif 0 in (lower, upper) and lower + upper >= 15:
+            limit = 3.7 if vowels * 20 <= 5 * (lower + upper) else 9
         else:
             limit = 3.7 if min(upper, lower) >= 5 else 9
         return -sum(n / 20 * math.log2(n / 20) for n in collections.Counter(w).values()) >= limit - 1e-9

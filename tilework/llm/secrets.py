@@ -4,7 +4,8 @@ Besides the three base patterns, long runs of key-like characters are searched
 for stretches that look random. A window slides over each candidate; the counts
 of its characters are kept up to date by one step in and one step out, and with
 them the Shannon entropy of the window and its character class (digits, hex
-digits, letters of one case, letters of both, or letters with digits). Windows
+digits, letters of one case, with or without - _ / + between them, letters of
+both, or letters with digits). Windows
 above their own class's threshold are joined into one span; letters of one
 case must also be short of vowels, which words are not. An allow-list takes out strings that are long and mixed
 but known: UUIDs, file paths, dates, version numbers and placeholders.
@@ -29,11 +30,13 @@ ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 KINDS = ("assign", "access", "hex", "entropy")
 WINDOW = 20
 #: Bits a character over a window of 20; random strings of the class lie above.
-THRESHOLDS = {"digits": 2.9, "hex": 3.0, "mixed": 3.6, "letters": 3.7, "lower": 3.65, "upper": 3.65}
+THRESHOLDS = {"digits": 2.9, "hex": 3.0, "mixed": 3.6, "letters": 3.7, "lower": 3.65, "upper": 3.65, "parted": 3.7}
 #: A window of letters of both cases has so many of either at least; words and names have fewer.
 CASES = WINDOW // 4
 #: A window of letters of one case has so many vowels at most; words have more.
 VOWELS = WINDOW // 4
+#: A window of letters of one case with - _ / + between them has so many letters at least.
+PARTED = WINDOW * 3 // 4
 ALLOW = (
     rb"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}",
     rb"[A-Za-z_-]*\d{1,6}",  # unless the letters look random
@@ -79,6 +82,9 @@ def window_class(window: int, digits: int, hexes: int, upper: int, lower: int, v
     if lower == window or upper == window:
         one = "lower" if lower else "upper"
         return one if vowels * WINDOW <= VOWELS * window else None
+    letters = upper + lower
+    if min(upper, lower) == 0 and letters >= PARTED:
+        return "parted" if vowels * WINDOW <= VOWELS * letters else None
     return "letters" if min(upper, lower) >= CASES else None
 
 
