@@ -117,7 +117,13 @@ def write_shards(docs: DataFrame, path: str, n_shards: int = 24, seed: int = 42)
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's shard of 24 and its slot there, under the law of rows."""
+    """Every document's shard of 24 and its slot there, under the law of rows.
+
+    Counts are at most one apart and rows go by the fractional rank of their
+    own hash inside their source, so equal texts are dealt as any other rows:
+    they need not share a shard, and a group with more copies than a shard has
+    rows could not. Null texts are empty, a null source is one of its own.
+    """
     out = shard_documents(table(spark, sf_dir, "documents"), 24)
     none: Column = F.lit(None).cast("int")
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), none.alias("grown_shard"))
