@@ -51,6 +51,13 @@ def test_default_mapping():
     assert clean.default_binary_mapping(["ham", "spam"], False) == ("ham", "spam")
     assert clean.default_binary_mapping(["other", "yes"], False) == ("other", "yes")
     assert clean.default_binary_mapping(["blue", "red"], False) == ("blue", "red")
+    with pytest.raises(ValueError, match="two labels"):
+        clean.default_binary_mapping(["a", "b", "c"], False)
+    assert clean.default_binary_mapping(["1", "2", "7"], True, True) == ("1", "7")
+    assert clean.default_binary_mapping(["a", "ham", "no", "Spam", "yes"], False, True) == ("ham", "Spam")
+    assert clean.default_binary_mapping(["no", "other", "zebra"], False, True) == ("no", "other")
+    assert clean.default_binary_mapping(["a", "true", "yes"], False, True) == ("a", "true")
+    assert clean.default_binary_mapping(["false", "no"], False) == ("false", "no")
 
 
 def test_too_few_rows(spark):

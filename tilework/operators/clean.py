@@ -111,21 +111,21 @@ def drop_report(df: DataFrame, task: str, labels: Sequence[str], features: Seque
     return df.groupBy(drop_reason(task, labels, features, classes).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def default_binary_mapping(values: Sequence[str], all_numeric: bool) -> tuple[str, str]:
-    """(negative, positive) from the ordered label values."""
-    if len(values) < 2:
-        raise ValueError("at least two labels")
+def default_binary_mapping(values: Sequence[str], all_numeric: bool, infer_mapping: bool = False) -> tuple[str, str]:
+    """(negative, positive) from the ordered label values.
+
+    More than two values are an error unless ``infer_mapping`` lets two of
+    them be picked: of numbers the least and the greatest, else the first with
+    a word for its side, else the first that the other side leaves.
+    """
+    if len(values) < 2 or (len(values) > 2 and not infer_mapping):
+        raise ValueError(f"two labels are needed, not {len(values)}; name them or infer the mapping")
     if all_numeric:
         return values[0], values[-1]
-    pos = next((v for v in values if v.strip().lower() in POSITIVE_WORDS), None)
-    neg = next((v for v in values if v.strip().lower() in NEGATIVE_WORDS), None)
-    if pos is None and neg is None:
-        return values[0], values[1]
-    if neg is None:
-        neg = next(v for v in values if v != pos)
-    if pos is None:
-        pos = next(v for v in values if v != neg)
-    return neg, pos
+    said = {words: [v for v in values if v.strip().lower() in words] for words in (NEGATIVE_WORDS, POSITIVE_WORDS)}
+    yes = said[POSITIVE_WORDS][:1]
+    neg = [*said[NEGATIVE_WORDS], *[v for v in values if v not in yes]][0]
+    return neg, [*yes, *[v for v in values if v != neg]][0]
 
 
 def check_usable(df: DataFrame, least: int = 3) -> None:

@@ -36,7 +36,7 @@ class Outcome:
     path: str
 
 
-def label_names(raw: DataFrame, task: str, labels: Sequence[str], classes: Sequence[str] | None) -> list[str]:
+def label_names(raw: DataFrame, task: str, labels: Sequence[str], classes: Sequence[str] | None, infer_mapping: bool = False) -> list[str]:
     """The names of the outputs: the given ones, else those of the file in the order of profile.label_values()."""
     if task == "regression":
         return []
@@ -49,7 +49,7 @@ def label_names(raw: DataFrame, task: str, labels: Sequence[str], classes: Seque
         raise ValueError(f"more than {MOST_LABELS} distinct labels")
     values = [r["label"] for r in found]
     if task == "binary_classification":
-        return list(clean.default_binary_mapping(values, bool(found and found[0]["all_numeric"])))
+        return list(clean.default_binary_mapping(values, bool(found and found[0]["all_numeric"]), infer_mapping))
     return values
 
 
@@ -66,7 +66,7 @@ def usable(raw: DataFrame, task: str, labels: Sequence[str], names: Sequence[str
 
 def train_file(
     spark: SparkSession, path: str, out: str, task: str, labels: Sequence[str | int], features: Sequence[str | int] | None = None, classes: Sequence[str] | None = None,
-    params: boost.Params | None = None, row_id: str | None = None, limit: int | None = None, delimiter: str = "auto", title: str = "", model_id: str = "model", stratify: bool = False,
+    params: boost.Params | None = None, row_id: str | None = None, limit: int | None = None, delimiter: str = "auto", title: str = "", model_id: str = "model", stratify: bool = False, infer_mapping: bool = False,
 ) -> Outcome:
     """Train on a file and leave under ``out``: rows/ (cleaned, by split), store/ (the model as tables), files/ (the model's bytes with its package).
 
@@ -80,7 +80,7 @@ def train_file(
     named, chosen = clean.select_features(raw, labels, features)
     chosen = [c for c in chosen if c != row_id]
     raw = settle(raw.withColumn(_ROW, F.monotonically_increasing_id() if row_id is None else F.col(row_id)), "raw")
-    names = label_names(raw, task, named, classes)
+    names = label_names(raw, task, named, classes, infer_mapping)
     rows = usable(raw, task, named, names, chosen, [_ROW])
     clean.check_usable(rows)
     y = "labels" if task == "multilabel_classification" else "y"

@@ -100,9 +100,9 @@ def m_search(spark, d):
 
 
 def m_search_waves(spark, d):
-    """Ten trials on data that are prepared once, three at a time, hopeless ones ended after two rounds."""
+    """Eight trials on data that are prepared once, three at a time, hopeless ones ended from their first round on."""
     rows = split_lines(spark, d)
-    _, trials = search.search(rows, FEATURES, "regression", boost.Params(trees=4, depth=2, lr=0.3), rounds=10, cap_trees=4, parallel=3, end_early=2)
+    _, trials = search.search(rows, FEATURES, "regression", boost.Params(trees=2, depth=2, lr=0.3), rounds=8, cap_trees=2, parallel=3, end_early=1)
     return trials.select("round", "status", "best_iter", F.round("best_val", 3).alias("best_val"))
 
 
@@ -384,6 +384,30 @@ def j_compare(spark, d):
 J_COMPARE = f"WITH {GIVEN_SQL} SELECT row_id, CAST(s0 >= 0 AS INTEGER) AS cls, CAST(charge > 40000 AS INTEGER) AS y, (s0 >= 0) = (charge > 40000) AS correct FROM given"
 
 
+def j_compare_values(spark, d):
+    rows = lines(spark, d)
+    pred = predict.predict(rows, given_ensemble()).select("row_id", "value")
+    told = evaluate.compare_predictions(pred, rows.select("row_id", F.floor(F.col("l_quantity") / 10 - 2).cast("double").alias("y")), "regression")
+    return told.select("row_id", "y", *[F.round(c, 6).alias(c) for c in ("value", "abs_error", "rel_error")], "band")
+
+
+J_COMPARE_VALUES = f"""WITH {GIVEN_SQL}, e AS (SELECT row_id, s0 / 1000.0 AS value, CAST(floor(l_quantity / 10 - 2) AS DOUBLE) AS y FROM given), a AS (SELECT *, abs(value - y) AS abs_error, CASE WHEN y <> 0 THEN abs(value - y) / abs(y) END AS rel_error FROM e)
+SELECT row_id, y, round(value, 6) AS value, round(abs_error, 6) AS abs_error, round(rel_error, 6) AS rel_error,
+  CASE WHEN rel_error IS NULL THEN CASE WHEN abs_error = 0 THEN 'good' ELSE 'warn' END WHEN rel_error <= 0.05 THEN 'good' WHEN rel_error <= 0.15 THEN 'warn' ELSE 'bad' END AS band FROM a"""
+
+
+def j_compare_labels(spark, d):
+    rows = lines(spark, d)
+    pred = predict.predict(rows, given_ensemble("multilabel_classification", 3)).select("row_id", "predicted")
+    actual = rows.select("row_id", F.array((F.col("l_quantity") > 25).cast("int"), (F.col("charge") > 40000).cast("int"), F.lit(1)).alias("labels"))
+    told = evaluate.compare_predictions(pred, actual, "multilabel_classification")
+    return told.select("row_id", F.array_join("predicted", "").alias("predicted"), F.array_join("labels", "").alias("labels"), F.round("label_accuracy", 6).alias("label_accuracy"))
+
+
+J_COMPARE_LABELS = f"""WITH {GIVEN_SQL}, b AS (SELECT row_id, CAST(s0 >= 0 AS INTEGER) AS p0, CAST(s1 >= 0 AS INTEGER) AS p1, CAST(s2 >= 0 AS INTEGER) AS p2, CAST(l_quantity > 25 AS INTEGER) AS a0, CAST(charge > 40000 AS INTEGER) AS a1 FROM given)
+SELECT row_id, concat(p0, p1, p2) AS predicted, concat(a0, a1, 1) AS labels, round((CAST(p0 = a0 AS INTEGER) + CAST(p1 = a1 AS INTEGER) + p2) / 3.0, 6) AS label_accuracy FROM b"""
+
+
 def j_score_requests(spark, d):
     """Each line asks one of two models."""
     head, trees = given_ensemble().tables(spark)
