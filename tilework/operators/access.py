@@ -18,6 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tilework.functions import NEVER
+from tilework.sources.shared import settle
 
 KINDS = ("access_bought", "access_granted", "access_revoked")
 #: Events of one range of blocks over all keys, about; and ranges at most.
@@ -40,15 +41,15 @@ def when() -> Column:
 def block_ranges(df: DataFrame, rows: int = RANGE_ROWS, most: int = MOST_RANGES) -> list[float]:
     """Inner bounds of block ranges that hold about ``rows`` rows each; none where one range does.
 
-    One aggregation; the driver gets the bounds, ``most`` numbers at most.
+    A count, and one aggregation where there are several ranges; the driver
+    gets the bounds, ``most`` numbers at most.
     """
-    at = [i / most for i in range(1, most)]
-    told = df.agg(F.count("block").alias("n"), F.percentile_approx("block", at, 4 * most).alias("cuts")).first()
-    n = min(most, -(-told["n"] // rows))
+    n = min(most, -(-df.agg(F.count("block")).first()[0] // rows))
     if n <= 1:
         return []
-    cuts = told["cuts"]
-    return sorted({float(cuts[round(i * most / n) - 1]) for i in range(1, n)})
+    at = ", ".join(repr(i / n) for i in range(1, n))
+    cuts = df.agg(F.expr(f"percentile_approx(block, array({at}), {4 * most})")).first()[0]
+    return sorted({float(c) for c in cuts})
 
 
 def with_range(df: DataFrame, bounds: list[float]) -> DataFrame:
@@ -114,9 +115,10 @@ def access_history(events: DataFrame, plans: DataFrame, bounds: list[float] | No
     events. Events of one (model, key) have different (block, log_index).
     """
     mine = access_events(events, plans)
-    mine = with_range(mine, block_ranges(mine) if bounds is None else bounds)
-    rows = _functions(mine)
-    rows = rows.join(_incoming(rows), ["model_id", "key", "range"])
+    bounds = block_ranges(mine) if bounds is None else bounds
+    rows = _functions(with_range(mine, bounds))
+    # With a single range every key starts from nothing.
+    rows = rows.join(_incoming(rows), ["model_id", "key", "range"]) if bounds else rows.withColumn("before", _zero())
     return rows.select("model_id", "key", "block", "log_index", F.coalesce("fixed", _applied(F.col("before"))).alias("expiry"))
 
 
@@ -132,11 +134,12 @@ def access_at(requests: DataFrame, history: DataFrame, bounds: list[float] | Non
     (model, key, range of blocks), the last expiry carried forward, and over
     the ranges of a key the last one of those before.
     """
+    if bounds is None:
+        history = settle(history, "history")  # read for the ranges and for the join
+        bounds = block_ranges(requests.select("block").union(history.select("block")))
     ids = [c for c in requests.columns if c not in ("model_id", "key", "block")]
     asked = requests.select("model_id", "key", "block", F.lit(2**31 - 1).alias("log_index"), F.lit(None).cast(BLOCKS).alias("expiry"), F.struct(*ids).alias("r"))
     known = history.select("model_id", "key", "block", F.col("log_index").cast("int"), "expiry", F.lit(None).cast(asked.schema["r"].dataType).alias("r"))
-    if bounds is None:
-        bounds = block_ranges(requests.select("block").union(history.select("block")))
     both = with_range(asked.unionByName(known), bounds)
     order = W.partitionBy("model_id", "key", "range").orderBy("block", "log_index").rowsBetween(W.unboundedPreceding, W.currentRow)
     carried = both.withColumn("expiry", F.last("expiry", ignorenulls=True).over(order))
