@@ -226,3 +226,65 @@ def test_idle_key_is_folded_by_its_timer():
     assert told["expiry"].tolist() == ["45"] and not p.waiting.exists()
     late = next(iter(p.handleInputRows(("m", "k"), iter([frame((30, 0, "access_revoked", 0))]), _Clock())))
     assert late["kind"].tolist() == ["state", "too_late"] and late["expiry"].tolist()[0] == "45"
+
+
+class _Map:
+    def __init__(self):
+        self.held, self.reads, self.writes = {}, 0, 0
+
+    def getValue(self, k):
+        self.reads += 1
+        return self.held.get(k)
+
+    def updateValue(self, k, v):
+        self.writes += 1
+        self.held[k] = v
+
+    def iterator(self):
+        return iter(list(self.held.items()))
+
+
+class _MapHandle(_Handle):
+    def getMapState(self, *_):
+        return _Map()
+
+
+class _Expired:
+    def __init__(self, at):
+        self.at = at
+
+    def getExpiryTimeInMs(self):
+        return self.at
+
+
+def test_a_call_serves_all_keys_of_a_bucket():
+    """One call and one table for 200 keys; each key's state is read once and written once, others are left alone."""
+    p, handle = stream.BucketProcessor(100, 50), _MapHandle()
+    p.init(handle)
+    names = ["model_id", "key", "block", "log_index", "kind", "duration_blocks"]
+    frame = lambda *e: pd.DataFrame(e, columns=names)
+    first = frame(*[("m", f"k{i}", b, 0, "access_bought", 5) for b in (10, 40) for i in range(200)])
+    told = list(p.handleInputRows((3,), iter([first[:150], first[150:]]), _Clock()))
+    assert len(told) == 1 and told[0]["expiry"].tolist() == ["45"] * 200 and (p.keys.reads, p.keys.writes) == (200, 200)
+    assert handle.timers == [1050]
+    told = list(p.handleInputRows((3,), iter([frame(("m", "k7", 500, 1, "access_granted", 0), (None, None, 1, 0, "access_revoked", 0))]), _Clock()))
+    assert told[0]["expiry"].tolist() == [str(NEVER), "0"] and (p.keys.reads, p.keys.writes) == (202, 202)
+    assert list(p.handleExpiredTimer((3,), _Clock(), _Expired(1049)))[0].empty  # set before these keys' batch
+    folded = list(p.handleExpiredTimer((3,), _Clock(), _Expired(1050)))[0]
+    assert len(folded) == 201 and all(not v[5] for v in p.keys.held.values())
+    assert list(p.handleExpiredTimer((3,), _Clock(), _Expired(2000)))[0].empty  # each key once
+    late = list(p.handleInputRows((3,), iter([frame(("m", "k1", 30, 0, "access_revoked", 0))]), _Clock()))[0]
+    assert late["kind"].tolist() == ["state", "too_late"] and late["expiry"].tolist()[0] == "45"
+
+
+@pytest.mark.parametrize("buckets", [1, 7, None])
+def test_buckets_change_nothing(spark, tmp_path, buckets):
+    """Whatever the buckets, also for a null key: the fold's end and the events that came too late."""
+    rows = [*log(random.Random(5), 150, 4, 900, 0.3), ("m", None, 0, 5, 0, "access_bought")]
+    path, out = str(tmp_path / "in"), str(tmp_path)
+    feed(spark, path, rows)
+    run(spark, path, out, 50, buckets=buckets)
+    feed(spark, path, [("m", "hot", 1, 1, 2, "access_granted")])
+    told = run(spark, path, out, 50, buckets=buckets)
+    assert {x["key"]: int(x["expiry"]) for x in stream.current_access(told).collect()} == ends(rows)
+    assert {x["key"]: x["n"] for x in stream.too_late(told).collect()} == {"hot": 1}

@@ -12,7 +12,7 @@ from tilework.operators.index import index_page, search_index, write_index
 from tilework.plans.models import given_ensemble
 from tilework.plans.tables import FEATURES, LINES_SQL, LOG_SQL, dirty, lines, log, renamed, table
 from tilework.sources.delimited import read_delimited
-from tilework.sources.shared import shared_dir
+from tilework.sources.shared import discard, settle, shared_dir
 from tilework.streaming import jobs
 
 LISTING_KINDS = {"signup": "listed", "purchase": "bought", "error": "cancelled"}
@@ -290,14 +290,14 @@ LATENESS = 400  # blocks
 def t_stream_access(spark, d):
     """Events that come up to LATENESS blocks out of order, over six micro-batches: the state ends where the batch job does."""
     events = access_events(spark, d).join(F.broadcast(plans_of(spark, d)), ["model_id", "plan_id"])
-    moved = events.withColumn("at", F.col("block") + F.pmod(F.xxhash64("block"), F.lit(LATENESS)))
+    moved = settle(events.withColumn("at", F.col("block") + F.pmod(F.xxhash64("block"), F.lit(LATENESS))), "moved")
     last = moved.agg(F.max("at")).first()[0] or 0
     path, out = f"{_folder(spark)}/access", _folder(spark)
-    for i in range(6):  # files one after another, as they would come
-        mine = moved.filter(F.floor(F.col("at") * 6 / (last + 1)) == i).drop("at")
-        mine.coalesce(1).write.mode("append").parquet(path)
-    stream = jobs.stream_access(spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path), LATENESS)
-    _run(stream.writeStream.outputMode("update").foreachBatch(jobs.keep_batches(f"{out}/out")).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start())
+    for i in range(6):  # files of one time after another, as they would come; the stream goes on from its checkpoint
+        moved.filter(F.floor(F.col("at") * 6 / (last + 1)) == i).drop("at").write.mode("append").parquet(path)
+        stream = jobs.stream_access(spark.readStream.schema(events.schema).parquet(path), LATENESS)
+        _run(stream.writeStream.outputMode("update").foreachBatch(jobs.keep_batches(f"{out}/out")).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start())
+    discard(moved)
     return jobs.current_access(spark.read.parquet(f"{out}/out")).select("model_id", "key", "expiry")
 
 

@@ -23,6 +23,9 @@ from tilework.functions import NEVER
 from tilework.operators.access import KINDS
 
 OUT = "model_id string, key string, kind string, block long, log_index int, expiry string, version long"
+COLUMNS = [c.split()[0] for c in OUT.split(", ")]
+#: Buckets of keys of a stream.
+BUCKETS = 1024
 #: Rows of the output: the key's state after a batch, and events that came too late.
 STATE, TOO_LATE = "state", "too_late"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -66,8 +69,14 @@ def settle_until(expiry: int, pending: list[Event], floor: tuple[int, int], boun
     return fold(expiry, old), pending[len(old) :], old[-1][:2]
 
 
+def told(key: tuple, expiry: int, waiting: list[Event], floor: tuple[int, int], version: int, late: list[Event]) -> list[tuple]:
+    """The rows of a key after a batch."""
+    at = waiting[-1][:2] if waiting else floor
+    return [(*key, STATE, *at, str(fold(expiry, waiting)), version)] + [(*key, TOO_LATE, e[0], e[1], None, version) for e in late]
+
+
 class AccessProcessor(StatefulProcessor):
-    """One key's expiry; see the module."""
+    """One key's expiry, with a state of its own; see the module."""
 
     def __init__(self, lateness: int, idle_ms: int | None):
         self.lateness, self.idle_ms = lateness, idle_ms
@@ -113,28 +122,90 @@ class AccessProcessor(StatefulProcessor):
         yield self._told(key, expiry, waiting, floor, version + 1, [])
 
     def _told(self, key, expiry: int, waiting: list[Event], floor: tuple[int, int], version: int, late: list[Event]) -> pd.DataFrame:
-        at = waiting[-1][:2] if waiting else floor
-        out = [(*key, STATE, *at, str(fold(expiry, waiting)), version)] + [(*key, TOO_LATE, e[0], e[1], None, version) for e in late]
-        return pd.DataFrame(out, columns=["model_id", "key", "kind", "block", "log_index", "expiry", "version"])
+        return pd.DataFrame(told(key, expiry, waiting, floor, version, late), columns=COLUMNS)
+
+    def close(self) -> None:
+        pass
+
+
+class BucketProcessor(StatefulProcessor):
+    """The expiries of the keys of one bucket; see the module. A batch costs what the keys it touches cost."""
+
+    def __init__(self, lateness: int, idle_ms: int | None):
+        self.lateness, self.idle_ms = lateness, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        # waiting: block, log_index, place in KINDS and duration of each event, one after another; seen: when the key's last batch came, -1 after its timer.
+        self.keys = handle.getMapState("keys", "model_id string, key string", "expiry string, block long, log_index int, highest long, version long, waiting array<long>, seen long")
+
+    def _read(self, key: tuple) -> tuple[int, list[Event], tuple[int, int], int, int]:
+        return self._state(self.keys.getValue(key) or ("0", -1, -1, -1, 0, [], -1))
+
+    @staticmethod
+    def _state(held: tuple) -> tuple[int, list[Event], tuple[int, int], int, int]:
+        expiry, block, log, highest, version, flat, _ = held
+        waiting = [(b, i, KINDS[k], d) for b, i, k, d in zip(*[iter(flat)] * 4)]
+        return int(expiry), waiting, (block, log), highest, version
+
+    def _write(self, key: tuple, expiry: int, waiting: list[Event], floor: tuple[int, int], highest: int, version: int, seen: int) -> None:
+        flat = [v for b, i, kind, d in waiting for v in (b, i, KINDS.index(kind), d)]
+        self.keys.updateValue(key, (str(expiry), floor[0], floor[1], highest, version, flat, seen))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        came: dict[tuple, list[Event]] = {}
+        for part in rows:
+            cells = (part[c].tolist() for c in ("model_id", "key", "block", "log_index", "kind", "duration_blocks"))
+            for model_id, name, block, log, kind, duration in zip(*cells):
+                came.setdefault((model_id, name), []).append((int(block), int(log), kind, int(duration)))
+        now = timerValues.getCurrentProcessingTimeInMs() if self.idle_ms is not None else 0
+        out: list[tuple] = []
+        for one, new in came.items():
+            expiry, waiting, floor, highest, version = self._read(one)
+            waiting, late = merge(waiting, new, floor)
+            highest = max(highest, *(e[0] for e in new))
+            expiry, waiting, floor = settle_until(expiry, waiting, floor, highest - self.lateness)
+            self._write(one, expiry, waiting, floor, highest, version + 1, now)
+            out += told(one, expiry, waiting, floor, version + 1, late)
+        if self.idle_ms is not None:
+            self.handle.registerTimer(now + self.idle_ms)
+        yield pd.DataFrame(out, columns=COLUMNS)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """Keys that nothing came for since the timer was set are folded whole; what still comes for these blocks is too late."""
+        since = expiredTimerInfo.getExpiryTimeInMs() - self.idle_ms
+        idle = [(tuple(k), tuple(v)) for k, v in self.keys.iterator() if 0 <= v[-1] <= since]
+        out: list[tuple] = []
+        for one, held in idle:
+            expiry, waiting, floor, highest, version = self._state(held)
+            expiry, waiting, floor = settle_until(expiry, waiting, floor, highest + 1)
+            self._write(one, expiry, waiting, floor, highest, version + 1, -1)
+            out += told(one, expiry, waiting, floor, version + 1, [])
+        yield pd.DataFrame(out, columns=COLUMNS)
 
     def close(self) -> None:
         pass
 
 
-def stream_access(events: DataFrame, lateness: int, idle_ms: int | None = None) -> DataFrame:
+def stream_access(events: DataFrame, lateness: int, idle_ms: int | None = None, buckets: int | None = BUCKETS) -> DataFrame:
     """For each batch and key a row of kind 'state' with its expiry now, and a row of kind 'too_late' for each event that was.
 
     events: model_id, key, kind, block, log_index, duration_blocks (null: 0);
     other kinds are left out, and so are rows with a null block or log_index.
     ``lateness`` is in blocks of the same key. With ``idle_ms`` a key that
     nothing came for that long (by the clock) is folded whole by a timer, so
-    its list goes. The session needs the RocksDB state store.
+    its list goes. Keys are dealt into ``buckets`` (None: each key a state and
+    a call of its own); the number stays as it was when a stream goes on from
+    a checkpoint. The session needs the RocksDB state store.
     """
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     mine = events.filter(F.col("kind").isin(*KINDS) & F.col("block").isNotNull() & F.col("log_index").isNotNull())
     mine = mine.select("model_id", "key", "kind", "block", "log_index", F.coalesce("duration_blocks", F.lit(0)).alias("duration_blocks"))
     mode = "None" if idle_ms is None else "ProcessingTime"
-    return mine.groupBy("model_id", "key").transformWithStateInPandas(AccessProcessor(lateness, idle_ms), OUT, "Update", mode)
+    if buckets is None:
+        return mine.groupBy("model_id", "key").transformWithStateInPandas(AccessProcessor(lateness, idle_ms), OUT, "Update", mode)
+    dealt = mine.withColumn("bucket", F.pmod(F.xxhash64("model_id", "key"), F.lit(buckets)).cast("int"))
+    return dealt.groupBy("bucket").transformWithStateInPandas(BucketProcessor(lateness, idle_ms), OUT, "Update", mode)
 
 
 def keep_batches(path: str) -> Callable[[DataFrame, int], None]:
