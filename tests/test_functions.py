@@ -60,3 +60,16 @@ def test_sizes_are_clamped():
     trees, depth = fn.clamp_for_size(5000, 12)
     assert fn.bytes_of(trees, depth) <= fn.SIZE_LIMIT and (5000 - trees) % 25 == 0
     assert fn.clamp_for_size(65535, 2, "multiclass_classification", 70)[0] <= 65535 // 70
+
+
+def test_bytes_of_integers(spark):
+    """Little-endian bytes as struct packs them, a rest and null, and no step named more than once."""
+    import struct
+
+    values = [0, 1, -1, 255, -256, 65536, 0x01020304, -0x01020304, 2147483647, -2147483648]
+    df = spark.createDataFrame([(values, bytearray(struct.pack("<10i", *values) + b"xyz")), ([], bytearray(b"abc")), (None, None)], "v array<long>, data binary")
+    got = df.select(fn.pack_i32_le("v").alias("packed"), fn.unpack_i32_le("data").alias("back")).collect()
+    assert bytes(got[0]["packed"]) == struct.pack("<10i", *values) and got[0]["back"] == values
+    assert bytes(got[1]["packed"]) == b"" and got[1]["back"] == [] and got[2]["back"] == []
+    plan = df.select(fn.unpack_i32_le(fn.pack_i32_le("v")).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("unhex(") == 1
