@@ -5,6 +5,7 @@ import os
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tilework.operators import boost, predict
 from tilework.operators.model import Ensemble, Tree
@@ -93,3 +94,26 @@ def test_trained_model_as_tables(spark, tmp_path):
     assert (head["task"], head["labels"], head["feature_names"], json.loads(head["meta"])["bestIter"]) == ("binary_classification", ["no", "yes"], ["a", "b"], 2)
     assert spark.read.parquet(f"{tmp_path}/curve").count() == 3
     assert models.read_store(spark, str(tmp_path))[1].count() == 2
+
+
+@pytest.mark.parametrize("limit", [0, 1 << 20])
+def test_a_wanted_model_is_not_one_task(spark, limit):
+    """Nearly all requests name one model: they stay where they are, and with many models meet it in several tasks."""
+    one, other = ensemble("regression", 1, "one"), ensemble("multiclass_classification", 3, "other")
+    (h1, t1), (h2, t2) = one.tables(spark), other.tables(spark)
+    model = F.when(F.col("id") % 50 == 0, "other").when(F.col("id") % 51 == 0, "gone").otherwise("one")
+    asked = spark.range(3000).select(F.col("id").alias("request_id"), model.alias("model_id"), F.array(F.lit(1.0), F.col("id") / 300).alias("features"))
+    told = [predict.score_requests(asked, h1.union(h2), t1.union(t2), block=500, broadcast_bytes=limit, broadcast_models=m) for m in (0, 100)]
+    few, many = [sorted(map(str, t.collect())) for t in told]
+    assert few == many and len(few) == 3000 and sum("unknown_model" in r for r in few) == len([i for i in range(3000) if i % 50 and i % 51 == 0])
+    was = {c: spark.conf.get(c) for c in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.coalescePartitions.enabled")}
+    for c, v in zip(was, ("-1", "false")):
+        spark.conf.set(c, v)
+    try:
+        met = predict._beside(asked, h1.union(h2).select("model_id", "n_features"), True, "left").groupBy(F.spark_partition_id()).count().collect()
+        assert max(r["count"] for r in met) < 1800
+        known = predict._beside(asked, h1.union(h2).select("model_id", "n_features"), False, "left")
+        assert "SortMergeJoin" not in known._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for c, v in was.items():
+            spark.conf.set(c, v)

@@ -6,25 +6,27 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tilework.functions import INT32_MAX, INT32_MIN, argmax, quantize, sigmoid, softmax
 from tilework.operators.model import Ensemble, Tree, add_trees, from_tables
 
-#: Bytes of models up to which all of them go to every executor.
+#: Bytes of models up to which all of them go to every executor; models up to which their few numbers do.
 BROADCAST_BYTES = 64 << 20
+BROADCAST_MODELS = 200_000
 
 
 def score_q(features: Sequence[Column], ensemble: Ensemble) -> Column:
     """ARRAY<BIGINT> of the quantised score of each output."""
-    scale = ensemble.scale_q
+    scale, width, outputs = ensemble.scale_q, len(features), ensemble.n_out
 
-    @F.pandas_udf("array<long>")
-    def run(xq: pd.Series) -> pd.Series:
-        x = np.stack(xq.to_numpy()).astype(np.int64) if len(xq) else np.zeros((0, 1), np.int64)
-        score = np.tile(np.array(ensemble.base_q, np.int64), (len(x), 1))
-        return pd.Series(list(add_trees(score, ensemble.trees, x, ensemble.depth)))
+    @F.arrow_udf("array<long>")
+    def run(xq: pa.Array) -> pa.Array:
+        x = xq.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(xq), width)
+        score = add_trees(np.tile(np.array(ensemble.base_q, np.int64), (len(x), 1)), ensemble.trees, x, ensemble.depth)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * outputs, pa.int32()), pa.array(score.ravel()))
 
     return run(F.array(*[quantize(c, scale) for c in features]))
 
@@ -59,7 +61,16 @@ def refusal(n_features: str = "n_features", features: str = "features") -> Colum
     return F.when(F.col(n_features).isNull(), "unknown_model").when(f.isNull() | count, "feature_count").when(bad, "bad_feature")
 
 
-def score_requests(requests: DataFrame, head: DataFrame, trees: DataFrame, block: int = 100_000, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def _beside(rows: DataFrame, models: DataFrame, many: bool, how: str = "inner", salts: int = 32) -> DataFrame:
+    """rows with the one row of their model: broadcast, or with ``many`` models copied, so that those who ask for one meet it in many tasks."""
+    if not many:
+        return rows.join(F.broadcast(models), "model_id", how)  # BROADCAST_MODELS at most
+    salt = F.pmod(F.xxhash64("request_id"), F.lit(salts)).cast("int")
+    copies = models.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("_salt", salt).join(copies, ["model_id", "_salt"], how).drop("_salt")
+
+
+def score_requests(requests: DataFrame, head: DataFrame, trees: DataFrame, block: int = 100_000, broadcast_bytes: int = BROADCAST_BYTES, broadcast_models: int = BROADCAST_MODELS) -> DataFrame:
     """requests (request_id, model_id, features) scored by their own model: (request_id, model_id, score_q, reason).
 
     Every request has a row: one that names no model, has another number of
@@ -68,12 +79,14 @@ def score_requests(requests: DataFrame, head: DataFrame, trees: DataFrame, block
     size are sent to all executors once. Otherwise the requests of each model
     are dealt into blocks of about ``block`` rows, and a task meets one block
     with one copy of its model, so that a model with most of the requests is
-    not one task's work.
+    not one task's work. What is known of each model meets the requests without
+    moving them, or beyond ``broadcast_models`` in several copies of each.
     """
     kind = requests.schema["request_id"].dataType.simpleString()
     schema = f"request_id {kind}, model_id string, score_q array<long>, reason string"
     known = head.select("model_id", "n_features")
-    rows = requests.select("request_id", "model_id", "features").join(known, "model_id", "left")
+    many = known.count() > broadcast_models
+    rows = _beside(requests.select("request_id", "model_id", "features"), known, many, "left")
     rows = rows.select("request_id", "model_id", "features", refusal().alias("reason"))
     size = trees.agg(F.sum(F.size("feat") * 8 + F.size("leaf") * 4)).first()[0] or 0
 
@@ -97,7 +110,7 @@ def score_requests(requests: DataFrame, head: DataFrame, trees: DataFrame, block
     packed = trees.groupBy("model_id").agg(F.collect_list(F.struct("out", "tree", "feat", "thr", "leaf")).alias("trees"))
     copies = head.select("model_id", "depth", "scale_q", "base_q", "task").join(packed, "model_id").join(blocks, "model_id")
     copies = copies.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-    dealt = rows.join(blocks, "model_id").withColumn("block", F.pmod(F.xxhash64("request_id"), F.col("blocks")).cast("int")).drop("blocks")
+    dealt = _beside(rows, blocks, many).withColumn("block", F.pmod(F.xxhash64("request_id"), F.col("blocks")).cast("int")).drop("blocks")
 
     def meet(own: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
         if not len(own) or not len(model):
