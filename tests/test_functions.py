@@ -73,3 +73,10 @@ def test_bytes_of_integers(spark):
     assert bytes(got[1]["packed"]) == b"" and got[1]["back"] == [] and got[2]["back"] == []
     plan = df.select(fn.unpack_i32_le(fn.pack_i32_le("v")).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("unhex(") == 1
+
+
+def test_labels_that_are_no_numbers_are_not_formatted(spark):
+    got = one(spark, fn.canon_label("x"), " Yes", "no", "1.0", "2.50", "1e20", "", None, "NaN", "null", schema="x string")
+    assert got == ["Yes", "no", "1", "2.5", "1.0E20", "", "", "NaN", "null"]
+    plan = spark.createDataFrame([("a",)], "x string").select(fn.canon_label("x"))._jdf.queryExecution().analyzed().toString()
+    assert plan.index("isnull(lambda") < plan.index("format_string")

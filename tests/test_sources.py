@@ -91,3 +91,24 @@ def test_access_fold(spark):
     got = [int(r["expiry"]) for r in catalog.access_history(events, plans).orderBy("block", "log_index").collect()]
     never = 18446744073709551615
     assert got == [15, 25, 110, 0, never, never, 0, 114]
+
+
+def test_texts_are_parsed_once_for_the_split(spark, tmp_path, monkeypatch):
+    """The split reads usable rows three times; it reads them as numbers, and they are deleted afterwards."""
+    from tilework.operators import boost, job
+
+    (tmp_path / "rows.csv").write_text("id,a,b,label\n" + "".join(f"{i},{i % 7},{'x' if i == 5 else i / 3},{' Yes' if i % 2 else 'no'}\n" for i in range(60)))
+    kept, gone = {}, []
+    settle, discard = job.settle, job.discard
+
+    def settled(df, label):
+        out = settle(df, label)
+        kept[label] = {f.name: f.dataType.simpleString() for f in out.schema}, out.count(), out
+        return out
+
+    monkeypatch.setattr(job, "settle", settled)
+    monkeypatch.setattr(job, "discard", lambda *t: (gone.extend(t), discard(*t)))
+    done = job.train_file(spark, str(tmp_path / "rows.csv"), str(tmp_path / "out"), "binary_classification", ["label"], params=boost.Params(trees=1, depth=1, early_stop=False), row_id="id")
+    types, n, table = kept["usable"]
+    assert types["a"] == types["b"] == "double" and types["y"] == "int" and n == 59 and any(t is table for t in gone)
+    assert {r["reason"]: r["n"] for r in done.report.collect()} == {"kept": 59, "bad_feature": 1}

@@ -63,7 +63,7 @@ def binary_rows(df: DataFrame, label: str, neg: str, pos: str, features: Sequenc
     if not str(neg).strip() or not str(pos).strip() or str(neg) == str(pos):
         raise ValueError("the two labels must differ and not be empty")
     text = canon_label(F.col(f"`{label}`").cast("string"))
-    y = F.when(text == str(neg), 0).when(text == str(pos), 1)
+    y = F.transform(F.array(text), lambda t: F.when(t == str(neg), 0).when(t == str(pos), 1))[0]  # the text is worked out once
     return df.filter(y.isNotNull() & _all_numbers(features)).select(*keep, *_numbers(features), y.alias("y"))
 
 

@@ -81,11 +81,12 @@ def train_file(
     chosen = [c for c in chosen if c != row_id]
     raw = settle(raw.withColumn(_ROW, F.monotonically_increasing_id() if row_id is None else F.col(row_id)), "raw")
     names = label_names(raw, task, named, classes, infer_mapping)
-    rows = usable(raw, task, named, names, chosen, [_ROW])
+    rows = settle(usable(raw, task, named, names, chosen, [_ROW]), "usable")  # the split reads it three times, texts are parsed once
     clean.check_usable(rows)
     y = "labels" if task == "multilabel_classification" else "y"
     parted = split.stratified_split(rows, _ROW, y) if stratify and task != "multilabel_classification" else split.seeded_split(rows, _ROW)
     delimited.write_dataset(parted, f"{out}/rows")
+    discard(rows)
     stored = spark.read.parquet(f"{out}/rows")
     params = params or boost.Params()
     outputs = max(1, len(names)) if task in ("multiclass_classification", "multilabel_classification") else 1
