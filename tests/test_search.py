@@ -47,3 +47,31 @@ def test_a_trial_that_fails_is_noted(rows, monkeypatch):
     monkeypatch.setattr(search, "candidate", lambda base, *a: boost.dataclasses.replace(base, schedule="piecewise", segments=((3, 1, 0.1),)))
     run, trials = search.search(rows, ["a", "b", "c"], "regression", BASE, rounds=2)
     assert [s for _, s, _, _ in told(trials)] == ["done", "error"] and run is not None
+
+
+def test_a_wave_reads_the_rows_once_for_all_its_trials(rows, monkeypatch):
+    """Trials of depth 1, 2 and 3 and two trees ask for 5, 7 and 9 passes; the wave makes 9, and each run is what it is alone."""
+    made, whole = [], boost.shared_pass
+    monkeypatch.setattr(boost, "shared_pass", lambda asks, *a: made.append(len(asks)) or whole(asks, *a))
+    runs = [boost.dataclasses.replace(BASE, trees=2, depth=d, min_leaf=4 * d, lr=0.1 * d) for d in (1, 2, 3)]
+    prepared = boost.prepare(rows, ["a", "b", "c"], "regression", BASE)
+    together = boost.fit_together(prepared, runs)
+    assert made == [3] * 5 + [2] * 2 + [1] * 2
+    for p, run in zip(runs, together):
+        alone = boost.fit(prepared, p)
+        assert [r[:3] for r in alone.curve] == [r[:3] for r in run.curve] and alone.best_val == pytest.approx(run.best_val, abs=1e-12)
+        for a, b in zip(alone.ensemble.trees[0], run.ensemble.trees[0], strict=True):
+            assert (a.feat.tolist(), a.thr.tolist(), a.leaf.tolist()) == (b.feat.tolist(), b.thr.tolist(), b.leaf.tolist())
+
+
+def test_trials_of_a_wave_go_apart_with_scores_of_their_own(rows):
+    """Several classes, scores written after every tree, one trial that fails and one that is ended."""
+    labelled = rows.withColumn("y", (boost.F.col("y") > 0).cast("int") + (boost.F.col("y") > 2).cast("int"))
+    runs = [boost.dataclasses.replace(BASE, depth=d, keep_every=1) for d in (1, 2)] + [boost.dataclasses.replace(BASE, schedule="piecewise", segments=((3, 1, 0.1),))]
+    prepared = boost.prepare(labelled, ["a", "b", "c"], "multiclass_classification", BASE, n_out=3)
+    first, second, failed = boost.fit_together(prepared, runs, watch=lambda step, value: step == 2)
+    assert isinstance(failed, ValueError) and first.stopped and second.stopped
+    for p, run in zip(runs, (first, second)):
+        alone = boost.fit(prepared, p, watch=lambda step, value: step == 2)
+        assert alone.curve == [(*r[:3], pytest.approx(r[3], abs=1e-12)) for r in run.curve]
+        assert [[t.leaf.tolist() for t in own] for own in alone.ensemble.trees] == [[t.leaf.tolist() for t in own] for own in run.ensemble.trees]
