@@ -52,6 +52,7 @@ def of(make, *args):
 
 CASES = {
     "m_search": lambda: a_level(level=1, since=1),  # a node's rows in a trial's second tree
+    "m_train_regression": lambda: a_level(measure=True, since=3, growing=False),  # the last of the curve
 }
 
 
