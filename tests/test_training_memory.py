@@ -54,6 +54,7 @@ CASES = {
     "m_search": lambda: a_level(level=1, since=1),  # a node's rows in a trial's second tree
     "m_train_regression": lambda: a_level(measure=True, since=3, growing=False),  # the last of the curve
     "m_importance": lambda: a_level("binary_classification", measure=True),  # hessians and losses
+    "k_model_round_trip": lambda: of(blocks.ranges_of, 4),  # the scale of the stored model
 }
 
 
