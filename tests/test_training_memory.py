@@ -55,6 +55,7 @@ CASES = {
     "m_train_regression": lambda: a_level(measure=True, since=3, growing=False),  # the last of the curve
     "m_importance": lambda: a_level("binary_classification", measure=True),  # hessians and losses
     "k_model_round_trip": lambda: of(blocks.ranges_of, 4),  # the scale of the stored model
+    "m_refit": lambda: of(blocks.targets, 1),  # the starting score, of validation rows too
 }
 
 
