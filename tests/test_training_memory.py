@@ -56,6 +56,7 @@ CASES = {
     "m_importance": lambda: a_level("binary_classification", measure=True),  # hessians and losses
     "k_model_round_trip": lambda: of(blocks.ranges_of, 4),  # the scale of the stored model
     "m_refit": lambda: of(blocks.targets, 1),  # the starting score, of validation rows too
+    "m_root_histogram": lambda: a_level(),  # the root alone, nothing measured
 }
 
 
