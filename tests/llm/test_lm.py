@@ -117,3 +117,36 @@ def test_contexts_never_share_a_place():
                 if total:
                     p = (one + 0.05) / (total + 0.1)
                     assert abs(logit[a, i, j] - np.clip((np.log(p / (1 - p)) + 8) * 16, 0, 255)) <= 0.51
+
+
+def test_wide_ends_give_the_same_scores(docs, monkeypatch):
+    """Contexts dealt by four to six bytes, with what followed their shorter ends from outside."""
+    want, models, real = scored(docs, docs), [], lm_scoring.gram_scores
+    monkeypatch.setattr(lm_scoring, "gram_scores", lambda grams, model: models.append(model) or real(grams, model))
+    monkeypatch.setattr(lm_scoring, "WIDE", 40)
+    assert scored(docs.repartition(5), docs) == want
+    assert models[0].ends.wide.any(axis=1).all() and all(len(models[0].ends.followed[o][0]) for o in (3, 4, 5))
+
+
+def test_a_frequent_end_of_contexts_is_not_one_bucket(spark, monkeypatch):
+    """A seventh of all grams follow the same three bytes, and a fourteenth the same four."""
+    r = np.random.default_rng(9)
+    letters = np.array(list("defghijklmnopqrstuvwxyz"))
+    rows = []
+    for i in range(40):
+        drawn = letters[r.integers(0, len(letters), (2000, 4))]
+        drawn[::2, 2] = "c"
+        rows.append((i, "".join(f"{a}{b}{c}abc{d}" for a, b, c, d in drawn)))
+    monkeypatch.setattr(lm_scoring, "WIDE", 1 << 12, raising=False)
+    sizes, real = [], lm_scoring.settle
+
+    def settle(df, label, *how):
+        out = real(df, label, *how)
+        if label == "counts":
+            sizes.extend(x[0] for x in out.filter("gram").select(F.length("keys") / 8).collect())
+        return out
+
+    monkeypatch.setattr(lm_scoring, "settle", settle)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert lm_scoring.lm_scores(docs, docs).count() == 40
+    assert max(sizes) < sum(sizes) / 16, (max(sizes), sum(sizes))

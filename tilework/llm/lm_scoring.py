@@ -17,7 +17,9 @@ so one score for each distinct gram of seven bytes serves the whole corpus:
    and grow with the corpus.
 2. What followed one and two bytes is a table whose size the alphabet sets; it
    is broadcast. Longer contexts are dealt by their last three bytes, so that
-   each task has all counts of its contexts.
+   each task has all counts of its contexts. Where much of the text follows the
+   same three bytes, they are dealt by four, and so on up to six; what followed the
+   shorter ends (a bounded number) is broadcast with the tables.
 3. Weights are learned online, minibatch by minibatch, in streams of about
    STREAM grams that a hash deals; their number depends on the corpus alone.
    The streams' weights are averaged by the text they saw. Sums are whole
@@ -46,6 +48,9 @@ from tilework.llm.common import UPPER_TO_LOWER, crc_mod, discard, portions, scra
 ORDERS = (1, 2, 3, 4, 5, 6)
 SHORT, LONG = ORDERS[:2], ORDERS[2:]
 BUCKET = 4 << 20  # bytes of text for each bucket of counts
+WIDE, SHARE = 1 << 20, 1 << 14  # an end of contexts is wide if it has so many bytes of text, and this part of all
+SLOTS = 18  # bits of the places in which the text of ends is added up
+COUNTS_A_FILE = 2  # rows of counts in a file; a row is a bucket
 STREAM = 1 << 17  # grams that one online learner sees
 WORDS, GRAMS = 1 << 20, 1 << 21  # broadcast at most
 TUNE_ONE_IN = 8
@@ -70,7 +75,8 @@ class Index:
         self.keys = keys
         self.bits = bits or max(12, int(len(keys)).bit_length() + 2)
         self.table = np.zeros(1 << self.bits, np.int32)
-        self.table[self._slot(keys)] = np.arange(len(keys), dtype=np.int32)
+        for a in range(0, len(keys), STEP):
+            self.table[self._slot(keys[a : a + STEP])] = np.arange(a, min(a + STEP, len(keys)), dtype=np.int32)
 
     def _slot(self, k: np.ndarray) -> np.ndarray:
         return ((k * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).view(np.int64)
@@ -89,13 +95,13 @@ class Index:
         return at, good
 
 
-def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys and summed counts (a number or a row of them for each key)."""
+def merged(parts: list[tuple[np.ndarray, np.ndarray]], kind: type | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and summed counts (a number or a row of them for each key), as ``kind``."""
     keys, counts = np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts])
     order = np.argsort(keys, kind="stable")  # quick on runs that are sorted already
     keys, counts = keys[order], counts[order]
     first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, int)
-    return keys[first], np.add.reduceat(counts, first, dtype=counts.dtype) if len(first) else counts
+    return keys[first], np.add.reduceat(counts, first, dtype=kind or counts.dtype) if len(first) else counts.astype(kind or counts.dtype)
 
 
 def byte_grams(part: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -130,9 +136,76 @@ def _of_planes(data: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
-def _packed(kind: bool, keys: np.ndarray, n: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Keys and counts by bucket, a row for each: grams are dealt by the last three bytes of their contexts, words by their hash."""
-    of = scramble((keys >> np.uint64(8)) & np.uint64(0xFFFFFF) if kind else keys, 19) % np.uint64(buckets)
+def _slots(context: np.ndarray, order: int) -> np.ndarray:
+    """Places of the last ``order`` bytes of contexts."""
+    return (((context << np.uint64(64 - 8 * order)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOTS)).view(np.int64)
+
+
+@dataclass
+class Ends:
+    """The wide ends of contexts, and what followed them in all buckets."""
+
+    wide: np.ndarray | None = None  # (end of three bytes or more, slot); None: no end is wide
+    followed: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)  # by order: sorted keys and counts
+
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        """How many of the last bytes of its context each gram is dealt by: the fewest that are no wide end."""
+        out = np.full(len(keys), LONG[0])
+        if self.wide is not None:
+            rest = np.arange(len(keys))
+            for wide, order in zip(self.wide, LONG[:-1]):
+                rest = rest[wide[_slots(keys[rest] >> np.uint64(8), order)]]
+                out[rest] = order + 1
+        return out
+
+    def dealt(self, keys: np.ndarray) -> np.ndarray:
+        """A hash of the bytes that each gram is dealt by."""
+        level = self.levels(keys).astype(np.uint64)
+        context = (keys >> np.uint64(8)) & ((np.uint64(1) << (np.uint64(8) * level)) - np.uint64(1))
+        return scramble(context | ((level - np.uint64(LONG[0])) << np.uint64(56)), 19)
+
+    def after(self, order: int, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Keys and counts of what followed the wide ends among the asked contexts."""
+        keys, n = self.followed.get(order, (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+        some = np.isin(keys >> np.uint64(8), asked >> np.uint64(8))
+        return keys[some], n[some]
+
+
+def wide_ends(rows: DataFrame, size: int) -> Ends:
+    """The ends of three bytes and more that are followed by WIDE bytes of the text, and by 1 / SHARE of it.
+
+    A task names the slots with half that share of its own text, so half the
+    text of a wide end is named at least. At most 2 * SHARE slots of an order are wide.
+    """
+    least = max(WIDE, size // SHARE)
+    if size < least:
+        return Ends()
+    ends = LONG[:-1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(ends), 1 << SLOTS), np.int64)
+        for batch in batches:
+            for _, part in portions(texts(batch, "text"), PORTION):
+                buf = np.frombuffer(b"".join(b"\0" * ends[-1] + t for t in part).translate(UPPER_TO_LOWER), np.uint8)
+                context = np.zeros(len(buf) - ends[-1] + 1, np.uint64)
+                for j in range(ends[-1]):
+                    context <<= np.uint64(8)
+                    context |= buf[j : j + len(context)]
+                for i, order in enumerate(ends):
+                    total[i] += np.bincount(_slots(context, order), minlength=1 << SLOTS)
+        i, slot = np.nonzero(total > total[0].sum() // (2 * SHARE))
+        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(slot), pa.array(total[i, slot])], ["i", "slot", "n"])
+
+    named = rows.select("text").mapInArrow(run, "i long, slot long, n long").groupBy("i", "slot").agg(F.sum("n").alias("n"))
+    out = np.zeros((len(ends), 1 << SLOTS), bool)
+    for r in named.filter(F.col("n") >= least // 2).collect():  # 2 * SHARE rows of an order at most
+        out[r["i"], r["slot"]] = True
+    return Ends(out if out.any() else None)
+
+
+def _packed(kind: bool, keys: np.ndarray, n: np.ndarray, buckets: int, ends: Ends) -> Iterator[pa.RecordBatch]:
+    """Keys and counts by bucket, a row for each: grams are dealt by the last bytes of their contexts, words by their hash."""
+    of = (ends.dealt(keys) if kind else scramble(keys, 19)) % np.uint64(buckets)
     order = np.argsort(of, kind="stable")
     names, first = np.unique(of[order], return_index=True)
     ends = np.append(first[1:], len(order))
@@ -142,17 +215,19 @@ def _packed(kind: bool, keys: np.ndarray, n: np.ndarray, buckets: int) -> Iterat
         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cut), kind)), pa.array(names[i : i + 16].astype(np.int32)), *columns], ["gram", "bucket", "keys", "counts"])
 
 
-def _unpacked(keys: list[bytes], counts: list[bytes], kind: type = np.int64) -> list[tuple[np.ndarray, np.ndarray]]:
-    return [(_of_planes(k, np.uint64), _of_planes(c, kind).reshape(-1, 3)) for k, c in zip(keys, counts)]
+def _unpacked(keys: list[bytes], counts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Keys and counts, of four bytes each where the largest allows that."""
+    return [(_of_planes(k, np.uint64), _of_planes(c, np.uint32 if len(c) * 2 == len(k) * 3 else np.int64).reshape(-1, 3)) for k, c in zip(keys, counts)]
 
 
-def corpus_counts(rows: DataFrame, buckets: int) -> DataFrame:
+def corpus_counts(rows: DataFrame, buckets: int, ends: Ends) -> DataFrame:
     """One row per bucket: gram, bucket, tuned, keys, counts (n1, n2, n3 of each key).
 
     rows: (text, part). Grams of parts 1 to 3, and words (gram false) of parts
     1 and 2; tuned is the number of keys that occur in part 2. Keys and counts
     are packed arrays, and equal keys of all tasks meet in one bucket.
     """
+    shared = rows.sparkSession.sparkContext.broadcast(ends)
 
     def counted(keys: np.ndarray, part: int) -> tuple[np.ndarray, np.ndarray]:
         keys, times = np.unique(keys, return_counts=True)
@@ -175,14 +250,15 @@ def corpus_counts(rows: DataFrame, buckets: int) -> DataFrame:
                     if sum(len(k) for k, _ in have) > HELD:
                         have[:] = [merged(have)]
                         if len(have[0][0]) > HELD * 3 // 4:
-                            yield from _packed(gram, *have.pop(), buckets)
+                            yield from _packed(gram, *have.pop(), buckets, shared.value)
         for gram, have in held.items():
             if have:
-                yield from _packed(gram, *merged(have), buckets)
+                yield from _packed(gram, *merged(have), buckets, shared.value)
 
     def meet(key: tuple, group: pa.Table) -> pa.Table:
-        keys, n = merged([(k, c.astype(np.int64)) for k, c in _unpacked(group["keys"].to_pylist(), group["counts"].to_pylist(), np.uint32)])
-        return pa.table({"gram": [key[0].as_py()], "bucket": pa.array([key[1].as_py()], pa.int32()), "tuned": [int((n[:, 1] > 0).sum())], "keys": pa.array([_planes(keys)], pa.binary()), "counts": pa.array([_planes(n.ravel())], pa.binary())})
+        keys, n = merged(_unpacked(group["keys"].to_pylist(), group["counts"].to_pylist()), np.int64)
+        least = n.astype(np.uint32) if not len(n) or n.max() < 1 << 32 else n
+        return pa.table({"gram": [key[0].as_py()], "bucket": pa.array([key[1].as_py()], pa.int32()), "tuned": [int((n[:, 1] > 0).sum())], "keys": pa.array([_planes(keys)], pa.binary()), "counts": pa.array([_planes(least.ravel())], pa.binary())})
 
     found = rows.select("text", "part").mapInArrow(run, "gram boolean, bucket int, keys binary, counts binary")
     return found.groupBy("gram", "bucket").applyInArrow(meet, "gram boolean, bucket int, tuned long, keys binary, counts binary")
@@ -194,7 +270,7 @@ def word_counts(counts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for keys, n in _unpacked(batch.column("keys").to_pylist(), batch.column("counts").to_pylist()):
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.sum(1))], ["key", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.sum(1, dtype=np.int64))], ["key", "n"])
 
     return counts.filter("not gram").select("keys", "counts").mapInArrow(run, "key long, n long")
 
@@ -244,17 +320,21 @@ class ShortTable:
         return self.place[context.astype(np.int64)].astype(np.int64) * 256
 
 
-def long_states(key: np.ndarray, n: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def long_states(key: np.ndarray, n: np.ndarray, asked: np.ndarray, ends: Ends | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Logit and confidence bytes (asked gram, order, bit) of what followed the LONG contexts.
 
-    key and n have all grams of the contexts that are asked for.
+    key and n have all grams of the contexts that are asked for, but of wide
+    ends; ends has those.
     """
     logit, degree = (np.zeros((len(asked), len(LONG), 8), np.uint8) for _ in range(2))
+    ends = ends or Ends()
+    level = ends.levels(key)
     for i, order in enumerate(LONG):
         mask = np.uint64((1 << (8 * order + 8)) - 1)
-        have, count = merged([(key & mask, n)])
-        below = np.concatenate(([0], np.cumsum(count)))
         want, place = np.unique(asked & mask, return_inverse=True)
+        mine = level <= order
+        have, count = merged([(key[mine] & mask, n[mine]), ends.after(order, want)])
+        below = np.concatenate(([0], np.cumsum(count)))
         low = want & ~np.uint64(255)
         at, end = below[np.searchsorted(have, low)], below[np.searchsorted(have, low + np.uint64(256))]
         for j, (_, bit) in enumerate(_bits(want & np.uint64(255))):
@@ -269,26 +349,27 @@ def long_states(key: np.ndarray, n: np.ndarray, asked: np.ndarray) -> tuple[np.n
 
 
 def by_bucket(grams: DataFrame, use: Callable[..., Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``use(key, n1, n2, n3)`` for each bucket, which has all grams of its contexts."""
+    """``use(key, n1, n2, n3)`` for each bucket, which has all grams of its contexts (but wide ends)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 (keys, n), = _unpacked([batch.column("keys")[i].as_py()], [batch.column("counts")[i].as_py()])
-                yield from use(keys, *n.T)
+                yield from use(keys, *n.T.astype(np.int64))
 
     return grams.select("keys", "counts").mapInArrow(run, schema)
 
 
-def tune_states(grams: DataFrame, streams: int) -> DataFrame:
+def tune_states(grams: DataFrame, streams: int, ends: Ends) -> DataFrame:
     """(stream, keys, n, logit, degree), packed: the distinct grams that weights and refinement are learned on, under the counts of part 1."""
+    shared = grams.sparkSession.sparkContext.broadcast(ends)
 
     def use(key: np.ndarray, n1: np.ndarray, n2: np.ndarray, _: np.ndarray) -> Iterator[pa.RecordBatch]:
         mine, known = n2 > 0, n1 > 0
         if not mine.any():
             return
         key, n, known_key = key[mine], n2[mine], key[known]
-        logit, degree = long_states(known_key, n1[known], key)
+        logit, degree = long_states(known_key, n1[known], key, shared.value)
         of = (scramble(key, 13) % np.uint64(streams)).astype(np.int64)
         for stream in np.unique(of):
             some = of == stream
@@ -313,11 +394,12 @@ def _start() -> np.ndarray:
 
 @dataclass
 class Model:
-    """Tables of the short contexts, mixing weights and refinement."""
+    """Tables of the short contexts, mixing weights, refinement, and the wide ends."""
 
     short: list[ShortTable]
     weights: np.ndarray = field(default_factory=_start)
     refined: np.ndarray | None = None  # (256, CURVE) probabilities
+    ends: Ends | None = None
 
     def gate(self, keys: np.ndarray) -> np.ndarray:
         """Letters since the last space among the bytes of the context."""
@@ -440,19 +522,27 @@ def learn_refinement(tune: DataFrame, model: Model) -> np.ndarray:
     return (ones / total).reshape(256, CURVE)
 
 
-def short_tables(grams: DataFrame) -> tuple[list[ShortTable], list[ShortTable]]:
-    """The tables of one and two bytes under the counts of part 1, and under those of parts 1 and 2."""
-    mask = np.uint64((1 << (8 * SHORT[-1] + 8)) - 1)
+def context_tables(grams: DataFrame, ends: Ends) -> list[tuple[list[ShortTable], Ends]]:
+    """The tables of one and two bytes and what followed the wide ends, under the counts of part 1, and under those of parts 1 and 2."""
+    shared = grams.sparkSession.sparkContext.broadcast(ends)
 
     def use(key: np.ndarray, n1: np.ndarray, n2: np.ndarray, _: np.ndarray) -> Iterator[pa.RecordBatch]:
-        keys, n = merged([(key & mask, np.stack([n1, n2], 1))])
-        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *[pa.array(n[:, p]) for p in (0, 1)]], ["key", "n1", "n2"])
-
-    sums = by_bucket(grams, use, "key long, n1 long, n2 long").groupBy("key").agg(F.sum("n1").alias("n1"), F.sum("n2").alias("n2")).filter("n1 + n2 > 0")
-    rows = sums.toArrow()  # trigrams of bytes: the alphabet bounds them, not the corpus
-    keys, n1, n2 = rows["key"].to_numpy().view(np.uint64), rows["n1"].to_numpy(), rows["n2"].to_numpy()
-    some = n1 > 0
-    return [ShortTable(o, keys[some], n1[some]) for o in SHORT], [ShortTable(o, keys, n1 + n2) for o in SHORT]
+        n, level = np.stack([n1, n2], 1), shared.value.levels(key)
+        for order in (SHORT[-1], *LONG[:-1]):
+            some = level > order
+            if some.any():
+                keys, sums = merged([(key[some] & np.uint64((1 << (8 * order + 8)) - 1), n[some])])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), order)), pa.array(keys.view(np.int64)), *[pa.array(sums[:, p]) for p in (0, 1)]], ["order", "key", "n1", "n2"])
+
+    sums = by_bucket(grams, use, "order long, key long, n1 long, n2 long").groupBy("order", "key").agg(F.sum("n1").alias("n1"), F.sum("n2").alias("n2")).filter("n1 + n2 > 0")
+    rows = sums.toArrow()  # trigrams of bytes, and what follows SHARE ends: the alphabet bounds them, not the corpus
+    orders, keys, n1, n2 = rows["order"].to_numpy(), rows["key"].to_numpy().view(np.uint64), rows["n1"].to_numpy(), rows["n2"].to_numpy()
+    out = []
+    for n in (n1, n1 + n2):
+        some = (orders == SHORT[-1]) & (n > 0)
+        followed = {o: merged([(keys[orders == o], n[orders == o])]) for o in LONG[:-1]}
+        out.append(([ShortTable(o, keys[some], n[some]) for o in SHORT], Ends(ends.wide, followed)))
+    return out
 
 
 def gram_scores(grams: DataFrame, model: Model) -> DataFrame:
@@ -461,7 +551,7 @@ def gram_scores(grams: DataFrame, model: Model) -> DataFrame:
 
     def use(key: np.ndarray, n1: np.ndarray, n2: np.ndarray, n3: np.ndarray) -> Iterator[pa.RecordBatch]:
         known = n1 + n2 > 0
-        logs = shared.value.score(key, long_states(key[known], (n1 + n2)[known], key))
+        logs = shared.value.score(key, long_states(key[known], (n1 + n2)[known], key, shared.value.ends))
         yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n1 + n2 + n3), pa.array(np.round(logs * UNIT).astype(np.int32))], ["key", "n", "units"])
 
     return by_bucket(grams, use, "key long, n long, units int")
@@ -494,19 +584,20 @@ def _scores(rows: DataFrame) -> DataFrame:
     tuned = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(TUNE_ONE_IN)) == 0
     rows = rows.withColumn("part", F.when(~F.col("learn"), 3).when(tuned, 2).otherwise(1))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    counts = settle(corpus_counts(rows, max(64, int(size) // BUCKET)), "counts")
+    wide = wide_ends(rows, int(size))
+    counts = settle(corpus_counts(rows, max(64, int(size) // BUCKET), wide), "counts", COUNTS_A_FILE)
     words = settle(word_counts(counts), "words")
     grams = counts.filter("gram")
     tuned = grams.agg(F.sum("tuned")).first()[0] or 0
     ends = rows.filter("learn").count()
     total, types = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     total, types = total + ends, types + (ends > 0)
-    first, whole = short_tables(grams)
+    (first, first_ends), (whole, whole_ends) = context_tables(grams, wide)
     model = Model(first)
-    tune = settle(tune_states(grams, max(1, -(-int(tuned) // STREAM))), "tune")
+    tune = settle(tune_states(grams, max(1, -(-int(tuned) // STREAM)), first_ends), "tune")
     model.weights = learn_weights(tune, model)
     model.refined = learn_refinement(tune, model)
-    model.short = whole
+    model.short, model.ends = whole, whole_ends
     scores = settle(gram_scores(grams, model), "scores")
     discard(tune, counts)
     common_words, rare_words = most_common(words, WORDS)
