@@ -124,6 +124,7 @@ def test_wide_ends_give_the_same_scores(docs, monkeypatch):
     want, models, real = scored(docs, docs), [], lm_scoring.gram_scores
     monkeypatch.setattr(lm_scoring, "gram_scores", lambda grams, model: models.append(model) or real(grams, model))
     monkeypatch.setattr(lm_scoring, "WIDE", 40)
+    monkeypatch.setattr(lm_scoring, "PIECE", 100)
     assert scored(docs.repartition(5), docs) == want
     assert models[0].ends.wide.any(axis=1).all() and all(len(models[0].ends.followed[o][0]) for o in (3, 4, 5))
 

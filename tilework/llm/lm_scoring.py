@@ -50,6 +50,7 @@ SHORT, LONG = ORDERS[:2], ORDERS[2:]
 BUCKET = 4 << 20  # bytes of text for each bucket of counts
 WIDE, SHARE = 1 << 20, 1 << 14  # an end of contexts is wide if it has so many bytes of text, and this part of all
 SLOTS = 18  # bits of the places in which the text of ends is added up
+PIECE = 1 << 17  # grams of a bucket that are worked on at once
 COUNTS_A_FILE = 2  # rows of counts in a file; a row is a bucket
 STREAM = 1 << 17  # grams that one online learner sees
 WORDS, GRAMS = 1 << 20, 1 << 21  # broadcast at most
@@ -348,14 +349,23 @@ def long_states(key: np.ndarray, n: np.ndarray, asked: np.ndarray, ends: Ends |
     return logit, degree
 
 
-def by_bucket(grams: DataFrame, use: Callable[..., Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``use(key, n1, n2, n3)`` for each bucket, which has all grams of its contexts (but wide ends)."""
+def by_bucket(grams: DataFrame, ends: Ends, use: Callable[..., Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``use(key, n1, n2, n3)`` for pieces of buckets; a piece has all grams of its contexts (but wide ends).
+
+    A bucket is cut by another hash of what its grams are dealt by.
+    """
+    wide = grams.sparkSession.sparkContext.broadcast(Ends(ends.wide))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 (keys, n), = _unpacked([batch.column("keys")[i].as_py()], [batch.column("counts")[i].as_py()])
-                yield from use(keys, *n.T.astype(np.int64))
+                pieces = -(-len(keys) // PIECE)
+                of = scramble(wide.value.dealt(keys), 23) % np.uint64(max(pieces, 1))
+                for piece in range(pieces):
+                    mine = of == piece
+                    if mine.any():
+                        yield from use(keys[mine], *n[mine].T.astype(np.int64))
 
     return grams.select("keys", "counts").mapInArrow(run, schema)
 
@@ -375,7 +385,7 @@ def tune_states(grams: DataFrame, streams: int, ends: Ends) -> DataFrame:
             some = of == stream
             yield pa.RecordBatch.from_arrays([pa.array([stream]), *[pa.array([v[some].tobytes()], pa.binary()) for v in (key, n, logit, degree)]], ["stream", "keys", "n", "logit", "degree"])
 
-    return by_bucket(grams, use, "stream long, keys binary, n binary, logit binary, degree binary")
+    return by_bucket(grams, ends, use, "stream long, keys binary, n binary, logit binary, degree binary")
 
 
 def _states(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
@@ -534,7 +544,7 @@ def context_tables(grams: DataFrame, ends: Ends) -> list[tuple[list[ShortTable],
                 keys, sums = merged([(key[some] & np.uint64((1 << (8 * order + 8)) - 1), n[some])])
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), order)), pa.array(keys.view(np.int64)), *[pa.array(sums[:, p]) for p in (0, 1)]], ["order", "key", "n1", "n2"])
 
-    sums = by_bucket(grams, use, "order long, key long, n1 long, n2 long").groupBy("order", "key").agg(F.sum("n1").alias("n1"), F.sum("n2").alias("n2")).filter("n1 + n2 > 0")
+    sums = by_bucket(grams, ends, use, "order long, key long, n1 long, n2 long").groupBy("order", "key").agg(F.sum("n1").alias("n1"), F.sum("n2").alias("n2")).filter("n1 + n2 > 0")
     rows = sums.toArrow()  # trigrams of bytes, and what follows SHARE ends: the alphabet bounds them, not the corpus
     orders, keys, n1, n2 = rows["order"].to_numpy(), rows["key"].to_numpy().view(np.uint64), rows["n1"].to_numpy(), rows["n2"].to_numpy()
     out = []
@@ -554,7 +564,7 @@ def gram_scores(grams: DataFrame, model: Model) -> DataFrame:
         logs = shared.value.score(key, long_states(key[known], (n1 + n2)[known], key, shared.value.ends))
         yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n1 + n2 + n3), pa.array(np.round(logs * UNIT).astype(np.int32))], ["key", "n", "units"])
 
-    return by_bucket(grams, use, "key long, n long, units int")
+    return by_bucket(grams, model.ends or Ends(), use, "key long, n long, units int")
 
 
 def most_common(counts: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
@@ -617,7 +627,7 @@ def _scores(rows: DataFrame) -> DataFrame:
 
         for batch in batches:
             out: dict[str, list] = {c: [] for c in ("n_tokens", "known", "base", "rare_words", "units", "rare_grams", "size")}
-            for _, part in portions(texts(batch, "text"), PORTION):
+            for _, part in portions(texts(batch, "text"), PORTION // 4):
                 h, bounds = words_of(part)
                 at, good = word_index.find(h)
                 sums = np.concatenate(([0.0], np.cumsum(np.where(good, values[at] if len(values) else 0.0, 0.0))))[bounds]
