@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tilework.operators import boost, predict
 from tilework.operators.model import Ensemble, Tree
+from tilework.plans.models import k_file_to_model
 from tilework.sources import models
 
 
@@ -117,3 +118,17 @@ def test_a_wanted_model_is_not_one_task(spark, limit):
     finally:
         for c, v in was.items():
             spark.conf.set(c, v)
+
+
+def test_a_job_is_judged_by_its_file(spark, tmp_path, monkeypatch):
+    """Scores are those of the bytes on disk: a file with other leaves, or without its last tree, is not alike."""
+    rows = [(i, i % 29, i % 5, 1, float(i % 50 + 1), (i % 50 + 1) * 1500.0, i % 10 / 100, i % 8 / 100, "N") for i in range(1, 600)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    told = lambda: {r["what"]: r["n"] for r in k_file_to_model(spark, str(tmp_path)).collect()}
+    alike = {f"scores alike: {s}": 1 for s in ("train", "val", "test")}
+    whole = told()
+    assert alike.items() <= whole.items()
+    write = models.encode_models
+    for other in (lambda h, t: write(h, t.withColumn("leaf", F.transform("leaf", lambda v: -v))), lambda h, t: write(h.withColumn("n_trees", F.lit(1)), t.filter("tree = 0"))):
+        monkeypatch.setattr(models, "encode_models", other)
+        assert told() == {k: n for k, n in whole.items() if k not in alike}
